@@ -117,7 +117,7 @@ def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     h = mix64(hashes ^ np.uint64(salt)) if salt else hashes
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * _WORD_UP(len(h)), out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * _WORD_DOWN(n) + np.uint64(k) * _M)
+    return mix64((sums[k:] - sums[:-k]) * _WORD_DOWN(n) + np.uint64(k * int(_M) % (1 << 64)))
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
