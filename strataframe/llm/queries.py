@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, secrets, sharding
+from . import jaccard, mixing, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_secret_ledger, op7_interleaved_shards, op10_jaccard_join)}
+def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"), k=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_secret_ledger, op7_interleaved_shards, op8_recompression_dedup, op10_jaccard_join)}
 
 _U = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0"
 
