@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Words are maximal runs of anything but these bytes, in every operator but decontamination.
@@ -35,6 +36,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A new schema with more fields (add() would change the frame's own)."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD matches; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, secrets, sharding, substrings
+from . import contamination, jaccard, langid, mixing, rulestats, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.digest(contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), n=10))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave(table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +47,24 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_secret_ledger, op7_interleaved_shards, op8_recompression_dedup, op10_jaccard_join)}
+def op9_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rulestats.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *rulestats.STATS, "base_failed", "kept", "anomaly")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pareto_mix,
+        op2_secret_ledger,
+        op3_decontaminate,
+        op4_language_id,
+        op7_interleaved_shards,
+        op8_recompression_dedup,
+        op9_isolation_rules,
+        op10_jaccard_join,
+    )
+}
 
 _U = "('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0"
 
@@ -93,3 +120,20 @@ f AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans FROM a GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM b LEFT JOIN f USING (rid)"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ORACLE_SQL["op3_decontaminate"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT d.rid, d.w, s.size, unnest(range(1, len(d.w) - s.size + 2)) AS i FROM d, (SELECT DISTINCT size FROM g) s)),
+h AS (SELECT p.rid, p.i, p.size, g.item_id FROM p JOIN g USING (size, gram)),
+n AS (SELECT rid, count(*)::BIGINT AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT rid, i, size FROM h)) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id)::BIGINT AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM h GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
