@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, mixing, rulestats, secrets, sharding, substrings
+from . import contamination, jaccard, langid, mixing, quality, rulestats, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave(table(spark, sf_dir, "documents"), 24)
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,6 +63,7 @@ QUERIES = {
         op2_secret_ledger,
         op3_decontaminate,
         op4_language_id,
+        op5_quality_votes,
         op7_interleaved_shards,
         op8_recompression_dedup,
         op9_isolation_rules,
