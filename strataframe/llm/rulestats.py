@@ -60,11 +60,17 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{s} long" for s in STATS))
 
 
+#: A text's mean word length is shrunk to PRIOR_LENGTH as by so many words; repeats up to these shares are normal.
+PRIOR_WORDS, PRIOR_LENGTH = 50, 5.0
+NORMAL_DUP, NORMAL_REPEAT = 0.02, 0.10
+
+
 def features(stats: np.ndarray) -> np.ndarray:
-    """Scale-free features of rows of STATS: log length, word length, and shares per word."""
+    """Features that don't depend on length: word length, symbols per word, repeats beyond what is normal."""
     s = stats.astype(np.float64)
     n = np.maximum(s[:, 0], 1)
-    return np.stack([np.log1p(s[:, 0]), s[:, 1] / n, np.log1p(s[:, 2] / n * 100), np.log1p(s[:, 3] / n * 1000), s[:, 4] / n], 1)
+    length = (s[:, 1] + PRIOR_WORDS * PRIOR_LENGTH) / (s[:, 0] + PRIOR_WORDS)
+    return np.stack([length, np.log1p(s[:, 2] / n * 100), np.maximum(0, s[:, 3] / n - NORMAL_DUP), np.maximum(0, s[:, 4] / n - NORMAL_REPEAT)], 1)
 
 
 class IsolationForest:
@@ -139,7 +145,7 @@ def threshold(counts: list[tuple[int, int, int]], bins: int, lose: float) -> flo
     return cut / bins if bad_above > above[min(cut, bins)] else 2.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, lose: float = 0.002, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, lose: float = 0.01, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The statistics of every document, the fixed rules' verdict, and the forest's on the rest.
 
     docs needs doc_id and text, labels doc_id and quality (1 good, 0 bad; null is no label); other columns
