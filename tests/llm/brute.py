@@ -72,3 +72,41 @@ def window_dedup(rows, k=50):
                 gone.update(range(i, i + k))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return sorted(out)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_dedup(rows, edits=2, least=20, near=None):
+    """rows: (doc_id, text) -> sorted (doc_id, n_lines, n_removed, n_near, kept text)."""
+    near = near or (lambda a, b: edit_distance(a, b) <= edits)
+    first = {}
+    for d, t in rows:
+        for i, line in enumerate((t or "").split("\n")):
+            if WORD.search(line):
+                first[line] = min((d, i), first.get(line, (d, i)))
+    by_len = {}
+    for line in first:
+        by_len.setdefault(len(line), []).append(line)
+    late = set()
+    for a in first:
+        if len(a) < least:
+            continue
+        for n in range(max(least, len(a) - edits), len(a) + edits + 1):
+            for b in by_len.get(n, ()):
+                if a != b and first[b] < first[a] and near(a, b):
+                    late.add(a)
+    out = []
+    for d, t in rows:
+        split = (t or "").split("\n")
+        worded = [i for i, x in enumerate(split) if WORD.search(x)]
+        gone = {i for i in worded if first[split[i]] != (d, i) or split[i] in late}
+        n_near = sum(1 for i in gone if first[split[i]] == (d, i))
+        out.append((d, len(worded), len(gone), n_near, "\n".join(x for i, x in enumerate(split) if i not in gone)))
+    return sorted(out)
