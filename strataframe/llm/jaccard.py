@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, filter_bits, small_batches, staged
 from .shared import find_shared
@@ -232,3 +233,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     named = staged(named, "jaccard-names").withColumnRenamed("node", "__node")
     out = rows.join(named, F.col("node") == F.col("__node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest doc_id of their class, one row each, with the columns of docs.
+
+    A class is as in jaccard_classes; so of repeated rows (one doc_id) one stays, and documents without
+    shingles stay each. Rows with a null doc_id have no name to be dropped by, and stay.
+    """
+    classes = staged(jaccard_classes(docs, k, percent), "jaccard-classes")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__id"))
+    # an id with texts in two classes may be first in one of them; a row is then dropped by that id's worst
+    kept = docs.join(gone.distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.take(1):
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        named = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        kept = named.unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,8 +16,8 @@ def allocate(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     The targets share `share` times all sizes by weight, none above `most` times its source's size, the
     excess going to the others by weight until none is above: target = min(cap, weight * level). The level
-    is found in one pass over the sources in order of cap / weight, as the first at which those not yet
-    capped can take all that is left. One row per source, so the two ordered windows are small.
+    is found in one pass over the sources in order of cap / weight, as the first (and so the highest) at
+    which those not yet capped can take all that is left. One row per source, so the windows are small.
     """
     nth = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(nth) - 1) % len(weights) + 1).cast("int"))
@@ -28,7 +28,7 @@ def allocate(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     capped_before = F.coalesce(F.sum("__cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("__w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("__left", F.sum("source_size").over(all_rows) * F.lit(float(share)) - capped_before).withColumn("__level", F.col("__left") / open_weight)
-    s = s.withColumn("__lambda", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(all_rows))
+    s = s.withColumn("__lambda", F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(all_rows))
     return s.select("source", "source_size", F.least("__cap", F.col("__w") * F.coalesce("__lambda", F.lit(float("inf")))).alias("target"))
 
 
@@ -71,3 +71,18 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     out = ordered.withColumn("copies", F.col("__certain") + F.when(take, 1).otherwise(0))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.least("copies", F.lit(int(most)))).otherwise(F.lit(0)).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "rank", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mixture takes its document, with the columns of docs.
+
+    Rows of one doc_id count as one document with all their words; each of them is taken equally often.
+    Documents without words are taken as often as the certain copies of their source, once at least: they
+    have no weight in any target.
+    """
+    mix = pareto_mix(docs, **options)
+    copies = mix.groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.max("size").alias("__size"))
+    copies = copies.select(F.col("doc_id").alias("__id"), F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies")).cast("int").alias("__copies"))
+    rows = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -88,7 +88,7 @@ w AS (SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[], ((row_number() OVER (ORD
 l AS (SELECT *, cap / w AS ratio,
   (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, w * coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, w * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM l),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS q FROM t),
 c AS (SELECT *, floor(q + 1e-12)::BIGINT AS certain FROM q),
 j AS (SELECT b.doc_id, b.size, c.source_size, c.target, certain, greatest(0.0, q - certain) AS p, target - certain * source_size AS rest,
