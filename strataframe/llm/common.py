@@ -52,7 +52,7 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def bucketed(df: DataFrame, group: str | None, key: str, rows: str, per_bucket: int = 50_000) -> DataFrame:
+def bucketed(df: DataFrame, group: str | None, key: str, rows: str, per_bucket: int = 4096) -> DataFrame:
     """Add __bucket: ranges of `key` (uniform in [0, 1)) holding about per_bucket of the group's `rows`."""
     n = F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(per_bucket))).cast("long")
     return df.withColumn("__bucket", F.least(F.floor(F.col(key) * n), n - 1))

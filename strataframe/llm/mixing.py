@@ -32,7 +32,7 @@ def allocate(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return s.select("source", "source_size", F.least("__cap", F.col("__w") * F.coalesce("__lambda", F.lit(float("inf")))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", per_bucket: int = 50_000) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", per_bucket: int = 4096) -> DataFrame:
     """How many copies of each document a mixture of the sources takes.
 
     docs needs doc_id, text, source; other columns are ignored. Returns one row per input row: doc_id, size

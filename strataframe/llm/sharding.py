@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import bucketed, prefix_within, staged, unit_hash
 
 
-def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_bucket: int = 50_000) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_bucket: int = 4096) -> DataFrame:
     """Deal documents into shards whose row counts differ by one at most and whose mixtures are alike.
 
     docs needs doc_id, text, source; other columns are ignored. Rows of a source are shuffled by a seeded
