@@ -13,6 +13,8 @@ from .tokens import shingle_set, words
 
 #: Shingles in at least so many documents form the later classes of the global order.
 LEVELS = (2, 8, 64)
+#: Lists up to this length are searched pair by pair at once.
+SHORT = 8
 #: Partners of one query that are searched together.
 GROUP = 256
 
@@ -161,7 +163,51 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return b_rows.unionByName(a_rows).groupBy("a", "part").applyInArrow(search, "u long, v long")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 4) -> DataFrame:
+def _links(posts: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """Verified links (u, v) that connect all that links; posts(token, node, n, c): c is the length of the list."""
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+
+    def crossed(lists: DataFrame) -> DataFrame:
+        other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+        return lists.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & near).select("a", "b")
+
+    def starred(lists: DataFrame, turn: int) -> DataFrame:
+        first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("s"))
+        pairs = lists.withColumnRenamed("node", "b").join(first.select("token", "s.a", "s.m", "s.other"), "token").where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & near)
+        return pairs.select("a", "b")
+
+    lists = posts.select("token", "node", "n", "c", F.col("node").alias("label"))
+    long = lists.where(F.col("c") > SHORT)
+    pairs = crossed(lists.where(F.col("c") <= SHORT)).unionByName(starred(long, 0)).distinct()
+    tried, links = None, None
+    turn = 0
+    while True:
+        if tried is not None:
+            both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "jaccard-pairs")
+        new = staged(_verify(pairs, sets, percent), "jaccard-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = new if links is None else links.unionByName(new)
+        if turn >= star_rounds:
+            break
+        # nodes with one least neighbour are connected through it; that suffices to leave pairs out
+        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        found = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("found")).withColumnRenamed("u", "node")
+        long = long.drop("label").join(found, "node", "left").select("token", "node", "n", F.coalesce("found", "node").alias("label"))
+        mixed = long.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
+        mixed = staged(mixed, "jaccard-mixed")
+        cross, size = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        if not cross:
+            break
+        long = staged(long.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
+        last = turn == star_rounds - 1 or cross <= 4 * size
+        pairs = (crossed(long) if last else starred(long, turn + 1)).distinct()
+        turn = star_rounds if last else turn + 1
+    return links
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
     """Connected components of documents whose sets of k-word shingles have Jaccard similarity >= percent / 100.
 
     docs needs doc_id and text; other columns are ignored. Words are runs of anything but space and \\t to
@@ -173,11 +219,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     1. Equal sets are one node. Shingles are ordered by class (found in one document only first, then by
        how often they occur), then by hash; a node posts the shared ones in its prefix of n - T + 1. What
        links meets at a posting, and frequent passages come last, so their lists stay out of most prefixes.
-    2. Each list's nodes are searched against its first node (star): what links joins that component, and
-       no pair within a component is looked at again. A group of any number of near copies costs a few
-       pairs a node.
-    3. Every remaining pair of a list whose nodes are of different components is searched. Nothing is
-       capped: a pair is left out only if its sizes can't reach the similarity, or if both are connected.
+    2. All pairs of a short list are searched. A long list's nodes are searched against its first node
+       (star); what links has that node's label, and no pair of one label is looked at again. A group of
+       any number of near copies costs a few pairs a node.
+    3. Every remaining pair of a long list whose labels differ is searched. Nothing is capped: a pair is
+       left out only if its sizes can't reach the similarity, or if both are connected.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -185,46 +231,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posts = nodes.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "node", "n", "first")
     posts = staged(posts, "jaccard-posts")
-    listed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    posts = staged(posts.join(listed, "token", "left_semi"), "jaccard-lists")
-    searched = posts.select("node", "first").distinct()
+    listed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    posts = staged(posts.join(listed, "token"), "jaccard-lists")
+    searched = staged(posts.select("node", "first").distinct(), "jaccard-searched")
     n_searched = searched.count()
-    edges = labels = None
+    labels = None
     if n_searched:
-        sets = staged(_sets_of(docs, staged(searched, "jaccard-searched"), n_searched, k), "jaccard-sets")
-        near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-        open_posts = posts.withColumn("comp", F.col("node"))
-        done = found = None
-        for turn in range(star_rounds + 1):
-            shape = open_posts.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            cross, size = shape.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-            if not cross:
-                break
-            last = turn == star_rounds or cross <= 4 * size
-            if last:
-                other = open_posts.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-                pairs = open_posts.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & near)
-            else:
-                star = open_posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))).alias("s"))
-                pairs = open_posts.withColumnRenamed("node", "b").join(star.select("token", "s.a", "s.m", "s.comp_a"), "token").where((F.col("a") != F.col("b")) & (F.col("comp") != F.col("comp_a")) & near)
-            pairs = pairs.select("a", "b").distinct()
-            if done is not None:
-                tried = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = staged(pairs, "jaccard-pairs")
-            new = staged(_verify(pairs, sets, percent), "jaccard-links")
-            done = pairs if done is None else done.unionByName(pairs)
-            edges = new if edges is None else edges.unionByName(new)
-            labels = components(edges)
-            if last:
-                break
-            found = labels.select("node", F.col("comp").alias("label"))
-            open_posts = posts.join(found, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("comp"))
-            mixed = open_posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-            open_posts = staged(open_posts.join(mixed, "token", "left_semi"), "jaccard-open")
+        sets = staged(_sets_of(docs, searched, n_searched, k), "jaccard-sets")
+        labels = staged(components(_links(posts, sets, percent, star_rounds)), "jaccard-labels")
     named = nodes.select("node", "first")
     if labels is not None:
-        labels = staged(labels, "jaccard-labels")
         named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("first").alias("component"))
         named = named.join(least, "comp").select("node", "component")
