@@ -10,8 +10,8 @@ from .common import mix64, small_batches, staged
 from .shared import SharedKeys, find_shared
 from .tokens import Words, windows, words
 
-#: Rounds of naming. Each shortens a text to about 3/4; after these a symbol is some four words long.
-ROUNDS = 5
+#: Rounds of naming. Each shortens a text to about 3/4; after these a symbol is some three words long.
+ROUNDS = 4
 _RUN = np.uint64(0x8CB92BA72F3D8DD7)
 _PAIR = np.uint64(0xAEF17502108EF2D9)
 #: As the context of a symbol that depends on where its text begins or ends.
@@ -99,33 +99,47 @@ def _inner(w: Words, k: int, rounds: int) -> Symbols:
     return s.take(s.right - s.left <= k)
 
 
+def _decided(s: Symbols, n: int, k: int, some=slice(None)) -> np.ndarray:
+    """How many of the symbols each of the k-word windows of a batch of n words decides."""
+    # window i decides a symbol if i <= left and right <= i + k
+    lo, hi = np.maximum(s.right[some] - k, 0), s.left[some] + 1
+    steps = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hi, n), minlength=n + 1)[: n + 1]
+    return np.cumsum(steps)[:n]
+
+
+def _whole(w: Words, k: int) -> np.ndarray:
+    """Whether the window that starts at each word is within one text."""
+    return np.arange(len(w.hash)) + k <= np.repeat(w.at[1:], np.diff(w.at))
+
+
 def _keys(column, k: int, rounds: int):
-    """Each text's distinct symbols that a window decides, of texts that have windows."""
+    """Each text's distinct keys: the symbols that windows decide, and the hash of each window that decides none."""
     w = words(column)
+    n = len(w.hash)
+    if n < k:
+        return
     s = _inner(w, k, rounds)
     cut = np.searchsorted(s.text, np.arange(len(w.at)))
+    plain = np.flatnonzero((_decided(s, n, k) == 0) & _whole(w, k))
+    hashes = windows(w.hash, k)[plain]
+    edge = np.searchsorted(plain, w.at)
     for i in range(len(w.at) - 1):
         if w.at[i + 1] - w.at[i] >= k:
-            yield np.unique(s.name[cut[i] : cut[i + 1]])
+            yield np.unique(np.concatenate([s.name[cut[i] : cut[i + 1]], hashes[edge[i] : edge[i + 1]]]))
 
 
 def candidates(w: Words, shared: SharedKeys, k: int, rounds: int) -> np.ndarray:
     """First words of the windows that may occur in two texts: every symbol that the window decides is shared.
 
-    A window that decides no symbol stays a candidate.
+    A window that decides no symbol is a candidate if the window itself is shared.
     """
     n = len(w.hash)
     if n < k:
         return np.zeros(0, np.int64)
     s = _inner(w, k, rounds)
-    alone = shared(s.name) == 0
-    # window i decides a symbol if i <= left and right <= i + k
-    lo, hi = np.maximum(s.right[alone] - k, 0), s.left[alone] + 1
-    steps = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hi, n), minlength=n + 1)[: n + 1]
-    ok = np.cumsum(steps)[:n] == 0
-    per = np.diff(w.at)
-    ends = np.repeat(w.at[1:], per)
-    ok &= np.arange(n) + k <= ends
+    ok = (_decided(s, n, k, shared(s.name) == 0) == 0) & _whole(w, k)
+    plain = np.flatnonzero(ok & (_decided(s, n, k) == 0))
+    ok[plain] = shared(windows(w.hash, k)[plain]) > 0
     return np.flatnonzero(ok)
 
 
@@ -182,7 +196,7 @@ def substring_dedup(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> DataF
     dictionary to exchange, and equal words get equal symbols but near their ends. Each symbol carries the
     words that decide it. One round of Spark counts symbols over the corpus; a window can recur in another
     text only if every symbol that it decides is shared, so the others go, and those left are verified by
-    a 96-bit hash of their words. A window that decides no symbol (in a long run) is always verified.
+    a 96-bit hash of their words. A window that decides no symbol (in a long run) is its own symbol.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
