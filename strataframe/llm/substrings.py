@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, staged
+from .common import filter_bits, mix64, small_batches, staged
 from .shared import SharedKeys, find_shared
 from .tokens import Words, windows, words
 
@@ -178,7 +178,8 @@ def repeated_windows(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> Data
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {id_type}, text_key long, start int, h long, g int")
     found = staged(found, "windows")
     first = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h").alias("__h"), F.col("g").alias("__g"), "first")
-    late = found.join(first, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where(F.col("first") < F.col("doc_id"))
+    # staged on both sides, so that adaptive execution can split a window that very many texts have
+    late = found.join(staged(first, "window-firsts"), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where(F.col("first") < F.col("doc_id"))
     return late.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
 
 
@@ -200,8 +201,23 @@ def substring_dedup(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> DataF
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    late = repeated_windows(docs, k, rounds).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "starts")
+    late = staged(repeated_windows(docs, k, rounds), "window-starts")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    keep = filter_bits(late.select(F.xxhash64("doc_id", "text_key").alias("key")), "key", late.count())
+    late = late.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "starts")
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {id_type}, text string, text_key long"
+
+    def part(touched: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                hit = keep(b.column(3).to_numpy(zero_copy_only=False))
+                mask = pa.array(hit if touched else ~hit)
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:3]], b.schema.names[:3])
+
+        return keyed.withColumn("key", F.xxhash64("doc_id", "text_key")).mapInArrow(run, columns)
 
     def cut(batches):
         import pyarrow as pa
@@ -222,5 +238,7 @@ def substring_dedup(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> DataF
                 kept.append(b" ".join(split).decode())
             yield pa.record_batch([b.column(0), pa.array(per.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = docs.withColumn("text_key", F.xxhash64("text")).join(late, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    return rows.select("doc_id", "text", "starts").mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    # texts that surely lose nothing stay where they are; only the others move
+    whole = part(False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    rows = part(True).join(late, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    return whole.unionByName(rows.select("doc_id", "text", "starts")).mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")
