@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import economic, graphs, interval, ordered, profiles, reserves, routing, scalars, space, streams  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
 
 
 def ENTRY(spark: SparkSession, sf_dir: str) -> DataFrame:
