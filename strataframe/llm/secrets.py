@@ -81,8 +81,8 @@ def empty_ledger(spark) -> DataFrame:
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Findings of every version of every path, and the ledger with what was scanned now.
 
-    versions needs text and whatever names a path and its version; all its columns but text return, with
-    blob (SHA-256 of the UTF-8 text; null is as empty) and spans. Only blobs that the ledger doesn't have
+    versions needs text and whatever names a path and its version; all its columns but text return (own
+    blob and spans are replaced), with blob (SHA-256 of the UTF-8 text; null is as empty) and spans. Only blobs that the ledger doesn't have
     under this rule version are scanned, each once however many paths and versions hold it. Repeated rows
     each return; an empty table gives none; a blob's spans never depend on its paths.
 
@@ -98,7 +98,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     new = staged(scan_blobs(unseen, rules).withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "spans"), "ledger")
     known = done.unionByName(new.select("blob", "spans")).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    keep = [c for c in versions.columns if c != "text"]
+    keep = [c for c in versions.columns if c.lower() not in ("text", "blob", "spans")]
     paths = versions.select(*keep, F.sha2(text, 256).alias("blob"))
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     findings = paths.join(known, F.col("blob") == F.col("__blob"), "left").select(*keep, "blob", F.coalesce("__spans", none).alias("spans"))
