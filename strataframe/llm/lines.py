@@ -107,8 +107,7 @@ class Signatures:
         start, end = heads[lines.start[chosen]], heads[lines.end[chosen]]
         ok = end - start >= least
         self.line, start, end = chosen[ok], start[ok], end[ok]
-        self.length = end - start
-        self.lanes = np.zeros((len(start), 2), np.int64)
+        self.length, self.start, self.points = end - start, start, points
         keys, index, of = [], [], []
         i = 0
         while i < len(start):
@@ -118,7 +117,6 @@ class Signatures:
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _BYTE_UP(hi - lo), out=sums[1:])
             at, size = start[i:j] - lo, self.length[i:j]
-            self._count(piece, at, size, i)
             for short in range(edits + 1):
                 length = size - short
                 for s in range(edits + 1):
@@ -137,16 +135,14 @@ class Signatures:
         self.index = np.concatenate(index) if index else none.astype(bool)
         self.of = np.concatenate(of) if of else none
 
-    def _count(self, piece: np.ndarray, at: np.ndarray, size: np.ndarray, i: int) -> None:
-        """Counts of code points by 16 classes, modulo 256, in two longs."""
-        cls = piece & np.uint32(_LANES - 1)
-        edges = np.stack([at, at + size], 1).ravel()
-        for lane in range(_LANES):
-            sums = np.zeros(len(piece) + 1, np.int64)
-            np.cumsum(cls == lane, out=sums[1:])
-            n = ((sums[edges[1::2]] - sums[edges[::2]]) & 255).astype(np.uint64)
-            word = self.lanes[i : i + len(at), lane // 8]
-            word |= (n << np.uint64(8 * (lane % 8))).view(np.int64)
+    def lanes(self, of: np.ndarray) -> np.ndarray:
+        """Counts of code points by 16 classes, modulo 256, as two longs for each of the lines `of` (positions in self.line)."""
+        own, back = np.unique(of, return_inverse=True)
+        counts = np.zeros((len(own), _LANES), np.uint8)
+        for i, k in enumerate(own.tolist()):
+            a = self.start[k]
+            counts[i] = np.bincount(self.points[a : a + self.length[k]] & np.uint32(_LANES - 1), minlength=_LANES) & 255
+        return counts.view(np.int64)[back].reshape(-1, 2)
 
 
 def lanes_apart(a: list[Column], b: list[Column], edits: int) -> Column:
@@ -191,7 +187,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
             s = Signatures(lines, fresh(lines, mine), edits, least)
             some = np.flatnonzero(shared(s.key))
             of = s.of[some]
-            columns = [s.key[some].view(np.int64), lines.hash[s.line[of]].view(np.int64), s.index[some], s.lanes[of, 0], s.lanes[of, 1]]
+            lanes = s.lanes(of)
+            columns = [s.key[some].view(np.int64), lines.hash[s.line[of]].view(np.int64), s.index[some], lanes[:, 0], lanes[:, 1]]
             yield pa.record_batch([pa.array(x) for x in columns], ["key", "h", "indexed", "c0", "c1"])
 
     posts = docs.select("text").mapInArrow(post, "key long, h long, indexed boolean, c0 long, c1 long")
