@@ -1 +1,113 @@
-"""Queries."""
+"""Scalar functions over part and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import maths as M
+from ..functions import text as X
+from ..functions import time as D
+from .registry import query, table
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice <= b * 1 THEN b WHEN p_retailprice <= 2 * b THEN 2 * b WHEN p_retailprice <= 5 * b THEN 5 * b ELSE 10 * b END AS up
+FROM (SELECT *, pow(10, floor(log10(p_retailprice))) AS b FROM part)""")
+def round_up_series(spark, d):
+    return table(spark, d, "part").select("p_partkey", M.round_up_to_series(F.col("p_retailprice")).alias("up"))
+
+
+@query("""SELECT * FROM (VALUES ('percent', 'pound', 22.046226), ('g/t', 'troy ounce', 0.032151), ('ppm', 'gram', 1.0), ('kg/t', 'kilogram', 1.0)) AS t(grade, sales, factor)""".replace("22.046226", "22.046226::DOUBLE"))
+def metal_factors(spark, d):
+    rows = [(g, s, round(M.metal_factor(g, s), 6)) for g, s in (("percent", "pound"), ("g/t", "troy ounce"), ("ppm", "gram"), ("kg/t", "kilogram"))]
+    return spark.createDataFrame(rows, "grade string, sales string, factor double")
+
+
+@query("""SELECT p_partkey, round(CASE WHEN h <= 0 THEN 1.0 WHEN h >= 30 THEN 0.0 ELSE 0.9 * (1 - 1.5 * h / 30 + 0.5 * (h / 30) ** 3) END, 8)::DOUBLE AS cov FROM (SELECT p_partkey, (p_size - 1)::DOUBLE AS h FROM part)""")
+def variogram(spark, d):
+    h = (F.col("p_size") - 1).cast("double")
+    return table(spark, d, "part").select("p_partkey", F.round(M.spherical_covariance(h, 1.0, 0.1, 30.0), 8).alias("cov"))
+
+
+@query("""SELECT p_partkey, round(p_retailprice * 1000000)::BIGINT AS um FROM part""")
+def micrometre_keys(spark, d):
+    return table(spark, d, "part").select("p_partkey", M.micrometres(F.col("p_retailprice")).alias("um"))
+
+
+@query("""SELECT p_partkey, list_sum(list_transform(range(0, 8), lambda i: ((p_size >> i) & 1) * (1::BIGINT << (2 * i)) + (((p_partkey % 256) >> i) & 1) * (1::BIGINT << (2 * i + 1))))::BIGINT AS code FROM part""")
+def morton_codes(spark, d):
+    return table(spark, d, "part").select("p_partkey", M.morton(F.col("p_size"), F.col("p_partkey") % 256, 8).alias("code"))
+
+
+@query("""SELECT o_orderkey, format('{:,}', round(o_totalprice)::BIGINT) AS whole, regexp_replace(regexp_replace(format('{:.3f}', round(o_totalprice % 7, 3)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS plain,
+  printf('%d:%02d', m // 60, m % 60) AS hours, CASE WHEN o_orderpriority LIKE '%-%' THEN 'seg:' || lower(o_orderpriority) END AS key
+FROM (SELECT *, (o_orderkey % 3000)::BIGINT AS m FROM orders)""".replace("\\\\", "\\"))
+def text_formats(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", X.quantity(F.round("o_totalprice", 0), 0).alias("whole"), X.plain(F.col("o_totalprice") % 7, 3).alias("plain"), X.hours(F.col("o_orderkey") % 3000 / 60.0).alias("hours"), X.namespaced("seg", F.col("o_orderpriority")).alias("key"))
+
+
+@query("""SELECT * FROM (VALUES (0, '$0.00'), (1, '$950'), (2, '-$12.5K'), (3, '$1.34B'), (4, '$250K'), (5, '$3.20M')) AS t(i, text)""")
+def money_texts(spark, d):
+    rows = spark.createDataFrame(list(enumerate([0.0, 950.0, -12_500.0, 1.341e9, 250_000.0, 3_200_000.0])), "i int, v double")
+    return rows.select("i", X.money(F.col("v")).alias("text"))
+
+
+@query("""SELECT * FROM (VALUES (0, '1.00', 'dhid'), (1, '0.75', 'fromm'), (2, '0.375', 'goldppm'), (3, '1.25', 'x')) AS t(i, factor, header)""")
+def factor_and_header_texts(spark, d):
+    rows = spark.createDataFrame([(0, 1.0, " DHID "), (1, 0.75, "From (m)"), (2, 0.375, "Gold_PPM"), (3, 1.25, "X")], "i int, f double, h string")
+    return rows.select("i", X.factor(F.col("f")).alias("factor"), X.header_key(F.col("h")).alias("header"))
+
+
+@query("SELECT * FROM (VALUES (0, 'plain'), (1, '\"a,b\"'), (2, '\"say \"\"x\"\"\"'), (3, NULL)) AS t(i, cell)")
+def csv_cells(spark, d):
+    rows = spark.createDataFrame([(0, "plain"), (1, "a,b"), (2, 'say "x"'), (3, None)], "i int, v string")
+    return rows.select("i", X.csv_cell(F.col("v")).alias("cell"))
+
+
+@query("""SELECT o_orderkey, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey % 5000)::BIGINT) AS at, (o_orderkey % 5000 / 1440)::BIGINT AS unused FROM orders""".replace(", (o_orderkey % 5000 / 1440)::BIGINT AS unused", ""))
+def date_time_at_hours(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", D.date_time_at(F.lit("2024-01-01").cast("date"), F.col("o_orderkey") % 5000 / 60.0).alias("at"))
+
+
+_TIMES = ["12.5", "day 2", "D3 06:30", "Day 1 24:00", "day 0 01:00", "2 25:00", "2/1/2024 12:00", "2024-01-03", "31/12/2023", "soon", ""]
+
+
+@query("""SELECT * FROM (VALUES (0, 12.5::DOUBLE), (1, 24), (2, 54.5), (3, 24), (4, NULL), (5, NULL), (6, 36), (7, 48), (8, NULL), (9, NULL), (10, NULL)) AS t(i, hours)""")
+def parsed_times(spark, d):
+    rows = spark.createDataFrame(list(enumerate(_TIMES)), "i int, t string")
+    return rows.select("i", D.parse_time(F.col("t"), F.lit("2024-01-01").cast("date")).alias("hours"))
+
+
+@query("""SELECT i AS period, CASE WHEN 100.5 - i * 24 > 0 THEN least(24, 100.5 - i * 24) END::DOUBLE AS hours, 5::BIGINT AS covered FROM range(7) t(i)""")
+def coverage(spark, d):
+    return spark.range(7).select(F.col("id").alias("period"), D.covered_hours(F.col("id"), F.lit(100.5)).alias("hours"), D.covered_periods(F.lit(100.5)).alias("covered"))
+
+
+@query("""SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY length(p_name), p_partkey) AS n FROM part WHERE contains(lower(p_name), 'ed') AND contains(lower(p_name), 't')) WHERE n <= 20""")
+def registry_search(spark, d):
+    return table(spark, d, "part").where(X.matches_terms(F.col("p_name"), "ED t")).orderBy(F.length("p_name"), "p_partkey").limit(20).select("p_partkey", "p_name")
+
+
+@query("""SELECT p_partkey, round(pi() * (p_size / 100.0::DOUBLE / 2) ** 2 * greatest(p_partkey % 12 - 3, 0) * 1.15::DOUBLE, 6) AS mass, CASE WHEN p_size % 2 = 0 THEN p_size / 24.0::DOUBLE ELSE p_size END::DOUBLE AS rate FROM part""")
+def charge_and_rates(spark, d):
+    p = table(spark, d, "part")
+    mass = M.hole_charge(F.col("p_size") / 100.0, (F.col("p_partkey") % 12).cast("double"), F.lit(3.0), F.lit(1.15))
+    return p.select("p_partkey", F.round(mass, 6).alias("mass"), M.hourly(F.col("p_size").cast("double"), F.col("p_size") % 2 == 0).alias("rate"))
+
+
+@query("""SELECT event_id, (props ->> '$.k')::INT AS k FROM events WHERE event_id < 500""")
+def json_properties(spark, d):
+    return table(spark, d, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size % 7)), ',') AS sizes FROM part GROUP BY p_brand""")
+def column_sets(spark, d):
+    s = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_size") % 7)).alias("s"))
+    return s.select("p_brand", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
+@query("""SELECT * FROM (VALUES (0, '0.5,1.0,1.25'), (1, '1.0'), (2, '')) AS t(i, factors)""")
+def factor_lists(spark, d):
+    rows = spark.createDataFrame([(0, "1, 0.5 1.25,1.0"), (1, "1;1.0001"), (2, "x")], "i int, t string")
+    parsed = F.filter(F.transform(F.split("t", r"[,;\s]+"), lambda x: F.round(x.try_cast("double"), 3)), lambda x: x.isNotNull() & (x > 0))
+    return rows.select("i", F.array_join(F.transform(F.array_sort(F.array_distinct(parsed)), lambda x: x.cast("string")), ",").alias("factors"))
