@@ -14,7 +14,7 @@ from .tokens import shingle_set, words
 #: Shingles in at least so many documents form the later classes of the global order.
 LEVELS = (2, 8, 64)
 #: Lists up to this length are searched pair by pair at once.
-SHORT = 8
+SHORT = 4
 #: Partners of one query that are searched together.
 GROUP = 256
 
@@ -88,7 +88,9 @@ def _fresh(column, k: int, seen: set):
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, prefix): prefix has the shared ones among the first n - T + 1 shingles in the global order.
+    """(doc_id, node, n, skip, prefix): prefix has the shared ones among the first n - T + 1 shingles in the global order.
+
+    skip counts those before them, which no other document has.
 
     Any set that links has T = ceil(percent * n / 100) of the n shingles, so it has one of those.
     """
@@ -104,22 +106,23 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            node, n, prefix = [], [], []
+            node, n, skip, prefix = [], [], [], []
             for s in _sets(b.column(1), k):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 head = len(s) - -(-percent * len(s) // 100) + 1
                 level = shared(s)
                 often = np.flatnonzero(level)
-                head -= len(s) - len(often)
+                skip.append(len(s) - len(often))
+                head -= skip[-1]
                 if len(s) and head > 0:
                     order = np.lexsort((s[often], level[often]))[:head]
                     prefix.append(s[often[order]].view(np.int64))
                 else:
                     prefix.append(np.zeros(0, np.int64))
-            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(skip, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "node", "n", "skip", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, skip long, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFrame:
@@ -163,20 +166,59 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return b_rows.unionByName(a_rows).groupBy("a", "part").applyInArrow(search, "u long, v long")
 
 
-def _links(posts: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
-    """Verified links (u, v) that connect all that links; posts(token, node, n, c): c is the length of the list."""
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+def _some_labels(links: DataFrame, steps: int = 3) -> DataFrame:
+    """(node, found): found is a node of the same component, mostly its least one.
+
+    Two nodes with one label are connected; nodes of one component may still have two, which costs pairs
+    but no link. Each step takes the least label of the neighbours, then that label's own label.
+    """
+    ends = staged(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "jaccard-ends")
+    found = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("found")).withColumnRenamed("u", "node")
+    for _ in range(steps):
+        near = ends.join(found.select(F.col("node").alias("v"), "found"), "v").groupBy("u").agg(F.min("found").alias("near"))
+        best = staged(found.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("found", "near").alias("found")), "jaccard-labels")
+        far = best.select(F.col("node").alias("found"), F.col("found").alias("far"))
+        found = best.join(far, "found", "left").select("node", F.least("found", F.coalesce("far", "found")).alias("found"))
+    return found
+
+
+def _links(posts: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """Verified links (u, v) that connect all that links.
+
+    posts(token, node, n, left, c): left counts the node's shingles from this one on in the global order,
+    c the nodes of the list. At the first shingle that two sets share, both have at least T left, with T the
+    overlap that they need; so a meeting at which either has fewer is left out, which rules out most pairs
+    of a group whose texts differ too much.
+    """
+    t = F.lit(100 + percent)
+    able = (t * F.least("left", "other_left") >= percent * (F.col("n") + F.col("m")))
 
     def crossed(lists: DataFrame) -> DataFrame:
-        other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        return lists.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & near).select("a", "b")
+        other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"))
+        return lists.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & able).select("a", "b")
+
+    def screened(lists: DataFrame) -> DataFrame:
+        """As crossed, but each pair once, at the first shingle of both prefixes, and only if the prefixes share enough.
+
+        Beyond its prefix a set has T0 - 1 shingles, T0 = ceil(percent * n / 100), so that a pair which needs T
+        shares T - T0 + 1 within the prefixes at least, for the larger of its two T0.
+        """
+        with_prefix = lists.join(prefixes, "node")
+        other = with_prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"), F.col("prefix").alias("other_prefix"))
+        before = lambda x: F.slice(x, 1, F.array_position(x, F.col("token")).cast("int") - 1)
+        first = ~F.arrays_overlap(before(F.col("prefix")), before(F.col("other_prefix")))
+        least = F.ceil(percent * (F.col("n") + F.col("m")) / t) - F.ceil(percent * F.greatest("n", "m") / F.lit(100)) + 1
+        enough = F.size(F.array_intersect("prefix", "other_prefix")) >= least
+        j = with_prefix.withColumnRenamed("node", "a").join(other, "token")
+        return j.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & able & first & enough).select("a", "b")
 
     def starred(lists: DataFrame, turn: int) -> DataFrame:
-        first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("s"))
-        pairs = lists.withColumnRenamed("node", "b").join(first.select("token", "s.a", "s.m", "s.other"), "token").where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & near)
-        return pairs.select("a", "b")
+        first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"))).alias("s"))
+        pairs = lists.withColumnRenamed("node", "b").join(first.select("token", "s.a", "s.m", "s.other_left", "s.other"), "token")
+        return pairs.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & able).select("a", "b")
 
-    lists = posts.select("token", "node", "n", "c", F.col("node").alias("label"))
+    # a meeting needs left >= T of itself with the smallest partner there can be
+    lists = posts.where(F.col("left") * 100 >= F.col("n") * percent).select("token", "node", "n", "left", "c", F.col("node").alias("label"))
     long = lists.where(F.col("c") > SHORT)
     pairs = crossed(lists.where(F.col("c") <= SHORT)).unionByName(starred(long, 0)).distinct()
     tried, links = None, None
@@ -191,10 +233,8 @@ def _links(posts: DataFrame, sets: DataFrame, percent: int, star_rounds: int) ->
         links = new if links is None else links.unionByName(new)
         if turn >= star_rounds:
             break
-        # nodes with one least neighbour are connected through it; that suffices to leave pairs out
-        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        found = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("found")).withColumnRenamed("u", "node")
-        long = long.drop("label").join(found, "node", "left").select("token", "node", "n", F.coalesce("found", "node").alias("label"))
+        found = staged(_some_labels(links), "jaccard-found")
+        long = long.drop("label", "c").join(found, "node", "left").select("token", "node", "n", "left", F.coalesce("found", "node").alias("label"))
         mixed = long.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
         mixed = staged(mixed, "jaccard-mixed")
         cross, size = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
@@ -202,12 +242,12 @@ def _links(posts: DataFrame, sets: DataFrame, percent: int, star_rounds: int) ->
             break
         long = staged(long.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
         last = turn == star_rounds - 1 or cross <= 4 * size
-        pairs = (crossed(long) if last else starred(long, turn + 1)).distinct()
+        pairs = (screened(long) if last else starred(long, turn + 1)).distinct()
         turn = star_rounds if last else turn + 1
     return links
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """Connected components of documents whose sets of k-word shingles have Jaccard similarity >= percent / 100.
 
     docs needs doc_id and text; other columns are ignored. Words are runs of anything but space and \\t to
@@ -228,8 +268,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = staged(_prefixes(docs, k, percent), "jaccard-nodes")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = nodes.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "node", "n", "first")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix"))
+    posts = nodes.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "token"), "node", "n", "skip", "first")
+    posts = posts.select("token", "node", "n", "first", (F.col("n") - F.col("skip") - F.col("at")).alias("left"))
     posts = staged(posts, "jaccard-posts")
     listed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = staged(posts.join(listed, "token"), "jaccard-lists")
@@ -237,8 +278,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     n_searched = searched.count()
     labels = None
     if n_searched:
+        prefixes = nodes.where(F.size("prefix") > 0).select("node", "prefix")
         sets = staged(_sets_of(docs, searched, n_searched, k), "jaccard-sets")
-        labels = staged(components(_links(posts, sets, percent, star_rounds)), "jaccard-labels")
+        labels = staged(components(_links(posts, prefixes, sets, percent, star_rounds)), "jaccard-labels")
     named = nodes.select("node", "first")
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
