@@ -15,12 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/strataframe-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share; one of the operators' own only where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strataframe-shared").rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -32,8 +28,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that Python workers hold a few MB of text at a time."""
+    """Arrow batches of few rows and bytes, so that Python workers hold a few MB of text at a time, or one long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
