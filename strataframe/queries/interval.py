@@ -13,10 +13,10 @@ from .registry import query, table
 OFF = 0.00123456789
 
 
-def spans(spark, d):
-    """Hours from 1992-01-01: start by date, 1 to 72 hours long; loader is o_custkey % 5."""
+def spans(spark, d, loader="o_custkey % 5"):
+    """Hours from 1992-01-01: start by date, 1 to 72 hours long; loader is o_custkey % 5 unless another is given."""
     start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 24.0 + F.col("o_orderkey") % 24
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("loader"), (F.col("o_custkey") % 7).alias("dest"), start.alias("start"), (start + F.col("o_orderkey") % 72 + 1).alias("end"), F.col("o_totalprice").alias("tonnes"), "o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", F.expr(loader).alias("loader"), (F.col("o_custkey") % 7).alias("dest"), start.alias("start"), (start + F.col("o_orderkey") % 72 + 1).alias("end"), F.col("o_totalprice").alias("tonnes"), "o_orderpriority")
 
 
 _SP = """s AS (SELECT o_orderkey, o_custkey % 5 AS loader, o_custkey % 7 AS dest, o_orderpriority, o_totalprice AS tonnes,
@@ -92,7 +92,10 @@ def busy_union_hours(spark, d):
 d AS (SELECT loader, sum(b - a) FILTER (o_orderpriority = '1-URGENT') AS urgent, sum(b - a) FILTER (o_orderpriority = '5-LOW') AS low FROM m GROUP BY loader)
 SELECT loader, round(urgent, 4) AS urgent, round(low, 4) AS low, round(busy, 4) AS busy, CASE WHEN 60000 - busy > 1e-6 THEN round(60000 - busy, 4) ELSE 0 END AS no_work FROM t JOIN d USING (loader)""")
 def loader_time_accounting(spark, d):
-    s = sparse(spark, d)
+    return time_accounting(sparse(spark, d))
+
+
+def time_accounting(s):
     length = F.col("end") - F.col("start")
     by = s.groupBy("loader").agg(*[F.round(F.sum(F.when(F.col("o_orderpriority") == p, length)), 4).alias(n) for n, p in (("urgent", "1-URGENT"), ("low", "5-LOW"))])
     busy = I.covered(s, ["loader"])
@@ -100,6 +103,41 @@ def loader_time_accounting(spark, d):
     return by.join(busy, "loader").select("loader", "urgent", "low", F.round("hours", 4).alias("busy"), F.when(left > 1e-6, F.round(left, 4)).otherwise(F.lit(0.0)).alias("no_work"))
 
 
+_WHOLE = """s AS (SELECT o_custkey AS loader, o_orderpriority,
+  date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24.0::DOUBLE + o_orderkey % 24 AS a,
+  date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24.0::DOUBLE + o_orderkey % 24 + o_orderkey % 72 + 1 AS b FROM orders),
+m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY loader ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT *, sum(new) OVER (PARTITION BY loader ORDER BY a, b) AS run FROM m),
+i AS (SELECT loader, min(a) AS s, max(b) AS e, count(*) AS n FROM r GROUP BY loader, run)"""
+
+
+def whole(spark, d):
+    """Every order's span, with one loader a customer: fine enough to leave gaps, so no order is left out."""
+    return spans(spark, d, "o_custkey")
+
+
+@query(f"WITH {_WHOLE} SELECT loader, s AS start, e AS \"end\", n FROM i")
+def coalesce_spans_whole(spark, d):
+    return I.coalesce_spans(whole(spark, d), ["loader"])
+
+
+@query(f"WITH {_WHOLE} SELECT * FROM (SELECT loader, lag(e) OVER (PARTITION BY loader ORDER BY s) AS start, s AS \"end\" FROM i) WHERE start IS NOT NULL AND \"end\" - start > 1e-6")
+def idle_gaps_whole(spark, d):
+    return I.gaps(whole(spark, d), ["loader"])
+
+
+@query(f"WITH {_WHOLE} SELECT loader, round(sum(e - s), 4) AS hours FROM i GROUP BY loader")
+def busy_union_hours_whole(spark, d):
+    return I.covered(whole(spark, d), ["loader"]).select("loader", F.round("hours", 4).alias("hours"))
+
+
+@query(f"""WITH {_WHOLE}, t AS (SELECT loader, sum(e - s) AS busy FROM i GROUP BY loader),
+d AS (SELECT loader, sum(b - a) FILTER (o_orderpriority = '1-URGENT') AS urgent, sum(b - a) FILTER (o_orderpriority = '5-LOW') AS low FROM m GROUP BY loader)
+SELECT loader, round(urgent, 4) AS urgent, round(low, 4) AS low, round(busy, 4) AS busy, CASE WHEN 60000 - busy > 1e-6 THEN round(60000 - busy, 4) ELSE 0 END AS no_work FROM t JOIN d USING (loader)""")
+def loader_time_accounting_whole(spark, d):
+    return time_accounting(whole(spark, d))
+
+
 _EV = "e AS (SELECT user_id, event_id, epoch_us(ts) AS us, value, event_type FROM events)"
 
 
