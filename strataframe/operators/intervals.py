@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,14 +97,51 @@ def rate_knots(spans: DataFrame, keys: list[str], rate: Column) -> DataFrame:
     return sums.withColumn("rate", F.round(F.sum("d").over(w), 9)).drop("d")
 
 
-def elementary_winner(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, start, end, winner): between neighbouring bounds the shortest covering span wins, ties by `order`; equal neighbours merge."""
-    bounds = df.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
-    w = Window.partitionBy(*keys).orderBy("at")
-    cells = bounds.withColumn("to", F.lead("at").over(w)).where("to IS NOT NULL")
-    spans = df.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.col(order).alias("o"))
-    hit = cells.join(spans, keys).where("s <= at AND e >= to")
-    best = hit.groupBy(*keys, "at", "to").agg(F.min_by("o", F.struct(F.col("e") - F.col("s"), F.col("o"))).alias("winner"))
+def _sweep(spans: list[tuple]) -> list[tuple]:
+    """(start, end, winner) of (start, end, rank, winner): the least rank of those that cover each stretch, by a heap along the starts."""
+    spans = sorted(spans, key=lambda x: x[0])
+    cuts = sorted({t for s in spans for t in s[:2]})
+    heap, out, k = [], [], 0
+    for at, to in zip(cuts, cuts[1:]):
+        while k < len(spans) and spans[k][0] <= at:
+            heapq.heappush(heap, (spans[k][2], k))
+            k += 1
+        while heap and spans[heap[0][1]][1] <= at:
+            heapq.heappop(heap)
+        if heap:
+            winner = spans[heap[0][1]][3]
+            if out and out[-1][1] == at and out[-1][2] == winner:
+                out[-1] = (out[-1][0], to, winner)
+            else:
+                out.append((at, to, winner))
+    return out
+
+
+def elementary_winner(df: DataFrame, keys: list[str], order: str, width: float = 1024.0) -> DataFrame:
+    """(keys, start, end, winner): between neighbouring bounds the shortest covering span wins, ties by `order`; equal neighbours merge.
+
+    Spans are dealt into buckets of `width` and cut there; each bucket of a key is one ordered sweep, whose
+    cost is n log n however many spans overlap. What meets at a bucket's edge merges afterwards.
+    """
+    first = F.floor(F.col("start") / width).cast("long")
+    last = F.greatest(first, F.ceil(F.col("end") / width).cast("long") - 1)
+    spans = df.where("start < end").dropna(subset=keys).select(*keys, F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), F.col(order).alias("winner"), F.explode(F.sequence(first, last)).alias("__b"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.select(*keys).schema) + f", `at` double, `to` double, winner {spans.schema['winner'].dataType.simpleString()}"
+    types = {f.name: f.dataType for f in spans.schema}
+
+    def run(key, t):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        lo = key[-1].as_py() * width
+        rows = zip(*(t.column(c).to_pylist() for c in ("s", "e", "winner")))
+        # a null order comes first, as in Spark
+        found = _sweep([(max(s, lo), min(e, lo + width), (e - s, o is not None, o), o) for s, e, o in rows])
+        at, to, winner = zip(*found) if found else ((), (), ())
+        named = [pa.array([k.as_py()] * len(at), to_arrow_type(types[n])) for k, n in zip(key, keys)]
+        return pa.table([*named, pa.array(at, pa.float64()), pa.array(to, pa.float64()), pa.array(winner, to_arrow_type(types["winner"]))], [*keys, "at", "to", "winner"])
+
+    best = spans.groupBy(*keys, "__b").applyInArrow(run, schema)
     w = Window.partitionBy(*keys).orderBy("at")
     new = F.when((F.lag("winner").over(w) == F.col("winner")) & (F.lag("to").over(w) == F.col("at")), 0).otherwise(1)
     return best.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w)).groupBy(*keys, "__run").agg(F.min("at").alias("start"), F.max("to").alias("end"), F.first("winner").alias("winner")).drop("__run")
@@ -118,11 +157,12 @@ def split_at(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     return j.withColumn("start", F.element_at("__edges", F.col("__i"))).withColumn("end", F.element_at("__edges", F.col("__i") + 1)).drop("__cuts", "__edges", "__i")
 
 
-def build_intervals(points: DataFrame, at: str = "at", tolerance: float = 1e-9) -> DataFrame:
-    """(start, end) between neighbouring distinct points; points within tolerance of the one before are it."""
-    w = Window.orderBy(at)
-    kept = points.select(at).distinct().withColumn("__was", F.lag(at).over(w)).where(F.col("__was").isNull() | (F.col(at) - F.col("__was") > tolerance))
-    return kept.select(F.col(at).alias("start"), F.lead(at).over(Window.orderBy(at)).alias("end")).where("end IS NOT NULL")
+def build_intervals(points: DataFrame, at: str = "at", tolerance: float = 1e-9, keys: list[str] | None = None) -> DataFrame:
+    """(keys, start, end) between neighbouring distinct points of a key; points within tolerance of the one before are it."""
+    keys = keys or []
+    w = Window.partitionBy(*keys).orderBy(at)
+    kept = points.select(*keys, at).distinct().withColumn("__was", F.lag(at).over(w)).where(F.col("__was").isNull() | (F.col(at) - F.col("__was") > tolerance))
+    return kept.select(*keys, F.col(at).alias("start"), F.lead(at).over(w).alias("end")).where("end IS NOT NULL")
 
 
 def occurrences(rules: DataFrame, horizon: float) -> DataFrame:

@@ -220,6 +220,17 @@ def build_intervals(spark, d):
     return I.build_intervals(s.select(F.explode(F.array("start", "end")).alias("at")))
 
 
+@query()
+def elementary_sweep_winner_whole(spark, d):
+    return I.elementary_winner(spans(spark, d), ["loader"], "o_orderkey")
+
+
+@query(f"""WITH {_SP}, k AS (SELECT loader, a AS tm FROM s UNION SELECT loader, b FROM s)
+SELECT * FROM (SELECT loader, tm AS start, lead(tm) OVER (PARTITION BY loader ORDER BY tm) AS "end" FROM k) WHERE "end" IS NOT NULL""")
+def build_intervals_whole(spark, d):
+    return I.build_intervals(spans(spark, d).select("loader", F.explode(F.array("start", "end")).alias("at")), keys=["loader"])
+
+
 @query("""WITH r(name, start, length, every, until) AS (VALUES ('shift', 8.0, 2.5, 24.0, 100.0), ('blast', 30.0, 1.0, NULL, NULL), ('service', 5.0, 300.0, 168.0, NULL), ('late', 900.0, 1.0, 24.0, NULL))
 SELECT name, start + k * coalesce(every, 0) AS start, least(start + k * coalesce(every, 0) + length, 240.0)::DOUBLE AS "end"
 FROM (SELECT *, unnest(range(0, CASE WHEN coalesce(every, 0) > 0 THEN greatest(0, ceil((least(coalesce(until, 240), 240) - start) / every) - 1) ELSE 0 END::BIGINT + 1)) AS k FROM r WHERE start < least(coalesce(until, 240), 240))""")

@@ -2,8 +2,10 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from strataframe.operators import intervals
 from strataframe.queries import QUERIES, interval
 
 from .conftest import SF
@@ -41,3 +43,43 @@ def test_no_order_is_left_out_of_the_spans(spark, orders):
     for p, column in priority.items():
         want = sum(r["o_orderkey"] % 72 + 1 for r in orders if r["o_orderpriority"] == p)
         assert sum(r[column] or 0 for r in account) == want
+
+
+def winners(spans):
+    """(key, start, end, winner) by trying every span on every cell."""
+    out = []
+    for k in sorted({s[0] for s in spans}):
+        mine = [s[1:] for s in spans if s[0] == k]
+        cuts = sorted({t for s in mine for t in s[:2]})
+        for at, to in zip(cuts, cuts[1:]):
+            over = [(e - s, o) for s, e, o in mine if s <= at and e >= to]
+            if over:
+                o = min(over)[1]
+                if out and out[-1][0] == k and out[-1][2] == at and out[-1][3] == o:
+                    out[-1] = (k, out[-1][1], to, o)
+                else:
+                    out.append((k, at, to, o))
+    return out
+
+
+def test_the_sweep_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(s), float(s + n), i) for i, (k, s, n) in enumerate(zip(rng.integers(0, 3, 150), rng.integers(-40, 40, 150), rng.integers(0, 30, 150)))]
+    df = spark.createDataFrame(rows, "k int, start double, end double, o long")
+    want = winners(rows)
+    for width in (7.0, 16.0, 1024.0):
+        got = intervals.elementary_winner(df, ["k"], "o", width)
+        assert sorted((r["k"], r["start"], r["end"], r["winner"]) for r in got.collect()) == want
+
+
+def test_every_order_competes_and_every_loader_has_intervals(spark, orders):
+    rows = [(r["loader"], r["start"], r["end"], r["o_orderkey"]) for r in interval.spans(spark, SF).collect()]
+    assert len(rows) == len(orders)
+    got = QUERIES["elementary_sweep_winner_whole"](spark, SF).collect()
+    assert sorted((r["loader"], r["start"], r["end"], r["winner"]) for r in got) == winners(rows)
+    cells = QUERIES["build_intervals_whole"](spark, SF).collect()
+    want = []
+    for k in sorted({x[0] for x in rows}):
+        cuts = sorted({t for x in rows if x[0] == k for t in x[1:3]})
+        want += [(k, *c) for c in zip(cuts, cuts[1:])]
+    assert sorted((r["loader"], r["start"], r["end"]) for r in cells) == want
