@@ -38,6 +38,17 @@ def tie_flow(spark, d):
     return G.tie_flow(t, times.where("cost <= 200")).where("flow != 'dead'").select("a", "b", "flow")
 
 
+@query()
+def firing_times_whole(spark, d):
+    return firing(spark, d)[1]
+
+
+@query()
+def tie_flow_whole(spark, d):
+    t, times = firing(spark, d)
+    return G.tie_flow(t, times)
+
+
 @query(f"WITH RECURSIVE {_T}, r AS (SELECT 2::BIGINT AS node UNION SELECT t.b FROM r JOIN t ON t.a = r.node) SELECT node FROM r")
 def reachability(spark, d):
     edges = ties(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))

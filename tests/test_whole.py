@@ -1,12 +1,13 @@
 """Queries over whole tables: every row counts, and results are those of plain Python."""
 
+import heapq
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from strataframe.operators import intervals
-from strataframe.queries import QUERIES, interval
+from strataframe.queries import QUERIES, graphs, interval
 
 from .conftest import SF
 
@@ -83,3 +84,24 @@ def test_every_order_competes_and_every_loader_has_intervals(spark, orders):
         cuts = sorted({t for x in rows if x[0] == k for t in x[1:3]})
         want += [(k, *c) for c in zip(cuts, cuts[1:])]
     assert sorted((r["loader"], r["start"], r["end"]) for r in cells) == want
+
+
+def test_far_holes_fire_and_their_ties_flow(spark, tmp_path):
+    spark.range(1, 301).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    ties = [(r["a"], r["b"], r["ms"]) for r in graphs.ties(spark, str(tmp_path)).collect()]
+    near = defaultdict(list)
+    for a, b, ms in ties:
+        near[a].append((b, ms))
+        near[b].append((a, ms))
+    cost, heap = {}, [(0, 1)]
+    while heap:
+        c, a = heapq.heappop(heap)
+        if a not in cost:
+            cost[a] = c
+            for b, ms in near[a]:
+                heapq.heappush(heap, (c + ms, b))
+    assert max(cost.values()) > 260
+    assert {r["node"]: r["cost"] for r in QUERIES["firing_times_whole"](spark, str(tmp_path)).collect()} == cost
+    flow = {(r["a"], r["b"]): r["flow"] for r in QUERIES["tie_flow_whole"](spark, str(tmp_path)).collect()}
+    side = lambda a, b: "dead" if a not in cost or b not in cost else "forward" if cost[a] < cost[b] else "backward" if cost[a] > cost[b] else "together"
+    assert flow == {(a, b): side(a, b) for a, b, _ in ties}
