@@ -138,9 +138,10 @@ def block_of_cell(spark, d):
 
 @query()
 def nested_shells(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 150")
-    grid = spark.range(2).withColumnRenamed("id", "scenario").crossJoin(p.select(F.col("p_partkey").alias("block"), "p_size").where("block < 100"))
-    grid = grid.select("scenario", "block", (F.col("p_size") * (F.col("scenario") + 2)).cast("long").alias("revenue"), (F.col("block") % 7 * 12 + 20).cast("long").alias("cost"))
+    # pits of 100 parts, each at two prices: scenario is 2 * pit + price
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("pit"), (F.col("p_partkey") % 100).alias("block"), "p_size")
+    grid = spark.range(2).withColumnRenamed("id", "price").crossJoin(p)
+    grid = grid.select((F.col("pit") * 2 + F.col("price")).alias("scenario"), "block", (F.col("p_size") * (F.col("price") + 2)).cast("long").alias("revenue"), (F.col("block") % 7 * 12 + 20).cast("long").alias("cost"))
     return solve_many(grid, (5, 5, 4), [0.6, 0.8, 1.0])
 
 

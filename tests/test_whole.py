@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from strataframe.operators import intervals
+from strataframe.plans import closure
 from strataframe.queries import QUERIES, graphs, interval
 
 from .conftest import SF
@@ -105,3 +106,16 @@ def test_far_holes_fire_and_their_ties_flow(spark, tmp_path):
     flow = {(r["a"], r["b"]): r["flow"] for r in QUERIES["tie_flow_whole"](spark, str(tmp_path)).collect()}
     side = lambda a, b: "dead" if a not in cost or b not in cost else "forward" if cost[a] < cost[b] else "backward" if cost[a] > cost[b] else "together"
     assert flow == {(a, b): side(a, b) for a, b, _ in ties}
+
+
+def test_every_part_is_a_block_of_a_pit(spark, tmp_path):
+    parts = [(i, (i * 7919) % 50 + 1) for i in range(1, 351)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want = set()
+    for scenario in range(8):
+        mine = {i % 100: n for i, n in parts if i // 100 == scenario // 2}
+        shells = closure.nested_shells({b: n * (scenario % 2 + 2) for b, n in mine.items()}, {b: b % 7 * 12 + 20 for b in mine}, closure.pattern((5, 5, 4)), [0.6, 0.8, 1.0])
+        assert shells
+        want |= {(scenario, b, s) for b, s in shells.items()}
+    got = QUERIES["nested_shells"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["scenario"], r["block"], r["shell"]) for r in got} == want
