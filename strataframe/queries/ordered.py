@@ -79,6 +79,14 @@ def envelope_buckets(spark, d):
     return full.join(real, ["event_type", "bucket"], "left_semi")
 
 
+@query()
+def envelope_buckets_whole(spark, d):
+    e = events(spark, d)
+    first = e.agg(F.min("us").alias("u0"))
+    z = e.crossJoin(F.broadcast(first)).select("event_type", (F.col("us") - F.col("u0")).cast("double").alias("x"), "value")
+    return S.envelope(z, ["event_type"], "x", "value", 0.0, 2592000000000.0, 100)
+
+
 @query(f"""WITH {_EV}, z AS (SELECT event_type, floor((us - (SELECT min(us) FROM e)) / 3600000000.0)::BIGINT AS slot, value FROM e),
 l AS (SELECT *, unnest(range(0, 5)) AS level FROM z)
 SELECT event_type, level, floor(slot / 2 ** level)::BIGINT AS cell, min(value) AS lo, max(value) AS hi FROM l GROUP BY event_type, level, cell""")

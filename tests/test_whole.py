@@ -119,3 +119,18 @@ def test_every_part_is_a_block_of_a_pit(spark, tmp_path):
         want |= {(scenario, b, s) for b, s in shells.items()}
     got = QUERIES["nested_shells"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["scenario"], r["block"], r["shell"]) for r in got} == want
+
+
+def test_empty_buckets_are_filled_from_every_user(spark, tmp_path):
+    rows = [(i, t, u, k, v) for i, (t, u, k, v) in enumerate([(0, 1, "a", 1.0), (40_000, 900, "a", 5.0), (41_000, 25, "a", -3.0), (2_000_000, 77, "a", 2.0), (500_000, 500, "b", 8.0)])]
+    spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["event_type"], r["bucket"]): (r["lo"], r["hi"]) for r in QUERIES["envelope_buckets_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k in "ab":
+        mine = [(t, v) for _, t, _, x, v in rows if x == k]
+        for b in range(100):
+            inside = [v for t, v in mine if t // 25920 == b]
+            middle = (b + 0.5) * 25920
+            near = min(mine, key=lambda x: (abs(x[0] - middle), x[0]))[1]
+            want[k, b] = (min(inside), max(inside)) if inside else (near, near)
+    assert got == want
