@@ -17,6 +17,24 @@ def code_runs(df: DataFrame, keys: list[str], order: list[str], code: str, codes
     return runs.withColumn("runs", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
+def ranked(df: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+    """Adds `place`, the 1-based row number along `order`: numbered within ranges of its first column, plus what earlier ranges hold.
+
+    The ranges are cut at the values of a few rows; the cuts decide how even the ranges are, never a place.
+    """
+    first = F.col(order[0])
+    cuts = sorted({r[0] for r in df.where(first.isNotNull()).orderBy(F.xxhash64(*order), *order).limit(ranges - 1).select(first).collect()})
+    held = F.array(*[F.lit(c) for c in cuts]) if cuts else None
+    # nulls come first
+    at = F.coalesce(F.size(F.filter(held, lambda c: c <= first)), F.lit(0)) if cuts else F.lit(0)
+    # dealt anew, so that a computed column isn't computed again for each cut
+    dealt = df.repartition(*order).withColumn("__r", F.when(first.isNull(), -1).otherwise(at))
+    sizes = dealt.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = dealt.join(F.broadcast(sizes.select("__r", before.alias("__before"))), "__r")
+    return j.withColumn("place", F.row_number().over(Window.partitionBy("__r").orderBy(*order)) + F.col("__before")).drop("__r", "__before")
+
+
 def settle(df: DataFrame, keys: list[str], depth: str, value: str, order: str) -> DataFrame:
     """One reading at each depth: the one that was read first."""
     return df.groupBy(*keys, depth).agg(F.min_by(value, order).alias(value))

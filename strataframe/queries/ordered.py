@@ -138,6 +138,12 @@ def natural_sort(spark, d):
     return parts.select("p_partkey", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long").alias("place"))
 
 
+@query(rf"SELECT p_partkey, row_number() OVER (ORDER BY {_NK}, p_partkey) AS place FROM part")
+def natural_sort_whole(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", natural_key(F.concat_ws("-", "p_name", "p_size")).alias("k"))
+    return S.ranked(parts, ["k", "p_partkey"]).select("p_partkey", "place")
+
+
 @query("""SELECT c_mktsegment, c_custkey, c_acctbal, n::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 5""")
 def topk_per_group(spark, d):
     w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")

@@ -100,6 +100,11 @@ def json_properties(spark, d):
     return table(spark, d, "events").where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query("""SELECT event_id, (props ->> '$.k')::INT AS k FROM events""")
+def json_properties_whole(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
 @query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size % 7)), ',') AS sizes FROM part GROUP BY p_brand""")
 def column_sets(spark, d):
     s = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_size") % 7)).alias("s"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strataframe.operators import intervals
+from strataframe.operators import intervals, series
 from strataframe.plans import closure
 from strataframe.queries import QUERIES, graphs, interval
 
@@ -134,3 +134,19 @@ def test_empty_buckets_are_filled_from_every_user(spark, tmp_path):
             near = min(mine, key=lambda x: (abs(x[0] - middle), x[0]))[1]
             want[k, b] = (min(inside), max(inside)) if inside else (near, near)
     assert got == want
+
+
+def test_ranks_by_ranges_are_one_order(spark):
+    rows = [(None if i % 17 == 0 else f"k{i * 7919 % 41}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long").repartition(5)
+    want = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])), 1)}
+    for ranges in (1, 2, 64):
+        assert {r["i"]: r["place"] for r in series.ranked(df, ["k", "i"], ranges).collect()} == want
+
+
+def test_no_part_or_event_is_left_out(spark, tmp_path):
+    spark.createDataFrame([(i, f"rock {i % 13}", i % 29) for i in range(1, 1201)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    places = [r["place"] for r in QUERIES["natural_sort_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(places) == list(range(1, 1201))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert QUERIES["json_properties_whole"](spark, SF).count() == events.count() > 500
