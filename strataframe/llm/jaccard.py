@@ -296,16 +296,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest doc_id of their class, one row each, with the columns of docs.
 
-    A class is as in jaccard_classes; so of repeated rows (one doc_id) one stays, and documents without
-    shingles stay each. Rows with a null doc_id have no name to be dropped by, and stay.
+    A class is as in jaccard_classes, and rows are told apart by doc_id and text: a row goes only if its own
+    text's class has a smaller member, or if it repeats a row's doc_id and text. So an id with texts of two
+    classes can stay with one of them, or with both; documents without shingles stay each. Rows with a null
+    doc_id have no name to be dropped by, and stay.
     """
-    classes = staged(jaccard_classes(docs, k, percent), "jaccard-classes")
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__id"))
-    # an id with texts in two classes may be first in one of them; a row is then dropped by that id's worst
-    kept = docs.join(gone.distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    key = F.xxhash64(F.col("text").cast("string"))
+    named = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", key.alias("key"))).alias("doc_id"), "text")
+    classes = staged(jaccard_classes(named, k, percent), "jaccard-classes")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (key == F.col("__key")), "left_anti")
     repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.take(1):
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        named = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-        kept = named.unionByName(kept.where("doc_id IS NULL"))
+        nth = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text"))
+        first = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        kept = first.unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

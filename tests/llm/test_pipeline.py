@@ -3,7 +3,7 @@
 import corpus_pipeline
 from strataframe.llm import contamination, jaccard
 
-from .conftest import hard_rows
+from .conftest import hard_rows, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +37,12 @@ def test_stages_of_hard_rows_and_of_none(spark, hard, none):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and "shard" in out.columns
+
+
+def test_a_text_stays_if_only_another_one_of_its_id_is_a_copy(spark, hard):
+    kept = jaccard.keep_first(hard)
+    assert [r["text"] for r in kept.where("doc_id = 6").collect()] == ["another text under an id that is taken"]
+    base, other = words(90, 1), words(90, 2)
+    rows = [(1, base), (2, base), (2, other), (2, other), (3, other), (4, words(90, 3)), (4, words(90, 4))]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, base), (2, other), (4, words(90, 3)), (4, words(90, 4))])
