@@ -5,14 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches, staged, unit_hash, with_fields
+from .common import mix64, small_batches, staged, with_fields
 from .tokens import windows, words
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rows that the forest is fitted on, and rows of each tree: bounds whatever the corpus holds.
-FIT_ROWS, TREE_ROWS, TREES = 8192, 256, 100
+#: Rows of each tree, and trees: bounds whatever the corpus holds.
+TREE_ROWS, TREES = 256, 100
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
@@ -76,11 +77,13 @@ def features(stats: np.ndarray) -> np.ndarray:
 class IsolationForest:
     """Random axis-parallel splits until rows stand alone; rows that are split off early are anomalies."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7):
+    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7, samples: list[np.ndarray] | None = None):
+        """Each tree draws its rows from x, or takes those of its entry in samples."""
         rng = np.random.default_rng(seed)
-        self.rows = min(rows, len(x))
+        self.rows = min(rows, len(x)) if samples is None else max(map(len, samples), default=0)
         self.depth = max(1, int(np.ceil(np.log2(max(2, self.rows)))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.rows, replace=False)], rng) for _ in range(trees)] if len(x) else []
+        drawn = samples if samples is not None else (x[rng.choice(len(x), self.rows, replace=False)] for _ in range(trees if len(x) else 0))
+        self.trees = [self._grow(mine, rng) for mine in drawn]
 
     @staticmethod
     def _rest(n):
@@ -145,15 +148,46 @@ def threshold(counts: list[tuple[int, int, int]], bins: int, lose: float) -> flo
     return cut / bins if bad_above > above[min(cut, bins)] else 2.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, lose: float = 0.01, fit_rows: int = FIT_ROWS) -> DataFrame:
+def tree_samples(passed: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
+    """For each tree, the STATS of the `rows` rows of passed(doc_id, STATS) with the least hash of tree, doc_id and STATS.
+
+    A first pass lets through what is below a bound that some more rows than needed fall under, 6 standard
+    deviations more, so that the driver gets a few hundred rows a tree.
+    """
+    n = passed.count()
+    if not n:
+        return []
+    bound = min(1.0, (rows + 6 * rows**0.5) / n)
+    salts = mix64(np.arange(1, trees + 1, dtype=np.uint64))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            u = [mix64(h ^ s) for s in salts]
+            hit = [np.flatnonzero((x >> np.uint64(11)).astype(float) / 2.0**53 < bound) for x in u]
+            at = np.concatenate(hit)
+            tree = np.repeat(np.arange(trees), [len(x) for x in hit])
+            key = np.concatenate([x[k] for x, k in zip(u, hit)]) >> np.uint64(1)
+            yield pa.record_batch([pa.array(tree), pa.array(key.astype(np.int64)), *[c.take(pa.array(at)) for c in b.columns[1:]]], ["tree", "u", *STATS])
+
+    hashed = passed.select(F.xxhash64("doc_id", *STATS).alias("h"), *STATS)
+    found = hashed.mapInArrow(run, "tree long, u long, " + ", ".join(f"{s} long" for s in STATS))
+    nth = F.row_number().over(Window.partitionBy("tree").orderBy("u", *STATS))
+    drawn = np.array(found.withColumn("nth", nth).where(F.col("nth") <= rows).select("tree", "nth", *STATS).collect(), float).reshape(-1, 2 + len(STATS))
+    drawn = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))]
+    return [drawn[drawn[:, 0] == t, 2:] for t in range(trees)]
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, lose: float = 0.01) -> DataFrame:
     """The statistics of every document, the fixed rules' verdict, and the forest's on the rest.
 
     docs needs doc_id and text, labels doc_id and quality (1 good, 0 bad; null is no label); other columns
     are ignored. Returns one row per input row: doc_id, the STATS, base_failed (fewer than 10 words, or over
     20 % of words in repeated windows), anomaly (0 to 1), kept.
 
-    The forest is fitted on at most fit_rows rows that pass the fixed rules, those with the least hash of
-    their doc_id. Its threshold is set from all labelled rows: the least that rejects at most `lose` of
+    Each tree of the forest is grown on TREE_ROWS rows drawn by hash from all that pass the fixed rules. Its threshold is set from all labelled rows: the least that rejects at most `lose` of
     the good ones. Without labels, or where bad rows are no more anomalous than good ones, it rejects
     nothing. Null and empty texts fail the fixed rules; repeated rows fare alike; an empty table gives none.
     """
@@ -161,9 +195,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, lose: float = 0.01, fit_ro
     stats = staged(rule_statistics(docs).withColumn("base_failed", base_failed()), "rule-stats")
     spark = docs.sparkSession
     passed = stats.where("NOT base_failed")
-    sample = passed.select(*STATS, unit_hash("forest", F.col("doc_id")).alias("u")).orderBy("u", *STATS).limit(fit_rows).collect()
-    x = np.array([[r[s] for s in STATS] for r in sample], float).reshape(-1, len(STATS))
-    forest = spark.sparkContext.broadcast(IsolationForest(features(x)))
+    samples = [features(x) for x in tree_samples(passed) if len(x)]
+    forest = spark.sparkContext.broadcast(IsolationForest(np.zeros((0, 4)), samples=samples))
     schema = with_fields(stats.schema, "anomaly double")
 
     def run(batches):

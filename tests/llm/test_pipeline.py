@@ -1,7 +1,7 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import corpus_pipeline
-from strataframe.llm import contamination, jaccard
+from strataframe.llm import contamination, jaccard, rulestats
 
 from .conftest import hard_rows, words
 
@@ -46,3 +46,13 @@ def test_a_text_stays_if_only_another_one_of_its_id_is_a_copy(spark, hard):
     rows = [(1, base), (2, base), (2, other), (2, other), (3, other), (4, words(90, 3)), (4, words(90, 4))]
     kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, base), (2, other), (4, words(90, 3)), (4, words(90, 4))])
+
+
+def test_trees_draw_from_all_rows(spark):
+    passed = spark.range(20_000).selectExpr("id AS doc_id", *[f"id * {i + 1} AS {c}" for i, c in enumerate(rulestats.STATS)])
+    samples = rulestats.tree_samples(passed)
+    assert [len(x) for x in samples] == [256] * 100
+    seen = {int(r[0]) for x in samples for r in x}
+    assert len(seen) > 8192 and max(seen) > 19_900  # one pool of 8,192 rows can't hold so many
+    few = rulestats.tree_samples(passed.limit(9))
+    assert [len(x) for x in few] == [9] * 100 and rulestats.tree_samples(passed.limit(0)) == []
