@@ -15,8 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of the operators' own only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/strataframe-shared").rstrip("/")
+    """The folder that driver and executors share; one of the operators' own only where a local session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/strataframe-shared").rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -124,6 +127,38 @@ def filter_bits(keys: DataFrame, column: str, count: int, most: int = 1 << 29) -
     return BitFilter(bits, out.tobytes())
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, or with more underscores if a column of the frames is called so (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parted(docs: DataFrame, key: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose key surely isn't among `keys` (columns in the order of `key`), and the others.
+
+    The first part needs no join, so its texts stay where they lie; the second is about as large as `keys`.
+    """
+    hashed = keys.select(F.xxhash64(*[F.col(f"`{c}`") for c in keys.columns]).alias("key"))
+    keep = filter_bits(hashed, "key", keys.count())
+    name, schema = unused("__key", docs), docs.schema
+    marked = docs.withColumn(name, F.xxhash64(*key))
+
+    def part(touched: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                hit = keep(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+                mask = pa.array(hit if touched else ~hit)
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], b.schema.names[:-1])
+
+        return marked.mapInArrow(run, schema)
+
+    return part(False), part(True)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, comp) for every node of edges(u, v): comp is the least node of its connected component.
 

@@ -5,18 +5,39 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import filter_bits, mix64, small_batches, staged
+from .common import filter_bits, mix64, parted, small_batches, staged
 from .shared import find_shared
-from .tokens import _BYTE_DOWN, _BYTE_UP, SPACES, _hash, text_buffer
+from .tokens import SPACES, _hash, digests, text_buffer
 
 #: Lines within so many edits (code points) are near, if both have at least so many code points.
 EDITS, LEAST_CHARS = 2, 20
+#: Lists of a probe key up to so many lines are joined; longer ones are searched by their first line, then in blocks.
+SHORT, BLOCK = 32, 512
 _PIECE = 1 << 19
 _LANES = 16
 _BITS = (1 << 64) - 1
 
 
+class _Powers:
+    """1, m, m**2, ... modulo 2**64, grown as needed."""
+
+    def __init__(self, m: int):
+        self.m, self.table = np.uint64(m), np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.table):
+            steps = np.full(max(n, 2 * len(self.table), 1 << 12), self.m, np.uint64)
+            steps[0] = 1
+            self.table = np.cumprod(steps, dtype=np.uint64)
+        return self.table[:n]
+
+
+#: Substrings of a line are hashed by differences of running sums; what meets there is verified on the texts.
+_BYTE_UP, _BYTE_DOWN = _Powers(0x9E3779B97F4A7C15), _Powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
 def near(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether a and b are within `edits` insertions, deletions and substitutions.
 
@@ -63,7 +84,10 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
 
 
 class Lines:
-    """The lines with a word of a batch of texts: text number, line number, hash, and bytes from start to end."""
+    """The lines with a word of a batch of texts: text number, line number, 64-bit hash, and bytes from start to end.
+
+    What decides anything is a line's name, 128 bits of BLAKE2b; the hash only spares work.
+    """
 
     def __init__(self, column):
         self.data, self.texts = text_buffer(column)
@@ -85,6 +109,9 @@ class Lines:
         self.text, self.number, self.start, self.end = text[worded], number[worded], cuts[worded], end[worded]
         self.hash = _hash(self.data, self.start, self.end)
 
+    def names(self, some=slice(None)) -> list[bytes]:
+        return digests(self.data, self.start[some], self.end[some])
+
 
 def _segments(length: np.ndarray, parts: int, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of the i-th of `parts` nearly equal segments, the later ones longer by one."""
@@ -155,68 +182,76 @@ def lanes_apart(a: list[Column], b: list[Column], edits: int) -> Column:
     return total > 2 * edits
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): hashes of all pairs of different lines (a < b) within `edits` edits, both with `least` code points or more.
+def lanes_differ(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """lanes_apart for one line's counts (16 bytes) against many."""
+    d = (a[None, :] - b).astype(np.uint8)
+    return np.minimum(d, 0 - d).astype(np.int64).sum(1) > 2 * edits
+
 
-    A distinct line posts those of its keys that another line has (a count over the corpus finds them); an
-    index and a probe key that meet make a candidate unless the lines' code point counts rule it out, which
-    the join itself tests. Candidates are verified on their texts.
+def _signed(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, h, hash, indexed, c0, c1): the probe keys of each distinct line that another line has too.
+
+    h is the line's name. Which keys two lines have, a count over the corpus finds.
     """
+
     def fresh(lines: Lines, seen: set) -> np.ndarray:
         _, first = np.unique(lines.hash, return_index=True)
-        if len(seen) > 2_000_000:
+        if len(seen) > 300_000:  # a bounded memory of lines that this task had: a speed-up only
             seen.clear()
         new = [i for i in np.sort(first).tolist() if lines.hash[i] not in seen]
         seen.update(lines.hash[new].tolist())
         return np.array(new, np.int64)
 
-    seen: set = set()
-
     def keys(column):
         lines = Lines(column)
-        yield Signatures(lines, fresh(lines, seen), edits, least).key
+        yield Signatures(lines, fresh(lines, mine), edits, least).key
 
+    mine: set = set()
     shared = find_shared(docs, keys)
 
     def post(batches):
         import pyarrow as pa
 
-        mine: set = set()
+        seen: set = set()
         for b in batches:
             lines = Lines(b.column(0))
-            s = Signatures(lines, fresh(lines, mine), edits, least)
+            s = Signatures(lines, fresh(lines, seen), edits, least)
             some = np.flatnonzero(shared(s.key))
             of = s.of[some]
             lanes = s.lanes(of)
+            own, back = np.unique(of, return_inverse=True)
+            names = pa.array(lines.names(s.line[own]), pa.binary()).take(pa.array(back))
             columns = [s.key[some].view(np.int64), lines.hash[s.line[of]].view(np.int64), s.index[some], lanes[:, 0], lanes[:, 1]]
-            yield pa.record_batch([pa.array(x) for x in columns], ["key", "h", "indexed", "c0", "c1"])
-
-    posts = docs.select("text").mapInArrow(post, "key long, h long, indexed boolean, c0 long, c1 long")
-    posts = posts.groupBy("key", "h").agg(F.max("indexed").alias("indexed"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
-    posts = staged(posts, "line-posts")
-    met = posts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("key")
-    posts = staged(posts.join(met, "key", "left_semi"), "line-lists")
-    one, two = posts.where("indexed").alias("x"), posts.alias("y")
-    close = ~lanes_apart([F.col("x.c0"), F.col("x.c1")], [F.col("y.c0"), F.col("y.c1")], edits)
-    pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & close)
-    pairs = staged(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct(), "line-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    keep = filter_bits(ends, "h", ends.count())
+            key, *rest = [pa.array(x) for x in columns]
+            yield pa.record_batch([key, names, *rest], ["key", "h", "hash", "indexed", "c0", "c1"])
+
+    posts = docs.select("text").mapInArrow(post, "key long, h binary, hash long, indexed boolean, c0 long, c1 long")
+    return posts.groupBy("key", "h", "hash").agg(F.max("indexed").alias("indexed"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+
+
+def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(h, line) of the lines ends(h, hash)."""
+    keep = filter_bits(ends, "hash", ends.count())
 
     def texts(batches):
         import pyarrow as pa
 
-        mine: set = set()
         for b in batches:
             lines = Lines(b.column(0))
-            some = fresh(lines, mine)
-            some = some[keep(lines.hash[some])]
+            some = np.flatnonzero(keep(lines.hash))
+            _, first = np.unique(lines.hash[some], return_index=True)
+            some = some[first]
             out = [lines.data[x:y].tobytes().decode() for x, y in zip(lines.start[some], lines.end[some], strict=True)]
-            yield pa.record_batch([pa.array(lines.hash[some].view(np.int64)), pa.array(out, pa.string())], ["h", "line"])
+            yield pa.record_batch([pa.array(lines.names(some), pa.binary()), pa.array(out, pa.string())], ["h", "line"])
+
+    found = docs.select("text").mapInArrow(texts, "h binary, line string")
+    return found.join(ends.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+
 
-    found = docs.select("text").mapInArrow(texts, "h long, line string").join(ends, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    found = staged(found, "line-texts")
-    full = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("one")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("two")), "b").select("a", "b", "one", "two")
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Those of pairs(a, b) whose lines are within `edits` edits."""
+    sides = [texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab"]
+    full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
 
     def verify(batches):
         import pyarrow as pa
@@ -225,23 +260,104 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
             ok = pa.array([near(x, y, edits) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return full.mapInArrow(verify, "a long, b long")
+    return full.mapInArrow(verify, "a binary, b binary")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
+    """(h): those lines of long lists that are near an earlier line of their list, but aren't in `late` yet.
+
+    A list's open lines and all its lines are dealt into blocks, and each open block meets each block in a
+    task of its own, which yields a line at most once: rows grow with the list's length times its blocks,
+    never with its pairs.
+    """
+    late = late.withColumn("late", F.lit(True))
+    lists = staged(lists.join(late, "h", "left").withColumn("open", F.col("late").isNull()).drop("late"), "line-open")
+    flag = F.xxhash64("h", "indexed")
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("open").cast("int")).alias("o"), F.sum(flag.cast("decimal(38,0)")).alias("f")).where("o > 0")
+    # lists of the same lines are searched once
+    sizes = sizes.groupBy("c", "o", "f").agg(F.min("key").alias("key"))
+    part = lambda n: F.pmod(F.xxhash64("h"), F.ceil(F.col(n) / F.lit(block)).cast("long"))
+    rows = lists.join(staged(sizes.select("key", "c", "o"), "line-sizes"), "key")
+    query = rows.where("open").select("key", part("o").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / F.lit(block)).cast("long") - 1)).alias("j"), F.lit(True).alias("asks"), "h", "indexed", "c0", "c1", "first")
+    others = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("o") / F.lit(block)).cast("long") - 1)).alias("i"), part("c").alias("j"), F.lit(False).alias("asks"), "h", "indexed", "c0", "c1", "first")
+    # places compare as rank, so that Python needs no knowledge of their type
+    full = query.unionByName(others).join(texts, "h").select("key", "i", "j", "asks", "h", "indexed", "c0", "c1", "first", "line")
+    over = Window.partitionBy("key", "i", "j").orderBy("first")
+    full = full.withColumn("rank", F.dense_rank().over(over)).drop("first")
+
+    def search(key, table):
+        import pyarrow as pa
+
+        asks = table.column("asks").to_numpy()
+        rank, indexed = table.column("rank").to_numpy(), table.column("indexed").to_numpy()
+        lanes = np.stack([table.column(c).to_numpy() for c in ("c0", "c1")], 1).copy().view(np.uint8)
+        names, lines = table.column("h").to_pylist(), table.column("line").to_pylist()
+        mine = np.flatnonzero(~asks)
+        found = []
+        for q in np.flatnonzero(asks).tolist():
+            able = mine[(rank[mine] < rank[q]) & (indexed[mine] | indexed[q])]
+            able = able[~lanes_differ(lanes[q], lanes[able], edits)]
+            if any(near(lines[q], lines[m], edits) for m in able.tolist()):
+                found.append(names[q])
+        return pa.table({"h": pa.array(found, pa.binary())})
+
+    return full.groupBy("key", "i", "j").applyInArrow(search, "h binary").distinct()
+
+
+def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """(h): names of the lines near a line whose first occurrence is earlier; firsts(h, first) has every line's.
+
+    A distinct line posts those of its keys that another line has; an index and a probe key that meet make
+    a candidate unless the lines' code point counts rule it out. Short lists are joined. A long one (a line
+    of a template, say, with a number in it) is first searched against its first line only; what that
+    leaves open is searched in blocks. Candidates are verified on their texts; nothing is capped.
+    """
+    posts = staged(_signed(docs, edits, least), "line-posts")
+    met = staged(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-keys")
+    lists = staged(posts.join(met, "key"), "line-lists")
+    close = ~lanes_apart([F.col("x.c0"), F.col("x.c1")], [F.col("y.c0"), F.col("y.c1")], edits)
+    few = lists.where(F.col("c") <= short)
+    pairs = few.where("indexed").alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & close)
+    ends = [F.struct(F.col(f"{s}.h"), F.col(f"{s}.hash")) for s in "xy"]
+    pairs = pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    many = lists.where(F.col("c") > short)
+    hot = bool(many.take(1))
+    if hot:
+        many = staged(many.join(firsts, "h"), "line-long")
+        least_of = lambda some, name: F.min(F.when(some, F.struct("first", "h", "hash", "c0", "c1"))).alias(name)
+        star = staged(many.groupBy("key").agg(least_of(F.lit(True), "any"), least_of(F.col("indexed"), "ind")), "line-stars")
+        met = many.join(star, "key")
+        for name, some in (("ind", F.lit(True)), ("any", F.col("indexed"))):
+            apart = lanes_apart([F.col("c0"), F.col("c1")], [F.col(f"{name}.c0"), F.col(f"{name}.c1")], edits)
+            mine = met.where(some & F.col(name).isNotNull() & (F.col(f"{name}.h") != F.col("h")) & ~apart)
+            two = [F.struct("h", "hash"), F.struct(f"{name}.h", f"{name}.hash")]
+            pairs = pairs.unionByName(mine.select(F.least(*two).alias("a"), F.greatest(*two).alias("b")))
+    pairs = staged(pairs.distinct(), "line-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.h", "e.hash")
+    ends = staged((ends.unionByName(many.select("h", "hash")) if hot else ends).distinct(), "line-ends")
+    texts = staged(_texts_of(docs, ends), "line-texts")
+    found = _verified(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, edits)
+    for x in "ab":
+        found = found.join(firsts.select(F.col("h").alias(x), F.col("first").alias(f"first_{x}")), x)
+    late = staged(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
+    return late.unionByName(_searched(many, late, texts, edits, block)).distinct() if hot else late
+
+
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """Remove lines that equal, or are within `edits` edits of, an earlier line.
 
     docs needs doc_id and text; other columns are ignored. Lines are split at \\n; those without a word are
     left alone. Earlier is by (doc_id, line number), a null doc_id last. Two different lines are near if an
-    edit distance in code points of `edits` or less parts them and both have `least` code points or more.
-    All lines are judged on the input, so that a near chain may leave its first line only.
+    edit distance in code points of `edits` or less parts them and both have `least` code points or more
+    (short lines, in which two edits change most of a word or number, are only matched exactly; `least` can
+    go down to edits + 1). All lines are judged on the input, so that a near chain may leave its first line only.
 
     Returns one row per input row: doc_id, n_lines (with a word), n_removed, n_near (of those, first
     occurrences near an earlier line), kept (the other lines joined by \\n). A null text has no lines and an
     empty kept; repeated rows (equal doc_id and text) fare alike; an empty table gives none.
 
-    Equal lines meet by hash, pre-aggregated, so a line in every document costs one row a task. Only first
-    occurrences are joined; see near_lines.
+    Equal lines meet by a 128-bit digest, pre-aggregated, so a line in every document costs one row a task.
+    Only first occurrences are joined; see late_lines. Texts that lose nothing stay where they are.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -253,20 +369,20 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
         for b in batches:
             lines = Lines(b.column(2))
             take = pa.array(lines.text)
-            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64))], ["doc_id", "text_key", "number", "h"])
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary())], ["doc_id", "text_key", "number", "h"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, h long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, h binary")
     rows = staged(rows, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
     firsts = staged(rows.groupBy("h").agg(F.min(place).alias("first")), "line-firsts")
-    pairs = near_lines(docs, edits, least)
-    pairs = pairs.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
-    late = pairs.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("late", F.lit(True))
+    late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
     heads = staged(firsts.join(late, "h", "left").select(F.col("h").alias("__h"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
     gone = rows.join(heads, F.col("h") == F.col("__h")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near")
-    full = docs.withColumn("text_key", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")
+    whole, touched = parted(docs, [F.col("doc_id"), F.xxhash64("text")], gone.select("__id", "__key"))
+    touched = touched.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    full = whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("n_near")).unionByName(touched)
 
     def cut(batches):
         import pyarrow as pa

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, mix64, small_batches, staged
+from .common import mix64, parted, small_batches, staged
 from .shared import SharedKeys, find_shared
-from .tokens import Words, windows, words
+from .tokens import Words, _hash, windows, words
 
 #: Rounds of naming. Each shortens a text to about 3/4; after these a symbol is some three words long.
 ROUNDS = 4
@@ -169,13 +169,13 @@ def repeated_windows(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> Data
                 continue
             text = np.searchsorted(w.at, at, "right") - 1
             # windows that cross a text's end are among the hashes but not among the candidates
-            h, g = windows(w.hash, k)[at], windows(w.hash, k, salt=0x6C62272E07BB0142)[at]
+            h, g = windows(w.hash, k)[at], windows(_hash(w.data, w.start, w.end, seed=1), k)[at]
             yield pa.record_batch(
-                [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array((at - w.at[text]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array((at - w.at[text]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
                 ["doc_id", "text_key", "start", "h", "g"],
             )
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {id_type}, text_key long, start int, h long, g int")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {id_type}, text_key long, start int, h long, g long")
     found = staged(found, "windows")
     first = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h").alias("__h"), F.col("g").alias("__g"), "first")
     # staged on both sides, so that adaptive execution can split a window that very many texts have
@@ -197,27 +197,16 @@ def substring_dedup(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> DataF
     dictionary to exchange, and equal words get equal symbols but near their ends. Each symbol carries the
     words that decide it. One round of Spark counts symbols over the corpus; a window can recur in another
     text only if every symbol that it decides is shared, so the others go, and those left are verified by
-    a 96-bit hash of their words. A window that decides no symbol (in a long run) is its own symbol.
+    128 bits, two hashes of their words' bytes that have nothing in common. A window that decides no symbol
+    (in a long run) is its own symbol.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     late = staged(repeated_windows(docs, k, rounds), "window-starts")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    keep = filter_bits(late.select(F.xxhash64("doc_id", "text_key").alias("key")), "key", late.count())
     late = late.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "starts")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {id_type}, text string, text_key long"
-
-    def part(touched: bool):
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                hit = keep(b.column(3).to_numpy(zero_copy_only=False))
-                mask = pa.array(hit if touched else ~hit)
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:3]], b.schema.names[:3])
-
-        return keyed.withColumn("key", F.xxhash64("doc_id", "text_key")).mapInArrow(run, columns)
+    # texts that surely lose nothing stay where they are; only the others move
+    whole, touched = parted(docs, [F.col("doc_id"), F.xxhash64("text")], late.select("__id", "__key"))
 
     def cut(batches):
         import pyarrow as pa
@@ -238,7 +227,6 @@ def substring_dedup(docs: DataFrame, k: int = 50, rounds: int = ROUNDS) -> DataF
                 kept.append(b" ".join(split).decode())
             yield pa.record_batch([b.column(0), pa.array(per.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    # texts that surely lose nothing stay where they are; only the others move
-    whole = part(False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    rows = part(True).join(late, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    return whole.unionByName(rows.select("doc_id", "text", "starts")).mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    rows = touched.join(late, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select("doc_id", "text", "starts")
+    whole = whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    return whole.unionByName(rows).mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string")

@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
 from .common import mix64
 
-_M = np.uint64(0x9E3779B97F4A7C15 | 1)
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_PIECE = 1 << 19
-
-
-def _inverse(m: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(m), -1, 1 << 64))
-
-
-class _Powers:
-    """1, m, m**2, ... modulo 2**64, grown as needed."""
-
-    def __init__(self, m: np.uint64):
-        self.m, self.table = m, np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> np.ndarray:
-        if n > len(self.table):
-            steps = np.full(max(n, 2 * len(self.table), 1 << 12), self.m, np.uint64)
-            steps[0] = 1
-            self.table = np.cumprod(steps, dtype=np.uint64)
-        return self.table[:n]
-
-
-_BYTE_UP, _BYTE_DOWN = _Powers(_M), _Powers(_inverse(_M))
-_WORD_UP, _WORD_DOWN = _Powers(_Q), _Powers(_inverse(_Q))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: What keeps the low bytes of eight, by how many are left.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Stretches of more bytes are named by a cryptographic hash.
+_LANES = 128
 
 #: Byte classes. SPACES: word separators are space and \t to \r. NOT_ALNUM: every ASCII byte but 0-9, A-Z, a-z.
 SPACES = np.zeros(256, bool)
@@ -95,29 +76,53 @@ def words(column, lower: bool = False, separators: np.ndarray = SPACES, hashes:
     return Words(data, texts, start, end, at, _hash(data, start, end) if hashes else np.zeros(0, np.uint64))
 
 
-def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + _PIECE)))
-        lo, hi = int(start[i]), int(end[j - 1])
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _BYTE_UP(hi - lo), out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix64((sums[e] - sums[s]) * _BYTE_DOWN(hi - lo)[s] + (e - s).astype(np.uint64) * _M)
-        i = j
+def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes: eight bytes at a time, each mixed in by a bijection that isn't linear.
+
+    Stretches of up to eight bytes and one length never collide; long ones take the first half of a BLAKE2b.
+    """
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _A + np.uint64(seed))
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    some, at = np.flatnonzero(size <= _LANES), 0
+    while len(some):
+        if at:
+            some = some[size[some] > at]
+        out[some] = mix64(out[some] ^ (eights[start[some] + at] & _LOW[np.minimum(size[some] - at, 8)]))
+        at += 8
+    for i in np.flatnonzero(size > _LANES).tolist():
+        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(raw, "little")
     return out
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A 128-bit BLAKE2b of each stretch of bytes: equal digests stand for equal bytes."""
+    raw = data.tobytes()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(left * _B + right)
+
+
 def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """A hash of every k consecutive hashes (of one text; len - k + 1 of them), in time independent of k."""
+    """A hash of every k consecutive hashes (len - k + 1 of them), in about 2 log2 k passes.
+
+    Hashes of 1, 2, 4, ... consecutive ones are joined in pairs, by a step that isn't linear: no arrangement
+    of repeated words cancels out, as it can in a polynomial modulo 2**64.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = mix64(hashes ^ np.uint64(salt)) if salt else hashes
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _WORD_UP(len(h)), out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * _WORD_DOWN(n) + np.uint64(k * int(_M) % (1 << 64)))
+    power, size = (mix64(hashes ^ np.uint64(salt)) if salt else hashes), 1
+    out, done = None, 0
+    while True:
+        if k & size:
+            out, done = (power if out is None else _join(out[:n], power[done : done + n])), done + size
+        if done == k:
+            return mix64(out[:n] + np.uint64(k))
+        power, size = _join(power[:-size], power[size:]), 2 * size
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
