@@ -106,25 +106,37 @@ class BitFilter:
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def filter_bits(keys: DataFrame, column: str, count: int, most: int = 1 << 29) -> BitFilter:
-    """The BitFilter of a long column: 16 bits a key, at most 64 MB whatever the table holds."""
-    if not count:
-        return BitFilter(8, b"")
-    bits = power_of_two(16 * count, 1 << 15, most)
+def filters_of(keys: DataFrame, column: str, counts: list[int], most: int = 1 << 29) -> list[BitFilter]:
+    """BitFilters of a long column, in one job: with a column `level`, filter i has the keys of a level over i.
+
+    counts: the keys of each filter. A filter takes 16 bits a key, and 64 MB at most, whatever the table holds.
+    """
+    bits = [power_of_two(16 * n, 1 << 15, most) if n else 8 for n in counts]
 
     def positions(batches):
         import pyarrow as pa
 
         for b in batches:
-            k = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            at = mix64(k ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)
-            yield pa.record_batch([pa.array((at >> np.uint64(15)).astype(np.int64)), pa.array((at & np.uint64(32767)).astype(np.int64))], ["seg", "pos"])
-
-    parts = keys.select(column).mapInArrow(positions, "seg long, pos long").groupBy("seg").agg(F.expr("bitmap_construct_agg(pos)").alias("m"))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        out[row["seg"] * 4096 : row["seg"] * 4096 + 4096] = np.frombuffer(bytes(row["m"]), np.uint8)[: min(4096, bits // 8)]
-    return BitFilter(bits, out.tobytes())
+            k = mix64(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+            level = b.column(1).to_numpy(zero_copy_only=False)
+            for i, n in enumerate(bits):
+                at = k[level > i] & np.uint64(n - 1)
+                if len(at):
+                    yield pa.record_batch([pa.array(np.full(len(at), i, np.int32)), pa.array((at >> np.uint64(15)).astype(np.int64)), pa.array((at & np.uint64(32767)).astype(np.int64))], ["nth", "seg", "pos"])
+
+    level = F.col("level") if "level" in keys.columns else F.lit(1)
+    parts = keys.select(column, level.alias("level")).mapInArrow(positions, "nth int, seg long, pos long").groupBy("nth", "seg").agg(F.expr("bitmap_construct_agg(pos)").alias("m"))
+    out = [np.zeros(n // 8 if c else 0, np.uint8) for n, c in zip(bits, counts, strict=True)]
+    # a job for each of a few partitions, so that no more than a share of the bits reaches the driver at once
+    for row in parts.coalesce(4).toLocalIterator() if any(counts) else ():
+        mine = out[row["nth"]][row["seg"] * 4096 : row["seg"] * 4096 + 4096]
+        mine[:] = np.frombuffer(bytes(row["m"]), np.uint8)[: len(mine)]
+    return [BitFilter(n, x.tobytes()) for n, x in zip(bits, out, strict=True)]
+
+
+def filter_bits(keys: DataFrame, column: str, count: int, most: int = 1 << 29) -> BitFilter:
+    """The BitFilter of a long column of `count` keys."""
+    return filters_of(keys.select(column), column, [count], most)[0]
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, filter_bits, small_batches, staged
+from .common import components, filter_bits, mix64, parted, small_batches, staged, unused
 from .shared import find_shared
-from .tokens import shingle_set, words
+from .tokens import shingle_set, windows, words
 
 #: Shingles in at least so many documents form the later classes of the global order.
 LEVELS = (2, 8, 64)
 #: Lists up to this length are searched pair by pair at once.
 SHORT = 4
-#: Partners of one query that are searched together.
+#: Partners of one query that are searched together, and nodes of a block.
 GROUP = 256
 
 
@@ -27,9 +29,9 @@ def need(a, b, percent: int):
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = 80) -> np.ndarray:
     """Indices of the sets that reach the overlap with query that their sizes ask for.
 
-    T-occurrence search: the inverted lists of the query's tokens over `sets` are divided into the longest
-    ones and the others. The short lists are merged in one k-way merge that counts each set; a set that
-    reaches T less the number of long lists is then looked up in each of those by binary search.
+    T-occurrence search by DivideSkip: the inverted lists of the query's tokens over `sets` are divided into
+    the L longest ones and the others. The short lists are heap-merged, which counts each set; a set that
+    reaches T - L is then looked up in the long lists by binary search, and stays if it reaches T.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     t_of = need(len(query), sizes, percent)
@@ -45,16 +47,17 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = 80) ->
     length = np.bincount(at, minlength=len(query))
     start = np.cumsum(length) - length
     longest = int(length.max()) if len(length) else 0
-    n_long = min(int(least / (0.0085 * np.log2(max(2, longest)) + 1)) // 2, max(0, least - 1), len(query))
-    long_lists = np.argsort(-length, kind="stable")[:n_long]
-    short = np.ones(len(query), bool)
-    short[long_lists] = False
-    counts = np.bincount(ids[short[at]], minlength=len(sets))
+    n_long = min(int(least / (0.0085 * np.log2(max(2, longest)) + 1)), max(0, least - 1), len(query))
+    by_length = np.argsort(-length, kind="stable")
+    lists = [ids[start[k] : start[k] + length[k]] for k in by_length]
+    counts = np.zeros(len(sets), np.int64)
+    for i in heapq.merge(*[x.tolist() for x in lists[n_long:] if len(x)]):
+        counts[i] += 1
     found = np.flatnonzero(counts >= t_of - n_long)
-    for k in long_lists:
+    for n, part in enumerate(lists[:n_long]):
+        found = found[counts[found] >= t_of[found] - (n_long - n)]
         if not len(found):
             break
-        part = ids[start[k] : start[k] + length[k]]
         p = np.searchsorted(part, found)
         p_in = p < len(part)
         p_in[p_in] = part[p[p_in]] == found[p_in]
@@ -62,29 +65,45 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = 80) ->
     return found[counts[found] >= t_of[found]]
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set, the same for equal sets."""
-    from .common import mix64
+def _named(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """128-bit names of the sets shingles[at[i]:at[i + 1]]: two sums of hashes that have nothing in common, with the size."""
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    out: list[bytes | None] = [None] * len(size)
+    if len(some):
+        n = size[some].astype(np.uint64)
+        sums = [np.add.reduceat(mix64(shingles ^ np.uint64(c)), at[some]) for c in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3)]
+        raw = np.stack([mix64(sums[0] + n), mix64(sums[1] - n)], 1).tobytes()
+        for k, i in enumerate(some.tolist()):
+            out[i] = raw[16 * k : 16 * k + 16]
+    return out
+
 
-    return int(mix64(np.array([mix64(shingles ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def node_of(shingles: np.ndarray) -> bytes:
+    return _named(shingles, np.array([0, len(shingles)]))[0]
 
 
-def _sets(column, k: int):
+def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """The shingle sets of a column: sorted hashes text by text, offsets, and the names."""
     w = words(column, lower=True)
-    for i in range(len(w.at) - 1):
-        yield shingle_set(w.hash[w.at[i] : w.at[i + 1]], k)
+    whole = windows(w.hash, k)
+    sets = []
+    for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True):
+        sets.append(np.unique(whole[a : b - k + 1]) if b - a >= k else shingle_set(w.hash[a:b], k))
+    at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
+    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return tokens, at, _named(tokens, at)
 
 
 def _fresh(column, k: int, seen: set):
     """The sets of a column that this task didn't have yet (a bounded memory of names: a speed-up only)."""
-    for s in _sets(column, k):
-        if len(s):
-            if len(seen) > 500_000:
-                seen.clear()
-            name = node_of(s)
-            if name not in seen:
-                seen.add(name)
-                yield s
+    tokens, at, names = _sets(column, k)
+    if len(seen) > 100_000:
+        seen.clear()
+    for i, name in enumerate(names):
+        if name is not None and name not in seen:
+            seen.add(name)
+            yield tokens[at[i] : at[i + 1]]
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -106,23 +125,23 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            node, n, skip, prefix = [], [], [], []
-            for s in _sets(b.column(1), k):
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-                head = len(s) - -(-percent * len(s) // 100) + 1
-                level = shared(s)
-                often = np.flatnonzero(level)
-                skip.append(len(s) - len(often))
-                head -= skip[-1]
-                if len(s) and head > 0:
-                    order = np.lexsort((s[often], level[often]))[:head]
-                    prefix.append(s[often[order]].view(np.int64))
-                else:
-                    prefix.append(np.zeros(0, np.int64))
-            yield pa.record_batch([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(skip, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "node", "n", "skip", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, n long, skip long, prefix array<long>")
+            tokens, at, names = _sets(b.column(1), k)
+            level = shared(tokens)
+            often = np.flatnonzero(level)
+            n = np.diff(at)
+            cut = np.searchsorted(often, at)
+            skip = n - np.diff(cut)
+            head = np.maximum(0, n - -(-percent * n // 100) + 1 - skip) * (n > 0)
+            # text by text, the shared ones in the global order, of which the first `head` are the prefix
+            text = np.repeat(np.arange(len(n)), np.diff(cut))
+            order = np.lexsort((tokens[often], level[often], text))
+            nth = np.arange(len(often)) - cut[text]
+            take = often[order][nth < head[text]]
+            ends = np.r_[0, np.cumsum(np.minimum(head, np.diff(cut)))].astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[take].view(np.int64)))
+            yield pa.record_batch([b.column(0), pa.array(names, pa.binary()), pa.array(n), pa.array(skip), prefix], ["doc_id", "node", "n", "skip", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node binary, n long, skip long, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFrame:
@@ -135,119 +154,223 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFrame
         for b in batches:
             hit = keep(b.column(0).to_numpy(zero_copy_only=False))
             if hit.any():
-                sets = [s for s in _sets(b.column(1).filter(pa.array(hit)), k) if len(s)]
-                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+                tokens, at, names = _sets(b.column(1).filter(pa.array(hit)), k)
+                some = [(name, tokens[x:y].tobytes()) for name, x, y in zip(names, at[:-1], at[1:], strict=True) if name is not None]
+                yield pa.record_batch([pa.array([x for x, _ in some], pa.binary()), pa.array([x for _, x in some], pa.binary())], ["node", "tokens"])
 
-    found = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node long, tokens binary")
+    found = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "node binary, tokens binary")
     return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _read(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that link; a is the query, and its partners are searched GROUP or so at a time."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("b"), F.col("parts"))
-    members = pairs.join(counts, "a").select("a", "b", part.alias("part"))
-    b_rows = members.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", F.col("b").alias("node"), "tokens")
-    a_rows = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.col("a").alias("node"), "tokens")
+    """Those of pairs(a, b, parts) that link, as (u, v): a is the query; its partners are dealt into `parts` searches."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    key = ["a", "parts", "part"]
+    b_rows = pairs.join(sets.withColumnRenamed("node", "b"), "b").select(*key, F.col("b").alias("node"), "tokens")
+    a_rows = pairs.select(*key).distinct().join(sets.withColumnRenamed("node", "a"), "a").select(*key, F.col("a").alias("node"), "tokens")
 
     def search(key, table):
         import pyarrow as pa
 
         a = key[0].as_py()
-        nodes = table.column("node").to_numpy()
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        nodes, sets_ = table.column("node").to_pylist(), _read(table.column("tokens"))
         query = next((s for v, s in zip(nodes, sets_, strict=True) if v == a), None)
-        others = np.flatnonzero(nodes != a)
-        if query is None or not len(others):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        found = nodes[others[divide_skip(query, [sets_[i] for i in others], percent)]]
-        return pa.table({"u": pa.array(np.full(len(found), a, np.int64)), "v": pa.array(found)})
+        others = [i for i, v in enumerate(nodes) if v != a]
+        found = []
+        if query is not None and others:
+            found = [nodes[others[i]] for i in divide_skip(query, [sets_[i] for i in others], percent).tolist()]
+        return pa.table({"u": pa.array([a] * len(found), pa.binary()), "v": pa.array(found, pa.binary())})
+
+    return b_rows.unionByName(a_rows).groupBy(*key).applyInArrow(search, "u binary, v binary")
+
+
+def _dealt(lists: DataFrame, block: int) -> DataFrame:
+    """lists with each node in all tasks (token, i, j), i <= j, where its block `own` meets blocks of its list."""
+    size = staged(lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("blocks")), "jaccard-blocks")
+    rows = lists.join(size, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _overlaps(rows: np.ndarray, tokens: np.ndarray, weight: np.ndarray, left: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n nodes with postings (row, token, weight, left): the weight that two have in common, and whether they meet before.
+
+    Before is at a token of which the first of the two has more left than `at`. Tokens come in slices, as a
+    product of dense matrices.
+    """
+    both, before = np.zeros((n, n), np.float32), np.zeros((n, n), bool)
+    names, col, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count > 1)
+    place = np.full(len(names), -1)
+    place[some] = np.arange(len(some))
+    col = place[col]
+    for lo in range(0, len(some), 2048):
+        k = np.flatnonzero((col >= lo) & (col < lo + 2048))
+        has = np.zeros((n, min(2048, len(some) - lo)), np.float32)
+        heavy, early = has.copy(), has.copy()
+        has[rows[k], col[k] - lo] = 1
+        heavy[rows[k], col[k] - lo] = weight[k]
+        early[rows[k], col[k] - lo] = left[k] > at[rows[k]]
+        both += heavy @ has.T
+        before |= early @ has.T > 0
+    return both, before
+
+
+def _numbered(column) -> np.ndarray:
+    return np.unique(np.array(column.to_pylist(), dtype=object), return_inverse=True)[1]
+
+
+def _open_pairs(table, percent: int, two_blocks: bool) -> np.ndarray:
+    """Which pairs (row before row) of a task are to be searched there; see _screen_blocks."""
+    n, left, own = (table.column(c).to_numpy() for c in ("n", "left", "own"))
+    label = _numbered(table.column("label"))
+    lists = table.column("open").combine_chunks()
+    posts = lists.flatten()
+    token, weight, has = (posts.field(c).to_numpy(zero_copy_only=False) for c in ("token", "mult", "left"))
+    both, before = _overlaps(np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy()), token, weight, has, left, len(n))
+    t_of = need(n[:, None], n[None, :], percent)
+    t0 = -(-percent * np.maximum(n[:, None], n[None, :]) // 100)
+    ok = (label[:, None] != label[None, :]) & ~before & (np.minimum(left[:, None], left[None, :]) >= t_of) & (both >= t_of - t0 + 1)
+    if two_blocks:
+        ok &= own[:, None] != own[None, :]
+    return np.triu(ok, 1)
+
+
+#: The columns of a task's rows, and how many pairs for each of its nodes it may name.
+_IN_TASK = ("token", "i", "j", "own", "node", "n", "left", "label", "open")
+_PER_NODE = 8
+
+
+def _screen_blocks(lists: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is left to search of lists(token, node, n, left, label, mult): pairs(a, b), and the rows of crowded tasks, if any.
+
+    Two nodes of different labels count in the task of the first list in which they meet, if both have enough
+    left there, and if their prefixes share enough: beyond its prefix a set has T0 - 1 shingles, T0 = ceil(percent
+    * n / 100), so that a pair which needs T shares T - T0 + 1 within the prefixes, for the larger of its two T0.
+    A task that holds more such pairs than a few a node names itself, for its sets to be searched, and no pair.
+    """
+    own = lists.groupBy("node").agg(F.collect_list(F.struct("token", "left", "mult")).alias("open"))
+    rows = _dealt(lists, block).join(staged(own, "jaccard-own"), "node").select(*_IN_TASK)
+
+    def screen(key, table):
+        import pyarrow as pa
+
+        a, b = np.nonzero(_open_pairs(table, percent, key[1] != key[2]))
+        nodes = table.column("node")
+        if len(a) > _PER_NODE * table.num_rows:
+            return pa.table({"a": pa.array([None], pa.binary()), "b": pa.array([None], pa.binary()), "token": pa.array([key[0].as_py()]), "i": pa.array([key[1].as_py()]), "j": pa.array([key[2].as_py()])})
+        return pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b)), **{c: pa.array(np.full(len(a), k.as_py())) for c, k in zip(("token", "i", "j"), key, strict=True)}})
 
-    return b_rows.unionByName(a_rows).groupBy("a", "part").applyInArrow(search, "u long, v long")
+    found = staged(rows.groupBy("token", "i", "j").applyInArrow(screen, "a binary, b binary, token long, i long, j long"), "jaccard-screened")
+    crowded = found.where("a IS NULL").select("token", "i", "j")
+    return found.where("a IS NOT NULL").select("a", "b"), rows.join(crowded, ["token", "i", "j"], "left_semi") if crowded.take(1) else None
 
 
-def _some_labels(links: DataFrame, steps: int = 3) -> DataFrame:
-    """(node, found): found is a node of the same component, mostly its least one.
+def _search_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect all nodes of the given tasks which link directly.
 
-    Two nodes with one label are connected; nodes of one component may still have two, which costs pairs
-    but no link. Each step takes the least label of the neighbours, then that label's own label.
+    Each task searches one node after the other among those that it may link with and isn't connected to
+    yet, and yields fewer links than it has nodes; rows grow with a list's length times its blocks, never
+    with its pairs.
     """
-    ends = staged(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "jaccard-ends")
-    found = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("found")).withColumnRenamed("u", "node")
+
+    def search(key, table):
+        import pyarrow as pa
+
+        nodes, sets_ = table.column("node").to_pylist(), _read(table.column("tokens"))
+        ok, label = _open_pairs(table, percent, key[1] != key[2]).T, _numbered(table.column("label"))
+        u, v = [], []
+        for q in range(len(nodes)):
+            others = np.flatnonzero(ok[q] & (label != label[q]))
+            if len(others):
+                for i in others[divide_skip(sets_[q], [sets_[i] for i in others], percent)].tolist():
+                    if label[i] != label[q]:
+                        u.append(nodes[q])
+                        v.append(nodes[i])
+                        label[label == label[i]] = label[q]
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return rows.join(sets, "node").select(*_IN_TASK, "tokens").groupBy("token", "i", "j").applyInArrow(search, "u binary, v binary")
+
+
+def _labels(links: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, label): label is a node of the same component, mostly its least one.
+
+    Two nodes with one label are connected; nodes of one component may still have two, which costs searches
+    but no link. Each step takes the label of the label.
+    """
+    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    found = staged(ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "jaccard-labels")
     for _ in range(steps):
-        near = ends.join(found.select(F.col("node").alias("v"), "found"), "v").groupBy("u").agg(F.min("found").alias("near"))
-        best = staged(found.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("found", "near").alias("found")), "jaccard-labels")
-        far = best.select(F.col("node").alias("found"), F.col("found").alias("far"))
-        found = best.join(far, "found", "left").select("node", F.least("found", F.coalesce("far", "found")).alias("found"))
+        far = found.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        found = found.join(far, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"))
     return found
 
 
-def _links(posts: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, short: int, block: int) -> DataFrame:
     """Verified links (u, v) that connect all that links.
 
-    posts(token, node, n, left, c): left counts the node's shingles from this one on in the global order,
-    c the nodes of the list. At the first shingle that two sets share, both have at least T left, with T the
+    lists(token, node, n, skip, left, c, mult): left counts the node's shingles from this one on in the global
+    order, c the nodes of the list, mult the tokens that have this list. At the first shingle that two sets share, both have at least T left, with T the
     overlap that they need; so a meeting at which either has fewer is left out, which rules out most pairs
     of a group whose texts differ too much.
     """
-    t = F.lit(100 + percent)
-    able = (t * F.least("left", "other_left") >= percent * (F.col("n") + F.col("m")))
 
-    def crossed(lists: DataFrame) -> DataFrame:
-        other = lists.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"))
-        return lists.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & able).select("a", "b")
+    def able(x: str, y: str) -> Column:
+        return (100 + percent) * F.least(f"{x}.left", f"{y}.left") >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    def screened(lists: DataFrame) -> DataFrame:
-        """As crossed, but each pair once, at the first shingle of both prefixes, and only if the prefixes share enough.
+    def crossed(some: DataFrame) -> DataFrame:
+        """All pairs of the given lists whose labels differ."""
+        two = some.alias("x").join(some.alias("y"), F.col("x.token") == F.col("y.token"))
+        two = two.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
+        return two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(1).cast("long").alias("parts")).distinct()
 
-        Beyond its prefix a set has T0 - 1 shingles, T0 = ceil(percent * n / 100), so that a pair which needs T
-        shares T - T0 + 1 within the prefixes at least, for the larger of its two T0.
-        """
-        with_prefix = lists.join(prefixes, "node")
-        other = with_prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"), F.col("prefix").alias("other_prefix"))
-        before = lambda x: F.slice(x, 1, F.array_position(x, F.col("token")).cast("int") - 1)
-        first = ~F.arrays_overlap(before(F.col("prefix")), before(F.col("other_prefix")))
-        least = F.ceil(percent * (F.col("n") + F.col("m")) / t) - F.ceil(percent * F.greatest("n", "m") / F.lit(100)) + 1
-        enough = F.size(F.array_intersect("prefix", "other_prefix")) >= least
-        j = with_prefix.withColumnRenamed("node", "a").join(other, "token")
-        return j.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & able & first & enough).select("a", "b")
-
-    def starred(lists: DataFrame, turn: int) -> DataFrame:
-        first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("label").alias("other"))).alias("s"))
-        pairs = lists.withColumnRenamed("node", "b").join(first.select("token", "s.a", "s.m", "s.other_left", "s.other"), "token")
-        return pairs.where((F.col("a") != F.col("b")) & (F.col("label") != F.col("other")) & able).select("a", "b")
+    def starred(some: DataFrame, turn: int) -> DataFrame:
+        """For each node one partner: the best of the stars of its lists, a list's star being its best node.
 
-    # a meeting needs left >= T of itself with the smallest partner there can be
-    lists = posts.where(F.col("left") * 100 >= F.col("n") * percent).select("token", "node", "n", "left", "c", F.col("node").alias("label"))
-    long = lists.where(F.col("c") > SHORT)
-    pairs = crossed(lists.where(F.col("c") <= SHORT)).unionByName(starred(long, 0)).distinct()
-    tried, links = None, None
-    turn = 0
-    while True:
-        if tried is not None:
-            both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "jaccard-pairs")
-        new = staged(_verify(pairs, sets, percent), "jaccard-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        Better is, at first, what has the fewest shingles of its own (a group's centre has few), then what
+        comes first by a hash, so that the nodes of a group choose alike. Later turns go by other hashes.
+        """
+        own = F.col("skip") / F.col("n") if turn == 0 else F.lit(0.0)
+        star = some.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "left", "label")).alias("s"))
+        star = staged(star, "jaccard-stars").select(F.col("token").alias("__token"), "s.*")
+        met = some.alias("x").join(star.alias("y"), F.col("token") == F.col("__token")).where((F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
+        best = met.groupBy("x.node").agg(F.min(F.struct("y.own", "y.h", F.col("y.node").alias("a"), F.ceil(F.col("c") / F.lit(block)).cast("long").alias("parts"))).alias("s"))
+        return best.select("s.a", F.col("node").alias("b"), "s.parts")
+
+    lists = lists.withColumn("label", F.col("node"))
+    pairs = crossed(lists.where(F.col("c") <= short))
+    lists = lists.where(F.col("c") > short)
+    links = None
+    for turn in range(star_rounds + 1):
+        if turn < star_rounds:
+            more = starred(lists, turn)
+        else:
+            more, crowded = _screen_blocks(lists, percent, block)
+            more = more.withColumn("parts", F.lit(1).cast("long"))
+            if crowded is not None:
+                new = staged(_search_blocks(crowded, sets, percent), "jaccard-links")
+                links = new if links is None else links.unionByName(new)
+        pairs = more if pairs is None else pairs.unionByName(more)
+        new = staged(_verify(staged(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
         links = new if links is None else links.unionByName(new)
-        if turn >= star_rounds:
+        if turn == star_rounds:
             break
-        found = staged(_some_labels(links), "jaccard-found")
-        long = long.drop("label", "c").join(found, "node", "left").select("token", "node", "n", "left", F.coalesce("found", "node").alias("label"))
-        mixed = long.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
-        mixed = staged(mixed, "jaccard-mixed")
-        cross, size = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not cross:
+        labels = staged(_labels(links), "jaccard-found")
+        lists = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.max("c").alias("most")).where("s > most")
+        lists = staged(lists.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
+        if not lists.take(1):
             break
-        long = staged(long.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
-        last = turn == star_rounds - 1 or cross <= 4 * size
-        pairs = (screened(long) if last else starred(long, turn + 1)).distinct()
-        turn = star_rounds if last else turn + 1
+        pairs = None
     return links
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2, short: int = SHORT, block: int = GROUP) -> DataFrame:
     """Connected components of documents whose sets of k-word shingles have Jaccard similarity >= percent / 100.
 
     docs needs doc_id and text; other columns are ignored. Words are runs of anything but space and \\t to
@@ -256,33 +379,36 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
     of its component; its own if alone). Repeated rows and equal texts are one class; rows of one doc_id
     with other texts are judged by their texts. An empty table gives none.
 
-    1. Equal sets are one node. Shingles are ordered by class (found in one document only first, then by
-       how often they occur), then by hash; a node posts the shared ones in its prefix of n - T + 1. What
-       links meets at a posting, and frequent passages come last, so their lists stay out of most prefixes.
-    2. All pairs of a short list are searched. A long list's nodes are searched against its first node
-       (star); what links has that node's label, and no pair of one label is looked at again. A group of
-       any number of near copies costs a few pairs a node.
-    3. Every remaining pair of a long list whose labels differ is searched. Nothing is capped: a pair is
-       left out only if its sizes can't reach the similarity, or if both are connected.
+    1. Equal sets are one node, named by 128 bits. Shingles are ordered by class (found in one document only
+       first, then by how often they occur), then by hash; a node posts the shared ones in its prefix of
+       n - T + 1. What links meets at a posting, and frequent passages come last, so their lists stay out of
+       most prefixes. Of lists with the same nodes only the first in that order stays.
+    2. All pairs of a short list are searched. Of the long lists each node is searched against one star, in
+       star_rounds turns: it makes one pair a node and turn, and one link at most. What links has one label.
+    3. Lists that still hold several labels are dealt into blocks, and each two blocks meet in a task: it
+       names the pairs whose prefixes allow a link, or, where those are many, is searched whole. Nothing is
+       capped: a pair is left out only if it can't reach the similarity, or if both are connected.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = staged(_prefixes(docs, k, percent), "jaccard-nodes")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix"))
+    nodes = staged(nodes, "jaccard-sets-named")
     posts = nodes.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "token"), "node", "n", "skip", "first")
-    posts = posts.select("token", "node", "n", "first", (F.col("n") - F.col("skip") - F.col("at")).alias("left"))
-    posts = staged(posts, "jaccard-posts")
-    listed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    posts = staged(posts.join(listed, "token"), "jaccard-lists")
-    searched = staged(posts.select("node", "first").distinct(), "jaccard-searched")
+    posts = posts.select("token", "node", "n", "skip", "first", (F.col("n") - F.col("skip") - F.col("at")).alias("left"))
+    # a meeting needs left >= T of itself with the smallest partner there can be
+    posts = posts.where(F.col("left") * 100 >= F.col("n") * percent)
+    name = F.xxhash64("node")
+    listed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(name.cast("decimal(38,0)")).alias("f"), F.sum(F.xxhash64(name, F.lit(1)).cast("decimal(38,0)")).alias("g"), F.sum("left").alias("left")).where("c > 1")
+    # lists of the same nodes: the first of them in the global order, at which each has most left, stands for all
+    listed = staged(listed.groupBy("c", "f", "g").agg(F.max_by("token", "left").alias("token"), F.count(F.lit(1)).alias("mult")).select("token", "c", "mult"), "jaccard-listed")
+    lists = staged(posts.join(listed, "token"), "jaccard-lists")
+    searched = staged(lists.select("node", "first").distinct(), "jaccard-searched")
     n_searched = searched.count()
-    labels = None
+    named = nodes.select("node", "first")
     if n_searched:
-        prefixes = nodes.where(F.size("prefix") > 0).select("node", "prefix")
         sets = staged(_sets_of(docs, searched, n_searched, k), "jaccard-sets")
-        labels = staged(components(_links(posts, prefixes, sets, percent, star_rounds)), "jaccard-labels")
-    named = nodes.select("node", "first")
-    if labels is not None:
+        labels = components(_links(lists.drop("first"), sets, percent, star_rounds, short, block))
         named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("first").alias("component"))
         named = named.join(least, "comp").select("node", "component")
@@ -299,16 +425,20 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     A class is as in jaccard_classes, and rows are told apart by doc_id and text: a row goes only if its own
     text's class has a smaller member, or if it repeats a row's doc_id and text. So an id with texts of two
     classes can stay with one of them, or with both; documents without shingles stay each. Rows with a null
-    doc_id have no name to be dropped by, and stay.
+    doc_id have no name to be dropped by, and stay. Columns of any names return unchanged; an empty table
+    gives none. Rows that surely stay are not shuffled.
     """
     key = F.xxhash64(F.col("text").cast("string"))
     named = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", key.alias("key"))).alias("doc_id"), "text")
-    classes = staged(jaccard_classes(named, k, percent), "jaccard-classes")
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (key == F.col("__key")), "left_anti")
-    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.take(1):
-        nth = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text"))
-        first = kept.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-        kept = first.unionByName(kept.where("doc_id IS NULL"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = staged(jaccard_classes(named, k, percent), "jaccard-classes").where("doc_id IS NOT NULL")
+    name_id, name_key, name_nth = (unused(c, docs) for c in ("__id", "__text_key", "__nth"))
+    gone = classes.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("late"), F.count(F.lit(1)).alias("rows"))
+    gone = gone.where("late = 1 OR rows > 1").select(F.col("doc_id.doc_id").alias(name_id), F.col("doc_id.key").alias(name_key), "late")
+    gone = staged(gone, "jaccard-gone")
+    rest, some = parted(docs, [F.col("doc_id"), key], gone.select(name_id, name_key))
+    late = gone.where("late = 1")
+    some = some.join(late, (F.col("doc_id") == F.col(name_id)) & (key == F.col(name_key)), "left_anti")
+    # whatever may repeat comes once; rows without an id are all kept
+    nth = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text"))
+    some = some.withColumn(name_nth, F.when(F.col("doc_id").isNotNull(), nth).otherwise(1)).where(F.col(name_nth) == 1)
+    return rest.unionByName(some.drop(name_nth)).select(*[F.col(f"`{c}`") for c in docs.columns])

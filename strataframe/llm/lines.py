@@ -320,7 +320,7 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     pairs = few.where("indexed").alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & close)
     ends = [F.struct(F.col(f"{s}.h"), F.col(f"{s}.hash")) for s in "xy"]
     pairs = pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
-    many = lists.where(F.col("c") > short)
+    many = lists.where(F.col("c") > short).drop("c")
     hot = bool(many.take(1))
     if hot:
         many = staged(many.join(firsts, "h"), "line-long")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BitFilter, filter_bits, power_of_two, staged
+from .common import BitFilter, filters_of, power_of_two, staged
 
 #: Keys are gathered from about so many words before they are packed.
 _FLUSH = 2_000_000
@@ -83,5 +83,4 @@ def find_shared(docs: DataFrame, keys_of: Callable[[object], Iterator[np.ndarray
     packed = docs.select("text").mapInArrow(blocks, "bucket long, low binary")
     shared = staged(packed.groupBy("bucket").applyInArrow(count, "tok long, level int"), "shared")
     sizes = {r["level"]: r["n"] for r in shared.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    filters = [filter_bits(shared.where(F.col("level") > i), "tok", sum(n for k, n in sizes.items() if k > i)) for i in range(len(levels))]
-    return SharedKeys(shift, filters)
+    return SharedKeys(shift, filters_of(shared, "tok", [sum(n for k, n in sizes.items() if k > i) for i in range(len(levels))]))
