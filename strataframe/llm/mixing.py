@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucketed, prefix_within, staged, unit_hash, word_count
+from .common import small, staged, unit_hash, unused, word_count
 
 
 def allocate(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -32,57 +32,123 @@ def allocate(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return s.select("source", "source_size", F.least("__cap", F.col("__w") * F.coalesce("__lambda", F.lit(float("inf")))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", per_bucket: int = 4096) -> DataFrame:
+def size_class(size: Column) -> Column:
+    """Bit length of a size less one; -1 for 0."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(-1)
+
+
+def expected_copies(classes: DataFrame, most: float) -> DataFrame:
+    """Add to (source, class, words, target): certain whole copies, inclusion probability of one more, words left for it.
+
+    A document's expected copies grow with the fourth root of its size class, up to `most`, at the level that
+    gives the source's words their target: min(most, weight * level). Found as in allocate, over the at most
+    64 classes of a source.
+    """
+    s = classes.withColumn("__g", F.sqrt(F.sqrt(F.pow(F.lit(2.0), F.col("class")))))
+    order = Window.partitionBy("source").orderBy(F.col("class").desc())
+    whole = Window.partitionBy("source")
+    full_before = F.coalesce(F.sum(F.col("words") * F.lit(float(most))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_weight = F.sum(F.col("__g") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    s = s.withColumn("__level", (F.col("target") - full_before) / open_weight)
+    s = s.withColumn("__lambda", F.max(F.when(F.col("__level") <= F.lit(float(most)) / F.col("__g"), F.col("__level"))).over(whole))
+    s = s.withColumn("__e", F.least(F.lit(float(most)), F.col("__g") * F.coalesce("__lambda", F.lit(float("inf")))))
+    s = s.withColumn("certain", F.floor(F.col("__e") + F.lit(1e-12)).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("__e") - F.col("certain")))
+    return s.withColumn("rest", F.col("target") - F.sum(F.col("certain") * F.col("words")).over(whole)).drop("__g", "__level", "__lambda", "__e")
+
+
+def pareto_rank(u: Column, p: Column) -> Column:
+    """Random odds divided by inclusion odds; null where nothing is to be drawn."""
+    return F.when(p > 0, u / (1 - u) / (p / (1 - p)))
+
+
+def mixture_plan(base: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """What decides each document's copies, a row for each source and size class of base(doc_id, source, size, u).
+
+    Within a source the lowest ranks are taken whose words come nearest to what the certain copies leave of
+    its target. Where that ends is found in two steps: words by bucket of rank, sqrt(rows) buckets a source,
+    then the order within the one bucket in which it lies. So no task holds a source.
+    """
+    classes = base.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    classes = staged(classes, "mix-classes")
+    targets = allocate(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    targets = targets.withColumnRenamed("source", "__source")
+    classes = classes.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    drawn = expected_copies(classes.where("class >= 0"), most)
+    none = classes.where("class < 0").withColumn("certain", F.lit(0).cast("long")).withColumn("p", F.lit(0.0)).withColumn("rest", F.lit(0.0))
+    whole = Window.partitionBy("source")
+    some = F.col("p") > 0
+    plan = drawn.unionByName(none).withColumn("buckets", F.ceil(F.sqrt(F.sum("rows").over(whole))).cast("long"))
+    # the mean odds make the bucket of a rank about uniform
+    mean = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.sum(F.when(some, F.col("p") * F.col("rows"))).over(whole) / F.sum(F.when(some, F.col("rows"))).over(whole)))
+    plan = staged(plan.withColumn("odds", mean / (1 - mean)), "mix-plan")
+    ranked = ranked_by(base, plan).where("rank IS NOT NULL")
+    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).where("start <= rest")
+    last = staged(starts.groupBy("source").agg(F.max(F.struct("bucket", "start")).alias("l")).select(F.col("source").alias("__source"), F.col("l.bucket").alias("last"), "l.start"), "mix-buckets")
+    inside = ranked.join(small(last), F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("last")))
+    inside = inside.groupBy("source", "start", "rest", "place").agg(F.sum("size").alias("words"))
+    earlier = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # what crosses the rest is taken if that ends nearer to it
+    taken = inside.withColumn("before", F.col("start") + earlier).where(F.col("before") + F.col("words") / 2 <= F.col("rest"))
+    cut = taken.groupBy(F.col("source").alias("__cut_source")).agg(F.max("place").alias("cut"))
+    plan = plan.join(last.drop("start"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    return staged(plan, "mix-cuts")
+
+
+def ranked_by(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """base(..., source, size, u) with its row of the plan, and rank, bucket and place (the order of ranks, ties by id and size)."""
+    own = plan.withColumnRenamed("source", "__source").withColumnRenamed("class", "__class").drop("words", "rows")
+    out = base.join(small(own), F.col("source").eqNullSafe(F.col("__source")) & (size_class(F.col("size")) == F.col("__class"))).drop("__source", "__class")
+    out = out.withColumn("rank", pareto_rank(F.col("u"), F.col("p")))
+    key = F.col("rank") * F.col("odds")
+    out = out.withColumn("bucket", F.least(F.floor(key / (1 + key) * F.col("buckets")), F.col("buckets") - 1))
+    return out.withColumn("place", F.struct("rank", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "size"))
+
+
+def copies_by_plan() -> Column:
+    """The copies of a row of ranked_by, once the plan has its cuts."""
+    more = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (F.col("place") <= F.col("cut")))
+    return (F.col("certain") + F.coalesce(more.cast("long"), F.lit(0))).cast("long")
+
+
+def sized(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"))
+
+
+def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """How many copies of each document a mixture of the sources takes.
 
     docs needs doc_id, text, source; other columns are ignored. Returns one row per input row: doc_id, size
     (words), source, source_size, target (words of its source), rank, copies, taken (copies * size).
 
-    A source whose target is q times its size gives every document floor(q) certain copies. One more goes
-    to a sample in which a document has inclusion probability p = q - floor(q): documents are ranked by
-    their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and the lowest ranks are
-    taken, as many as bring the source's words nearest its target. Every document has its own u, from its
-    id, so reruns agree. Odds differ by source; the ranks are comparable over the whole corpus.
+    A document's expected copies differ by source and by size class (see expected_copies), `most` at most.
+    It gets their whole part for certain. One more goes to a Pareto sample in which its inclusion probability
+    p is the rest: documents are ranked by random odds u / (1 - u) divided by inclusion odds p / (1 - p), and
+    a fixed number of the lowest ranks of each source is taken, the number that brings its words nearest the
+    target. Every document has its own u, from its id, so reruns agree. A fractional `most` bounds expected
+    copies; copies themselves are whole and may be the next larger number.
 
     A null text has size 0 and takes 0; an all-null source has target 0; null is a source of its own;
-    repeated rows are separate documents, ties in rank being ordered by id and size; an empty table gives
-    none. Ranks are summed by (source, bucket of rank) of about per_bucket rows, so a source with a third
-    of all rows is spread over many tasks.
+    repeated rows of one id and size are taken alike, ties in rank are ordered by id (null last) and size;
+    an empty table gives none.
     """
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    base = staged(base, "mix-sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs"))
-    plan = allocate(totals.select("source", "source_size"), weights, share, most)
-    plan = plan.join(totals.select(F.col("source").alias("__s"), "__docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("__certain", F.floor(q + F.lit(1e-12)).cast("long"))
-    plan = plan.withColumn("__p", F.greatest(F.lit(0.0), q - F.col("__certain")))
-    plan = plan.withColumn("__rest", F.col("target") - F.col("__certain") * F.col("source_size"))
-    plan = staged(plan.withColumnRenamed("source", "__source"), "mix-plan")
-    joined = base.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    joined = joined.withColumn("__u", unit_hash(seed, F.col("doc_id")))
-    # p = 0 ranks nothing and p is under 1, so the odds are finite; rank / (1 + rank) orders alike, within [0, 1)
-    odds = F.col("__p") / (1 - F.col("__p"))
-    joined = joined.withColumn("rank", F.when(F.col("__p") > 0, F.col("__u") / (1 - F.col("__u")) / odds))
-    joined = bucketed(joined, "source", "__u", "__docs", per_bucket)
-    ordered = prefix_within(joined, ["source"], [F.col("__u").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()], F.col("size"))
-    # the document that crosses the rest is taken if that ends nearer to it
-    take = (F.col("__p") > 0) & (F.col("__before") + F.col("size") / 2 <= F.col("__rest"))
-    out = ordered.withColumn("copies", F.col("__certain") + F.when(take, 1).otherwise(0))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.least("copies", F.lit(int(most)))).otherwise(F.lit(0)).cast("long"))
+    base = staged(sized(docs, seed), "mix-sizes")
+    out = ranked_by(base, mixture_plan(base, weights, share, most)).withColumn("copies", copies_by_plan())
     return out.select("doc_id", "size", "source", "source_size", "target", "rank", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mixture takes its document, with the columns of docs.
+def take_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """docs with each row as often as the mixture takes it, with the columns of docs.
 
-    Rows of one doc_id count as one document with all their words; each of them is taken equally often.
-    Documents without words are taken as often as the certain copies of their source, once at least: they
-    have no weight in any target.
+    Rows without words have no weight in any target and stay once each. Texts are never shuffled: a row's
+    copies follow from its own id, source and size and from the plan, which has a row for each source and
+    size class. Columns of any names return unchanged; an empty table gives none.
     """
-    mix = pareto_mix(docs, **options)
-    copies = mix.groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.max("size").alias("__size"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies")).cast("int").alias("__copies"))
-    rows = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixture_plan(staged(sized(docs, seed), "mix-sizes"), weights, share, most)
+    row = unused("__row", docs)
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"))
+    copies = F.when(F.col("size") > 0, copies_by_plan()).otherwise(1).cast("int")
+    out = ranked_by(packed, plan).withColumn("copies", copies).where("copies > 0")
+    return out.select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")

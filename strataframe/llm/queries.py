@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contamination, jaccard, langid, lines, mixing, quality, rulestats, secrets, sharding, substrings
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,8 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings, _ = secrets.scan_versions(versions)
-    return secrets.digest(findings)
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    return secrets.digest(ledger.scan(versions))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +92,19 @@ l AS (SELECT *, cap / w AS ratio,
   (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, w * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM l),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS q FROM t),
-c AS (SELECT *, floor(q + 1e-12)::BIGINT AS certain FROM q),
-j AS (SELECT b.doc_id, b.size, c.source_size, c.target, certain, greatest(0.0, q - certain) AS p, target - certain * source_size AS rest,
-  coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY u, b.doc_id NULLS LAST, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM base b JOIN c ON b.source IS NOT DISTINCT FROM c.source),
-k AS (SELECT *, CASE WHEN size > 0 THEN least(2, certain + CASE WHEN p > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS copies FROM j)
+c AS (SELECT source, length(bin(size)) - 1 AS cls, sum(size)::BIGINT AS words FROM base WHERE size > 0 GROUP BY ALL),
+g AS (SELECT c.*, t.target, sqrt(sqrt(pow(2.0::DOUBLE, cls))) AS g FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+v AS (SELECT *, (target - coalesce(sum(words * 2.0::DOUBLE) OVER (PARTITION BY source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(g * words) OVER (PARTITION BY source ORDER BY cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g),
+e AS (SELECT *, least(2.0::DOUBLE, g * coalesce(max(CASE WHEN level <= 2.0::DOUBLE / g THEN level END) OVER (PARTITION BY source), 'inf'::DOUBLE)) AS e FROM v),
+p AS (SELECT *, floor(e + 1e-12)::BIGINT AS certain, greatest(0.0, e - floor(e + 1e-12)) AS p FROM e),
+r AS (SELECT *, target - sum(certain * words) OVER (PARTITION BY source) AS rest FROM p),
+j AS (SELECT b.doc_id, b.source, b.size, r.certain, r.p, r.rest, CASE WHEN r.p > 0 THEN u / (1 - u) / (r.p / (1 - r.p)) END AS rank
+  FROM base b JOIN r ON b.source IS NOT DISTINCT FROM r.source AND b.size > 0 AND length(bin(b.size)) - 1 = r.cls),
+o AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j),
+n AS (SELECT doc_id, source, size, certain + CASE WHEN rank IS NOT NULL AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM o
+  UNION ALL SELECT doc_id, source, size, 0 FROM base WHERE size = 0),
+k AS (SELECT n.doc_id, n.size, t.source_size, t.target, n.copies::BIGINT AS copies FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k""",
 }
 
