@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,13 +64,18 @@ def prefix_within(df: DataFrame, group: list[str], order: list[Column], value: C
     """Add __before: the exact sum of `value` over the rows of the same group that come earlier.
 
     df has __bucket, increasing along `order`. Sums meet by (group, bucket), so that no task holds a whole
-    group; only the per-bucket sums of one group are put in order together.
+    group. The buckets' sums are put in order in runs of 4,096 buckets, and the runs' sums together: of 10**10
+    rows in buckets of 4,096, those are some 600 a group.
     """
     keys = [*group, "__bucket"]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    over = over.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__start"))
+    sums = staged(sums.withColumn("__run", F.floor(F.col("__bucket") / 4096)), "bucket-sums")
+    before = lambda w, c: F.coalesce(F.sum("__sum").over(w.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy(*group, "__run").agg(F.sum("__sum").alias("__sum"))
+    runs = runs.select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("__run").alias("__nth_run"), before(Window.partitionBy(*group or [F.lit(0)]), "__run").alias("__run_start"))
+    on = [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group]
+    starts = sums.withColumn("__start", before(Window.partitionBy(*group, "__run"), "__bucket"))
+    starts = starts.join(small(runs), reduce(and_, on, F.col("__run") == F.col("__nth_run"))).select(*keys, (F.col("__start") + F.col("__run_start")).alias("__start"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     on = [ranked[k].eqNullSafe(starts[k]) for k in keys]
@@ -139,6 +146,11 @@ def filter_bits(keys: DataFrame, column: str, count: int, most: int = 1 << 29) -
     return filters_of(keys.select(column), column, [count], most)[0]
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows (a row a source, say); else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """`name`, or with more underscores if a column of the frames is called so (in any case)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -13,6 +13,8 @@ from .tokens import NOT_ALNUM, windows, words
 
 #: Benchmark words held by one block of the broadcast; a larger benchmark takes several blocks, one in memory at a time.
 BLOCK_WORDS = 2_000_000
+#: Bytes of documents that are searched together if there are several blocks.
+HELD_BYTES = 64 << 20
 
 
 class Block:
@@ -83,44 +85,63 @@ def hits_of(w, block: Block):
                 j += 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS, prefix: str = "__") -> DataFrame:
     """Where documents hold n-word windows of benchmark items.
 
     docs needs doc_id and text, benchmark item_id and text. Words are runs of anything but ASCII that is no
     letter or digit, A-Z lower-cased; an item of fewer than n words, but not none, is one window. All of
     docs' columns return (names of their own that clash are replaced), with __n_words, __n_hit (words inside
     a window's occurrence), __items (sorted distinct item_ids) and __spans (array<struct<start,end>>: bytes
-    of the UTF-8 text from the first to past the last word of each stretch of hit words).
+    of the UTF-8 text from the first to past the last word of each stretch of hit words); prefix goes before
+    these names.
 
     Null and empty texts have no words and no hits; items with a null item_id count under an empty one;
     equal items under their own ids; an empty benchmark hits nothing; empty docs give none.
 
-    The benchmark is broadcast in blocks of block_words words, so that a benchmark of any size takes bounded
-    memory; documents are scanned once, each batch against one block after the other, and never shuffled.
+    The benchmark is broadcast in blocks of block_words words, of which a task has one in memory at a time,
+    so that a benchmark of any size takes bounded memory (and its own size on an executor's disk). Documents
+    are scanned once and never shuffled; some HELD_BYTES of them are held against one block after the other.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, n, block_words)]
-    added = ["__n_words", "__n_hit", "__items", "__spans"]
+    added = [prefix + c for c in ("n_words", "n_hit", "items", "spans")]
     docs = docs.drop(*added)
     text_at = docs.columns.index("text")
 
-    def run(batches):
-        import pyarrow as pa
-
+    def held(batches):
+        """Lists of batches that are searched together: one each with a single block, else some HELD_BYTES."""
+        mine, size = [], 0
         for b in batches:
-            w = words(b.column(text_at), True, NOT_ALNUM)
-            steps = np.zeros(len(w.start) + 1, np.int64)
-            items: list[set] = [set() for _ in range(b.num_rows)]
+            mine.append(b)
+            size += b.nbytes
+            if len(shared) == 1 or size >= HELD_BYTES:
+                yield mine
+                mine, size = [], 0
+        if mine:
+            yield mine
+
+    def searched(batches):
+        for mine in held(batches):
+            split = [words(b.column(text_at), True, NOT_ALNUM) for b in mine]
+            steps = [np.zeros(len(w.start) + 1, np.int64) for w in split]
+            items: list[list[set]] = [[set() for _ in range(b.num_rows)] for b in mine]
             for s in shared:
                 block = s.value
-                for text, i, size, found in hits_of(w, block):
-                    steps[i] += 1
-                    steps[i + size] -= 1
-                    items[text].update(block.ids[k] for k in found)
+                for j, w in enumerate(split):
+                    for text, i, size, found in hits_of(w, block):
+                        steps[j][i] += 1
+                        steps[j][i + size] -= 1
+                        items[j][text].update(block.ids[k] for k in found)
                 if len(shared) > 1:  # the worker reads a block again from its executor's disk when it is needed
                     del block
                     s.__dict__.pop("_value", None)
+            yield from zip(mine, split, steps, items, strict=True)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b, w, steps, items in searched(batches):
             hit = np.cumsum(steps)[:-1] > 0
             sums = np.r_[0, np.cumsum(hit)]
             spans = []
@@ -140,26 +161,43 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *added])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "__n_words long, __n_hit long, __items array<string>, __spans array<struct<start:long,end:long>>"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "`{}` long, `{}` long, `{}` array<string>, `{}` array<struct<start:long,end:long>>".format(*added)))
+
+
+def own_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = 0) -> DataFrame:
-    """The documents with at most `most` hit words, with the columns of docs."""
-    found = find_contamination(docs, benchmark, n)
-    return found.where(F.col("__n_hit") <= most).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with at most `most` hit words, with the columns of docs.
+
+    Null and empty texts stay, repeated rows fare alike, columns of any names (the operator's own too) return
+    unchanged, an empty table gives none, and an empty benchmark removes nothing.
+    """
+    prefix = own_prefix(docs)
+    found = find_contamination(docs, benchmark, n, prefix=prefix)
+    return found.where(F.col(prefix + "n_hit") <= most).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, mark: str = " ") -> DataFrame:
-    """Every document, with each stretch of hit words in its text replaced by `mark`."""
-    found = find_contamination(docs, benchmark, n)
-    text_at = found.columns.index("text")
+    """Every document, with each stretch of hit words in its text replaced by `mark`.
+
+    Null and empty texts are left as they are; otherwise as remove_documents.
+    """
+    prefix = own_prefix(docs)
+    found = find_contamination(docs, benchmark, n, prefix=prefix)
+    text_at, spans_at = found.columns.index("text"), found.columns.index(prefix + "spans")
 
     def cut(batches):
         import pyarrow as pa
 
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(text_at).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_at).to_pylist(), b.column(spans_at).to_pylist(), strict=True):
                 if spans:
                     raw, parts, at = text.encode(), [], 0
                     for s in spans:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, unit_hash, with_fields
+from .common import small_batches, staged, unit_hash, unused, with_fields
 from .tokens import text_buffer
 
 #: n-grams of 1 to ORDERS code points are hashed to FEATURES buckets each way.
@@ -18,7 +16,6 @@ FIT_ROWS, CALIBRATE = 800, 5
 MAX_LANGS = 512
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
 
 
@@ -30,6 +27,20 @@ def code_points(column) -> tuple[np.ndarray, np.ndarray]:
     return np.where((points >= 65) & (points <= 90), points + np.uint32(32), points), heads[texts]
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def has_letter(column) -> np.ndarray:
+    """Whether each text of an Arrow column has a letter (a code point of a letter category; number signs are none)."""
+    data, texts = text_buffer(column)
+    sums = np.r_[0, np.cumsum(_ASCII_LETTER[data])]
+    out = sums[texts[1:]] > sums[texts[:-1]]
+    for i in np.flatnonzero(~out).tolist():
+        out[i] = any(map(str.isalpha, data[texts[i] : texts[i + 1]].tobytes().decode()))
+    return out
+
+
 def grams(points: np.ndarray, order: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each code point."""
     n = len(points) - order + 1
@@ -190,11 +201,11 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return fit([r[1:] for r in sorted(rows, key=lambda r: (r[0], r[1]))], df, int(n_docs))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and score (the calibrated probability; 0 for `und`)."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with lang_pred and score (the calibrated probability; 0 for `und`), under the given names."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = spark.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
@@ -207,13 +218,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             points, at = code_points(column)
             p = softmax(m.logits(points, at) / m.temp)
             best = p.argmax(1)
-            data, texts = text_buffer(column)
-            letter = [bool(_LETTER.search(data[texts[i] : texts[i + 1]].tobytes().decode())) for i in range(b.num_rows)]
+            letter = has_letter(column)
             lang = [m.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letter, strict=True)]
             score = np.where(letter, p[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "`{}` string, `{}` double".format(*names)))
 
 
 def fold(doc_id, parts: int):
@@ -221,11 +231,11 @@ def fold(doc_id, parts: int):
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(parts))
 
 
-def identify(docs: DataFrame, held_out: int = 2, parts: int = 4, fit_rows: int = FIT_ROWS) -> DataFrame:
+def identify(docs: DataFrame, held_out: int = 2, parts: int = 4, fit_rows: int = FIT_ROWS, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """Predict the language of every whole text, learning from the labelled rows outside one fold.
 
     docs needs doc_id, text and lang; all its columns return (but own lang_pred, score, held_out, which are
-    replaced), with held_out, lang_pred and score. Predictions take the text alone. A text that is null or
+    replaced), with held_out, lang_pred and score (or other `names`). Predictions take the text alone. A text that is null or
     has no letter is `und` with score 0; so is every text if no row is labelled. Repeated rows fare alike;
     an empty table gives none.
 
@@ -233,12 +243,17 @@ def identify(docs: DataFrame, held_out: int = 2, parts: int = 4, fit_rows: int =
     of a weight per n-gram and texts of any length are scored in one pass over their characters.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop(*names)
     model = train(docs.where(fold(F.col("doc_id"), parts) != held_out).select("doc_id", "text", "lang"), fit_rows)
-    return predict(docs, model).withColumn("held_out", fold(F.col("doc_id"), parts) == held_out)
+    return predict(docs, model, names[1:]).withColumn(names[0], fold(F.col("doc_id"), parts) == held_out)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is determined with a score of `least` or more, with the columns of docs."""
-    out = identify(docs)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents whose language is determined with a score of `least` or more, with the columns of docs.
+
+    Null, empty and letterless texts go, and, if no row is labelled, all; repeated rows fare alike; columns of
+    any names, also the operator's own, return unchanged; an empty table gives none.
+    """
+    names = tuple(unused(c, docs) for c in ("__held_out", "__lang_pred", "__score"))
+    out = identify(docs, names=names)
+    return out.where((F.col(names[1]) != UNDETERMINED) & (F.col(names[2]) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -87,13 +87,18 @@ class Space:
         k = min(self.k, cos.shape[1])
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
         sim = np.maximum(np.take_along_axis(cos, near, 1), 0.0).astype(np.float64)
-        vote = sim**4 * self.weight[near]
-        total = vote.sum(1)
+        votes = vote(sim) * self.weight[near]
+        total = votes.sum(1)
         some = total > 0
-        out[some] = (vote * self.labels[near]).sum(1)[some] / total[some]
+        out[some] = (votes * self.labels[near]).sum(1)[some] / total[some]
         return np.clip(out, 0.0, 1.0)
 
 
+def vote(similarity):
+    """A neighbour's weight: the fourth power of its cosine, so that among near-equal cosines the nearer ones tell."""
+    return similarity**4
+
+
 def _sample(labels: DataFrame, fit_rows: int) -> DataFrame:
     """(doc_id, y, __w): at most fit_rows rows of each label, by least hash, with the rows each stands for."""
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
@@ -157,9 +162,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 0, parts:
 
     Texts are counts of byte-class trigrams and of hashed words, weighted by log TF and IDF over the whole
     corpus, in the latent space of a truncated SVD. The labelled vectors are broadcast (2 * fit_rows rows at
-    most), and every document's exact cosines with all of them are computed in blocks; the nearest vote by
-    similarity, each for the labelled rows that it stands for. A text without terms or without a similar
-    neighbour gets the share of label 1; without labels, 0.5. An empty table gives none.
+    most), and every document's exact cosines with all of them are computed in blocks; the nearest vote by the
+    fourth power of similarity (see vote), each for the labelled rows that it stands for. A text without terms
+    or without a similar neighbour gets the share of label 1; without labels, 0.5. An empty table gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)

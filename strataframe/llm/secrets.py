@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ RULES = BASE + EXTRA
 RULE_VERSION = "2"
 
 SPAN = "struct<start:long,nth:int,kind:string,end:long>"
+#: Spans of a text that are gathered in one list before the next is begun.
+PART = 256
 
 
 def spans_of(text: Column, rule: Rule, nth: int) -> Column:
@@ -49,7 +51,8 @@ def spans_of(text: Column, rule: Rule, nth: int) -> Column:
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+    empty = F.from_json(F.lit("[]"), f"array<array<{SPAN}>>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("part"), empty.alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -57,10 +60,15 @@ def spans_of(text: Column, rule: Rule, nth: int) -> Column:
         # the same pattern on the match alone finds the same groups, as a match never looks past its end
         size = F.length(x["match"]) if not rule.group else F.length(F.regexp_extract(x["match"], rule.pattern, rule.group))
         span = F.struct(start.alias("start"), F.lit(nth).alias("nth"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(size >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        # appending copies a list, so the spans are gathered in parts of bounded length
+        full = F.size(acc["part"]) >= PART
+        part = F.when(full, F.array(span)).otherwise(F.concat(acc["part"], F.array(span)))
+        parts = F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"])
+        hit = size >= rule.least
+        return F.struct(end.alias("at"), F.when(hit, part).otherwise(acc["part"]).alias("part"), F.when(hit, parts).otherwise(acc["parts"]).alias("parts"))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.alias("match")))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["found"])
+    found = F.aggregate(pairs, zero, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
     return F.when(F.rlike(text, F.lit(rule.hint)) if rule.hint else F.lit(True), found).otherwise(none)
 
 
@@ -75,7 +83,32 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule_version string, spans array<{SPAN}>")
+    none = F.lit(None)
+    return spark.range(0).select(none.cast("string").alias("blob"), none.cast("string").alias("rule_version"), none.cast(f"array<{SPAN}>").alias("spans"))
+
+
+class Ledger:
+    """A ledger kept as a Parquet table between scans: each scan appends what it saw for the first time.
+
+    An append that fails leaves files that a later read may meet: a blob scanned twice is one blob, as
+    entries of one blob and rule version are equal and reads are distinct by them.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        empty = empty_ledger(self.spark)
+        empty.write.mode("append").parquet(self.path)
+        return self.spark.read.schema(empty.schema).parquet(self.path).dropDuplicates(["blob", "rule_version"])
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+        """Findings of every version of every path, as scan_versions; unseen blobs are scanned and entered."""
+        known = staged(self.read(), "ledger-read")
+        done = known.where(F.col("rule_version") == rule_version).select("blob", "spans")
+        new = scan_unseen(versions, done, rules, rule_version)
+        new.write.mode("append").parquet(self.path)
+        return findings_of(versions, self.read().where(F.col("rule_version") == rule_version))
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -92,17 +125,30 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     spark = versions.sparkSession
     ledger = empty_ledger(spark) if ledger is None else ledger
     done = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-    unseen = blobs.join(done.select("blob"), "blob", "left_anti") if ledger.take(1) else blobs
+    new = staged(scan_unseen(versions, done, rules, rule_version), "ledger")
+    return findings_of(versions, done.unionByName(new.select("blob", "spans"))), ledger.unionByName(new)
+
+
+def _whole_text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def scan_unseen(versions: DataFrame, done: DataFrame, rules: tuple[Rule, ...], rule_version: str) -> DataFrame:
+    """(blob, rule_version, spans) of the texts of `versions` whose blob isn't in `done`, each once."""
+    blobs = versions.select(F.sha2(_whole_text(), 256).alias("blob"), _whole_text().alias("text"))
+    unseen = blobs.join(done.select("blob"), "blob", "left_anti") if done.take(1) else blobs
     unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    new = staged(scan_blobs(unseen, rules).withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "spans"), "ledger")
-    known = done.unionByName(new.select("blob", "spans")).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    keep = [c for c in versions.columns if c.lower() not in ("text", "blob", "spans")]
-    paths = versions.select(*keep, F.sha2(text, 256).alias("blob"))
+    return scan_blobs(unseen, rules).withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "spans")
+
+
+def findings_of(versions: DataFrame, done: DataFrame) -> DataFrame:
+    """The spans of done(blob, spans) joined back to every version of every path."""
+    name_blob, name_spans = unused("__blob", versions), unused("__spans", versions)
+    known = done.where(F.size("spans") > 0).select(F.col("blob").alias(name_blob), F.col("spans").alias(name_spans))
+    keep = [F.col(f"`{c}`") for c in versions.columns if c.lower() not in ("text", "blob", "spans")]
+    paths = versions.select(*keep, F.sha2(_whole_text(), 256).alias("blob"))
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    findings = paths.join(known, F.col("blob") == F.col("__blob"), "left").select(*keep, "blob", F.coalesce("__spans", none).alias("spans"))
-    return findings, ledger.unionByName(new)
+    return paths.join(known, F.col("blob") == F.col(name_blob), "left").select(*keep, "blob", F.coalesce(name_spans, none).alias("spans"))
 
 
 def digest(findings: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:

@@ -15,8 +15,9 @@ def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_buck
     docs needs doc_id, text, source; other columns are ignored. Rows of a source are shuffled by a seeded
     hash and ranked; row r of n has fractional rank (r + 0.5) / n; all rows in order of fractional rank
     (then source, null last, then rank) are cut into equal runs. So any run holds each source's share to
-    within a row. The law is `rows`; equal texts are not kept together, as a large group of copies could
-    not share a shard of equal count.
+    within a row. The law is `rows`: shards' counts are at most one apart. Groups of equal texts are dealt
+    like any rows, by their own ids: kept together, a group of more rows than a shard has would break that
+    law, and copies spread over the shards are what a mixture asks for. text_crc32 names the group.
 
     Returns one row per input row: doc_id, size (UTF-8 bytes + 8; 8 for null), text_crc32 (0 for null, as
     for no bytes), source, law, shard, slot (from 0, without gaps, within the shard).
