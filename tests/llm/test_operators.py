@@ -89,7 +89,7 @@ def test_targets_are_the_fixed_point(spark):
 
 
 def test_mix_takes_near_its_targets_and_reruns_agree(spark, small):
-    mix = mixing.pareto_mix(small, per_bucket=3)
+    mix = mixing.pareto_mix(small)
     got = rows(mix, "doc_id", "taken", "copies", "size")
     assert got == rows(mixing.pareto_mix(small.repartition(7)), "doc_id", "taken", "copies", "size")
     assert all(t == c * s and c <= 2 for _, t, c, s in got)
@@ -103,6 +103,26 @@ def test_mix_of_hard_rows(hard, none):
     assert mixing.pareto_mix(none).count() == 0
     copies = mixing.take_copies(hard)
     assert copies.columns == hard.columns and mixing.take_copies(none).count() == 0
+    want = {}
+    for d, s, c in rows(mixing.pareto_mix(hard), "doc_id", "size", "copies"):
+        want[d, s] = want.get((d, s), 0) + (c if s else 1)
+    have = {}
+    for r in copies.select("doc_id", common.word_count(F.col("text")).alias("n")).collect():
+        have[r[0], r[1]] = have.get((r[0], r[1]), 0) + 1
+    assert have == {k: n for k, n in want.items() if n}
+
+
+def test_odds_differ_within_a_source(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 if i % 2 else 600), ("a", "b")[i % 3 == 0]) for i in range(4000)], "doc_id long, text string, source string")
+    mix = mixing.pareto_mix(docs)
+    mean = {(r["source"], r["size"]): r["c"] for r in mix.groupBy("source", "size").agg(F.avg("copies").alias("c")).collect()}
+    short, long = mean["b", 1], mean["b", 600]
+    assert 0 < short < 0.6 * long < 2
+    assert mix.agg(F.max("copies")).first()[0] <= 2
+    taken = {r["source"]: (r["k"], r["t"]) for r in mix.groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()}
+    assert all(abs(k - t) <= 300 for k, t in taken.values())
+    drawn = mix.where("rank IS NOT NULL").groupBy("source").agg(F.max(F.expr("CASE WHEN copies > 1 OR (copies = 1 AND size = 1) THEN rank END")).alias("hi"), F.min(F.expr("CASE WHEN copies = 0 THEN rank END")).alias("lo")).collect()
+    assert all(r["lo"] is None or r["hi"] <= r["lo"] for r in drawn if r["source"] == "a")
 
 
 # 2. secrets
