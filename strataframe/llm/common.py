@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -35,7 +36,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows and bytes, so that Python workers hold a few MB of text at a time, or one long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
@@ -159,10 +160,11 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def parted(docs: DataFrame, key: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parted(docs: DataFrame, key: list[Column], keys: DataFrame, finish: Callable | None = None, ddl: str = "") -> tuple[DataFrame, DataFrame]:
     """docs in two: rows whose key surely isn't among `keys` (columns in the order of `key`), and the others.
 
     The first part needs no join, so its texts stay where they lie; the second is about as large as `keys`.
+    With `finish`, the first part's batches go through it in the same pass, to columns `ddl`.
     """
     hashed = keys.select(F.xxhash64(*[F.col(f"`{c}`") for c in keys.columns]).alias("key"))
     keep = filter_bits(hashed, "key", keys.count())
@@ -176,9 +178,10 @@ def parted(docs: DataFrame, key: list[Column], keys: DataFrame) -> tuple[DataFra
             for b in batches:
                 hit = keep(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
                 mask = pa.array(hit if touched else ~hit)
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], b.schema.names[:-1])
+                rows = pa.RecordBatch.from_arrays([c.filter(mask) for c in b.columns[:-1]], b.schema.names[:-1])
+                yield rows if touched or finish is None else finish(rows)
 
-        return marked.mapInArrow(run, schema)
+        return marked.mapInArrow(run, schema if touched or finish is None else ddl)
 
     return part(False), part(True)
 

@@ -86,7 +86,7 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
 class Lines:
     """The lines with a word of a batch of texts: text number, line number, 64-bit hash, and bytes from start to end.
 
-    What decides anything is a line's name, 128 bits of BLAKE2b; the hash only spares work.
+    Equality is decided by a line's name, 128 bits of BLAKE2b; the hash finds candidates, which are verified.
     """
 
     def __init__(self, column):
@@ -189,14 +189,14 @@ def lanes_differ(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, h, hash, indexed, c0, c1): the probe keys of each distinct line that another line has too.
+    """(key, h, indexed, c0, c1): the probe keys of each distinct line, h by its hash, that another line has too.
 
-    h is the line's name. Which keys two lines have, a count over the corpus finds.
+    Which keys two lines have, a count over the corpus finds.
     """
 
     def fresh(lines: Lines, seen: set) -> np.ndarray:
         _, first = np.unique(lines.hash, return_index=True)
-        if len(seen) > 300_000:  # a bounded memory of lines that this task had: a speed-up only
+        if len(seen) > 100_000:  # a bounded memory of lines that this task had: a speed-up only
             seen.clear()
         new = [i for i in np.sort(first).tolist() if lines.hash[i] not in seen]
         seen.update(lines.hash[new].tolist())
@@ -219,19 +219,16 @@ def _signed(docs: DataFrame, edits: int, least: int) -> DataFrame:
             some = np.flatnonzero(shared(s.key))
             of = s.of[some]
             lanes = s.lanes(of)
-            own, back = np.unique(of, return_inverse=True)
-            names = pa.array(lines.names(s.line[own]), pa.binary()).take(pa.array(back))
             columns = [s.key[some].view(np.int64), lines.hash[s.line[of]].view(np.int64), s.index[some], lanes[:, 0], lanes[:, 1]]
-            key, *rest = [pa.array(x) for x in columns]
-            yield pa.record_batch([key, names, *rest], ["key", "h", "hash", "indexed", "c0", "c1"])
+            yield pa.record_batch([pa.array(x) for x in columns], ["key", "h", "indexed", "c0", "c1"])
 
-    posts = docs.select("text").mapInArrow(post, "key long, h binary, hash long, indexed boolean, c0 long, c1 long")
-    return posts.groupBy("key", "h", "hash").agg(F.max("indexed").alias("indexed"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+    posts = docs.select("text").mapInArrow(post, "key long, h long, indexed boolean, c0 long, c1 long")
+    return posts.groupBy("key", "h").agg(F.max("indexed").alias("indexed"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
 
 
 def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """(h, line) of the lines ends(h, hash)."""
-    keep = filter_bits(ends, "hash", ends.count())
+    """(h, name, line) of the lines ends(h); two lines of one hash are two rows."""
+    keep = filter_bits(ends, "h", ends.count())
 
     def texts(batches):
         import pyarrow as pa
@@ -242,16 +239,16 @@ def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
             _, first = np.unique(lines.hash[some], return_index=True)
             some = some[first]
             out = [lines.data[x:y].tobytes().decode() for x, y in zip(lines.start[some], lines.end[some], strict=True)]
-            yield pa.record_batch([pa.array(lines.names(some), pa.binary()), pa.array(out, pa.string())], ["h", "line"])
+            yield pa.record_batch([pa.array(lines.hash[some].view(np.int64)), pa.array(lines.names(some), pa.binary()), pa.array(out, pa.string())], ["h", "name", "line"])
 
-    found = docs.select("text").mapInArrow(texts, "h binary, line string")
-    return found.join(ends.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    found = docs.select("text").mapInArrow(texts, "h long, name binary, line string")
+    return found.join(ends, "h", "left_semi").groupBy("h", "name").agg(F.first("line").alias("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Those of pairs(a, b) whose lines are within `edits` edits."""
-    sides = [texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab"]
-    full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
+    """The names of those of pairs(a, b) whose lines are within `edits` edits."""
+    sides = [texts.select(F.col("h").alias(x), F.col("name").alias(f"name_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab"]
+    full = pairs.join(sides[0], "a").join(sides[1], "b").select("name_a", "name_b", "line_a", "line_b")
 
     def verify(batches):
         import pyarrow as pa
@@ -264,24 +261,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
-    """(h): those lines of long lists that are near an earlier line of their list, but aren't in `late` yet.
+    """(name): those lines of long lists(key, h, name, first, ...) that are near an earlier line of their list, but aren't in `late` yet.
 
     A list's open lines and all its lines are dealt into blocks, and each open block meets each block in a
     task of its own, which yields a line at most once: rows grow with the list's length times its blocks,
     never with its pairs.
     """
     late = late.withColumn("late", F.lit(True))
-    lists = staged(lists.join(late, "h", "left").withColumn("open", F.col("late").isNull()).drop("late"), "line-open")
-    flag = F.xxhash64("h", "indexed")
+    lists = staged(lists.join(late, "name", "left").withColumn("open", F.col("late").isNull()).drop("late"), "line-open")
+    flag = F.xxhash64("name", "indexed")
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("open").cast("int")).alias("o"), F.sum(flag.cast("decimal(38,0)")).alias("f")).where("o > 0")
     # lists of the same lines are searched once
     sizes = sizes.groupBy("c", "o", "f").agg(F.min("key").alias("key"))
-    part = lambda n: F.pmod(F.xxhash64("h"), F.ceil(F.col(n) / F.lit(block)).cast("long"))
+    part = lambda n: F.pmod(F.xxhash64("name"), F.ceil(F.col(n) / F.lit(block)).cast("long"))
     rows = lists.join(staged(sizes.select("key", "c", "o"), "line-sizes"), "key")
-    query = rows.where("open").select("key", part("o").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / F.lit(block)).cast("long") - 1)).alias("j"), F.lit(True).alias("asks"), "h", "indexed", "c0", "c1", "first")
-    others = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("o") / F.lit(block)).cast("long") - 1)).alias("i"), part("c").alias("j"), F.lit(False).alias("asks"), "h", "indexed", "c0", "c1", "first")
+    query = rows.where("open").select("key", part("o").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / F.lit(block)).cast("long") - 1)).alias("j"), F.lit(True).alias("asks"), "name", "indexed", "c0", "c1", "first")
+    others = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("o") / F.lit(block)).cast("long") - 1)).alias("i"), part("c").alias("j"), F.lit(False).alias("asks"), "name", "indexed", "c0", "c1", "first")
     # places compare as rank, so that Python needs no knowledge of their type
-    full = query.unionByName(others).join(texts, "h").select("key", "i", "j", "asks", "h", "indexed", "c0", "c1", "first", "line")
+    full = query.unionByName(others).join(texts.select("name", "line"), "name").select("key", "i", "j", "asks", "name", "indexed", "c0", "c1", "first", "line")
     over = Window.partitionBy("key", "i", "j").orderBy("first")
     full = full.withColumn("rank", F.dense_rank().over(over)).drop("first")
 
@@ -291,7 +288,7 @@ def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, b
         asks = table.column("asks").to_numpy()
         rank, indexed = table.column("rank").to_numpy(), table.column("indexed").to_numpy()
         lanes = np.stack([table.column(c).to_numpy() for c in ("c0", "c1")], 1).copy().view(np.uint8)
-        names, lines = table.column("h").to_pylist(), table.column("line").to_pylist()
+        names, lines = table.column("name").to_pylist(), table.column("line").to_pylist()
         mine = np.flatnonzero(~asks)
         found = []
         for q in np.flatnonzero(asks).tolist():
@@ -299,13 +296,13 @@ def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, b
             able = able[~lanes_differ(lanes[q], lanes[able], edits)]
             if any(near(lines[q], lines[m], edits) for m in able.tolist()):
                 found.append(names[q])
-        return pa.table({"h": pa.array(found, pa.binary())})
+        return pa.table({"name": pa.array(found, pa.binary())})
 
-    return full.groupBy("key", "i", "j").applyInArrow(search, "h binary").distinct()
+    return full.groupBy("key", "i", "j").applyInArrow(search, "name binary").distinct()
 
 
 def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """(h): names of the lines near a line whose first occurrence is earlier; firsts(h, first) has every line's.
+    """(name) of the lines near a line whose first occurrence is earlier; firsts(name, first) has every line's.
 
     A distinct line posts those of its keys that another line has; an index and a probe key that meet make
     a candidate unless the lines' code point counts rule it out. Short lists are joined. A long one (a line
@@ -318,29 +315,28 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     close = ~lanes_apart([F.col("x.c0"), F.col("x.c1")], [F.col("y.c0"), F.col("y.c1")], edits)
     few = lists.where(F.col("c") <= short)
     pairs = few.where("indexed").alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & close)
-    ends = [F.struct(F.col(f"{s}.h"), F.col(f"{s}.hash")) for s in "xy"]
-    pairs = pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    pairs = pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
     many = lists.where(F.col("c") > short).drop("c")
     hot = bool(many.take(1))
     if hot:
-        many = staged(many.join(firsts, "h"), "line-long")
-        least_of = lambda some, name: F.min(F.when(some, F.struct("first", "h", "hash", "c0", "c1"))).alias(name)
+        named = _texts_of(docs, staged(many.select("h").distinct(), "line-hot")).join(firsts, "name")
+        named = staged(named.select("h", "name", "line", "first"), "line-named")
+        many = staged(many.join(named.select("h", "name", "first"), "h"), "line-long")
+        least_of = lambda some, name: F.min(F.when(some, F.struct("first", "h", "c0", "c1"))).alias(name)
         star = staged(many.groupBy("key").agg(least_of(F.lit(True), "any"), least_of(F.col("indexed"), "ind")), "line-stars")
         met = many.join(star, "key")
         for name, some in (("ind", F.lit(True)), ("any", F.col("indexed"))):
             apart = lanes_apart([F.col("c0"), F.col("c1")], [F.col(f"{name}.c0"), F.col(f"{name}.c1")], edits)
             mine = met.where(some & F.col(name).isNotNull() & (F.col(f"{name}.h") != F.col("h")) & ~apart)
-            two = [F.struct("h", "hash"), F.struct(f"{name}.h", f"{name}.hash")]
-            pairs = pairs.unionByName(mine.select(F.least(*two).alias("a"), F.greatest(*two).alias("b")))
+            pairs = pairs.unionByName(mine.select(F.least("h", f"{name}.h").alias("a"), F.greatest("h", f"{name}.h").alias("b")))
     pairs = staged(pairs.distinct(), "line-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.h", "e.hash")
-    ends = staged((ends.unionByName(many.select("h", "hash")) if hot else ends).distinct(), "line-ends")
+    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
     texts = staged(_texts_of(docs, ends), "line-texts")
-    found = _verified(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, edits)
+    found = _verified(pairs, texts, edits)
     for x in "ab":
-        found = found.join(firsts.select(F.col("h").alias(x), F.col("first").alias(f"first_{x}")), x)
-    late = staged(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
-    return late.unionByName(_searched(many, late, texts, edits, block)).distinct() if hot else late
+        found = found.join(firsts.select(F.col("name").alias(x), F.col("first").alias(f"first_{x}")), x)
+    late = staged(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct(), "line-late")
+    return late.unionByName(_searched(many, late, named, edits, block)).distinct() if hot else late
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
@@ -369,34 +365,35 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
         for b in batches:
             lines = Lines(b.column(2))
             take = pa.array(lines.text)
-            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary())], ["doc_id", "text_key", "number", "h"])
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary())], ["doc_id", "text_key", "number", "name"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, h binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary")
     rows = staged(rows, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
-    firsts = staged(rows.groupBy("h").agg(F.min(place).alias("first")), "line-firsts")
+    firsts = staged(rows.groupBy("name").agg(F.min(place).alias("first")), "line-firsts")
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
-    heads = staged(firsts.join(late, "h", "left").select(F.col("h").alias("__h"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
-    gone = rows.join(heads, F.col("h") == F.col("__h")).withColumn("again", place != F.col("first")).where("again OR late")
+    heads = staged(firsts.join(late, "name", "left").select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
+    gone = rows.join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")
-    whole, touched = parted(docs, [F.col("doc_id"), F.xxhash64("text")], gone.select("__id", "__key"))
-    touched = touched.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-    full = whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"), F.lit(0).cast("long").alias("n_near")).unionByName(touched)
 
-    def cut(batches):
+    def cut(b, lists=None):
         import pyarrow as pa
 
-        for b in batches:
-            kept, n_lines, n_removed = [], [], []
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                split = (text or "").encode().split(b"\n")
-                n_lines.append(sum(1 for x in split if x.split()))
-                n_removed.append(len(gone or ()))
-                if gone:
-                    out = set(gone)
-                    split = [x for i, x in enumerate(split) if i not in out]
-                kept.append(b"\n".join(split).decode())
-            yield pa.record_batch([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), b.column(3), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "n_near", "kept"])
-
-    return full.mapInArrow(cut, f"doc_id {id_type}, n_lines long, n_removed long, n_near long, kept string")
+        kept, n_lines, n_removed = [], [], []
+        for text, gone in zip(b.column(1).to_pylist(), lists or [None] * b.num_rows, strict=True):
+            split = (text or "").encode().split(b"\n")
+            n_lines.append(sum(1 for x in split if x.split()))
+            n_removed.append(len(gone or ()))
+            if gone:
+                out = set(gone)
+                split = [x for i, x in enumerate(split) if i not in out]
+            kept.append(b"\n".join(split).decode() if gone else text or "")
+        near_ = b.column(3) if lists else pa.array(np.zeros(b.num_rows, np.int64))
+        return pa.record_batch([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), near_, pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "n_near", "kept"])
+
+    columns = f"doc_id {id_type}, n_lines long, n_removed long, n_near long, kept string"
+    whole, touched = parted(docs, [F.col("doc_id"), F.xxhash64("text")], gone.select("__id", "__key"), cut, columns)
+    # merged, not broadcast, at any size: what is gone grows with the corpus, and texts then meet Python once a task
+    touched = touched.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return whole.unionByName(touched.mapInArrow(lambda batches: (cut(b, b.column(2).to_pylist()) for b in batches), columns))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, filters_of, power_of_two, staged
 
-#: Keys are gathered from about so many words before they are packed.
-_FLUSH = 2_000_000
+#: Keys are gathered from about so many keys before they are packed.
+_FLUSH = 500_000
 #: How often one task counts a key at most; enough for the classes below, and a bound on what a hot key sends.
 _PER_FLUSH = 4
 
