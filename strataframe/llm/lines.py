@@ -302,7 +302,7 @@ def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, b
 
 
 def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """(name) of the lines near a line whose first occurrence is earlier; firsts(name, first) has every line's.
+    """(name) of the lines near a line whose first occurrence is earlier; firsts(name, h, first) has every line's.
 
     A distinct line posts those of its keys that another line has; an index and a probe key that meet make
     a candidate unless the lines' code point counts rule it out. Short lists are joined. A long one (a line
@@ -319,9 +319,7 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     many = lists.where(F.col("c") > short).drop("c")
     hot = bool(many.take(1))
     if hot:
-        named = _texts_of(docs, staged(many.select("h").distinct(), "line-hot")).join(firsts, "name")
-        named = staged(named.select("h", "name", "line", "first"), "line-named")
-        many = staged(many.join(named.select("h", "name", "first"), "h"), "line-long")
+        many = staged(many.join(firsts.select("h", "name", "first"), "h"), "line-long")
         least_of = lambda some, name: F.min(F.when(some, F.struct("first", "h", "c0", "c1"))).alias(name)
         star = staged(many.groupBy("key").agg(least_of(F.lit(True), "any"), least_of(F.col("indexed"), "ind")), "line-stars")
         met = many.join(star, "key")
@@ -330,13 +328,14 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
             mine = met.where(some & F.col(name).isNotNull() & (F.col(f"{name}.h") != F.col("h")) & ~apart)
             pairs = pairs.unionByName(mine.select(F.least("h", f"{name}.h").alias("a"), F.greatest("h", f"{name}.h").alias("b")))
     pairs = staged(pairs.distinct(), "line-pairs")
-    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    ends = staged((ends.unionByName(many.select("h")) if hot else ends).distinct(), "line-ends")
     texts = staged(_texts_of(docs, ends), "line-texts")
     found = _verified(pairs, texts, edits)
     for x in "ab":
         found = found.join(firsts.select(F.col("name").alias(x), F.col("first").alias(f"first_{x}")), x)
     late = staged(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct(), "line-late")
-    return late.unionByName(_searched(many, late, named, edits, block)).distinct() if hot else late
+    return late.unionByName(_searched(many, late, texts, edits, block)).distinct() if hot else late
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
@@ -365,15 +364,15 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
         for b in batches:
             lines = Lines(b.column(2))
             take = pa.array(lines.text)
-            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary())], ["doc_id", "text_key", "number", "name"])
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary()), pa.array(lines.hash.view(np.int64))], ["doc_id", "text_key", "number", "name", "h"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary, h long")
     rows = staged(rows, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
-    firsts = staged(rows.groupBy("name").agg(F.min(place).alias("first")), "line-firsts")
+    firsts = staged(rows.groupBy("name").agg(F.min("h").alias("h"), F.min(place).alias("first")), "line-firsts")
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
     heads = staged(firsts.join(late, "name", "left").select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
-    gone = rows.join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
+    gone = rows.drop("h").join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")
 
