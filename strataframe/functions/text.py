@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def natural_key(x: Column, width: int = 20) -> Column:
-    """A key that sorts digit runs by value and letters without case; use the raw text as a tiebreak.
+#: The letters that compare without case.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-    Each run of digits, stripped of leading zeros, is padded to `width`.
+
+def natural_key(x: Column) -> Column:
+    """A key that sorts digit runs by value and ASCII letters without case; use the raw text as a tiebreak.
+
+    A run of digits of any length becomes 0, the number of its digits (without leading zeros) and the digits.
     """
-    parts = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(1))
-    pad = lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p)
-    return F.array_join(F.transform(parts, pad), "")
+    parts = F.regexp_extract_all(F.translate(x, _UPPER, _LOWER), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def sized(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+([0-9])", "$1")
+        return F.when(p.rlike(r"^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, sized), "")
 
 
 def quantity(x: Column, decimals: int = 0) -> Column:

@@ -7,35 +7,37 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage between rounds; the folder is the session's, and is set here only where it is unset."""
-    context = df.sparkSession.sparkContext
+    """Cut lineage between rounds; the folder is the session's, and is set here only where a local session names none."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/strataframe-shared")
+        folder = conf.get("spark.checkpoint.dir", None)
+        if not folder and not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/strataframe-shared")
     return df.checkpoint()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, cost): least cost from any source(node, cost) along edges(src, dst, w) with w >= 0.
 
-    Each round relaxes from the nodes that improved in the last one only; it ends when none did.
+    Each round relaxes from the nodes that improved in the last one only; it ends when none did, as it must
+    after at most as many rounds as there are nodes. A negative weight, which could go on for ever, is an error.
     """
+    edges = edges.withColumn("w", F.when(F.col("w") >= 0, F.col("w")).otherwise(F.raise_error(F.lit("a weight is negative or missing"))))
     best = _checkpointed(sources.groupBy("node").agg(F.min("cost").alias("cost")))
     frontier = best
-    for _ in range(rounds):
+    while True:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("new")).groupBy("node").agg(F.min("new").alias("new"))
         joined = _checkpointed(best.join(step, "node", "full").select("node", F.least("cost", "new").alias("cost"), F.coalesce(F.col("new") < F.coalesce("cost", F.lit(float("inf"))), F.lit(False)).alias("better")))
         best, frontier = joined.select("node", "cost"), joined.where("better").select("node", "cost")
         if not frontier.take(1):
-            break
-    else:
-        raise RuntimeError("shortest paths did not settle")
-    return best
+            return best
 
 
-def reachable(edges: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node): everything that edges(src, dst) lead to from sources(node), sources included."""
     zero = edges.select("src", "dst", F.lit(0.0).alias("w"))
-    return shortest_paths(zero, sources.select("node", F.lit(0.0).alias("cost")), rounds).select("node")
+    return shortest_paths(zero, sources.select("node", F.lit(0.0).alias("cost"))).select("node")
 
 
 def undirected(ties: DataFrame) -> DataFrame:

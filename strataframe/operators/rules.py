@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.values import finite
 
@@ -29,10 +28,17 @@ def any_of(values: Column, value: Column) -> Column:
 
 
 def first_match(facts: DataFrame, rules: DataFrame, condition: Column, key: list[str], seq: str) -> DataFrame:
-    """Each fact with its first matching enabled rule (by seq); facts without one keep nulls."""
-    hit = facts.join(_rules(rules.where("enabled")), condition, "left")
-    w = Window.partitionBy(*key).orderBy(F.col(seq).asc_nulls_last())
-    return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Each fact with its first matching enabled rule (by seq); facts without one keep nulls.
+
+    A fact's matches meet by a minimum, pre-aggregated in each task, so only one row of a fact is shuffled;
+    its own columns travel once.
+    """
+    rules = rules.where("enabled")
+    hit = facts.join(_rules(rules), condition, "left")
+    place = F.struct(F.col(seq).isNull().alias("__none"), F.col(seq).alias("__seq"), F.struct(*[F.col(c) for c in rules.columns]).alias("__rule"))
+    rest = [c for c in facts.columns if c not in key]
+    best = hit.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.min(place).alias("__best"))
+    return best.select(*facts.columns, *[F.col(f"__best.__rule.{c}").alias(c) for c in rules.columns])
 
 
 def sum_matches(facts: DataFrame, rules: DataFrame, condition: Column, key: list[str], value: str) -> DataFrame:

@@ -17,7 +17,8 @@ def ties(spark, d):
 _T = """t AS (SELECT a, b, ms FROM (SELECT s_suppkey AS a, s_suppkey + 3 AS b, s_suppkey % 5 + 17 AS ms FROM supplier UNION ALL SELECT s_suppkey, s_suppkey * 2 + 1, s_suppkey % 7 + 42 FROM supplier)
   WHERE b IN (SELECT s_suppkey FROM supplier) AND a % 10 <> 9 AND b % 10 <> 9)"""
 _F = f"""WITH RECURSIVE {_T}, e AS (SELECT a AS src, b AS dst, ms FROM t UNION ALL SELECT b, a, ms FROM t),
-p AS (SELECT 1::BIGINT AS node, 0::BIGINT AS cost UNION SELECT e.dst, p.cost + e.ms FROM p JOIN e ON p.node = e.src WHERE p.cost + e.ms <= 260), f AS (SELECT node, min(cost) AS cost FROM p GROUP BY node)"""
+f(node, cost) USING KEY (node) AS (SELECT 1::BIGINT AS node, 0::BIGINT AS cost
+  UNION SELECT e.dst, min(f.cost + e.ms) FROM f JOIN e ON f.node = e.src LEFT JOIN recurring.f AS r ON r.node = e.dst WHERE r.cost IS NULL OR f.cost + e.ms < r.cost GROUP BY e.dst)"""
 
 
 def firing(spark, d):
@@ -26,25 +27,14 @@ def firing(spark, d):
     return t, G.shortest_paths(G.undirected(t), start)
 
 
-@query(f"{_F} SELECT node, cost::DOUBLE AS cost FROM f WHERE cost <= 200")
+@query(f"{_F} SELECT node, cost::DOUBLE AS cost FROM f")
 def firing_times(spark, d):
-    return firing(spark, d)[1].where("cost <= 200")
+    return firing(spark, d)[1]
 
 
 @query(f"""{_F}, w AS (SELECT t.a, t.b, x.cost AS ta, y.cost AS tb FROM t LEFT JOIN f x ON x.node = a LEFT JOIN f y ON y.node = b)
-SELECT a, b, CASE WHEN ta < tb THEN 'forward' WHEN ta > tb THEN 'backward' ELSE 'together' END AS flow FROM w WHERE ta <= 200 AND tb <= 200""")
+SELECT a, b, CASE WHEN ta IS NULL OR tb IS NULL THEN 'dead' WHEN ta < tb THEN 'forward' WHEN ta > tb THEN 'backward' ELSE 'together' END AS flow FROM w""")
 def tie_flow(spark, d):
-    t, times = firing(spark, d)
-    return G.tie_flow(t, times.where("cost <= 200")).where("flow != 'dead'").select("a", "b", "flow")
-
-
-@query()
-def firing_times_whole(spark, d):
-    return firing(spark, d)[1]
-
-
-@query()
-def tie_flow_whole(spark, d):
     t, times = firing(spark, d)
     return G.tie_flow(t, times)
 

@@ -63,46 +63,6 @@ def movements_report(spark, d):
     return j.groupBy("name", "loader", "dest").agg(F.round(F.sum(share), 2).alias("tonnes"), F.round(F.sum("overlap"), 4).alias("hours"), F.count(F.lit(1)).alias("movements"))
 
 
-_ISLANDS = f"""{_SP}, m AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY loader ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1
-  WHEN row_number() OVER (PARTITION BY loader ORDER BY a, b) = 1 THEN 1 ELSE 0 END AS new FROM s WHERE o_orderkey % 11 = 0),
-r AS (SELECT *, sum(new) OVER (PARTITION BY loader ORDER BY a, b) AS run FROM m),
-i AS (SELECT loader, run, min(a) AS s, max(b) AS e, count(*) AS n FROM r GROUP BY loader, run)"""
-
-
-def sparse(spark, d):
-    return spans(spark, d).where("o_orderkey % 11 = 0")
-
-
-@query(f"WITH {_ISLANDS} SELECT loader, s AS start, e AS \"end\", n FROM i")
-def coalesce_spans(spark, d):
-    return I.coalesce_spans(sparse(spark, d), ["loader"])
-
-
-@query(f"WITH {_ISLANDS} SELECT * FROM (SELECT loader, lag(e) OVER (PARTITION BY loader ORDER BY s) AS start, s AS \"end\" FROM i) WHERE start IS NOT NULL AND \"end\" - start > 1e-6")
-def idle_gaps(spark, d):
-    return I.gaps(sparse(spark, d), ["loader"])
-
-
-@query(f"WITH {_ISLANDS} SELECT loader, round(sum(e - s), 4) AS hours FROM i GROUP BY loader")
-def busy_union_hours(spark, d):
-    return I.covered(sparse(spark, d), ["loader"]).select("loader", F.round("hours", 4).alias("hours"))
-
-
-@query(f"""WITH {_ISLANDS}, t AS (SELECT loader, sum(e - s) AS busy FROM i GROUP BY loader),
-d AS (SELECT loader, sum(b - a) FILTER (o_orderpriority = '1-URGENT') AS urgent, sum(b - a) FILTER (o_orderpriority = '5-LOW') AS low FROM m GROUP BY loader)
-SELECT loader, round(urgent, 4) AS urgent, round(low, 4) AS low, round(busy, 4) AS busy, CASE WHEN 60000 - busy > 1e-6 THEN round(60000 - busy, 4) ELSE 0 END AS no_work FROM t JOIN d USING (loader)""")
-def loader_time_accounting(spark, d):
-    return time_accounting(sparse(spark, d))
-
-
-def time_accounting(s):
-    length = F.col("end") - F.col("start")
-    by = s.groupBy("loader").agg(*[F.round(F.sum(F.when(F.col("o_orderpriority") == p, length)), 4).alias(n) for n, p in (("urgent", "1-URGENT"), ("low", "5-LOW"))])
-    busy = I.covered(s, ["loader"])
-    left = 60000 - F.col("hours")
-    return by.join(busy, "loader").select("loader", "urgent", "low", F.round("hours", 4).alias("busy"), F.when(left > 1e-6, F.round(left, 4)).otherwise(F.lit(0.0)).alias("no_work"))
-
-
 _WHOLE = """s AS (SELECT o_custkey AS loader, o_orderpriority,
   date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24.0::DOUBLE + o_orderkey % 24 AS a,
   date_diff('day', DATE '1992-01-01', o_orderdate::DATE) * 24.0::DOUBLE + o_orderkey % 24 + o_orderkey % 72 + 1 AS b FROM orders),
@@ -116,25 +76,33 @@ def whole(spark, d):
     return spans(spark, d, "o_custkey")
 
 
+def time_accounting(s):
+    length = F.col("end") - F.col("start")
+    by = s.groupBy("loader").agg(*[F.round(F.sum(F.when(F.col("o_orderpriority") == p, length)), 4).alias(n) for n, p in (("urgent", "1-URGENT"), ("low", "5-LOW"))])
+    busy = I.covered(s, ["loader"])
+    left = 60000 - F.col("hours")
+    return by.join(busy, "loader").select("loader", "urgent", "low", F.round("hours", 4).alias("busy"), F.when(left > 1e-6, F.round(left, 4)).otherwise(F.lit(0.0)).alias("no_work"))
+
+
 @query(f"WITH {_WHOLE} SELECT loader, s AS start, e AS \"end\", n FROM i")
-def coalesce_spans_whole(spark, d):
+def coalesce_spans(spark, d):
     return I.coalesce_spans(whole(spark, d), ["loader"])
 
 
 @query(f"WITH {_WHOLE} SELECT * FROM (SELECT loader, lag(e) OVER (PARTITION BY loader ORDER BY s) AS start, s AS \"end\" FROM i) WHERE start IS NOT NULL AND \"end\" - start > 1e-6")
-def idle_gaps_whole(spark, d):
+def idle_gaps(spark, d):
     return I.gaps(whole(spark, d), ["loader"])
 
 
 @query(f"WITH {_WHOLE} SELECT loader, round(sum(e - s), 4) AS hours FROM i GROUP BY loader")
-def busy_union_hours_whole(spark, d):
+def busy_union_hours(spark, d):
     return I.covered(whole(spark, d), ["loader"]).select("loader", F.round("hours", 4).alias("hours"))
 
 
 @query(f"""WITH {_WHOLE}, t AS (SELECT loader, sum(e - s) AS busy FROM i GROUP BY loader),
 d AS (SELECT loader, sum(b - a) FILTER (o_orderpriority = '1-URGENT') AS urgent, sum(b - a) FILTER (o_orderpriority = '5-LOW') AS low FROM m GROUP BY loader)
 SELECT loader, round(urgent, 4) AS urgent, round(low, 4) AS low, round(busy, 4) AS busy, CASE WHEN 60000 - busy > 1e-6 THEN round(60000 - busy, 4) ELSE 0 END AS no_work FROM t JOIN d USING (loader)""")
-def loader_time_accounting_whole(spark, d):
+def loader_time_accounting(spark, d):
     return time_accounting(whole(spark, d))
 
 
@@ -203,31 +171,19 @@ def available_truck_hours(spark, d):
     return e.groupBy("loader").agg(F.round(F.sum(part * F.col("units") * 0.85), 6).alias("truck_hours"))
 
 
-@query(f"""WITH {_SP}, t AS (SELECT loader, o_orderkey, a, b FROM s WHERE o_orderkey % 97 = 0), c AS (SELECT DISTINCT loader, tm FROM (SELECT loader, a AS tm FROM t UNION ALL SELECT loader, b FROM t)),
+@query(f"""WITH {_SP}, t AS (SELECT loader, o_orderkey, a, b FROM s), c AS (SELECT DISTINCT loader, tm FROM (SELECT loader, a AS tm FROM t UNION ALL SELECT loader, b FROM t)),
 n AS (SELECT loader, tm, lead(tm) OVER (PARTITION BY loader ORDER BY tm) AS upto FROM c),
 w AS (SELECT n.loader, n.tm, n.upto, arg_min(o_orderkey, (b - a) * 1e8 + o_orderkey) AS o FROM n JOIN t ON n.loader = t.loader AND a <= n.tm AND b >= n.upto WHERE n.upto IS NOT NULL GROUP BY ALL),
 f AS (SELECT *, CASE WHEN lag(o) OVER q = o AND lag(upto) OVER q = tm THEN 0 ELSE 1 END AS new FROM w WINDOW q AS (PARTITION BY loader ORDER BY tm)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY loader ORDER BY tm) AS run FROM f)
 SELECT loader, min(tm) AS start, max(upto) AS "end", any_value(o) AS winner FROM g GROUP BY loader, run""")
 def elementary_sweep_winner(spark, d):
-    return I.elementary_winner(spans(spark, d).where("o_orderkey % 97 = 0"), ["loader"], "o_orderkey")
-
-
-@query(f"""WITH {_SP}, k AS (SELECT DISTINCT a AS tm FROM s WHERE loader = 0 UNION SELECT DISTINCT b FROM s WHERE loader = 0)
-SELECT * FROM (SELECT tm AS start, lead(tm) OVER (ORDER BY tm) AS "end" FROM k) WHERE "end" IS NOT NULL""")
-def build_intervals(spark, d):
-    s = spans(spark, d).where("loader = 0")
-    return I.build_intervals(s.select(F.explode(F.array("start", "end")).alias("at")))
-
-
-@query()
-def elementary_sweep_winner_whole(spark, d):
     return I.elementary_winner(spans(spark, d), ["loader"], "o_orderkey")
 
 
 @query(f"""WITH {_SP}, k AS (SELECT loader, a AS tm FROM s UNION SELECT loader, b FROM s)
 SELECT * FROM (SELECT loader, tm AS start, lead(tm) OVER (PARTITION BY loader ORDER BY tm) AS "end" FROM k) WHERE "end" IS NOT NULL""")
-def build_intervals_whole(spark, d):
+def build_intervals(spark, d):
     return I.build_intervals(spans(spark, d).select("loader", F.explode(F.array("start", "end")).alias("at")), keys=["loader"])
 
 

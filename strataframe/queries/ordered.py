@@ -66,21 +66,15 @@ def resample_regular(spark, d):
     return S.regularise(e, ["user_id"], "s", "value", _STEP)
 
 
-@query(f"""WITH {_EV}, z AS (SELECT us - (SELECT min(us) FROM e) AS x, event_type, value FROM e WHERE user_id < 20),
-i AS (SELECT event_type, least(floor(x / 25920000000.0), 99)::BIGINT AS bucket, min(value) AS lo, max(value) AS hi FROM z WHERE x >= 0 AND x < 2592000000000 GROUP BY ALL),
-sp AS (SELECT event_type, unnest(range(0, 100)) AS bucket FROM (SELECT DISTINCT event_type FROM i))
-SELECT event_type, bucket, lo, hi FROM sp JOIN i USING (event_type, bucket)""")
+@query(f"""WITH {_EV}, z AS (SELECT us - (SELECT min(us) FROM e) AS x, event_type, value FROM e),
+i AS (SELECT event_type, least(floor(x / 25920000000.0), 99)::BIGINT AS bucket, min(value) AS lo, max(value) AS hi,
+  min((x, value)) AS first, max((x, value)) AS last FROM z WHERE x >= 0 AND x < 2592000000000 GROUP BY ALL),
+f AS (SELECT event_type, bucket, lo, hi, (bucket + 0.5::DOUBLE) * 25920000000.0::DOUBLE AS m, last_value(last IGNORE NULLS) OVER q AS b, first_value(first IGNORE NULLS) OVER r AS a
+  FROM (SELECT event_type, unnest(range(0, 100)) AS bucket FROM (SELECT DISTINCT event_type FROM i)) LEFT JOIN i USING (event_type, bucket)
+  WINDOW q AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT *, CASE WHEN a IS NULL OR m - b[1] <= a[1] - m THEN b[2] ELSE a[2] END AS near FROM f)
+SELECT event_type, bucket, coalesce(lo, near) AS lo, coalesce(hi, near) AS hi FROM n""")
 def envelope_buckets(spark, d):
-    e = events(spark, d)
-    first = e.agg(F.min("us").alias("u0"))
-    z = e.where("user_id < 20").crossJoin(F.broadcast(first)).select("event_type", (F.col("us") - F.col("u0")).cast("double").alias("x"), "value")
-    full = S.envelope(z, ["event_type"], "x", "value", 0.0, 2592000000000.0, 100)
-    real = z.select("event_type", F.floor(F.col("x") / 25920000000.0).cast("long").alias("bucket")).distinct()
-    return full.join(real, ["event_type", "bucket"], "left_semi")
-
-
-@query()
-def envelope_buckets_whole(spark, d):
     e = events(spark, d)
     first = e.agg(F.min("us").alias("u0"))
     z = e.crossJoin(F.broadcast(first)).select("event_type", (F.col("us") - F.col("u0")).cast("double").alias("x"), "value")
@@ -129,17 +123,11 @@ def station_interpolation(spark, d):
     return S.interpolate(facts, st, ["user_id"], "us", "t", ["v"]).select("event_id", F.round("v", 6).alias("v"))
 
 
-_NK = r"array_to_string(list_transform(regexp_extract_all(lower(p_name || '-' || p_size), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(ltrim(x, '0'), 20, '0') ELSE x END), '')"
-
-
-@query(rf"SELECT p_partkey, row_number() OVER (ORDER BY {_NK}, p_partkey) AS place FROM part WHERE p_partkey <= 500")
-def natural_sort(spark, d):
-    parts = table(spark, d, "part").where("p_partkey <= 500").withColumn("k", natural_key(F.concat_ws("-", "p_name", "p_size")))
-    return parts.select("p_partkey", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long").alias("place"))
+_NK = r"array_to_string(list_transform(regexp_extract_all(translate(p_name || '-' || p_size, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(length(regexp_replace(x, '^0+([0-9])', '\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\1') ELSE x END), '')"
 
 
 @query(rf"SELECT p_partkey, row_number() OVER (ORDER BY {_NK}, p_partkey) AS place FROM part")
-def natural_sort_whole(spark, d):
+def natural_sort(spark, d):
     parts = table(spark, d, "part").select("p_partkey", natural_key(F.concat_ws("-", "p_name", "p_size")).alias("k"))
     return S.ranked(parts, ["k", "p_partkey"]).select("p_partkey", "place")
 
@@ -153,9 +141,9 @@ def topk_per_group(spark, d):
 @query("""WITH k AS (SELECT *, md5('s:' || c_custkey) AS h, (row_number() OVER (ORDER BY c_custkey) - 1) * 50 // (SELECT count(*) FROM customer) AS part FROM customer)
 SELECT part, arg_min(c_custkey, h) AS c_custkey FROM k GROUP BY part""")
 def stratified_sample(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    k = c.withColumn("part", F.floor((F.row_number().over(Window.orderBy("c_custkey")) - 1) * 50 / n).cast("long"))
+    c = S.ranked(table(spark, d, "customer").select("c_custkey"), ["c_custkey"])
+    n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
+    k = c.crossJoin(F.broadcast(n)).withColumn("part", F.floor((F.col("place") - 1) * 50 / F.col("n")).cast("long"))
     return k.groupBy("part").agg(F.min_by("c_custkey", F.md5(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")))).alias("c_custkey"))
 
 

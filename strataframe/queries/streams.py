@@ -28,7 +28,9 @@ def streaming_dedup(spark, d):
     return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT user_id, count(*) AS events FROM events GROUP BY user_id""")
+@query("""WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, run""")
 def streaming_sessions(spark, d):
     done = S.run_to_table(S.sessions(stream(spark, d), "ts", "user_id", "4 hours", "0 seconds"), "complete")
-    return done.groupBy("user_id").agg(F.sum("n").alias("events"))
+    return done.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")

@@ -48,11 +48,26 @@ def balances(events: DataFrame, key: str, change: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end into a memory table (for tests and small results) and return that."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a bounded stream to its end into Parquet files of the shared folder and return the table they make.
+
+    Each micro-batch is one folder, written whole by its number, so a batch that is tried again replaces its
+    first try; state and progress are in a checkpoint beside it. In complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = f"{(shared or '/tmp/strataframe-shared').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batches/{number}")
+        done.append(f"{base}/batches/{number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    paths = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema])

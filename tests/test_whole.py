@@ -34,12 +34,12 @@ def test_no_order_is_left_out_of_the_spans(spark, orders):
         islands += [(k, *r) for r in runs]
         gaps += [(k, a[1], b[0]) for a, b in zip(runs, runs[1:])]
         hours[k] = sum(e - s for s, e, _ in runs)
-    got = QUERIES["coalesce_spans_whole"](spark, SF)
+    got = QUERIES["coalesce_spans"](spark, SF)
     assert sorted((r["loader"], r["start"], r["end"], r["n"]) for r in got.collect()) == sorted(islands)
     assert sum(n for *_, n in islands) == len(orders) and gaps
-    assert sorted((r["loader"], r["start"], r["end"]) for r in QUERIES["idle_gaps_whole"](spark, SF).collect()) == sorted(gaps)
-    assert {r["loader"]: r["hours"] for r in QUERIES["busy_union_hours_whole"](spark, SF).collect()} == hours
-    account = QUERIES["loader_time_accounting_whole"](spark, SF).collect()
+    assert sorted((r["loader"], r["start"], r["end"]) for r in QUERIES["idle_gaps"](spark, SF).collect()) == sorted(gaps)
+    assert {r["loader"]: r["hours"] for r in QUERIES["busy_union_hours"](spark, SF).collect()} == hours
+    account = QUERIES["loader_time_accounting"](spark, SF).collect()
     assert {r["loader"]: r["busy"] for r in account} == hours
     priority = {"1-URGENT": "urgent", "5-LOW": "low"}
     for p, column in priority.items():
@@ -77,9 +77,9 @@ def test_the_sweep_is_brute_force(spark):
 def test_every_order_competes_and_every_loader_has_intervals(spark, orders):
     rows = [(r["loader"], r["start"], r["end"], r["o_orderkey"]) for r in interval.spans(spark, SF).collect()]
     assert len(rows) == len(orders)
-    got = QUERIES["elementary_sweep_winner_whole"](spark, SF).collect()
+    got = QUERIES["elementary_sweep_winner"](spark, SF).collect()
     assert sorted((r["loader"], r["start"], r["end"], r["winner"]) for r in got) == winners(rows)
-    cells = QUERIES["build_intervals_whole"](spark, SF).collect()
+    cells = QUERIES["build_intervals"](spark, SF).collect()
     want = []
     for k in sorted({x[0] for x in rows}):
         cuts = sorted({t for x in rows if x[0] == k for t in x[1:3]})
@@ -102,8 +102,8 @@ def test_far_holes_fire_and_their_ties_flow(spark, tmp_path):
             for b, ms in near[a]:
                 heapq.heappush(heap, (c + ms, b))
     assert max(cost.values()) > 260
-    assert {r["node"]: r["cost"] for r in QUERIES["firing_times_whole"](spark, str(tmp_path)).collect()} == cost
-    flow = {(r["a"], r["b"]): r["flow"] for r in QUERIES["tie_flow_whole"](spark, str(tmp_path)).collect()}
+    assert {r["node"]: r["cost"] for r in QUERIES["firing_times"](spark, str(tmp_path)).collect()} == cost
+    flow = {(r["a"], r["b"]): r["flow"] for r in QUERIES["tie_flow"](spark, str(tmp_path)).collect()}
     side = lambda a, b: "dead" if a not in cost or b not in cost else "forward" if cost[a] < cost[b] else "backward" if cost[a] > cost[b] else "together"
     assert flow == {(a, b): side(a, b) for a, b, _ in ties}
 
@@ -124,7 +124,7 @@ def test_every_part_is_a_block_of_a_pit(spark, tmp_path):
 def test_empty_buckets_are_filled_from_every_user(spark, tmp_path):
     rows = [(i, t, u, k, v) for i, (t, u, k, v) in enumerate([(0, 1, "a", 1.0), (40_000, 900, "a", 5.0), (41_000, 25, "a", -3.0), (2_000_000, 77, "a", 2.0), (500_000, 500, "b", 8.0)])]
     spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
-    got = {(r["event_type"], r["bucket"]): (r["lo"], r["hi"]) for r in QUERIES["envelope_buckets_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["event_type"], r["bucket"]): (r["lo"], r["hi"]) for r in QUERIES["envelope_buckets"](spark, str(tmp_path)).collect()}
     want = {}
     for k in "ab":
         mine = [(t, v) for _, t, _, x, v in rows if x == k]
@@ -146,7 +146,7 @@ def test_ranks_by_ranges_are_one_order(spark):
 
 def test_no_part_or_event_is_left_out(spark, tmp_path):
     spark.createDataFrame([(i, f"rock {i % 13}", i % 29) for i in range(1, 1201)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    places = [r["place"] for r in QUERIES["natural_sort_whole"](spark, str(tmp_path)).collect()]
+    places = [r["place"] for r in QUERIES["natural_sort"](spark, str(tmp_path)).collect()]
     assert sorted(places) == list(range(1, 1201))
     events = spark.read.parquet(f"{SF}/events.parquet")
-    assert QUERIES["json_properties_whole"](spark, SF).count() == events.count() > 500
+    assert QUERIES["json_properties"](spark, SF).count() == events.count() > 500
