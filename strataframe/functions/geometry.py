@@ -73,3 +73,54 @@ def boxes_meet(lo1: list[Column], hi1: list[Column], lo2: list[Column], hi2: lis
     for a, b, c, d in zip(lo1, hi1, lo2, hi2, strict=True):
         ok = ok & (a <= d) & (c <= b)
     return ok
+
+
+def rotated(local: list[Column], origin: list[Column], degrees: Column) -> list[Column]:
+    """World position of a local one: turned clockwise from north about the vertical, then moved to the origin."""
+    a = F.radians(degrees)
+    x, y, z = local
+    return [origin[0] + x * F.cos(a) + y * F.sin(a), origin[1] - x * F.sin(a) + y * F.cos(a), origin[2] + z]
+
+
+def rotated_half_sizes(size: list[Column], degrees: Column) -> list[Column]:
+    """Half the sizes of the upright box around a box turned about the vertical."""
+    c, s = F.abs(F.cos(F.radians(degrees))), F.abs(F.sin(F.radians(degrees)))
+    return [(size[0] * c + size[1] * s) / 2, (size[0] * s + size[1] * c) / 2, size[2] / 2]
+
+
+def symmetric_eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> list[Column]:
+    """Eigenvalues of a symmetric 3 x 3 matrix, largest first, in closed form."""
+    off = xy * xy + xz * xz + yz * yz
+    mean = (xx + yy + zz) / 3
+    a, b, c = xx - mean, yy - mean, zz - mean
+    p = F.sqrt((a * a + b * b + c * c + 2 * off) / 6)
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    r = F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))).otherwise(F.lit(1.0))
+    phi = F.acos(r) / 3
+    first = mean + 2 * p * F.cos(phi)
+    last = mean + 2 * p * F.cos(phi + 2 * F.pi() / 3)
+    return [first, 3 * mean - first - last, last]
+
+
+def overlap_tolerance(dx: Column, dy: Column) -> Column:
+    """The plan area below which an overlap of a surface of this extent is rounding."""
+    extent = F.greatest(F.abs(dx), F.abs(dy))
+    return F.greatest(extent * extent * 1e-14, F.lit(1e-10))
+
+
+def slope_at(azimuth: Column, pairs: list[tuple[float, float]]) -> Column:
+    """The slope at an azimuth in degrees, linear and circular between pairs (azimuth, slope); one pair holds everywhere."""
+    ordered = sorted((a % 360.0, s) for a, s in pairs)
+    if len(ordered) == 1:
+        return F.lit(float(ordered[0][1]))
+    at = F.pmod(azimuth, F.lit(360.0))
+    out = None
+    for k, (a, s) in enumerate(ordered):
+        b, low = ordered[k - 1]
+        width = (a - b) % 360.0
+        t = F.pmod(at - b, F.lit(360.0)) / width if width else F.lit(0.0)
+        here = low + (s - low) * t
+        out = F.when(at <= a, here) if out is None else out.when(at <= a, here)
+    b, low = ordered[-1]
+    a, s = ordered[0]
+    return out.otherwise(low + (s - low) * (F.pmod(at - b, F.lit(360.0)) / ((a - b) % 360.0)))

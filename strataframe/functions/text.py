@@ -80,3 +80,25 @@ def matches_terms(text: Column, query: str) -> Column:
     for term in query.lower().split():
         ok = ok & F.contains(F.lower(text), F.lit(term))
     return ok
+
+
+def repaired(raw: Column) -> Column:
+    """struct<text, repairs>: bytes as UTF-8, each ill-formed stretch as one replacement sign, and how many there are."""
+    mark = "\ufffd"
+    text = F.make_valid_utf8(raw.cast("string"))
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+    own = F.length(F.hex(raw)) - F.length(F.regexp_replace(F.hex(raw), r"\G((?:..)*?)EFBFBD", "$1"))
+    return F.struct(text.alias("text"), (count(text) - (own / 6).cast("int")).alias("repairs"))
+
+
+def system_code(stored: Column) -> Column:
+    """The registry code of a stored coordinate system, `EPSG:` and a number that fits two bytes; null otherwise."""
+    code = F.regexp_extract(F.trim(stored), r"^(?:EPSG|epsg):\s*\+?([0-9]{1,9})\s*$", 1)
+    number = F.when(code != "", code).cast("int")
+    return F.when(number <= 65535, number)
+
+
+def system_kind(stored: Column) -> Column:
+    """unset, registry, definition (a parameter list, which begins with +), or unrecognised."""
+    t = F.trim(F.coalesce(stored, F.lit("")))
+    return F.when(t == "", "unset").when(system_code(t).isNotNull(), "registry").when(t.startswith("+"), "definition").otherwise("unrecognised")

@@ -45,20 +45,29 @@ def apportion(df: DataFrame, amount: str, period: float = 24.0) -> DataFrame:
     return out.withColumn("share", share).drop("__first", "__last")
 
 
-def coalesce_spans(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, n): overlapping and touching spans become one."""
+def _merged(df: DataFrame, keys: list[str], rows: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.where("start < end").withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    marked = df.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
     grouped = marked.withColumn("__run", F.sum("__new").over(w))
-    return grouped.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__run")
+    return grouped.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), rows.alias("n")).drop("__run")
+
+
+def coalesce_spans(df: DataFrame, keys: list[str], width: float = 1024.0) -> DataFrame:
+    """(keys, start, end, n): overlapping and touching spans become one.
+
+    Spans that start within one stretch of `width` are merged first, so that a busy key is many tasks; only
+    what is left of them, a few spans a stretch where they are dense, is put in order together.
+    """
+    part = df.where("start < end").withColumn("__b", F.floor(F.col("start") / width))
+    return _merged(_merged(part, [*keys, "__b"], F.count(F.lit(1))).drop("__b"), keys, F.sum("n"))
 
 
 def gaps(df: DataFrame, keys: list[str], least: float = 1e-6) -> DataFrame:
     """(keys, start, end): time between the first start and the last end that nothing covers, gaps up to `least` left out."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.where("start < end").withColumn("__reach", reach).where(F.col("start") - F.col("__reach") > least).select(*keys, F.col("__reach").alias("start"), F.col("start").alias("end"))
+    w = Window.partitionBy(*keys).orderBy("start")
+    reach = F.lag("end").over(w)
+    return coalesce_spans(df, keys).withColumn("__reach", reach).where(F.col("start") - F.col("__reach") > least).select(*keys, F.col("__reach").alias("start"), F.col("start").alias("end"))
 
 
 def covered(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -90,3 +90,15 @@ def blend(df: DataFrame, keys: list[str], tonnes: str, averages: list[str], sums
     cols += [F.when(F.count(c) == n, F.sum(c)).alias(c) for c in sums]
     cols += [F.when((F.count(c) == n) & (F.min(c) == F.max(c)), F.min(c)).alias(c) for c in labels]
     return df.groupBy(*keys).agg(t.alias(tonnes), *cols)
+
+
+def auto_map(fields: DataFrame, columns: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(field, mapped): fields(field, category) not mapped yet, each with the column(name, category) of its name and kind."""
+    open_ = fields.join(mapped.select("field").distinct(), "field", "left_anti")
+    named = columns.select(F.col("name").alias("field"), "category", F.col("name").alias("mapped")).distinct()
+    return open_.join(named, ["field", "category"]).select("field", "mapped")
+
+
+def field_users(objects: DataFrame) -> DataFrame:
+    """(field, users): the objects(object, fields) that name each field, in order."""
+    return objects.select("object", F.explode("fields").alias("field")).groupBy("field").agg(F.array_sort(F.collect_set("object")).alias("users"))

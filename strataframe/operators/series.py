@@ -49,12 +49,26 @@ def drop_isolated(df: DataFrame, keys: list[str], at: str, gap: float, least: in
     return most.where((F.col("__n") >= least) | (F.col("__most") < least)).drop("__g", "__n", "__most")
 
 
-def rank_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at 0-based rank round((n - 1) * p) in order; not the ceil(n * p) of percentile_disc."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    aggs = [F.max(F.when(F.col("__r") == F.floor((F.col("__n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(*aggs)
+def rank_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Values at 0-based rank round((n - 1) * p) in order; not the ceil(n * p) of percentile_disc. Missing values have no rank.
+
+    Counts by bin of the key's range tell in which bin each rank lies; only the rows of those bins are put in
+    order, so that a key with most rows isn't sorted by one task.
+    """
+    v = F.col(value)
+    known = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*keys, value)
+    stats = known.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    binned = known.join(stats, keys).withColumn("__bin", place)
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in shares.items()]))
+    wanted = counts.withColumn("__before", before).withColumn("__s", ranks).withColumn("__r", F.floor((F.col("__n") - 1) * F.col("__s.p") + 0.5))
+    wanted = wanted.where((F.col("__before") <= F.col("__r")) & (F.col("__r") < F.col("__before") + F.col("__c"))).select(*keys, "__bin", F.col("__s.name").alias("__name"), (F.col("__r") - F.col("__before") + 1).alias("__nth"))
+    inside = binned.select(*keys, "__bin", value).join(wanted, [*keys, "__bin"])
+    nth = F.row_number().over(Window.partitionBy(*keys, "__bin", "__name").orderBy(value))
+    found = inside.withColumn("__k", nth).where(F.col("__k") == F.col("__nth"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in shares])
 
 
 def median_step(df: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -120,3 +134,14 @@ def interpolate(facts: DataFrame, stations: DataFrame, keys: list[str], at: str,
     t = F.when(q["t"] > p["t"], (F.col(at) - p["t"]) / (q["t"] - p["t"])).otherwise(F.lit(0.0))
     out = [F.when(p.isNull(), q[v]).when(q.isNull(), p[v]).otherwise(p[v] + (q[v] - p[v]) * t).alias(v) for v in values]
     return both.select(*facts.columns, *out)
+
+
+def midpoints(logs: DataFrame, trace: DataFrame, keys: list[str], value: str, station: str, position: list[str]) -> DataFrame:
+    """Samples at the middle of the usable intervals logs(keys, from, to, value), placed on trace(keys, station, position).
+
+    Usable: a finite value and finite ends, the second beyond the first. Intervals of a key without a trace go.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    ok = logs.where(finite(value) & finite("from") & finite("to") & (F.col("to") > F.col("from")))
+    placed = interpolate(ok.withColumn("__mid", (F.col("from") + F.col("to")) * 0.5), trace, keys, "__mid", station, position)
+    return placed.where(F.col(position[0]).isNotNull()).drop("__mid")

@@ -219,3 +219,19 @@ def read_hole(spark: SparkSession, out: str, dhid: str) -> DataFrame:
 
 def write_delimited(df: DataFrame, path: str, separator: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+
+
+def survey_angles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, inclination_is_dip, azimuth_off_compass, tilt_not_an_angle) of rows(keys, inclination, azimuth); one pass.
+
+    Inclinations that are all downward by sign, none upward, are dips already. Tilts beyond a right angle and
+    azimuths off the compass are counted; a missing angle counts nowhere.
+    """
+    tilt, azimuth = F.col("inclination"), F.col("azimuth")
+    angle = F.abs(tilt) <= 90
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.groupBy(*keys).agg(
+        (any_of(angle & (tilt < 0)) & ~any_of(angle & (tilt > 0))).alias("inclination_is_dip"),
+        F.count_if(~((azimuth >= 0) & (azimuth <= 360))).alias("azimuth_off_compass"),
+        F.count_if(~angle).alias("tilt_not_an_angle"),
+    )
