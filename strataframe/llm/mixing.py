@@ -110,7 +110,7 @@ def ranked_by(base: DataFrame, plan: DataFrame) -> DataFrame:
 def copies_by_plan() -> Column:
     """The copies of a row of ranked_by, once the plan has its cuts."""
     more = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (F.col("place") <= F.col("cut")))
-    return (F.col("certain") + F.coalesce(more.cast("long"), F.lit(0))).cast("long")
+    return (F.col("certain") + F.coalesce((F.col("rank").isNotNull() & more).cast("long"), F.lit(0))).cast("long")
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
+import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,3 +113,78 @@ def line_dedup(rows, edits=2, least=20, near=None):
         n_near = sum(1 for i in gone if first[split[i]] == (d, i))
         out.append((d, len(worded), len(gone), n_near, "\n".join(x for i, x in enumerate(split) if i not in gone)))
     return sorted(out)
+
+
+def unit(seed, doc_id):
+    return int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2.0**52
+
+
+def water_level(caps, weights, total):
+    """min(cap, weight * level) summing to total, by raising the level past one cap after the other."""
+    order = sorted(range(len(caps)), key=lambda i: caps[i] / weights[i])
+    left, open_w, level = total, sum(weights), None
+    for i in order:
+        if left / open_w <= caps[i] / weights[i]:
+            level = left / open_w
+            break
+        left, open_w = left - caps[i], open_w - weights[i]
+    return [c if level is None else min(c, w * level) for c, w in zip(caps, weights)]
+
+
+def mix(rows, weights=(5, 2, 1), share=1.5, most=2.0):
+    """rows: (doc_id, text, source) -> copies of each row, in order; doc_ids are distinct, texts have words."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    by = {s: [i for i, r in enumerate(rows) if r[2] == s] for s in sources}
+    total = {s: sum(size[i] for i in by[s]) for s in sources}
+    targets = water_level([most * total[s] for s in sources], [weights[k % len(weights)] for k in range(len(sources))], share * sum(total.values()))
+    copies = [0] * len(rows)
+    for s, target in zip(sources, targets):
+        classes = sorted({size[i].bit_length() - 1 for i in by[s] if size[i]})
+        words = {c: sum(size[i] for i in by[s] if size[i] and size[i].bit_length() - 1 == c) for c in classes}
+        expected = dict(zip(classes, (x / words[c] for c, x in zip(classes, water_level([most * words[c] for c in classes], [2 ** (c / 4) * words[c] for c in classes], target)))))
+        certain = {c: math.floor(e + 1e-9) for c, e in expected.items()}
+        p = {c: max(0.0, expected[c] - certain[c]) for c in classes}
+        rest = target - sum(certain[c] * words[c] for c in classes)
+        drawn = []
+        for i in by[s]:
+            if size[i]:
+                c = size[i].bit_length() - 1
+                copies[i] = certain[c]
+                if p[c] > 1e-9:
+                    u = unit("mix", rows[i][0])
+                    drawn.append((u / (1 - u) / (p[c] / (1 - p[c])), rows[i][0], size[i], i))
+        before = 0
+        for _, _, n, i in sorted(drawn):
+            if before + n / 2 <= rest:
+                copies[i] += 1
+            before += n
+    return copies
+
+
+def contaminated(text, items, n=10):
+    """Whether a text holds an n-word window of an item (or a shorter item whole)."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w = word.findall(lower_ascii(text or ""))
+    for item in items:
+        k = word.findall(lower_ascii(item or ""))
+        m = min(n, len(k))
+        grams = {tuple(k[i : i + m]) for i in range(len(k) - m + 1)} if m else set()
+        if any(tuple(w[i : i + m]) in grams for i in range(len(w) - m + 1) if m):
+            return True
+    return False
+
+
+def interleave(rows, shards):
+    """rows: (doc_id, text, source), distinct ids or equal rows -> sorted (doc_id, size, shard, slot)."""
+    by = {}
+    for d, t, s in rows:
+        raw = (t or "").encode()
+        by.setdefault(s, []).append((unit("shards", d), d, zlib.crc32(raw), len(raw) + 8))
+    ranked = []
+    for s, mine in by.items():
+        for r, (_, d, _, size) in enumerate(sorted(mine)):
+            ranked.append(((r + 0.5) / len(mine), s is None, s or "", r, d, size))
+    ranked.sort()
+    n = len(ranked)
+    return sorted((d, size, at * shards // n, at - -(-(at * shards // n) * n // shards)) for at, (*_, d, size) in enumerate(ranked))

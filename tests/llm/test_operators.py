@@ -112,6 +112,15 @@ def test_mix_of_hard_rows(hard, none):
     assert have == {k: n for k, n in want.items() if n}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i, "w " * rng.choice([1, 2, 3, 7, 40, 300]), rng.choice(["a", "b", "c", "d", None][: 2 + seed])) for i in range(rng.choice([5, 60, 400]))]
+    got = rows(mixing.pareto_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")), "doc_id", "copies")
+    assert got == [(r[0], c) for r, c in zip(docs, brute.mix(docs))]
+    assert max(c for _, c in got) <= 2
+
+
 def test_odds_differ_within_a_source(spark):
     docs = spark.createDataFrame([(i, "w " * (1 if i % 2 else 600), ("a", "b")[i % 3 == 0]) for i in range(4000)], "doc_id long, text string, source string")
     mix = mixing.pareto_mix(docs)

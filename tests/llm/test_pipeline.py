@@ -1,8 +1,9 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import corpus_pipeline
-from strataframe.llm import contamination, jaccard, rulestats
+from strataframe.llm import contamination, jaccard, langid, rulestats
 
+from . import brute
 from .conftest import hard_rows, words
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +35,22 @@ def test_stages_of_hard_rows_and_of_none(spark, hard, none):
             assert out.count() <= 2 * len(hard_rows())
 
 
+def test_the_result_is_brute_force(spark):
+    """Languages as the fitted model gives them (its scoring has a plain version of its own); all else in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r["doc_id"] for r in langid.identify(docs).where("lang_pred != 'und' AND score >= 0.5").select("doc_id").collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if r["doc_id"] in known]
+    first = {d for d, _, c in brute.jaccard_components([(d, t) for d, t, _ in rows]) if d == c}
+    rows = [r for r in rows if r[0] in first]
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not brute.contaminated(r[1], items)]
+    rows = [r for r, n in zip(rows, brute.mix(rows)) for _ in range(n if brute.WORD.search(r[1] or "") else 1)]
+    want = brute.interleave(rows, 24)
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "size", "shard", "slot").collect())
+    # the copies of one document stand next to each other, so which of them is first doesn't matter
+    assert len(got) == len(want) and got == want
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and "shard" in out.columns
