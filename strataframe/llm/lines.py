@@ -369,9 +369,11 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary, h long")
     rows = staged(rows, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
-    firsts = staged(rows.groupBy("name").agg(F.min("h").alias("h"), F.min(place).alias("first")), "line-firsts")
+    firsts = staged(rows.groupBy("name").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")), "line-firsts")
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
-    heads = staged(firsts.join(late, "name", "left").select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
+    # a line that occurs once and isn't late is no reason to remove anything
+    heads = firsts.join(late, "name", "left").where("rows > 1 OR late")
+    heads = staged(heads.select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
     gone = rows.drop("h").join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")
