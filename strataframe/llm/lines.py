@@ -246,18 +246,19 @@ def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """The names of those of pairs(a, b) whose lines are within `edits` edits."""
-    sides = [texts.select(F.col("h").alias(x), F.col("name").alias(f"name_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab"]
-    full = pairs.join(sides[0], "a").join(sides[1], "b").select("name_a", "name_b", "line_a", "line_b")
+    """(name): the later line of each of pairs(a, b) whose lines are within `edits` edits."""
+    sides = [texts.select(F.col("h").alias(x), F.struct("name", "first").alias(f"at_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab"]
+    later = F.when(F.col("at_a.first") < F.col("at_b.first"), F.col("at_b.name")).otherwise(F.col("at_a.name"))
+    full = pairs.join(sides[0], "a").join(sides[1], "b").select(later.alias("name"), "line_a", "line_b")
 
     def verify(batches):
         import pyarrow as pa
 
         for b in batches:
-            ok = pa.array([near(x, y, edits) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+            ok = pa.array([near(x, y, edits) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.record_batch([b.column(0).filter(ok)], ["name"])
 
-    return full.mapInArrow(verify, "a binary, b binary")
+    return full.mapInArrow(verify, "name binary")
 
 
 def _searched(lists: DataFrame, late: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
@@ -310,7 +311,7 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     leaves open is searched in blocks. Candidates are verified on their texts; nothing is capped.
     """
     posts = staged(_signed(docs, edits, least), "line-posts")
-    met = staged(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-keys")
+    met = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = staged(posts.join(met, "key"), "line-lists")
     close = ~lanes_apart([F.col("x.c0"), F.col("x.c1")], [F.col("y.c0"), F.col("y.c1")], edits)
     few = lists.where(F.col("c") <= short)
@@ -330,14 +331,24 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     pairs = staged(pairs.distinct(), "line-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
     ends = staged((ends.unionByName(many.select("h")) if hot else ends).distinct(), "line-ends")
-    texts = staged(_texts_of(docs, ends), "line-texts")
-    found = _verified(pairs, texts, edits)
-    for x in "ab":
-        found = found.join(firsts.select(F.col("name").alias(x), F.col("first").alias(f"first_{x}")), x)
-    late = staged(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("name")).distinct(), "line-late")
+    texts = staged(_texts_of(docs, ends).join(firsts.select("name", "first"), "name"), "line-texts")
+    late = staged(_verified(pairs, texts, edits).distinct(), "line-late")
     return late.unionByName(_searched(many, late, texts, edits, block)).distinct() if hot else late
 
 
+def _place(docs: DataFrame) -> Column:
+    """What orders occurrences by (doc_id, number), a null doc_id last.
+
+    Whole numbers are packed into one decimal, which a hash aggregate can take the minimum of; a struct, as
+    for any other type of doc_id, would have all lines sorted by name first.
+    """
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
+    number = F.col("number").cast("decimal(10,0)")
+    last = F.lit("1" + 20 * "0").cast("decimal(21,0)")  # over any 64-bit number
+    return (F.coalesce(F.col("doc_id").cast("decimal(21,0)"), last) * F.lit(1 << 31).cast("decimal(10,0)") + number).cast("decimal(32,0)")
+
+
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """Remove lines that equal, or are within `edits` edits of, an earlier line.
 
@@ -368,12 +379,12 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary, h long")
     rows = staged(rows, "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
+    place = _place(docs)
     firsts = staged(rows.groupBy("name").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")), "line-firsts")
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
     # a line that occurs once and isn't late is no reason to remove anything
     heads = firsts.join(late, "name", "left").where("rows > 1 OR late")
-    heads = staged(heads.select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
+    heads = heads.select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late"))
     gone = rows.drop("h").join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")

@@ -268,6 +268,16 @@ def test_line_dedup_is_brute_force(spark):
     assert sum(r[3] for r in got) > 5
 
 
+@pytest.mark.parametrize("ids", [[-5, 2**62, -(2**63), 2**63 - 1], ["b", "a", "", "10"]])
+def test_line_dedup_orders_any_doc_id(spark, ids):
+    line = "a line that all of these documents hold"
+    docs = [(d, f"own words of {i}\n{line}\n{line}{'!' * i}") for i, d in enumerate(ids)]
+    kind = "string" if isinstance(ids[0], str) else "long"
+    got = lines.line_dedup(spark.createDataFrame([*docs, (None, line)], f"doc_id {kind}, text string")).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute.line_dedup(docs)
+    assert [(r.n_lines, r.n_removed, r.kept) for r in got if r.doc_id is None] == [(1, 1, "")]
+
+
 def test_line_dedup_of_hard_rows(hard, none):
     got = lines.line_dedup(hard)
     assert got.count() == len(hard_rows())
