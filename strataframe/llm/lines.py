@@ -384,7 +384,8 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
     # a line that occurs once and isn't late is no reason to remove anything
     heads = firsts.join(late, "name", "left").where("rows > 1 OR late")
-    heads = heads.select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late"))
+    # staged, so that both sides of the next join are read from a shuffle and a line in every document can be split
+    heads = staged(heads.select(F.col("name").alias("__name"), "first", F.coalesce("late", F.lit(False)).alias("late")), "line-heads")
     gone = rows.drop("h").join(heads, F.col("name") == F.col("__name")).withColumn("again", place != F.col("first")).where("again OR late")
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("gone"), F.countDistinct(F.when(~F.col("again"), F.col("number"))).alias("n_near"))
     gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone", "n_near"), "line-gone")
