@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, lines, mixing, quality, rulestats, secrets, sharding, substrings
+from . import centroids, contamination, jaccard, langid, lines, mixing, quality, rulestats, secrets, sharding, substrings, toxicity, turns
 from .common import shared_dir
 
 
@@ -64,6 +64,18 @@ def op9_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rulestats.STATS, "base_failed", "kept", "anomaly")
 
 
+def op11_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024.0, seed=3))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digest(turns.repair(turns.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op13_toxicity_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +89,9 @@ QUERIES = {
         op8_recompression_dedup,
         op9_isolation_rules,
         op10_jaccard_join,
+        op11_exponion_clusters,
+        op12_turn_repair,
+        op13_toxicity_filters,
     )
 }
 
@@ -158,3 +173,60 @@ t AS (SELECT rid, count(DISTINCT item_id)::BIGINT AS n_items, array_to_string(li
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """The rounds written out, each by the distances of all vectors to all centroids."""
+    near = """a{r} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM
+  (SELECT v.rid, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} c) GROUP BY rid)"""
+    move = """c{s} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM
+  (SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT a.c, unnest(v.v) AS x, unnest(range(1, 65)) AS i FROM v JOIN a{r} a USING (rid)) GROUP BY c, i) GROUP BY c) n USING (c))"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), vec_id, v) - 1 AS c, v FROM v QUALIFY c < 8),
+{",".join(steps)},
+s AS (SELECT c, sum(d)::BIGINT AS cluster_inertia, (sum(sum(d)) OVER ())::BIGINT AS inertia FROM a{rounds} GROUP BY c)
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, s.cluster_inertia, s.inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (rid) JOIN s ON s.c = a.c JOIN c{rounds} k ON k.c = a.c"""
+
+
+ORACLE_SQL["op11_exponion_clusters"] = _lloyd_sql()
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: A path is its cost in nine digits and its audit, so that the least text is the cheapest, then ASCII-least.
+_EDIT = "CASE WHEN {ok} THEN lpad((left({path}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({path}, 10) || '{letter}' END"
+_edit = lambda path, cost, letter, ok="true": _EDIT.format(path=path, cost=cost, letter=letter, ok=ok)
+_MAY = "NOT r.must_go"
+_LATE = "CASE WHEN r.cut THEN 3 ELSE 0 END"
+ORACLE_SQL["op12_turn_repair"] = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, octet_length(k) + 1), lambda i: ('0x' || substr(hex(k), (2 * i - 1)::BIGINT, 2))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS kind FROM raw),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, row_number() OVER w AS pos, lag(left(role, 1)) OVER w AS before, right(rtrim(text, {_BLANKS}), 1) AS tail
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS MATERIALIZED (SELECT *, left(role, 1) AS i, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, coalesce(fault = 'truncated', false) AS cut FROM placed),
+n AS (SELECT conv, any_value(conv_id) AS conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+f AS (SELECT conv, 0::BIGINT AS pos, '000000000' AS s0, NULL::VARCHAR AS s, '000000003I' AS u, '000000006II' AS a FROM n
+  UNION ALL SELECT conv, pos, s0, s, u1, least(a0, {_edit("u1", 3, "I")}) FROM (
+    SELECT *, least(u0, {_edit("s0", 3, "I")}, {_edit("s", 3, "I")}, {_edit("a0", 3, "I")}) AS u1 FROM (
+      SELECT f.conv, r.pos, {_edit("f.s0", 4, "D")} AS s0, least({_edit("f.s", 4, "D")}, {_edit("f.s0", _LATE, "K", _MAY + " AND r.i = 's'")}) AS s,
+        least({_edit("f.u", 4, "D")}, {", ".join(_edit(f"f.{p}", _LATE + extra, x, _MAY + ok) for p in ("s0", "s", "a") for x, extra, ok in (("K", "", " AND r.i = 'u'"), ("R", " + 3", "")))}) AS u0,
+        least({_edit("f.a", 4, "D")}, {_edit("f.u", _LATE, "K", _MAY + " AND r.i = 'a'")}, {_edit("f.u", _LATE + " + 3", "R", _MAY)}) AS a0
+      FROM f JOIN r ON r.conv = f.conv AND r.pos = f.pos + 1))),
+e AS (SELECT n.*, left(least(f.s0, f.a), 9)::BIGINT AS cost, substr(least(f.s0, f.a), 10) AS audit FROM n JOIN f ON f.conv = n.conv AND f.pos = n.n),
+l AS (SELECT conv, j, substr(audit, j, 1) AS x, length(replace(left(audit, j), 'I', '')) AS pos FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS j FROM e)),
+o AS (SELECT l.conv, l.j, x, r.role, CASE WHEN x = 'I' THEN '' ELSE r.text END AS text, row_number() OVER (PARTITION BY l.conv ORDER BY l.j) AS nth FROM l LEFT JOIN r ON r.conv = l.conv AND r.pos = l.pos WHERE x <> 'D'),
+h AS (SELECT *, max(CASE WHEN nth = 1 AND x = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv) AS head FROM o),
+t AS (SELECT conv, string_agg(CASE WHEN x = 'K' THEN role WHEN (nth - 1 - head) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nth) AS whole FROM h GROUP BY conv)
+SELECT c.conv_id, coalesce(e.gaps, 0)::BIGINT AS gaps, coalesce(e.blank, 0)::BIGINT AS blank, coalesce(e.duplicate, 0)::BIGINT AS duplicate, coalesce(e.truncated, 0)::BIGINT AS truncated,
+  coalesce(e.illegal, 0)::BIGINT AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(t.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv = e.conv"""
