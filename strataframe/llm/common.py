@@ -84,6 +84,19 @@ def prefix_within(df: DataFrame, group: list[str], order: list[Column], value: C
     return out
 
 
+def spread(df: DataFrame, key: str, most: int, *more: Column) -> DataFrame:
+    """df with `key` (uniform in [0, 1)) drawn anew, by `more`, for rows whose key more than `most` rows share.
+
+    Such rows have one id between them; each should still find a bucket of its own. There are fewer such keys
+    than a share 1 / most of the rows.
+    """
+    shared = staged(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(F.col(key).alias("__shared")), "shared-keys")
+    if shared.isEmpty():
+        return df
+    out = df.join(small(shared), df[key] == F.col("__shared"), "left")
+    return out.withColumn(key, F.when(F.col("__shared").isNotNull(), unit_hash("spread", F.col(key), *more)).otherwise(F.col(key))).select(*df.columns)
+
+
 def power_of_two(n: int, least: int, most: int) -> int:
     return int(min(most, max(least, 1 << max(0, int(n) - 1).bit_length())))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, staged, unit_hash, unused, with_fields
 from .tokens import text_buffer
@@ -143,30 +144,35 @@ def fit(rows: list[tuple], df: np.ndarray, n_docs: int, epochs: int = 3) -> Mode
     return Model(langs, w * idf[:, None], temperature(z, np.array([y for *_, y in held], int)))
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_langs: int = MAX_LANGS) -> Model:
     """Fit on (doc_id, text, lang): IDF over all rows, weights on at most fit_rows rows of each language.
 
-    The rows fitted on are those with the least hash of their doc_id; only their n-gram counts (at most
-    FEATURES a row) reach the driver. More than MAX_LANGS languages are an error.
+    The rows fitted on are those with the least hash of their doc_id and text, exactly fit_rows of them or all that
+    there are; rows equal in both count once there. Only their n-gram counts (at most FEATURES a row) reach the
+    driver. Of more than most_langs languages the most frequent are learned (ties by name). Rows whose text or
+    language is null take no part; an empty text is learned from like any; without rows all is undetermined.
     """
     spark = labelled.sparkSession
     labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    labelled = labelled.withColumn("u", unit_hash("lang", F.col("doc_id")))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    # a few more than are wanted by chance, then exactly the least
-    chance = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (fit_rows + 6 * fit_rows**0.5) / r["n"])))]) if sizes else None
-    pick = (F.col("u") < chance[F.col("lang")]) if sizes else F.lit(False)
+    labelled = labelled.withColumn("u", unit_hash("lang", F.col("doc_id"), F.xxhash64("text")))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("u", 0.02).alias("different")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    # more than are wanted, by chance and by the estimate's error; then exactly the least
+    bound = {r["lang"]: min(1.0, (fit_rows + 6 * fit_rows**0.5) / max(1.0, 0.9 * r["different"])) for r in sizes}
+    chance = F.create_map(*[F.lit(x) for r in bound.items() for x in r]) if sizes else None
+    pick = F.coalesce(F.col("u") < chance[F.col("lang")], F.lit(False)) if sizes else F.lit(False)
 
     def run(batches):
         import pyarrow as pa
 
         seen = np.zeros(FEATURES, bool)
-        df, n = np.zeros(FEATURES, np.int64), 0
+        df, n, taken = np.zeros(FEATURES, np.int64), 0, set()
         for b in batches:
             points, at = code_points(b.column(0))
-            chosen = b.column(1).to_numpy(zero_copy_only=False)
+            chosen = b.column(1).to_numpy(zero_copy_only=False).copy()
+            for i in np.flatnonzero(chosen).tolist():
+                name = (b.column(2)[i].as_py(), b.column(3)[i].as_py())
+                chosen[i] = name not in taken
+                taken.add(name)
             rows = []
             for i in range(b.num_rows):
                 seen[:] = False
@@ -194,11 +200,10 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     for r in totals.select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).groupBy("x.bucket").agg(F.sum("x.n").alias("n")).collect():
         df[r[0]] = r[1]
     n_docs = totals.agg(F.sum("u")).first()[0] or 0
-    rows = []
-    for r in sizes:
-        mine = facts.where(F.col("lang") == r["lang"]).orderBy("u", F.xxhash64("bucket", "n")).limit(fit_rows).select("bucket", "n", "u").collect()
-        rows += [(m["u"], r["lang"], m["bucket"], m["n"]) for m in mine]
-    return fit([r[1:] for r in sorted(rows, key=lambda r: (r[0], r[1]))], df, int(n_docs))
+    mine = facts.where("lang IS NOT NULL").groupBy("lang", "u").agg(F.min(F.struct("bucket", "n")).alias("r"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    rows = mine.withColumn("nth", nth).where(F.col("nth") <= fit_rows).select("u", "lang", "r.bucket", "r.n").collect()
+    return fit([tuple(r)[1:] for r in sorted(rows, key=lambda r: (r["u"], r["lang"]))], df, int(n_docs))
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -236,8 +241,8 @@ def identify(docs: DataFrame, held_out: int = 2, parts: int = 4, fit_rows: int =
 
     docs needs doc_id, text and lang; all its columns return (but own lang_pred, score, held_out, which are
     replaced), with held_out, lang_pred and score (or other `names`). Predictions take the text alone. A text that is null or
-    has no letter is `und` with score 0; so is every text if no row is labelled. Repeated rows fare alike;
-    an empty table gives none.
+    has no letter is `und` with score 0; so is every text if no row is labelled. Of equally likely languages the first by
+    name is given. Repeated rows fare alike; an empty table gives none.
 
     x: TF-IDF of n-grams of 1 to 3 code points, by relative frequency, so that a text's logits are the mean
     of a weight per n-gram and texts of any length are scored in one pass over their characters.

@@ -87,16 +87,46 @@ def mixture_plan(base: DataFrame, weights: Sequence[float], share: float, most:
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).where("start <= rest")
     last = staged(starts.groupBy("source").agg(F.max(F.struct("bucket", "start")).alias("l")).select(F.col("source").alias("__source"), F.col("l.bucket").alias("last"), "l.start"), "mix-buckets")
     inside = ranked.join(small(last), F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("last")))
-    inside = inside.groupBy("source", "start", "rest", "place").agg(F.sum("size").alias("words"))
+    # rows that tie in place are one row here, however many they are
+    inside = inside.groupBy("source", "start", "rest", "place").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
     earlier = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # what crosses the rest is taken if that ends nearer to it
-    taken = inside.withColumn("before", F.col("start") + earlier).where(F.col("before") + F.col("words") / 2 <= F.col("rest"))
-    cut = taken.groupBy(F.col("source").alias("__cut_source")).agg(F.max("place").alias("cut"))
+    inside = inside.withColumn("before", F.col("start") + earlier)
+    # what crosses the rest is taken if that ends nearer to it; of a tie as many rows as do so
+    nth = F.floor((F.col("rest") - F.col("before")) / F.col("place.size") + 0.5)
+    nth = F.when(F.col("before") + F.col("place.size") * (nth - 0.5) <= F.col("rest"), nth).otherwise(nth - 1)
+    inside = inside.withColumn("take", F.greatest(F.lit(0), F.least(F.col("rows"), nth)).cast("long")).where("take > 0")
+    cuts = inside.groupBy(F.col("source").alias("__cut_source")).agg(
+        F.max(F.when(F.col("take") == F.col("rows"), F.col("place"))).alias("cut"),
+        F.max(F.when(F.col("take") < F.col("rows"), F.struct("place", "take"))).alias("part"),
+    )
+    cuts = staged(cuts.select("__cut_source", "cut", F.col("part.place").alias("tied"), F.col("part.take").alias("take")), "mix-ties")
+    rows = _tied_rows(ranked, cuts)
     plan = plan.join(last.drop("start"), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    plan = plan.join(cuts.drop("take"), F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    plan = plan.join(rows, F.col("source").eqNullSafe(F.col("__tied_source")), "left").drop("__tied_source")
     return staged(plan, "mix-cuts")
 
 
+def _tied_rows(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(__tied_source, tied_row): up to which row_id the rows that tie at a source's cut are taken, where that is a part of them.
+
+    They may be a third of all rows: they are counted by the partition that numbered them, and only the rows of the
+    partition in which the count is reached are put in order.
+    """
+    ties = cuts.where("tied IS NOT NULL").select(F.col("__cut_source").alias("__source"), F.col("tied").alias("__tied"), "take")
+    if ties.isEmpty():
+        return ties.select(F.col("__source").alias("__tied_source"), F.lit(None).cast("long").alias("tied_row")).limit(0)
+    rows = ranked.join(small(ties), F.col("source").eqNullSafe(F.col("__source")) & (F.col("place") == F.col("__tied")))
+    rows = rows.select("source", "row_id", "take", F.shiftright("row_id", 33).alias("from"))
+    counts = rows.groupBy("source", "take", "from").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("need", F.col("take") - before).where("need > 0 AND need <= rows")
+    counts = counts.select(F.col("source").alias("__tied_source"), F.col("from").alias("__from"), "need")
+    inside = rows.join(small(counts), F.col("source").eqNullSafe(F.col("__tied_source")) & (F.col("from") == F.col("__from")))
+    inside = inside.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("row_id"))).where("nth <= need")
+    return inside.groupBy("__tied_source").agg(F.max("row_id").alias("tied_row"))
+
+
 def ranked_by(base: DataFrame, plan: DataFrame) -> DataFrame:
     """base(..., source, size, u) with its row of the plan, and rank, bucket and place (the order of ranks, ties by id and size)."""
     own = plan.withColumnRenamed("source", "__source").withColumnRenamed("class", "__class").drop("words", "rows")
@@ -109,12 +139,14 @@ def ranked_by(base: DataFrame, plan: DataFrame) -> DataFrame:
 
 def copies_by_plan() -> Column:
     """The copies of a row of ranked_by, once the plan has its cuts."""
-    more = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & (F.col("place") <= F.col("cut")))
+    early = F.coalesce(F.col("place") <= F.col("cut"), F.lit(False)) | ((F.col("place") == F.col("tied")) & (F.col("row_id") <= F.col("tied_row")))
+    more = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & early)
     return (F.col("certain") + F.coalesce((F.col("rank").isNotNull() & more).cast("long"), F.lit(0))).cast("long")
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"))
+    """What the plan is made of, a row a document; row_id tells rows of one id and size apart."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"), F.monotonically_increasing_id().alias("row_id"))
 
 
 def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -131,8 +163,9 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     copies; copies themselves are whole and may be the next larger number.
 
     A null text has size 0 and takes 0; an all-null source has target 0; null is a source of its own;
-    repeated rows of one id and size are taken alike, ties in rank are ordered by id (null last) and size;
-    an empty table gives none.
+    ties in rank are ordered by id (null last) and size; of rows of one source, id and size as many are taken as
+    bring the words nearest the target, those that stand first in the input (they are alike in all that returns); an
+    empty table gives none.
     """
     base = staged(sized(docs, seed), "mix-sizes")
     out = ranked_by(base, mixture_plan(base, weights, share, most)).withColumn("copies", copies_by_plan())
@@ -143,12 +176,12 @@ def take_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """docs with each row as often as the mixture takes it, with the columns of docs.
 
     Rows without words have no weight in any target and stay once each. Texts are never shuffled: a row's
-    copies follow from its own id, source and size and from the plan, which has a row for each source and
-    size class. Columns of any names return unchanged; an empty table gives none.
+    copies follow from its own id, source, size and place in the input and from the plan, which has a row for each
+    source and size class. Columns of any names return unchanged; an empty table gives none.
     """
     plan = mixture_plan(staged(sized(docs, seed), "mix-sizes"), weights, share, most)
     row = unused("__row", docs)
-    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"))
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("u"), F.monotonically_increasing_id().alias("row_id"))
     copies = F.when(F.col("size") > 0, copies_by_plan()).otherwise(1).cast("int")
     out = ranked_by(packed, plan).withColumn("copies", copies).where("copies > 0")
     return out.select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")

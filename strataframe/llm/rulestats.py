@@ -151,13 +151,15 @@ def threshold(counts: list[tuple[int, int, int]], bins: int, lose: float) -> flo
 def tree_samples(passed: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
     """For each tree, the STATS of the `rows` rows of passed(doc_id, STATS) with the least hash of tree, doc_id and STATS.
 
-    A first pass lets through what is below a bound that some more rows than needed fall under, 6 standard
-    deviations more, so that the driver gets a few hundred rows a tree.
+    Rows that are equal in all of these count once, so that no number of copies of one row takes a tree's place.
+    A first pass lets through what is below a bound that some more different rows than needed fall under, 6 standard
+    deviations and the estimate's error more, so that the driver gets a few hundred rows a tree.
     """
-    n = passed.count()
+    hashed = passed.select(F.xxhash64("doc_id", *STATS).alias("h"), *STATS)
+    n = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     if not n:
         return []
-    bound = min(1.0, (rows + 6 * rows**0.5) / n)
+    bound = min(1.0, (rows + 6 * rows**0.5) / (0.9 * n))
     salts = mix64(np.arange(1, trees + 1, dtype=np.uint64))
 
     def run(batches):
@@ -172,8 +174,8 @@ def tree_samples(passed: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -
             key = np.concatenate([x[k] for x, k in zip(u, hit)]) >> np.uint64(1)
             yield pa.record_batch([pa.array(tree), pa.array(key.astype(np.int64)), *[c.take(pa.array(at)) for c in b.columns[1:]]], ["tree", "u", *STATS])
 
-    hashed = passed.select(F.xxhash64("doc_id", *STATS).alias("h"), *STATS)
     found = hashed.mapInArrow(run, "tree long, u long, " + ", ".join(f"{s} long" for s in STATS))
+    found = found.groupBy("tree", "u", *STATS).agg(F.lit(1).alias("one"))
     nth = F.row_number().over(Window.partitionBy("tree").orderBy("u", *STATS))
     drawn = np.array(found.withColumn("nth", nth).where(F.col("nth") <= rows).select("tree", "nth", *STATS).collect(), float).reshape(-1, 2 + len(STATS))
     drawn = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucketed, prefix_within, staged, unit_hash
+from .common import bucketed, prefix_within, spread, staged, unit_hash
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_bucket: int = 4096) -> DataFrame:
@@ -25,7 +25,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_buck
     than shards some shards are empty.
 
     Both rankings sum by buckets of a key that is uniform by construction (the hash, then the fractional
-    rank), so a source with a third of all rows is spread evenly.
+    rank), so a source with a third of all rows is spread evenly. More than per_bucket rows of one id (null, say)
+    are shuffled by their texts and places in the input instead.
     """
     text = F.col("text").cast("string")
     base = docs.select(
@@ -34,7 +35,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: str = "shards", per_buck
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
     ).withColumn("__u", unit_hash(seed, F.col("doc_id")))
-    base = staged(base, "shard-keys")
+    base = staged(base.withColumn("__row", F.monotonically_increasing_id()), "shard-keys")
+    base = spread(base, "__u", per_bucket, F.col("text_crc32"), F.col("__row")).drop("__row")
     n = base.groupBy("source").agg(F.count(F.lit(1)).alias("__n")).select(F.col("source").alias("__source"), "__n")
     n = staged(n.withColumn("__all", F.sum("__n").over(Window.partitionBy(F.lit(0)))), "shard-sources")
     rows = base.join(n, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
