@@ -6,44 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .rules import _rules
-
 #: A hole shorter than this has no depth; a fill deck needs at least so much left.
 NO_DEPTH, LEAST_FILL = 1e-6, 0.1
 
 
 def deck_table(decks: DataFrame) -> DataFrame:
-    """decks(seq, product, length) of one rule with what lies above and below each; a null length fills.
+    """decks(seq, product, length, and kind, density if there are any) of one rule with what lies above and below each.
 
-    A rule has a handful of decks, so its windows are small.
+    The first deck of null length fills; a later one has no length. kind is explosive, stemming or air; without
+    the column every deck is explosive. A rule has a handful of decks, so its windows are small.
     """
     own = F.coalesce("length", F.lit(0.0))
     over = Window.partitionBy(F.lit(0)).orderBy("seq")
     total = F.sum(own).over(Window.partitionBy(F.lit(0)))
     above = F.coalesce(F.sum(own).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     fill = F.min(F.when(F.col("length").isNull(), F.col("seq"))).over(Window.partitionBy(F.lit(0)))
-    return decks.select("seq", "product", "length", above.alias("above"), (total - above - own).alias("below"), total.alias("fixed"), fill.alias("fill"))
+    kind = F.coalesce(F.col("kind"), F.lit("stemming")) if "kind" in decks.columns else F.lit("explosive")
+    density = F.coalesce(F.col("density").cast("double"), F.lit(0.0)) if "density" in decks.columns else F.lit(0.0)
+    return decks.select("seq", "product", own.alias("length"), kind.alias("kind"), density.alias("density"), above.alias("above"), (total - above - own).alias("below"), total.alias("fixed"), fill.alias("fill"))
+
 
+def charge_holes(holes: DataFrame, decks: DataFrame, primer_offset: float = 0.0) -> DataFrame:
+    """holes(hole, top, bottom, ...) with `decks` (an array of seq, product, kind, from, to, density, primer) and `problem`.
 
-def lay_decks(holes: DataFrame, decks: DataFrame) -> DataFrame:
-    """(hole, seq, product, from, to, problem): a rule's decks in holes(hole, top, bottom).
+    Decks above the first fill deck are laid from the top, those below it from the toe, and the fill takes the
+    rest. Without one they are laid from the top until the hole runs out. Each explosive deck that has a length
+    has a primer, primer_offset above its end but within it. A hole without depth, one that leaves the fill too
+    little, and one in which no explosive deck has a length, has the problem and null decks.
 
-    Decks above the one fill deck are laid from the top, those below it from the toe, and the fill takes the
-    rest. Without one they are laid from the top until the hole runs out. A hole without depth, or one that
-    leaves the fill too little, has one row with the problem and no deck. The rule is broadcast if it is small.
+    The rule, a handful of decks, is one array that every task has; every hole is laid in its own row.
     """
-    j = holes.join(_rules(deck_table(decks)))
+    columns = deck_table(decks)
+    rule = columns.agg(F.array_sort(F.collect_list(F.struct(*columns.columns)))).scalar()
     depth = F.col("bottom") - F.col("top")
-    filled = F.col("fill").isNotNull()
-    problem = F.when(depth <= NO_DEPTH, F.lit("no depth")).when(filled & (F.col("fixed") > depth - LEAST_FILL), F.lit("too short"))
-    down, up = F.col("top") + F.col("above"), F.col("bottom") - F.col("below")
-    start = F.when(filled & (F.col("seq") > F.col("fill")), up - F.col("length")).otherwise(down)
-    end = F.when(~filled, F.least(down + F.col("length"), F.col("bottom"))).when(F.col("seq") < F.col("fill"), down + F.col("length")).otherwise(up)
-    laid = j.withColumn("problem", problem).withColumn("from", start).withColumn("to", end)
-    out = laid.where(F.col("problem").isNull() & (filled | (F.col("from") < F.col("bottom") - NO_DEPTH))).select("hole", "seq", "product", "from", "to", "problem")
-    failed = holes.join(_rules(deck_table(decks).select("fixed", "fill").distinct())).withColumn("problem", problem).where("problem IS NOT NULL")
-    none = F.lit(None)
-    return out.unionByName(failed.select("hole", none.cast("long").alias("seq"), none.cast("string").alias("product"), none.cast("double").alias("from"), none.cast("double").alias("to"), "problem"))
+
+    def laid(d: Column) -> Column:
+        filled = d["fill"].isNotNull()
+        down, up = F.col("top") + d["above"], F.col("bottom") - d["below"]
+        start = F.when(filled & (d["seq"] > d["fill"]), up - d["length"]).otherwise(down)
+        end = F.when(~filled, F.least(down + d["length"], F.col("bottom"))).when(d["seq"] < d["fill"], down + d["length"]).otherwise(up)
+        return F.struct(d["seq"].alias("seq"), d["product"].alias("product"), d["kind"].alias("kind"), start.alias("from"), end.alias("to"), d["density"].alias("density"))
+
+    def primed(x: Column) -> Column:
+        at = F.greatest(x["from"], F.least(x["to"], x["to"] - max(primer_offset, 0.0)))
+        return x.withField("primer", F.when((x["kind"] == "explosive") & (x["to"] - x["from"] > NO_DEPTH), at))
+
+    fits = lambda d: d["fill"].isNotNull() | (F.col("top") + d["above"] < F.col("bottom") - NO_DEPTH)
+    out = holes.withColumn("__rule", rule)
+    out = out.withColumn("__laid", F.transform(F.transform(F.filter("__rule", fits), laid), primed))
+    first = F.get("__rule", F.lit(0))
+    too_short = (first["fill"].isNotNull() & (first["fixed"] > depth - LEAST_FILL)) | ~F.exists("__laid", lambda x: x["primer"].isNotNull())
+    problem = F.when(depth <= NO_DEPTH, F.lit("no depth")).when(F.coalesce(too_short, F.lit(True)), F.lit("too short"))
+    out = out.withColumn("problem", problem).withColumn("decks", F.when(F.col("problem").isNull(), F.col("__laid")))
+    return out.drop("__laid", "__rule")
+
+
+def lay_decks(holes: DataFrame, decks: DataFrame, primer_offset: float = 0.0) -> DataFrame:
+    """(hole, seq, product, kind, from, to, density, primer, problem): a row a deck of charge_holes, or one with the problem."""
+    charged = charge_holes(holes.select("hole", "top", "bottom"), decks, primer_offset)
+    return charged.select("hole", "problem", F.explode_outer("decks").alias("d")).select("hole", *[F.col(f"d.{c}").alias(c) for c in ("seq", "product", "kind", "from", "to", "density", "primer")], "problem")
+
+
+def charge_mass(charged: DataFrame, diameter: Column) -> Column:
+    """The mass of a hole's explosive decks: length times density times the hole's section; 0 without any.
+
+    The diameter is in metres and the density in tonnes a cubic metre, so the mass is in tonnes.
+    """
+    volume = F.aggregate(F.coalesce(charged["decks"], F.array().cast(charged.schema["decks"].dataType)), F.lit(0.0), lambda a, d: a + F.when(d["kind"] == "explosive", (d["to"] - d["from"]) * d["density"]).otherwise(0.0))
+    return volume * F.pi() * F.pow(diameter / 2, 2)
 
 
 def relief_band(time: Column, relief: Column, low: float, high: float) -> Column:

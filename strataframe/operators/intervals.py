@@ -167,10 +167,20 @@ def split_at(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_intervals(points: DataFrame, at: str = "at", tolerance: float = 1e-9, keys: list[str] | None = None) -> DataFrame:
-    """(keys, start, end) between neighbouring distinct points of a key; points within tolerance of the one before are it."""
+    """(keys, start, end) between neighbouring points of a key; a point within tolerance of the last one kept is passed over.
+
+    A point further than that from the one before it is kept for sure, so only points in a chain of close ones
+    are gone through one after another, a chain at a time.
+    """
     keys = keys or []
     w = Window.partitionBy(*keys).orderBy(at)
-    kept = points.select(*keys, at).distinct().withColumn("__was", F.lag(at).over(w)).where(F.col("__was").isNull() | (F.col(at) - F.col("__was") > tolerance))
+    apart = F.when(F.col(at) - F.lag(at).over(w) <= tolerance, 0).otherwise(1)
+    chains = points.where(F.col(at).isNotNull()).select(*keys, at).distinct().withColumn("__apart", apart).withColumn("__chain", F.sum("__apart").over(w))
+    chains = chains.groupBy(*keys, "__chain").agg(F.array_sort(F.collect_list(at)).alias("__points"))
+    keep = lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).when(x - F.element_at(kept, -1) > tolerance, F.array_append(kept, x)).otherwise(kept)
+    one = F.col("__points")
+    kept = F.when(F.size(one) == 1, one).otherwise(F.aggregate(one, F.slice(one, 1, 0), keep))
+    kept = chains.select(*keys, F.explode(kept).alias(at))
     return kept.select(*keys, F.col(at).alias("start"), F.lead(at).over(w).alias("end")).where("end IS NOT NULL")
 
 

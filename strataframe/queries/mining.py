@@ -10,6 +10,7 @@ from ..functions import values as V
 from ..operators import blasting as B
 from ..operators import haulage as H
 from ..operators import intervals as I
+from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import series as S
 from ..operators import solids as SO
@@ -48,9 +49,29 @@ def block_piece_fractions(spark, d):
 @query(f"WITH {_INSIDE} SELECT piece, count(*) AS blocks, round(sum(fraction * 500.0), 5) AS volume, round(sum(fraction * 500.0 * t) / sum(fraction * 500.0), 5) AS mean_size FROM j WHERE fraction > 1e-9 GROUP BY piece")
 def piece_reserves(spark, d):
     blocks, share = inside(spark, d)
-    v = F.col("fraction") * 500.0
-    j = share.join(blocks.select("block", "t"), "block")
-    return j.groupBy("piece").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum(v), 5).alias("volume"), F.round(F.sum(v * F.col("t")) / F.sum(v), 5).alias("mean_size"))
+    metrics = [M.Metric("volume", "sum", "volume"), M.Metric("mean_size", "volume", F.col("t").cast("double"), "volume")]
+    sums = M.partials(SO.covered(blocks, share, ["t"]), metrics, ["piece"], share=F.col("share"))
+    return M.finalise(sums, metrics, ["piece"], digits=5).join(sums.select("piece", F.col("volume__used").alias("blocks")), "piece").select("piece", "blocks", "volume", "mean_size")
+
+
+_TURNED = "b AS (SELECT p_partkey AS block, (p_partkey % 40) * 10.0 AS x0, (p_partkey // 40 % 40) * 10.0 AS y0, (p_partkey // 1600) * 5.0 AS z0 FROM part)"
+
+
+@query(f"""WITH {_TURNED}, {_PIECES}, w AS (SELECT block, -(y0 + 10) AS x0, -y0 AS x1, x0 AS y0, x0 + 10 AS y1, z0 FROM b),
+q AS (SELECT piece, x0 - 200 AS x0, y0, z0, w, h FROM p)
+SELECT block, count(*) AS pieces, round(sum(greatest(0, least(w.x1, q.x0 + w) - greatest(w.x0, q.x0)) * greatest(0, least(w.y1, q.y0 + w) - greatest(w.y0, q.y0))
+  * greatest(0, least(w.z0 + 5, q.z0 + h) - greatest(w.z0, q.z0))) / 500.0, 6) AS taken
+FROM w JOIN q ON w.x0 < q.x0 + w AND q.x0 < w.x1 AND w.y0 < q.y0 + w AND q.y0 < w.y1 AND w.z0 < q.z0 + h AND q.z0 < w.z0 + 5 GROUP BY block""")
+def turned_block_shares(spark, d):
+    k = F.col("p_partkey")
+    x0, y0, z0 = (k % 40) * 10.0, F.floor(k / 40) % 40 * 10.0, F.floor(k / 1600) * 5.0
+    blocks = parts(spark, d).select(k.alias("block"), x0.alias("x0"), y0.alias("y0"), z0.alias("z0"), (x0 + 10).alias("x1"), (y0 + 10).alias("y1"), (z0 + 5).alias("z1"))
+    s = F.col("s_suppkey")
+    p = table(spark, d, "supplier").select(s.alias("piece"), (s * 37 % 360 - 199.5).alias("x0"), (s * 53 % 340 + 0.25).alias("y0"), (s % 4 * 3.0 - 1.5).alias("z0"), (s % 30 + 25.0).alias("w"), (s % 5 + 7.0).alias("h"))
+    pieces = p.select("piece", "x0", "y0", "z0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("w")).alias("y1"), (F.col("z0") + F.col("h")).alias("z1"))
+    # the model's x axis points north and its y axis west
+    share = SO.piece_fractions(blocks, SO.box_faces(pieces), 40.0, rotation=[[0, 1, 0], [-1, 0, 0], [0, 0, 1]])
+    return share.groupBy("block").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum("fraction"), 6).alias("taken"))
 
 
 # blasting
@@ -65,7 +86,20 @@ def deck_layout(spark, d):
     top = (F.col("p_partkey") % 3).cast("double")
     holes = parts(spark, d).select(F.col("p_partkey").alias("hole"), top.alias("top"), (top + F.col("p_size") * 0.5 - 2).alias("bottom"))
     decks = spark.createDataFrame([(1, "gravel", 3.0), (2, "anfo", None), (3, "air", 1.0), (4, "emulsion", 1.5)], "seq long, product string, length double")
-    return B.lay_decks(holes, decks)
+    return B.lay_decks(holes, decks).select("hole", "seq", "product", "from", "to", "problem")
+
+
+@query("""WITH h AS (SELECT p_partkey AS hole, (p_partkey % 3)::DOUBLE AS top, (p_partkey % 3)::DOUBLE + p_size * 0.25::DOUBLE AS bottom, 0.1::DOUBLE + p_partkey % 4 * 0.02::DOUBLE AS d FROM part),
+q AS (SELECT *, bottom - 2.5 - (top + 3.0) AS main, CASE WHEN bottom - top <= 1e-6 THEN 'no depth' WHEN 5.5 > bottom - top - 0.1 THEN 'too short' END AS problem FROM h)
+SELECT hole, problem, CASE WHEN problem IS NULL THEN round((main * 0.85 + 1.5 * 1.15) * pi() * pow(d / 2, 2), 9) ELSE 0.0 END AS mass,
+  CASE WHEN problem IS NULL THEN greatest(top + 3.0, bottom - 2.5 - 0.4) END AS main_primer FROM q""")
+def hole_charges(spark, d):
+    top = (F.col("p_partkey") % 3).cast("double")
+    holes = parts(spark, d).select(F.col("p_partkey").alias("hole"), top.alias("top"), (top + F.col("p_size") * 0.25).alias("bottom"), (F.lit(0.1) + F.col("p_partkey") % 4 * 0.02).alias("d"))
+    decks = spark.createDataFrame([(1, "gravel", 3.0, "stemming", 0.0), (2, "anfo", None, "explosive", 0.85), (3, "air", 1.0, "air", 0.0), (4, "late fill", None, "stemming", 0.0), (5, "emulsion", 1.5, "explosive", 1.15)], "seq long, product string, length double, kind string, density double")
+    charged = B.charge_holes(holes, decks, primer_offset=0.4)
+    main = F.get(F.filter("decks", lambda x: x["seq"] == 2), F.lit(0))["primer"]
+    return charged.select("hole", "problem", F.round(B.charge_mass(charged, F.col("d")), 9).alias("mass"), main.alias("main_primer"))
 
 
 @query(f"""WITH {_EV}, r AS (SELECT event_type, CASE WHEN event_id % 11 = 0 THEN NULL ELSE us END AS tm, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS relief FROM e)

@@ -43,8 +43,8 @@ h AS (SELECT o_orderkey, seq, dest, row_number() OVER (PARTITION BY o_orderkey O
 SELECT o_orderkey, seq, dest FROM h WHERE n = 1""")
 def rule_first_match_route(spark, d):
     rules = spark.createDataFrame(ROUTES, "seq int, enabled boolean, seg array<string>, lo double, hi double, dest string")
-    ok = R.any_of(F.col("seg"), F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), F.col("lo"), F.col("hi"))
-    return R.first_match(movements(spark, d), rules, ok, ["o_orderkey"], "seq").select("o_orderkey", "seq", "dest")
+    ok = lambda r: R.any_of(r["seg"], F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), r["lo"], r["hi"])
+    return R.first_match(movements(spark, d), rules, ok, "seq").select("o_orderkey", "seq", "dest")
 
 
 @query(f"""WITH r(enabled, seg, lo, v) AS {_values(VALUES)}, {_M}
@@ -52,7 +52,7 @@ SELECT o_orderkey, coalesce(sum(v), 0)::DOUBLE AS total, count(v) AS matches FRO
   ON enabled AND (seg IS NULL OR list_contains(seg, c_mktsegment)) AND (lo IS NULL OR o_totalprice >= lo) GROUP BY o_orderkey""")
 def rule_sum_valuation(spark, d):
     rules = spark.createDataFrame(VALUES, "enabled boolean, seg array<string>, lo double, v double")
-    ok = R.any_of(F.col("seg"), F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), F.col("lo"), F.lit(None).cast("double"))
+    ok = lambda r: R.any_of(r["seg"], F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), r["lo"], F.lit(None).cast("double"))
     return R.sum_matches(movements(spark, d), rules, ok, ["o_orderkey"], "v")
 
 
@@ -62,7 +62,7 @@ _TRUCKS_ON = "enabled AND (pri IS NULL OR list_contains(pri, o_orderpriority)) A
 
 def _truck_rules(spark):
     rules = spark.createDataFrame(TRUCKS, "enabled boolean, pri array<string>, lo double, cls array<string>")
-    return rules, R.any_of(F.col("pri"), F.col("o_orderpriority")) & R.within(F.col("o_totalprice"), F.col("lo"), F.lit(None).cast("double"))
+    return rules, lambda r: R.any_of(r["pri"], F.col("o_orderpriority")) & R.within(F.col("o_totalprice"), r["lo"], F.lit(None).cast("double"))
 
 
 @query(f"{_TRUCKS} SELECT DISTINCT o_orderkey, unnest(cls) AS item FROM m JOIN r ON {_TRUCKS_ON}")
@@ -86,7 +86,7 @@ def expand_candidates(spark, d):
     rules, ok = _truck_rules(spark)
     classes = R.union_matches(m, rules, ok, ["o_orderkey", "o_totalprice", "c_mktsegment"], "cls").withColumnRenamed("item", "cls")
     values = spark.createDataFrame(VALUES, "enabled boolean, seg array<string>, lo double, v double")
-    pays = R.any_of(F.col("seg"), F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), F.col("lo"), F.lit(None).cast("double"))
+    pays = lambda r: R.any_of(r["seg"], F.col("c_mktsegment")) & R.within(F.col("o_totalprice"), r["lo"], F.lit(None).cast("double"))
     return R.sum_matches(classes, values, pays, ["o_orderkey", "cls"], "v").select("o_orderkey", "cls", F.col("total").alias("value"))
 
 

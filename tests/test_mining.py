@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,15 +23,53 @@ def faces(mesh, scale=1.0, shift=(0.0, 0.0, 0.0)):
     return [tuple(tuple(x * scale + s for x, s in zip(p, shift)) for p in f) for f in mesh]
 
 
+def volume(lo, hi, mesh):
+    box = lambda p: np.tile(np.array(p, float), (len(mesh), 1))
+    return solids.column_volumes(box(lo), box(hi), np.array(mesh, float)).sum()
+
+
 def test_column_volumes_of_a_tetrahedron():
     mesh = faces(TETRA, 6.0)
-    whole = sum(solids.column_volume((-1, -1, -1), (7, 7, 7), list(f)) for f in mesh)
-    assert whole == pytest.approx(36.0)
-    low = sum(solids.column_volume((-1, -1, -1), (7, 7, 3), list(f)) for f in mesh)
-    assert low == pytest.approx(36.0 * (1 - 1 / 8))
-    grid = sum(solids.column_volume((x, y, z), (x + 1, y + 1, z + 1), list(f)) for x in range(6) for y in range(6) for z in range(6) for f in mesh)
-    assert grid == pytest.approx(36.0)
-    assert sum(solids.column_volume((5, 5, 5), (6, 6, 6), list(f)) for f in mesh) == pytest.approx(0.0)
+    assert volume((-1, -1, -1), (7, 7, 7), mesh) == pytest.approx(36.0)
+    assert volume((-1, -1, -1), (7, 7, 3), mesh) == pytest.approx(36.0 * (1 - 1 / 8))
+    assert sum(volume((x, y, z), (x + 1, y + 1, z + 1), mesh) for x in range(6) for y in range(6) for z in range(6)) == pytest.approx(36.0)
+    assert volume((5, 5, 5), (6, 6, 6), mesh) == pytest.approx(0.0)
+
+
+def mesh_of(spark, pieces):
+    rows = [(n, *[float(x) for p in f for x in p]) for n, fs in pieces for f in fs]
+    return spark.createDataFrame(rows, "piece string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+
+
+def test_broken_meshes_are_errors(spark):
+    block = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 6.0, 6.0, 6.0)], "block int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    good = faces(TETRA, 6.0)
+    open_, inward = good[:3], [(f[0], f[2], f[1]) for f in good]
+    found = solids.mesh_problems(mesh_of(spark, [("good", good), ("open", open_), ("inward", inward), ("twice", good + good)]))
+    assert sorted(tuple(r) for r in found.collect()) == [("inward", "inward"), ("open", "open")]
+    for bad in (open_, inward):
+        with pytest.raises(ValueError, match="orientation and closure"):
+            solids.piece_fractions(block, mesh_of(spark, [("x", bad)]), 10.0)
+    # unchecked, and a mesh that covers the same ground twice: the figure itself is out of range
+    inner = spark.createDataFrame([(1, 0.1, 0.1, 0.1, 0.5, 0.5, 0.5)], block.schema)
+    for bad, check in ((inward, False), (good + good, True)):
+        with pytest.raises(Exception, match="invalid overlap fraction"):
+            solids.piece_fractions(inner, mesh_of(spark, [("x", bad)]), 10.0, check=check).collect()
+
+
+def test_fractions_in_a_tilted_model(spark):
+    """The same bodies, turned with the model: fractions don't change, and blocks of a grid sum to the body."""
+    a, b = 0.6, -1.1
+    ca, sa, cb, sb = math.cos(a), math.sin(a), math.cos(b), math.sin(b)
+    axes = np.array([[ca, sa, 0], [-sa * cb, ca * cb, sb], [sa * sb, -ca * sb, cb]])
+    origin = np.array([1000.0, -500.0, 30.0])
+    local = [("t", faces(TETRA, 6.0)), ("u", faces(TETRA, 3.0, (2.5, 1.5, 0.25)))]
+    world = [(n, [tuple(tuple(np.array(p) @ axes + origin) for p in f) for f in fs]) for n, fs in local]
+    blocks = spark.createDataFrame([(i, float(i % 6), float(i // 6 % 6), float(i // 36), i % 6 + 1.0, i // 6 % 6 + 1.0, i // 36 + 1.0) for i in range(216)], "block int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    want = {(r["block"], r["piece"]): r["fraction"] for r in solids.piece_fractions(blocks, mesh_of(spark, local), 2.5).collect()}
+    got = {(r["block"], r["piece"]): r["fraction"] for r in solids.piece_fractions(blocks, mesh_of(spark, world), 2.5, least=1e-6, rotation=axes.tolist(), origin=origin.tolist()).collect()}
+    assert all(got.get(k, 0) == pytest.approx(v, abs=1e-5) for k, v in want.items()) and sum(got.values()) == pytest.approx(40.5, abs=1e-5)
+    assert {r["block"] for r in solids.over_budget(solids.piece_fractions(blocks, mesh_of(spark, [*local, ("v", local[0][1])]), 2.5)).collect()}
 
 
 def test_fractions_of_meshes_over_cells(spark):
@@ -139,3 +178,14 @@ def test_kinds_turns_files_and_images(spark, tmp_path):
     (tmp_path / "img" / "a.png").write_bytes(head)
     (tmp_path / "img" / "b.png").write_bytes(b"no image at all, but long enough for a head")
     assert [(r["width"], r["height"]) for r in files.read_rasters(spark, str(tmp_path / "img")).collect()] == [(640, 33)]
+
+
+def test_second_fill_and_no_explosive(spark):
+    holes = spark.createDataFrame([(1, 0.0, 10.0)], "hole long, top double, bottom double")
+    schema = "seq long, product string, length double, kind string, density double"
+    decks = spark.createDataFrame([(1, "stem", 2.0, "stemming", 0.0), (2, "anfo", None, "explosive", 0.8), (3, "more", None, "explosive", 0.8), (4, "toe", 1.0, "explosive", 1.2)], schema)
+    got = [(r["seq"], r["from"], r["to"], r["primer"]) for r in blasting.lay_decks(holes, decks, 0.5).orderBy("seq").collect()]
+    assert got == [(1, 0.0, 2.0, None), (2, 2.0, 9.0, 8.5), (3, 9.0, 9.0, None), (4, 9.0, 10.0, 9.5)]
+    assert [r["problem"] for r in blasting.lay_decks(holes, decks.where("seq = 1")).collect()] == ["too short"]
+    charged = blasting.charge_holes(holes, decks)
+    assert charged.select(blasting.charge_mass(charged, F.lit(0.2))).first()[0] == pytest.approx((7 * 0.8 + 1.2) * math.pi * 0.01)

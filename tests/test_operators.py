@@ -54,10 +54,10 @@ def test_asof_takes_nulls_of_the_last_step(spark):
 def test_rules_with_no_match_and_bad_values(spark):
     facts = spark.createDataFrame([(1, 5.0), (2, None)], "id int, v double")
     table = spark.createDataFrame([(True, 0.0, 2.0), (False, 0.0, 9.0)], "enabled boolean, lo double, x double")
-    got = {r["id"]: (r["total"], r["matches"]) for r in rules.sum_matches(facts, table, rules.within(F.col("v"), F.col("lo"), F.lit(None).cast("double")), ["id"], "x").collect()}
+    got = {r["id"]: (r["total"], r["matches"]) for r in rules.sum_matches(facts, table, lambda r: rules.within(F.col("v"), r["lo"], F.lit(None).cast("double")), ["id"], "x").collect()}
     assert got == {1: (2.0, 1), 2: (0.0, 0)}
     with pytest.raises(Exception, match="finite"):
-        rules.sum_matches(facts, spark.createDataFrame([(True, 0.0, float("inf"))], table.schema), F.lit(True), ["id"], "x").collect()
+        rules.sum_matches(facts, spark.createDataFrame([(True, 0.0, float("inf"))], table.schema), lambda r: F.lit(True), ["id"], "x").collect()
 
 
 def test_a_blank_does_not_break_a_run(spark):
@@ -138,3 +138,33 @@ def test_stateful_balances(spark, tmp_path):
     s = windows.file_stream(spark, str(tmp_path / "in"), "k string, c double")
     got = {r["k"]: r["balance"] for r in windows.run_to_table(windows.balances(s, "k", "c"), "update").collect()}
     assert got == {"a": 0.0, "b": 2.0}
+
+
+def test_first_match_of_rows_that_share_a_key(spark):
+    facts = spark.createDataFrame([(1, 5.0), (1, 50.0), (1, 5.0), (2, None)], "k int, v double")
+    table = spark.createDataFrame([(2, True, 10.0, "high"), (1, False, 0.0, "off"), (3, True, 20.0, "later"), (None, True, 0.0, "any")], "seq int, enabled boolean, lo double, name string")
+    ok = lambda r: rules.within(F.col("v"), r["lo"], F.lit(None).cast("double"))
+    got = sorted((r["k"], r["v"] or 0, r["name"] or "") for r in rules.first_match(facts, table, ok, "seq").collect())
+    assert got == [(1, 5.0, "any"), (1, 5.0, "any"), (1, 50.0, "high"), (2, 0, "")]
+    assert [r["name"] for r in rules.first_match(facts, table.where("false"), ok, "seq").collect()] == [None] * 4
+    assert rules.unmatched(facts, table, ok).count() == 1
+    plan = rules.first_match(facts, table, ok, "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "hashpartitioning" not in plan
+
+
+def test_rules_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(rules, "RULE_LIMIT", 7)
+    facts = spark.range(40).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    table = spark.createDataFrame([(i, True, 40.0 - 2 * i, float(i), [f"c{i % 3}"]) for i in range(20)], "seq int, enabled boolean, lo double, x double, cls array<string>")
+    ok = lambda r: rules.within(F.col("v"), r["lo"], F.lit(None).cast("double"))
+    first = {r["k"]: r["seq"] for r in rules.first_match(facts, table, ok, "seq").collect()}
+    hits = {k: [i for i in range(20) if k >= 40 - 2 * i] for k in range(40)}
+    assert first == {k: (h or [None])[0] for k, h in hits.items()}
+    assert {r["k"]: (r["total"], r["matches"]) for r in rules.sum_matches(facts, table, ok, ["k"], "x").collect()} == {k: (float(sum(h)), len(h)) for k, h in hits.items()}
+    assert {(r["k"], r["item"]) for r in rules.union_matches(facts, table, ok, ["k"], "cls").collect()} == {(k, f"c{i % 3}") for k, h in hits.items() for i in h}
+
+
+def test_intervals_of_close_points(spark):
+    points = spark.createDataFrame([("a", x) for x in (0.0, 0.6, 1.2, 1.8, 2.4, 9.0, 9.0)] + [("b", 5.0), ("b", None)], "k string, at double")
+    got = sorted(tuple(r) for r in intervals.build_intervals(points, tolerance=1.0, keys=["k"]).collect())
+    assert got == [("a", 0.0, 1.2), ("a", 1.2, 2.4), ("a", 2.4, 9.0)]
