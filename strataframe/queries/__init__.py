@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import economic, graphs, interval, mining, ordered, profiles, reserves, routing, scalars, space, streams  # noqa: F401
+from . import containers, economic, graphs, interval, mining, ordered, profiles, reserves, routing, scalars, space, streams  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]

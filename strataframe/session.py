@@ -23,3 +23,11 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of a local session's own where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/strataframe-shared").rstrip("/")
