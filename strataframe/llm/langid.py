@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches, staged, unit_hash, unused, with_fields
-from .tokens import text_buffer
+from .tokens import slices, text_buffer
 
 #: n-grams of 1 to ORDERS code points are hashed to FEATURES buckets each way.
 ORDERS, FEATURES = 3, 1 << 15
@@ -166,7 +166,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_langs: int = MAX_L
 
         seen = np.zeros(FEATURES, bool)
         df, n, taken = np.zeros(FEATURES, np.int64), 0, set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             points, at = code_points(b.column(0))
             chosen = b.column(1).to_numpy(zero_copy_only=False).copy()
             for i in np.flatnonzero(chosen).tolist():
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, text_at)):
             column = b.column(text_at)
             points, at = code_points(column)
             p = softmax(m.logits(points, at) / m.temp)
