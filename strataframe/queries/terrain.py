@@ -129,12 +129,12 @@ def arrangement_faces(spark, d):
     return faces.groupBy(F.round("area", 6).alias("area")).agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query(f"""WITH {_RIGHT}, r AS (SELECT o_orderkey AS ray, (o_orderkey * 13 % 1200 / 20.0)::DOUBLE AS x, (o_orderkey * 7 % 1250 / 20.0)::DOUBLE AS y FROM orders),
+@query(f"""WITH {_RIGHT}, r AS (SELECT o_orderkey AS ray, (o_orderkey * 13 % 1200 / 20.0)::DOUBLE + 0.0123 AS x, (o_orderkey * 7 % 1250 / 20.0)::DOUBLE + 0.0071 AS y FROM orders),
 h AS (SELECT ray, max((u.z, -u.k)) AS top FROM r JOIN u ON r.x >= u.x AND r.y >= u.y AND (r.x - u.x) + (r.y - u.y) <= u.leg GROUP BY ray)
 SELECT ray, -top[2] AS face, round(top[1], 6) AS z FROM h""")
 def ray_hits(spark, d):
     """Rays straight down from above each order's place."""
     k, o = F.col("p_partkey"), F.col("o_orderkey")
     faces = right_angled(table(spark, d, "part"), k, k % 40 * 1.5, F.floor(k / 40) * 1.25, F.lit(1.0) + F.col("p_size") % 5, F.col("p_size"))
-    rays = table(spark, d, "orders").select(o.alias("ray"), (o * 13 % 1200 / 20.0).alias("ox"), (o * 7 % 1250 / 20.0).alias("oy"), F.lit(100.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-128.0).alias("dz"))
+    rays = table(spark, d, "orders").select(o.alias("ray"), (o * 13 % 1200 / 20.0 + 0.0123).alias("ox"), (o * 7 % 1250 / 20.0 + 0.0071).alias("oy"), F.lit(100.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-128.0).alias("dz"))
     return SU.ray_hits(rays, faces, 3.0).select("ray", "face", F.round("z", 6).alias("z"))
