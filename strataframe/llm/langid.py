@@ -130,7 +130,7 @@ def fit(rows: list[tuple], df: np.ndarray, n_docs: int, epochs: int = 3) -> Mode
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
     data = []
     for lang, at, count in rows:
-        at, count = np.asarray(at, np.int64), np.asarray(count, float)
+        at, count = np.asarray(at, np.int32), np.asarray(count, float)
         data.append((at, SCALE * count / max(1.0, count.sum()) * idf[at], langs.index(lang)))
     held = data[::CALIBRATE] if len(data) >= 10 * CALIBRATE else []
     model = Ftrl(FEATURES, len(langs))
@@ -164,6 +164,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_langs: int = MAX_L
     def run(batches):
         import pyarrow as pa
 
+        names = ["lang", "u", "bucket", "n", "counts"]
         seen = np.zeros(FEATURES, bool)
         df, n, taken = np.zeros(FEATURES, np.int64), 0, set()
         for b in (part for whole in batches for part in slices(whole, 0)):
@@ -183,27 +184,29 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_langs: int = MAX_L
                 if chosen[i]:
                     counts = np.bincount(bag(own), minlength=FEATURES)
                     where = np.flatnonzero(counts)
-                    rows.append((i, where.astype(np.int32), counts[where].astype(np.int32)))
+                    rows.append((i, np.concatenate([where, counts[where]]).astype(np.int32).tobytes()))
             n += b.num_rows
             if rows:
                 take = pa.array([r[0] for r in rows])
-                yield pa.record_batch([b.column(2).take(take), b.column(3).take(take), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["lang", "u", "bucket", "n"])
+                none = pa.nulls(len(rows), pa.list_(pa.int32()))
+                yield pa.record_batch([b.column(2).take(take), b.column(3).take(take), none, none, pa.array([r[1] for r in rows], pa.binary())], names)
         some = np.flatnonzero(df)
         if n:
-            df_rows = [pa.array([None], pa.string()), pa.array([float(n)]), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([df[some].astype(np.int32)], pa.list_(pa.int32()))]
-            yield pa.record_batch(df_rows, ["lang", "u", "bucket", "n"])
+            df_rows = [pa.array([None], pa.string()), pa.array([float(n)]), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([df[some].astype(np.int32)], pa.list_(pa.int32())), pa.nulls(1, pa.binary())]
+            yield pa.record_batch(df_rows, names)
 
-    facts = labelled.select("text", pick.alias("chosen"), "lang", "u").mapInArrow(run, "lang string, u double, bucket array<int>, n array<int>")
+    facts = labelled.select("text", pick.alias("chosen"), "lang", "u").mapInArrow(run, "lang string, u double, bucket array<int>, n array<int>, counts binary")
     facts = staged(facts, "lang-facts")
     totals = facts.where("lang IS NULL")
     df = np.zeros(FEATURES)
     for r in totals.select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).groupBy("x.bucket").agg(F.sum("x.n").alias("n")).collect():
         df[r[0]] = r[1]
     n_docs = totals.agg(F.sum("u")).first()[0] or 0
-    mine = facts.where("lang IS NOT NULL").groupBy("lang", "u").agg(F.min(F.struct("bucket", "n")).alias("r"))
+    mine = facts.where("lang IS NOT NULL").groupBy("lang", "u").agg(F.min("counts").alias("counts"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
-    rows = mine.withColumn("nth", nth).where(F.col("nth") <= fit_rows).select("u", "lang", "r.bucket", "r.n").collect()
-    return fit([tuple(r)[1:] for r in sorted(rows, key=lambda r: (r["u"], r["lang"]))], df, int(n_docs))
+    rows = mine.withColumn("nth", nth).where(F.col("nth") <= fit_rows).select("u", "lang", "counts").collect()
+    halves = lambda data: np.frombuffer(bytes(data), np.int32).reshape(2, -1)
+    return fit([(r["lang"], *halves(r["counts"])) for r in sorted(rows, key=lambda r: (r["u"], r["lang"]))], df, int(n_docs))
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
