@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import profile as P
+from ..operators.metrics import Metric
+from ..operators.slots import SlotStore
+from ..session import shared_folder
 from .interval import events
 from .registry import query, table
 
@@ -94,7 +99,13 @@ def project_merge(spark, d):
 
 @query("""WITH k AS (SELECT l_suppkey % 4 AS slot, sum(l_quantity) AS t FROM lineitem WHERE l_suppkey % 4 < 2 GROUP BY slot) SELECT slot, t, 'kept' AS origin FROM k UNION ALL SELECT l_suppkey % 4, sum(l_quantity), 'new' FROM lineitem WHERE l_suppkey % 4 >= 2 GROUP BY l_suppkey % 4""")
 def incremental_reuse(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("slot"), "l_quantity")
-    kept = rows.where("slot < 2").groupBy("slot").agg(F.sum("l_quantity").alias("t")).withColumn("origin", F.lit("kept"))
-    fresh = rows.where("slot >= 2").groupBy("slot").agg(F.sum("l_quantity").alias("t")).withColumn("origin", F.lit("new"))
-    return kept.unionByName(fresh)
+    """Slots 2 and 3 get the rest of their rows after a first refresh; the second one reads these two alone."""
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("slot"), F.col("l_quantity").cast("double").alias("q"), "l_linenumber")
+    base = f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}"
+    late = (F.col("slot") >= 2) & (F.col("l_linenumber") > 1)
+    rows.where(~late).write.partitionBy("slot").parquet(f"{base}/rows")
+    store = SlotStore(spark, f"{base}/kept", [Metric("t", "sum", "q")], [])
+    store.refresh(f"{base}/rows")
+    rows.where(late).write.mode("append").partitionBy("slot").parquet(f"{base}/rows")
+    got = store.figures(store.refresh(f"{base}/rows"), ["slot", "origin"])
+    return got.select(F.col("slot").cast("bigint").alias("slot"), "t", "origin")
