@@ -25,6 +25,12 @@ def metal_factor(grade_unit: str, sales_unit: str) -> float:
     return GRADE_GRAMS[grade_unit] / SALES_GRAMS[sales_unit]
 
 
+def metal_factors(grade_unit: Column, sales_unit: Column) -> Column:
+    """The same of columns; an unknown unit gives null."""
+    of = lambda grams, unit: F.try_element_at(F.create_map(*[F.lit(x) for kv in grams.items() for x in kv]), unit)
+    return of(GRADE_GRAMS, grade_unit) / of(SALES_GRAMS, sales_unit)
+
+
 def series_count(start: float, stop: float, step: float) -> int | None:
     """Members of start, start + step, ... that end at stop."""
     if not step > 0 or stop < start:
@@ -80,3 +86,9 @@ def hourly(rate: Column, per_day: Column) -> Column:
 
 def hole_charge(diameter: Column, depth: Column, stemming: Column, density: Column) -> Column:
     return F.pi() * F.pow(diameter / 2, 2) * F.greatest(depth - stemming, F.lit(0.0)) * density
+
+
+def budget(n: Column, percent: Column, least: int = 3) -> Column:
+    """A percentage of n, or all of it where the percentage is null; `least` at least, and n at most unless that is less."""
+    part = F.coalesce(F.round(n * percent / 100).cast("long"), n.cast("long"))
+    return F.greatest(F.lit(least).cast("long"), F.least(n.cast("long"), part))

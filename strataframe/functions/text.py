@@ -43,6 +43,12 @@ def factor(x: Column) -> Column:
     return F.regexp_replace(F.format_string("%.3f", F.round(x, 3)), r"(\.\d\d)0$", "$1")
 
 
+def factor_list(text: Column) -> Column:
+    """The positive numbers of a list parted by commas, semicolons or blanks, to three decimals, ascending, each once; what is no number is passed over."""
+    numbers = F.transform(F.split(text, r"[,;\s]+"), lambda x: F.round(x.try_cast("double"), 3))
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.isNotNull() & (x > 0))))
+
+
 def plain(x: Column, decimals: int) -> Column:
     """Fixed decimals without trailing zeros; zero has no sign."""
     s = F.format_string(f"%.{decimals}f", F.round(x, decimals))

@@ -117,6 +117,23 @@ def binding_issue(name: str, columns: dict[str, str], kind: str, weight: str | N
     return None
 
 
+def binding_issues(name: Column, kind: Column, weight: Column, columns: dict[str, str], sums: set[str]) -> Column:
+    """binding_issue of a row's own name, kind and weight, against one table's columns (name to type)."""
+    typed = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv])
+    of = F.try_element_at(typed, name)
+    numeric = of.isin("double", "float", "int", "bigint", "long")
+    weighted = kind == "weighted"
+    return (
+        F.when(of.isNull(), "ColumnMissing")
+        .when((kind == "category") & (of != "string"), "NotACategory")
+        .when(kind == "category", F.lit(None).cast("string"))
+        .when(~numeric, "NotNumeric")
+        .when(weighted & weight.isNull(), "WeightMissing")
+        .when(weighted & F.try_element_at(typed, weight).isNull(), "WeightColumnMissing")
+        .when(weighted & ~weight.isin(*sums), "WeightIsNoSum")
+    )
+
+
 def shares(df: DataFrame, key: str) -> DataFrame:
     """Rows and share of the total by key; one aggregate and one row of totals."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

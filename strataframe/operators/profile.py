@@ -102,3 +102,14 @@ def auto_map(fields: DataFrame, columns: DataFrame, mapped: DataFrame) -> DataFr
 def field_users(objects: DataFrame) -> DataFrame:
     """(field, users): the objects(object, fields) that name each field, in order."""
     return objects.select("object", F.explode("fields").alias("field")).groupBy("field").agg(F.array_sort(F.collect_set("object")).alias("users"))
+
+
+def first_claims(claims: DataFrame, section: str, code: str) -> DataFrame:
+    """(section, code, verdict) of the distinct claims: the least section that claims a code keeps it, for the others it is claimed.
+
+    The keepers are a pre-aggregated minimum, so a code that very many sections claim is no large task.
+    """
+    each = claims.select(section, code).distinct()
+    keeper = each.groupBy(F.col(code).alias("__code")).agg(F.min(section).alias("__first"))
+    j = each.join(keeper, F.col(code) == F.col("__code"))
+    return j.select(section, code, F.when(F.col(section) == F.col("__first"), "kept").otherwise("claimed").alias("verdict"))

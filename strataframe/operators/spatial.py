@@ -120,6 +120,23 @@ def bands(low: float, high: float, height: float) -> list[tuple[float, float]]:
     return out
 
 
+def bands_between(low: Column, high: Column, height: Column) -> Column:
+    """The same of columns: an array of struct base, top; none without a height over 0 or room for a bench."""
+    n = F.ceil((high - low) / F.when(height > 0, height) - 1e-9).cast("int")
+    at = lambda i: low + i * height
+    one = lambda i: F.struct(at(i).alias("base"), F.least(at(i + 1), high).alias("top"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<base:double,top:double>>"))
+
+
+def levels_between(lo: Column, hi: Column, steps: list[float]) -> Column:
+    """An array of the levels of any of the steps within [lo, hi], ascending, each once."""
+    def of(step: float) -> Column:
+        first, last = F.ceil(lo / step - 1e-9).cast("int"), F.floor(hi / step + 1e-9).cast("int")
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: F.round(k * step, 9))).otherwise(F.array().cast("array<double>"))
+
+    return F.array_sort(F.array_distinct(F.concat(*[of(s) for s in steps])))
+
+
 def contour_levels(lo: float, hi: float, minor: float, major: float) -> list[float]:
     """Levels of either interval within [lo, hi], once each."""
     out = set()

@@ -148,26 +148,31 @@ def asof_rate(spark, d):
     return I.asof(e, steps, ["user_id"], "us", "since", ["rate"], {"rate": -1.0}).select("event_id", "rate")
 
 
-_CAL = "(VALUES (0, 1, 0.5), (0, 3, 0.0), (2, 2, 0.9), (4, 0, 0.1))"
-
-
-@query(f"""WITH o(loader, period, availability) AS {_CAL}, sp AS (SELECT loader, period FROM range(5) t(loader), range(4) p(period))
-SELECT loader, period, round(coalesce(o.availability, 0.8 - loader * 0.1) * 0.9 * (100 + loader), 6)::DOUBLE AS rate FROM sp LEFT JOIN o USING (loader, period)""")
+@query("""WITH o AS (SELECT s_suppkey AS loader, s_suppkey % 4 AS period, (s_suppkey % 10) / 10.0::DOUBLE AS availability FROM supplier WHERE s_suppkey % 3 = 0),
+sp AS (SELECT s_suppkey AS loader, s_nationkey, unnest(range(4)) AS period FROM supplier)
+SELECT loader, period::BIGINT AS period, round(coalesce(o.availability, 0.8 - s_nationkey * 0.01::DOUBLE) * 0.9 * (100 + loader % 7) + 0.0000123, 6) AS rate FROM sp LEFT JOIN o USING (loader, period)""")
 def calendar_effective_rate(spark, d):
-    spine = spark.range(5).withColumnRenamed("id", "loader").crossJoin(spark.range(4).withColumnRenamed("id", "period"))
-    defaults = spark.range(5).select(F.col("id").alias("loader"), (0.8 - F.col("id") * 0.1).alias("availability"))
-    over = spark.createDataFrame([(0, 1, 0.5), (0, 3, 0.0), (2, 2, 0.9), (4, 0, 0.1)], "loader long, period long, availability double")
+    s = table(spark, d, "supplier")
+    loader = F.col("s_suppkey").alias("loader")
+    spine = s.select(loader, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("period"))
+    defaults = s.select(loader, (F.lit(0.8) - F.col("s_nationkey") * 0.01).alias("availability"))
+    over = s.where("s_suppkey % 3 = 0").select(loader, (F.col("s_suppkey") % 4).alias("period"), (F.col("s_suppkey") % 10 / 10.0).alias("availability"))
     e = I.effective(spine, defaults, over, "loader", "period", ["availability"])
-    return e.select("loader", "period", F.round(F.col("availability") * 0.9 * (100 + F.col("loader")), 6).alias("rate"))
+    return e.select("loader", "period", F.round(F.col("availability") * 0.9 * (100 + F.col("loader") % 7) + 0.0000123, 6).alias("rate"))
 
 
-@query(f"""WITH o(loader, period, units) AS (VALUES (0, 1, 5.0), (1, 2, 0.0)), sp AS (SELECT loader, period FROM range(3) t(loader), range(6) p(period))
-SELECT loader, round(sum(greatest(0, least(130.5, (period + 1) * 24) - greatest(10.0, period * 24)) * coalesce(units, 3.0) * 0.85), 6)::DOUBLE AS truck_hours FROM sp LEFT JOIN o USING (loader, period) GROUP BY loader""")
+@query("""WITH o AS (SELECT s_suppkey AS loader, s_suppkey % 6 AS period, (s_suppkey % 5)::DOUBLE AS units FROM supplier WHERE s_suppkey % 2 = 0),
+sp AS (SELECT s_suppkey AS loader, 2.0::DOUBLE + s_nationkey % 4 AS units, 10.0::DOUBLE + s_suppkey % 30 AS since, 100.5::DOUBLE + s_suppkey % 40 AS upto, unnest(range(6)) AS period FROM supplier)
+SELECT loader, round(sum(greatest(0, least(upto, (period + 1) * 24) - greatest(since, period * 24)) * coalesce(o.units, sp.units) * 0.85), 6) AS truck_hours FROM sp LEFT JOIN o USING (loader, period) GROUP BY loader""")
 def available_truck_hours(spark, d):
-    spine = spark.range(3).withColumnRenamed("id", "loader").crossJoin(spark.range(6).withColumnRenamed("id", "period"))
-    over = spark.createDataFrame([(0, 1, 5.0), (1, 2, 0.0)], "loader long, period long, units double")
-    e = I.effective(spine, spark.range(3).select(F.col("id").alias("loader"), F.lit(3.0).alias("units")), over, "loader", "period", ["units"])
-    part = F.greatest(F.lit(0.0), F.least(F.lit(130.5), (F.col("period") + 1) * 24.0) - F.greatest(F.lit(10.0), F.col("period") * 24.0))
+    s = table(spark, d, "supplier")
+    loader = F.col("s_suppkey").alias("loader")
+    spine = s.select(loader, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("period"))
+    defaults = s.select(loader, (F.lit(2.0) + F.col("s_nationkey") % 4).alias("units"))
+    over = s.where("s_suppkey % 2 = 0").select(loader, (F.col("s_suppkey") % 6).alias("period"), (F.col("s_suppkey") % 5).cast("double").alias("units"))
+    e = I.effective(spine, defaults, over, "loader", "period", ["units"])
+    since, upto = F.lit(10.0) + F.col("loader") % 30, F.lit(100.5) + F.col("loader") % 40
+    part = F.greatest(F.lit(0.0), F.least(upto, (F.col("period") + 1) * 24.0) - F.greatest(since, F.col("period") * 24.0))
     return e.groupBy("loader").agg(F.round(F.sum(part * F.col("units") * 0.85), 6).alias("truck_hours"))
 
 
@@ -187,12 +192,13 @@ def build_intervals(spark, d):
     return I.build_intervals(spans(spark, d).select("loader", F.explode(F.array("start", "end")).alias("at")), keys=["loader"])
 
 
-@query("""WITH r(name, start, length, every, until) AS (VALUES ('shift', 8.0, 2.5, 24.0, 100.0), ('blast', 30.0, 1.0, NULL, NULL), ('service', 5.0, 300.0, 168.0, NULL), ('late', 900.0, 1.0, 24.0, NULL))
-SELECT name, start + k * coalesce(every, 0) AS start, least(start + k * coalesce(every, 0) + length, 240.0)::DOUBLE AS "end"
+@query("""WITH r AS (SELECT p_partkey, (p_partkey % 50)::DOUBLE AS start, p_size / 4.0::DOUBLE AS length, CASE WHEN p_partkey % 3 <> 0 THEN 24.0::DOUBLE * (1 + p_partkey % 4) END AS every, CASE WHEN p_partkey % 4 = 1 THEN 100.0::DOUBLE + p_size END AS until FROM part)
+SELECT p_partkey, start + k * coalesce(every, 0) AS start, least(start + k * coalesce(every, 0) + length, 240.0)::DOUBLE AS "end"
 FROM (SELECT *, unnest(range(0, CASE WHEN coalesce(every, 0) > 0 THEN greatest(0, ceil((least(coalesce(until, 240), 240) - start) / every) - 1) ELSE 0 END::BIGINT + 1)) AS k FROM r WHERE start < least(coalesce(until, 240), 240))""")
 def recurring_delays(spark, d):
-    rules = spark.createDataFrame([("shift", 8.0, 2.5, 24.0, 100.0), ("blast", 30.0, 1.0, None, None), ("service", 5.0, 300.0, 168.0, None), ("late", 900.0, 1.0, 24.0, None)], "name string, start double, length double, every double, until double")
-    return I.occurrences(rules, 240.0).select("name", "start", "end")
+    k = F.col("p_partkey")
+    rules = table(spark, d, "part").select("p_partkey", (k % 50).cast("double").alias("start"), (F.col("p_size") / 4.0).alias("length"), F.when(k % 3 != 0, F.lit(24.0) * (1 + k % 4)).alias("every"), F.when(k % 4 == 1, F.lit(100.0) + F.col("p_size")).alias("until"))
+    return I.occurrences(rules, 240.0).select("p_partkey", "start", "end")
 
 
 @query(f"""WITH {_SP}, c(tm) AS (VALUES (5000.0), (20000.0), (20010.0)), t AS (SELECT o_orderkey, a, b FROM s),

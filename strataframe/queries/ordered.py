@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import maths as M
 from ..functions.text import natural_key
 from ..operators import series as S
 from .interval import _EV, events
@@ -153,9 +154,8 @@ def grouped_order(spark, d):
     return n.select("n_nationkey", F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")).cast("long").alias("place"))
 
 
-@query("""SELECT * FROM (VALUES ('1000', 12.5, 125), ('40', NULL, 40), ('1', 0.1, 3)) AS t(n, p, target)""".replace("('1000', 12.5, 125)", "('1000', 12.5::DOUBLE, 125)"))
+@query("""SELECT p_partkey, greatest(3, CASE WHEN p_size % 10 = 0 THEN p_partkey + 1 ELSE least(p_partkey + 1, round((p_partkey + 1) * (p_size / 4.0::DOUBLE) / 100)) END)::BIGINT AS target FROM part""")
 def budget_limits(spark, d):
-    rows = spark.createDataFrame([("1000", 12.5), ("40", None), ("1", 0.1)], "n string, p double")
-    n = F.col("n").cast("int")
-    # a percentage, or everything; at least 3
-    return rows.withColumn("target", F.greatest(F.lit(3), F.when(F.col("p").isNull(), n).otherwise(F.least(n, F.round(n * F.col("p") / 100).cast("int")))))
+    k = F.col("p_partkey") + 1
+    share = F.when(F.col("p_size") % 10 != 0, F.col("p_size") / 4.0)
+    return table(spark, d, "part").select("p_partkey", M.budget(k, share).alias("target"))

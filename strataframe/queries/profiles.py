@@ -81,13 +81,11 @@ def interned_ids(spark, d):
     return P.dictionary(events(spark, d), "event_type", ["event_id"])
 
 
-@query("""WITH s(section, code) AS (VALUES (1, 'BUILDING'), (1, 'MACHINERY'), (2, 'MACHINERY'), (2, 'FURNITURE'), (3, 'BUILDING'))
-SELECT section, code, CASE WHEN n = 1 THEN 'kept' ELSE 'claimed' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY section) AS n FROM s)""")
+@query("""WITH s AS (SELECT DISTINCT c_nationkey AS section, c_mktsegment || c_custkey % 40 AS code FROM customer)
+SELECT section::BIGINT AS section, code, CASE WHEN n = 1 THEN 'kept' ELSE 'claimed' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY section) AS n FROM s)""")
 def section_claims(spark, d):
-    from pyspark.sql.window import Window
-
-    s = spark.createDataFrame([(1, "BUILDING"), (1, "MACHINERY"), (2, "MACHINERY"), (2, "FURNITURE"), (3, "BUILDING")], "section int, code string")
-    return s.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("section"))).select("section", "code", F.when(F.col("n") == 1, "kept").otherwise("claimed").alias("verdict"))
+    s = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("section"), F.concat("c_mktsegment", F.col("c_custkey") % 40).alias("code"))
+    return P.first_claims(s, "section", "code")
 
 
 @query("""SELECT c_custkey AS id, 'old' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""")

@@ -60,13 +60,16 @@ def reserve_volume_average(spark, d):
     return acc.select("p_brand", F.round(F.col("density__sum") / F.col("density__weight"), 4).alias("density"), F.round("density__weight", 4).alias("volume"), F.col("density__used").alias("density_blocks"))
 
 
-@query("""SELECT 'l_tax' AS field, NULL AS issue UNION ALL SELECT 'l_shipmode', 'ColumnMissing' UNION ALL
-SELECT 'l_returnflag', 'NotNumeric' UNION ALL SELECT 'l_discount', 'WeightIsNoSum' UNION ALL SELECT 'l_linestatus', NULL""")
+@query("""WITH a(i, field, kind, weight) AS (VALUES (0, 'l_tax', 'weighted', 'l_quantity'), (1, 'l_shipmode', 'sum', NULL), (2, 'l_returnflag', 'sum', NULL), (3, 'l_discount', 'weighted', 'l_tax'), (4, 'l_linestatus', 'category', NULL), (5, 'l_tax', 'category', NULL), (6, 'l_discount', 'weighted', NULL), (7, 'l_discount', 'weighted', 'l_none')),
+r(i, issue) AS (VALUES (0, NULL), (1, 'ColumnMissing'), (2, 'NotNumeric'), (3, 'WeightIsNoSum'), (4, NULL), (5, 'NotACategory'), (6, 'WeightMissing'), (7, 'WeightColumnMissing'))
+SELECT p_partkey, field, issue FROM part JOIN a ON a.i = p_partkey % 8 JOIN r ON r.i = a.i""")
 def metric_binding_issues(spark, d):
+    """A metric asked for by each part, against the columns of lineitem."""
     columns = dict(table(spark, d, "lineitem").dtypes)
-    asked = [("l_tax", "weighted", "l_quantity"), ("l_shipmode", "sum", None), ("l_returnflag", "sum", None), ("l_discount", "weighted", "l_tax"), ("l_linestatus", "category", None)]
-    rows = [(n, M.binding_issue(n, columns, kind, w, {"l_quantity"})) for n, kind, w in asked]
-    return spark.createDataFrame(rows, "field string, issue string")
+    asked = [("l_tax", "weighted", "l_quantity"), ("l_shipmode", "sum", None), ("l_returnflag", "sum", None), ("l_discount", "weighted", "l_tax"), ("l_linestatus", "category", None), ("l_tax", "category", None), ("l_discount", "weighted", None), ("l_discount", "weighted", "l_none")]
+    row = F.element_at(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.lit(w).cast("string").alias("weight")) for n, k, w in asked]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", row.alias("a")).select("p_partkey", "a.*")
+    return p.select("p_partkey", "field", M.binding_issues(F.col("field"), F.col("kind"), F.col("weight"), columns, {"l_quantity"}).alias("issue"))
 
 
 @query("""SELECT l_returnflag, count(*) AS blocks, round(sum(l_extendedprice), 2) AS price FROM lineitem

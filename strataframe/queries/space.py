@@ -69,14 +69,22 @@ def direction_angles(spark, d):
     return cloud(spark, d).select("vec_id", F.round(a, 4).alias("azimuth"), F.round(dip, 4).alias("dip"))
 
 
-@query("SELECT i AS bench, 100.0::DOUBLE + i * 7.5 AS base, least(100 + (i + 1) * 7.5, 142)::DOUBLE AS top FROM range(6) t(i)")
+@query("""WITH p AS (SELECT s_suppkey AS pit, (s_suppkey % 100)::DOUBLE AS low, (s_suppkey % 100)::DOUBLE + 5 + s_suppkey % 61 AS high, 2.5::DOUBLE * (1 + s_suppkey % 3) AS h FROM supplier)
+SELECT pit, bench::BIGINT AS bench, low + bench * h AS base, least(low + (bench + 1) * h, high) AS top FROM (SELECT *, unnest(range(0, ceil((high - low) / h)::BIGINT)) AS bench FROM p)""")
 def bench_flitch_series(spark, d):
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(S.bands(100.0, 142.0, 7.5))], "bench long, base double, top double")
+    k = F.col("s_suppkey")
+    pits = table(spark, d, "supplier").select(k.alias("pit"), (k % 100).cast("double").alias("low"), ((k % 100).cast("double") + 5 + k % 61).alias("high"), (F.lit(2.5) * (1 + k % 3)).alias("h"))
+    return pits.select("pit", F.posexplode(S.bands_between(F.col("low"), F.col("high"), F.col("h"))).alias("bench", "b")).select("pit", F.col("bench").cast("long").alias("bench"), "b.base", "b.top")
 
 
-@query("SELECT DISTINCT level::DOUBLE AS level FROM (SELECT unnest(range(4, 21)) * 0.5 AS level UNION ALL SELECT unnest(range(1, 5)) * 2.0 + 0.0) WHERE level >= 1.75 AND level <= 10")
+@query("""WITH p AS (SELECT p_partkey, p_size * 0.3::DOUBLE + 0.0523 AS lo, p_size * 0.3::DOUBLE + 0.0523 + p_partkey % 6 AS hi FROM part),
+l AS (SELECT p_partkey, unnest(range(ceil(lo / 0.5)::BIGINT, floor(hi / 0.5)::BIGINT + 1)) * 0.5::DOUBLE AS level FROM p UNION ALL SELECT p_partkey, unnest(range(ceil(lo / 2)::BIGINT, floor(hi / 2)::BIGINT + 1)) * 2.0::DOUBLE FROM p UNION ALL
+  SELECT p_partkey, unnest(range(ceil(lo / 0.75)::BIGINT, floor(hi / 0.75)::BIGINT + 1)) * 0.75::DOUBLE FROM p)
+SELECT DISTINCT p_partkey, level FROM l""")
 def contour_levels(spark, d):
-    return spark.createDataFrame([(x,) for x in S.contour_levels(1.75, 10.0, 0.5, 2.0)], "level double")
+    lo = F.col("p_size") * 0.3 + 0.0523
+    p = table(spark, d, "part").select("p_partkey", F.explode(S.levels_between(lo, lo + F.col("p_partkey") % 6, [0.5, 2.0, 0.75])).alias("level"))
+    return p
 
 
 def triangles(spark, d):
@@ -145,12 +153,15 @@ def nested_shells(spark, d):
     return solve_many(grid, (5, 5, 4), [0.6, 0.8, 1.0])
 
 
-@query("SELECT point, round(min(z), 6) AS z FROM (SELECT i AS point, 2.0::DOUBLE * ((i % 5) + 0.25) + 3 * ((i // 5) + 0.25) + 1 AS z FROM range(25) t(i)) GROUP BY point")
+@query("""WITH c AS (SELECT p_partkey % 40 AS i, p_partkey // 40 AS j FROM part), o AS (SELECT o_orderkey AS point, (o_custkey % 40) + 0.125::DOUBLE + o_orderkey % 3 * 0.25 AS x, (o_orderkey % 60) + 0.0625::DOUBLE + o_custkey % 3 * 0.25 AS y FROM orders)
+SELECT point, round(2 * x + 3 * y + 1 + (floor(x)::INT + floor(y)::INT) % 2 * 5.0::DOUBLE, 6) AS z FROM o JOIN c ON c.i = floor(x) AND c.j = floor(y)""")
 def surface_heights(spark, d):
-    z = lambda x, y: (2 * x + 3 * y + 1).cast("double")
-    v = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z(x, y).alias("z"))
-    g = spark.range(25).select("id", (F.col("id") % 5).alias("i"), F.floor(F.col("id") / 5).alias("j"))
-    i, j = F.col("i"), F.col("j")
-    tri = g.select("id", F.explode(F.array(F.struct(v(i, j).alias("a"), v(i + 1, j).alias("b"), v(i, j + 1).alias("c")), F.struct(v(i + 1, j).alias("a"), v(i + 1, j + 1).alias("b"), v(i, j + 1).alias("c")))).alias("t")).select("t.*")
-    pts = g.select(F.col("id").alias("point"), (i + 0.25).alias("x"), (j + 0.25).alias("y"))
+    """Two triangles a part's cell, every other cell five higher; heights over the orders' places."""
+    k = F.col("p_partkey")
+    i, j = k % 40, F.floor(k / 40)
+    v = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), (2 * x + 3 * y + 1 + (i + j) % 2 * 5.0).cast("double").alias("z"))
+    halves = F.array(F.struct(v(i, j).alias("a"), v(i + 1, j).alias("b"), v(i, j + 1).alias("c")), F.struct(v(i + 1, j).alias("a"), v(i + 1, j + 1).alias("b"), v(i, j + 1).alias("c")))
+    tri = table(spark, d, "part").select(F.explode(halves).alias("t")).select("t.*")
+    o = table(spark, d, "orders")
+    pts = o.select(F.col("o_orderkey").alias("point"), (F.col("o_custkey") % 40 + 0.125 + F.col("o_orderkey") % 3 * 0.25).alias("x"), (F.col("o_orderkey") % 60 + 0.0625 + F.col("o_custkey") % 3 * 0.25).alias("y"))
     return S.column_heights(pts, tri, 2.0).withColumn("z", F.round("z", 6))
