@@ -8,18 +8,24 @@ from pyspark.sql.window import Window
 
 from ..functions.values import usable
 
-#: Fixed names: headers of each role of a block model, lower case.
-BLOCK_ROLES = {"x": ("x", "xc", "centroid_x", "xcentre"), "y": ("y", "yc", "centroid_y", "ycentre"), "z": ("z", "zc", "centroid_z", "zcentre"), "dx": ("dx", "xinc", "dim_x"), "dy": ("dy", "yinc", "dim_y"), "dz": ("dz", "zinc", "dim_z"), "id": ("id", "block_id", "ijk")}
-#: Fixed names: headers of each role of the drill tables; the second tuple is used only if the first finds none.
+#: Fixed names: headers of a block model, in any case; any other is a value.
+BLOCK_ROLES = ("x", "y", "z", "dx", "dy", "dz", "id")
+#: Fixed names: headers of each role by file, without signs and in lower case; those of the second tuple count only if the first has none.
+_HOLE = (("dhid", "holeid", "hole"), ("id",))
+_PLACE = {"east": (("east", "easting", "x"), ()), "north": (("north", "northing", "y"), ()), "elevation": (("elevation", "elev", "rl", "z"), ("height",))}
 DRILL_ROLES = {
-    "collar": {"dhid": (("dhid", "holeid", "bhid"), ("hole", "name", "id")), "east": (("east", "easting"), ("x",)), "north": (("north", "northing"), ("y",)), "elevation": (("elevation", "rl"), ("z",))},
-    "survey": {"dhid": (("dhid", "holeid", "bhid"), ("hole", "name", "id")), "depth": (("depth",), ("at", "distance")), "azimuth": (("azimuth", "bearing"), ("az",)), "dip": (("dip", "inclination"), ())},
-    "interval": {"dhid": (("dhid", "holeid", "bhid"), ("hole", "name", "id")), "from": (("from", "depthfrom"), ("start",)), "to": (("to", "depthto"), ("end",))},
+    "collar": {"dhid": _HOLE, **_PLACE, "diameter": (("diameter", "diam"), ())},
+    "survey": {"dhid": _HOLE, "depth": (("depth", "at", "md"), ("dep",)), **_PLACE, "azimuth": (("azimuth", "azi", "bearing"), ()), "dip": (("dip",), ()), "inclination": (("inc", "incl", "incline", "inclination"), ())},
+    "interval": {"dhid": _HOLE, "from": (("from",), ("depfr", "depthfrom")), "to": (("to",), ("depto", "depthto"))},
+    "segments": {"dhid": _HOLE, "from": (("from",), ()), "to": (("to",), ()), "x1": (("starteast", "startx", "x1"), ()), "y1": (("startnorth", "starty", "y1"), ()), "z1": (("startelevation", "startz", "z1"), ()), "x2": (("endeast", "endx", "x2"), ()), "y2": (("endnorth", "endy", "y2"), ()), "z2": (("endelevation", "endz", "z2"), ()), "diameter": (("diameter", "diam"), ())},
+    "geophysics": {"dhid": _HOLE, "depth": (("depth",), ("dep", "md")), "gamma": (("gam", "gamma", "gr", "grde", "gamm"), ()), "long density": (("lsd", "denl", "longdensity", "longspaceddensity"), ()), "short density": (("ssd", "denb", "shortdensity", "shortspaceddensity"), ())},
 }
+#: Roles without which a file can't be read.
+NEEDED = {"collar": ("dhid", "east", "north", "elevation"), "survey": ("dhid", "depth"), "interval": ("dhid", "from", "to")}
 
 
 def header_key(name: str) -> str:
-    return "".join(c for c in name.lower() if c.isalnum() or c == "_").strip("_")
+    return "".join(c for c in name.lower() if c.isalnum())
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -36,24 +42,38 @@ def block_roles(headers: list[str]) -> list[str]:
     """A role for each column; the first claim wins, later ones are values."""
     taken, out = set(), []
     for h in headers:
-        role = next((r for r, names in BLOCK_ROLES.items() if header_key(h) in names and r not in taken), "value")
+        key = h.strip().lower()
+        role = key if key in BLOCK_ROLES and key not in taken else "value"
         taken.add(role)
         out.append(role)
     return out
 
 
 def drill_roles(kind: str, headers: list[str]) -> dict[str, str]:
-    """Role -> header, specific names before generic ones."""
-    keys = {header_key(h): h for h in reversed(headers)}
+    """Role -> header. A specific name wins over a generic one; where several name a role equally well, none has it."""
     out: dict[str, str] = {}
     for role, tiers in DRILL_ROLES[kind].items():
         for tier in tiers:
-            found = next((keys[k] for k in tier if k in keys and keys[k] not in out.values()), None)
-            if found and role not in out:
-                out[role] = found
+            named = [h for h in headers if header_key(h) in tier]
+            if named:
+                if len(named) == 1:
+                    out[role] = named[0]
+                break
     return out
 
 
+def named_headers(kind: str, headers: list[str]) -> set[str]:
+    """The headers that name some role of a file, those that lost it among them: these are no attributes."""
+    names = {n for tiers in DRILL_ROLES[kind].values() for tier in tiers for n in tier}
+    return {h for h in headers if header_key(h) in names}
+
+
+def guessed_kind(headers: list[str]) -> str | None:
+    """geophysics for a file with a depth and a gamma or density column; no other kind is guessed."""
+    named = {role for role, tiers in DRILL_ROLES["geophysics"].items() for tier in tiers for h in headers if header_key(h) in tier}
+    return "geophysics" if "depth" in named and named & {"gamma", "long density", "short density"} else None
+
+
 def validate_roles(roles: list[str], fixed: tuple[float, float, float] | None) -> str | None:
     """Why a block model can't be read with these roles, or None."""
     for r in "xyz":
@@ -128,37 +148,58 @@ def write_block_model(blocks: DataFrame, path: str, values: list[str], default:
 
 
 def read_drill_bundle(spark: SparkSession, collar: str, survey: str, interval: str) -> dict[str, DataFrame]:
-    """collar, survey and interval tables, and (kind, reason, rows) of what was left out.
+    """collar, survey and interval tables, (kind, reason, rows) of what was left out, and the survey's angles.
 
-    Lenient: the first collar of a hole wins, rows that can't be read and rows of unknown holes are left
-    out and counted apart; a file with over half its rows unreadable fails. An attribute is a number only if
+    Lenient: the first collar of a hole, in file order, wins; rows that can't be read and rows of unknown holes are
+    left out and counted apart; a file with over half its rows unreadable fails. An attribute is a number only if
     every cell of it that isn't blank is one.
+
+    A survey row has a dip, or an inclination, which is read downward unless all the file's are upward by sign (see
+    survey_angles), and stands with a whole direction or a whole position. A tilt beyond a right angle leaves the row
+    without a direction.
     """
     out: dict[str, DataFrame] = {}
     dropped = []
 
     def load(kind: str, path: str) -> tuple[DataFrame, list[str]]:
         raw = spark.read.option("header", True).csv(path)
-        roles = drill_roles(kind, raw.columns)
-        missing = [r for r in DRILL_ROLES[kind] if r not in roles]
+        headers = raw.columns
+        roles = drill_roles(kind, headers)
+        missing = [r for r in NEEDED[kind] if r not in roles]
         if missing:
-            raise ValueError(f"{kind}: no column for {', '.join(missing)}")
-        others = [h for h in raw.columns if h not in roles.values()]
+            raise ValueError(f"{kind}: no one column for {', '.join(missing)}")
+        others = [h for h in headers if h not in named_headers(kind, headers)] if kind == "interval" else []
         cols = [(F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")) if r == "dhid" else F.trim(F.col(f"`{h}`")).try_cast("double")).alias(r) for r, h in roles.items()]
-        df = raw.select(*cols, *[F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")).alias(h) for h in others]).withColumn("__row", F.monotonically_increasing_id())
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("__row")
+        df = raw.select(*cols, *[F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")).alias(h) for h in others], place)
+        if kind == "survey":
+            df = with_directions(df)
         ok = F.lit(True)
-        for r in roles:
+        for r in NEEDED[kind]:
             ok = ok & F.col(r).isNotNull()
         if kind == "interval":
             ok = ok & (F.col("from") < F.col("to"))
+        if kind == "survey":
+            whole = F.col("east").isNotNull() & F.col("north").isNotNull() & F.col("elevation").isNotNull() if {"east", "north", "elevation"} <= set(roles) else F.lit(False)
+            ok = ok & ((F.col("azimuth").isNotNull() & F.col("dip").isNotNull()) | whole)
         n, good = df.agg(F.count(F.lit(1)), F.count_if(ok)).first()
         if n and good * 2 < n:
             raise ValueError(f"{kind}: {n - good} of {n} rows can't be read")
         dropped.append((kind, "unreadable", n - good))
         return df.where(ok), others
 
+    def with_directions(df: DataFrame) -> DataFrame:
+        """azimuth and dip; what the file's angles look like is kept."""
+        none = F.lit(None).cast("double")
+        df = df.withColumns({c: none for c in ("azimuth", "dip", "inclination") if c not in df.columns})
+        found = survey_angles(df.select(F.lit(0).alias("file"), "inclination", "dip", "azimuth"), ["file"]).drop("file")
+        out["angles"] = found
+        seen = found.first()
+        tilt = F.coalesce("dip", F.col("inclination") if seen and seen["inclination_is_dip"] else -F.col("inclination"))
+        return df.withColumn("dip", F.when(F.abs(tilt) <= 90, tilt)).drop("inclination")
+
     c, _ = load("collar", collar)
-    c = c.withColumn("__n", F.row_number().over(Window.partitionBy("dhid").orderBy("__row"))).where("__n = 1").drop("__n", "__row")
+    c = c.groupBy("dhid").agg(F.min_by(F.struct(*[x for x in c.columns if x not in ("dhid", "__row")]), "__row").alias("r")).select("dhid", "r.*")
     out["collar"] = c
     for kind, path in (("survey", survey), ("interval", interval)):
         df, others = load(kind, path)
@@ -222,16 +263,17 @@ def write_delimited(df: DataFrame, path: str, separator: str = ",") -> None:
 
 
 def survey_angles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, inclination_is_dip, azimuth_off_compass, tilt_not_an_angle) of rows(keys, inclination, azimuth); one pass.
+    """(keys, inclination_is_dip, azimuth_off_compass, tilt_not_an_angle) of rows(keys, inclination, azimuth, and dip if there is one); one pass.
 
-    Inclinations that are all downward by sign, none upward, are dips already. Tilts beyond a right angle and
-    azimuths off the compass are counted; a missing angle counts nowhere.
+    Inclinations that are all upward by sign, none downward, are dips already. Tilts beyond a right angle, of
+    inclinations and dips alike, and azimuths off the compass are counted; a missing angle counts nowhere.
     """
     tilt, azimuth = F.col("inclination"), F.col("azimuth")
     angle = F.abs(tilt) <= 90
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    more = F.count_if(~(F.abs(F.col("dip")) <= 90)) if "dip" in rows.columns else F.lit(0)
     return rows.groupBy(*keys).agg(
         (any_of(angle & (tilt < 0)) & ~any_of(angle & (tilt > 0))).alias("inclination_is_dip"),
         F.count_if(~((azimuth >= 0) & (azimuth <= 360))).alias("azimuth_off_compass"),
-        F.count_if(~angle).alias("tilt_not_an_angle"),
+        (F.count_if(~angle) + more).alias("tilt_not_an_angle"),
     )

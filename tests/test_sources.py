@@ -66,6 +66,35 @@ def test_delays_are_all_or_nothing(spark):
         tables.read_delays(spark, lines("EX9,1,2", "EX1,1,2", "EX1,5,4"), agents)
 
 
+def test_roles_of_drill_files():
+    roles = tables.drill_roles("survey", ["Hole ID", "Depth", "MD", "Azi", "Incl.", "height"])
+    assert roles == {"dhid": "Hole ID", "azimuth": "Azi", "inclination": "Incl.", "elevation": "height"}
+    assert tables.drill_roles("interval", ["hole", "DepthFrom", "From", "depto", "au"]) == {"dhid": "hole", "from": "From", "to": "depto"}
+    assert tables.named_headers("interval", ["hole", "DepthFrom", "From", "depto", "au"]) == {"hole", "DepthFrom", "From", "depto"}
+    assert tables.block_roles(["xc", "x", "Y ", "Z", "block_id", "ID"]) == ["value", "x", "y", "z", "value", "id"]
+    assert tables.guessed_kind(["hole", "MD", "GRDE"]) == "geophysics" and tables.guessed_kind(["hole", "depth", "au"]) is None
+
+
+@pytest.mark.parametrize(("tilts", "dips"), [((-60, -90), (-60, -90)), ((60, 90), (-60, -90)), ((-60, 90), (60, -90))])
+def test_inclinations_become_dips(spark, tmp_path, tilts, dips):
+    c = put(tmp_path / "c.csv", "hole,x,y,z\nA,0,0,0\n")
+    s = put(tmp_path / "s.csv", f"hole,depth,azimuth,inc,x,y,z\nA,0,10,{tilts[0]},,,\nA,5,400,{tilts[1]},,,\nA,9,10,120,1,2,3\nA,11,,,,,\n")
+    i = put(tmp_path / "i.csv", "hole,from,to\nA,0,5\n")
+    b = tables.read_drill_bundle(spark, c, s, i)
+    assert [r["dip"] for r in b["survey"].orderBy("depth").collect()] == [*dips, None]
+    assert tuple(b["angles"].first()) == (tilts == (-60, -90), 1, 1)
+    assert {r["rows"] for r in b["dropped"].where("kind = 'survey' AND reason = 'unreadable'").collect()} == {1}
+
+
+def test_the_first_collar_is_first_by_file(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    put(tmp_path / "c" / "a.csv", "hole,x,y,z\nA,1,0,0\n")
+    put(tmp_path / "c" / "b.csv", "hole,x,y,z\n" + "".join(f"H{i},0,0,0\n" for i in range(500)) + "A,2,0,0\n")
+    s = put(tmp_path / "s.csv", "hole,depth,azimuth,dip\nA,0,0,-90\n")
+    i = put(tmp_path / "i.csv", "hole,from,to\nA,0,5\n")
+    assert tables.read_drill_bundle(spark, str(tmp_path / "c"), s, i)["collar"].where("dhid = 'A'").first()["east"] == 1.0
+
+
 def test_geophysics_is_read_by_hole(spark, tmp_path):
     p = put(tmp_path / "g.csv", "hole,depth,gamma\nA,1,5\nA,2,6\nB,1,7\nB,,9\n")
     spans = {r["dhid"]: (r["top"], r["bottom"], r["readings"]) for r in tables.index_geophysics(spark, p, str(tmp_path / "g"), "hole", "depth").collect()}
