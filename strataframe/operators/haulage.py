@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import staged
 from .economics import speed_at
+from .spatial import _neighbours, cell
 
-#: Networks up to this many nodes are broadcast; a larger one is an error, as roads of a mine are few.
-MOST_NODES = 200_000
+#: Networks up to this many nodes are searched as one array in a block's own row; larger ones by plan cells.
+FEW_NODES = 2_000
 
 
 def access_length(a: list[Column], b: list[Column], max_grade: float) -> Column:
@@ -21,21 +23,51 @@ def access_length(a: list[Column], b: list[Column], max_grade: float) -> Column:
 def network_joins(blocks: DataFrame, links: DataFrame, nodes: DataFrame, max_grade: float) -> DataFrame:
     """(block, node, metres): all existing nodes that a block is linked to, else the one node with the shortest access.
 
-    blocks(block, x, y, z), links(block, node), nodes(node, x, y, z); ties go to the lesser node. The nodes are
-    folded into one broadcast array, of checked size, so that a block's nearest is found in its own row.
+    blocks(block, x, y, z), links(block, node), nodes(node, x, y, z); ties go to the lesser node. Of a small network
+    the nodes are one array, in which a block finds its nearest in its own row; of a larger one see nearest_nodes.
     """
-    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
-        raise ValueError(f"a network of more than {MOST_NODES} nodes")
     at = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"))
     metres = access_length([F.col(c) for c in "xyz"], [F.col(c) for c in ("nx", "ny", "nz")], max_grade)
-    linked = blocks.join(links, "block").join(F.broadcast(at), "node").select("block", "node", metres.alias("metres"))
+    linked = blocks.join(links, "block").join(at, "node").select("block", "node", metres.alias("metres"))
     alone = blocks.join(linked.select("block").distinct(), "block", "left_anti")
+    if nodes.limit(FEW_NODES + 1).count() > FEW_NODES:
+        return linked.unionByName(nearest_nodes(alone, nodes, max_grade))
     every = at.agg(F.collect_list(F.struct("node", "nx", "ny", "nz")).alias("nodes"))
     far = F.transform("nodes", lambda n: F.struct(access_length([F.col(c) for c in "xyz"], [n["nx"], n["ny"], n["nz"]], max_grade).alias("metres"), n["node"].alias("node")))
     nearest = alone.crossJoin(F.broadcast(every)).select("block", F.array_min(far).alias("n")).where("n IS NOT NULL")
     return linked.unionByName(nearest.select("block", "n.node", "n.metres"))
 
 
+def nearest_nodes(blocks: DataFrame, nodes: DataFrame, max_grade: float) -> DataFrame:
+    """(block, node, metres): the node with the shortest access to each block, ties to the lesser node; for networks of any size.
+
+    A block looks in its plan cell and the eight around it. What it finds is sure if it is no further than a cell is
+    wide, as an access is at least the distance in plan; blocks that aren't sure look again in cells twice as wide.
+    Cells start at about four nodes each, so most blocks are done in a round or two, and there are as many rounds as
+    doublings to the extent at most. Without nodes there is no row.
+    """
+    n, *extent = nodes.agg(F.count(F.lit(1)), *[f(c) for c in "xy" for f in (F.min, F.max)]).first()
+    lows = blocks.agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).first()
+    if not n or lows[0] is None:
+        return blocks.select("block").crossJoin(nodes.select("node").limit(0)).withColumn("metres", F.lit(None).cast("double"))
+    wide = max(max(extent[i + 1], lows[i + 1]) - min(extent[i], lows[i]) for i in (0, 2))
+    area = max(extent[1] - extent[0], 1e-9) * max(extent[3] - extent[2], 1e-9)
+    size = max((4 * area / n) ** 0.5, wide / 1e6, 1e-9)
+    left, out = blocks.select("block", "x", "y", "z"), None
+    while True:
+        last = size >= wide
+        at = nodes.select("node", *[F.col(c).alias(f"n{c}") for c in "xyz"], cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy"))
+        around = _neighbours(left.withColumns({"gx": cell(F.col("x"), size), "gy": cell(F.col("y"), size)}), ["gx", "gy"])
+        metres = access_length([F.col(c) for c in "xyz"], [F.col(c) for c in ("nx", "ny", "nz")], max_grade)
+        best = around.join(at, ["gx", "gy"]).withColumn("metres", metres).groupBy("block").agg(F.min(F.struct("metres", "node")).alias("n"))
+        found = staged(best.select("block", "n.node", "n.metres").where(F.lit(last) | (F.col("metres") <= size)), "nearest-nodes")
+        out = found if out is None else out.unionByName(found)
+        left = staged(left.join(found.select("block"), "block", "left_anti"), "nearest-left")
+        if last or left.isEmpty():
+            return out
+        size *= 2
+
+
 def leg_times(points: DataFrame, keys: list[str], order: str, grades: list[tuple[float, float]], top: float, limit: str | None = None) -> DataFrame:
     """(keys, km, hours, rise, first_speed, last_speed) of a drive along points(keys, order, x, y, z).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import usable
+from .series import ranked
 
 
 def attribute_profile(df: DataFrame, numeric: list[str], labels: list[str]) -> DataFrame:
@@ -19,9 +20,11 @@ def attribute_profile(df: DataFrame, numeric: list[str], labels: list[str]) -> D
 
 
 def dictionary(df: DataFrame, label: str, order: list[str]) -> DataFrame:
-    """(label, code): codes from 0 by first appearance in the given total order."""
+    """(label, code): codes from 0 by first appearance in the given total order; labels are numbered by ranges of it, not in one task."""
     firsts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(F.struct(*order)).alias("__first"))
-    return firsts.select(label, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long").alias("code"))
+    names = [f"__o{i}" for i in range(len(order))]
+    placed = ranked(firsts.select(label, *[F.col(f"__first.{c}").alias(n) for c, n in zip(order, names, strict=True)]), names)
+    return placed.select(label, (F.col("place") - 1).cast("long").alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, label: str) -> DataFrame:

@@ -49,25 +49,29 @@ def drop_isolated(df: DataFrame, keys: list[str], at: str, gap: float, least: in
     return most.where((F.col("__n") >= least) | (F.col("__most") < least)).drop("__g", "__n", "__most")
 
 
-def rank_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+def rank_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 64) -> DataFrame:
     """Values at 0-based rank round((n - 1) * p) in order; not the ceil(n * p) of percentile_disc. Missing values have no rank.
 
-    Counts by bin of the key's range tell in which bin each rank lies; only the rows of those bins are put in
-    order, so that a key with most rows isn't sorted by one task.
+    Bins are cut at approximate quantiles of each key, so that they are about even however the values lie; a value
+    that is a cut has a bin of its own, so that one which very many rows have needs no order. Exact counts by bin tell in
+    which bin each rank lies; only the rows of those bins are put in order, so a key with most rows is no single task.
     """
     v = F.col(value)
     known = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*keys, value)
-    stats = known.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    at = F.array(*[F.lit(i / max(2, bins)) for i in range(1, max(2, bins))])
+    stats = known.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, at, 1000)).alias("__cuts"), F.count(F.lit(1)).alias("__n"))
+    place = F.size(F.filter("__cuts", lambda c: c < v)) * 2 + F.array_contains("__cuts", v).cast("int")
     binned = known.join(stats, keys).withColumn("__bin", place)
-    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"), F.min(value).alias("__least"), F.max(value).alias("__most"))
     before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in shares.items()]))
     wanted = counts.withColumn("__before", before).withColumn("__s", ranks).withColumn("__r", F.floor((F.col("__n") - 1) * F.col("__s.p") + 0.5))
-    wanted = wanted.where((F.col("__before") <= F.col("__r")) & (F.col("__r") < F.col("__before") + F.col("__c"))).select(*keys, "__bin", F.col("__s.name").alias("__name"), (F.col("__r") - F.col("__before") + 1).alias("__nth"))
-    inside = binned.select(*keys, "__bin", value).join(wanted, [*keys, "__bin"])
+    wanted = wanted.where((F.col("__before") <= F.col("__r")) & (F.col("__r") < F.col("__before") + F.col("__c")))
+    wanted = wanted.select(*keys, "__bin", F.col("__s.name").alias("__name"), (F.col("__r") - F.col("__before") + 1).alias("__nth"), "__least", "__most")
+    plain = wanted.where(F.col("__least") == F.col("__most")).select(*keys, "__name", F.col("__least").alias(value))
+    inside = binned.select(*keys, "__bin", value).join(wanted.where(F.col("__least") != F.col("__most")), [*keys, "__bin"])
     nth = F.row_number().over(Window.partitionBy(*keys, "__bin", "__name").orderBy(value))
-    found = inside.withColumn("__k", nth).where(F.col("__k") == F.col("__nth"))
+    found = inside.withColumn("__k", nth).where(F.col("__k") == F.col("__nth")).select(*keys, "__name", value).unionByName(plain)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in shares])
 
 

@@ -112,12 +112,24 @@ def test_network_joins_and_limits(spark, monkeypatch):
     got = sorted(tuple(r) for r in haulage.network_joins(blocks, links, nodes, 0.1).collect())
     assert [(b, n) for b, n, _ in got] == [(7, 1), (8, 2), (8, 3), (9, 1)] and got[1][2] == pytest.approx(50.0)
     assert haulage.network_joins(blocks, links, nodes.where("false"), 0.1).count() == 0
-    monkeypatch.setattr(haulage, "MOST_NODES", 2)
-    with pytest.raises(ValueError, match="more than 2"):
-        haulage.network_joins(blocks, links, nodes, 0.1)
+    monkeypatch.setattr(haulage, "FEW_NODES", 2)
+    assert sorted(tuple(r) for r in haulage.network_joins(blocks, links, nodes, 0.1).collect()) == got
     assert one(spark, haulage.acceleration_loss(F.lit(36.0), 0.5))[0] == pytest.approx(0.01)
 
 
+def test_the_nearest_node_of_a_large_network(spark):
+    rng = random.Random(3)
+    nodes = [(i, rng.choice([rng.uniform(0, 10), rng.uniform(0, 1000)]), rng.uniform(0, 40), rng.choice([0.0, 0.0, 30.0])) for i in range(400)] + [(500, 5.0, 5.0, 1.0), (501, 5.0, 5.0, 1.0)]
+    blocks = [(i, rng.uniform(-3000, 5000), rng.uniform(-50, 90), rng.uniform(0, 40)) for i in range(150)] + [(900, 5.0, 5.0, 1.0)]
+    metres = lambda b, n: max(math.dist(b[1:], n[1:]), abs(b[3] - n[3]) / 0.1)
+    want = {b[0]: min((metres(b, n), n[0]) for n in nodes)[::-1] for b in blocks}
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, x double, y double, z double")
+    got = {r["block"]: (r["node"], r["metres"]) for r in haulage.nearest_nodes(df(blocks, "block"), df(nodes, "node"), 0.1).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    for few in ((blocks, []), ([], nodes)):
+        assert haulage.nearest_nodes(df(few[0], "block"), df(few[1], "node"), 0.1).count() == 0
+
+
 def test_percentiles_are_by_rank_in_any_distribution(spark):
     rng = random.Random(4)
     rows = [("flat", rng.random()) for _ in range(500)] + [("one", 3.0)] * 40 + [("far", 10.0 ** rng.randint(0, 9)) for _ in range(300)] + [("none", None), ("alone", 5.0), ("flat", None)]
