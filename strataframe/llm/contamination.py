@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_fields
-from .tokens import NOT_ALNUM, windows, words
+from .common import filter_bits, small_batches, staged, unused, with_fields
+from .tokens import NOT_ALNUM, slices, windows, words
 
-#: Benchmark words held by one block of the broadcast; a larger benchmark takes several blocks, one in memory at a time.
-BLOCK_WORDS = 2_000_000
-#: Bytes of documents that are searched together if there are several blocks.
-HELD_BYTES = 64 << 20
+#: The words of a text, as a pattern.
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A benchmark of up to so many words is broadcast as a hash set; windows of a larger one meet the documents' by a join.
+BLOCK_WORDS = 200_000
 
 
 class Block:
@@ -55,17 +55,62 @@ def item_words(text: str | None) -> list[bytes]:
     return [w.data[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
 
 
-def blocks_of(benchmark: DataFrame, n: int, most: int):
-    """Blocks of at most `most` words (or of one item), read from the driver's side one partition at a time."""
-    block, held = Block(n), 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        item = item_words(row[1])
-        if held and held + len(item) > most:
-            yield block.close()
-            block, held = Block(n), 0
-        block.add(row[0] or "", item)
-        held += len(item)
-    yield block.close()
+def item_grams(benchmark: DataFrame, n: int) -> DataFrame:
+    """(item_id, size, h, name) of each n-gram of each item, once an item: its hash and 128 bits of its words; made in tasks, item by item."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                item = item_words(text)
+                size = min(n, len(item))
+                grams = sorted({b" ".join(item[i : i + size]) for i in range(len(item) - size + 1)}) if size else []
+                for i in range(0, len(grams), 10_000):
+                    part = grams[i : i + 10_000]
+                    k = len(part)
+                    names = [hashlib.blake2b(g, digest_size=16).digest() for g in part]
+                    yield pa.record_batch([pa.array([item_id or ""] * k), pa.array([size] * k, pa.int32()), pa.array(gram_hashes(part, size).view(np.int64)), pa.array(names, pa.binary())], ["item_id", "size", "h", "name"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "item_id string, size int, h long, name binary")
+
+
+def joined_hits(docs: DataFrame, benchmark: DataFrame, n: int, row: str) -> DataFrame:
+    """(row, at, items): where windows of docs(row, text) are benchmark n-grams, for a benchmark of any size.
+
+    at: array of struct first word, length; items: sorted distinct item_ids. A bit filter of bounded size lets through
+    the windows whose hash a gram may have; these meet the grams by hash and name, so neither side is held whole anywhere.
+    Which windows are hit, and which items a document holds, are found apart, so that a gram of very many items
+    is not multiplied by the windows that have it.
+    """
+    grams = staged(item_grams(benchmark, n), "bench-grams")
+    known = staged(grams.select("size", "h", "name").distinct(), "bench-names")
+    keep = filter_bits(known, "h", known.count())
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            w = words(b.column(1), True, NOT_ALNUM)
+            rows = b.column(0)
+            for size in sizes:
+                h = windows(w.hash, size)
+                some = np.flatnonzero(keep(h.view(np.int64)))
+                text = np.searchsorted(w.at, some, "right") - 1
+                inside = some + size <= w.at[text + 1]
+                some, text = some[inside], text[inside]
+                names = [hashlib.blake2b(b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[i : i + size], w.end[i : i + size], strict=True)), digest_size=16).digest() for i in some.tolist()]
+                k = len(some)
+                yield pa.record_batch([rows.take(pa.array(text)), pa.array((some - w.at[text]).astype(np.int64)), pa.array(np.full(k, size, np.int32)), pa.array(h[some].view(np.int64)), pa.array(names, pa.binary())], ["row", "at", "size", "h", "name"])
+
+    found = docs.select(row, "text").mapInArrow(run, "row long, at long, size int, h long, name binary")
+    hits = staged(found.join(known, ["size", "h", "name"]), "bench-hits")
+    at = hits.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("at"))
+    items = hits.select("row", "size", "h", "name").distinct().join(grams, ["size", "h", "name"]).select("row", "item_id").distinct()
+    items = items.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return staged(at.join(items, "row").select(F.col("row").alias("__hit_row"), "at", "items"), "bench-found")
 
 
 def hits_of(w, block: Block):
@@ -98,70 +143,78 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block
     Null and empty texts have no words and no hits; items with a null item_id count under an empty one;
     equal items under their own ids; an empty benchmark hits nothing; empty docs give none.
 
-    The benchmark is broadcast in blocks of block_words words, of which a task has one in memory at a time,
-    so that a benchmark of any size takes bounded memory (and its own size on an executor's disk). Documents
-    are scanned once and never shuffled; some HELD_BYTES of them are held against one block after the other.
+    A benchmark of up to block_words words is broadcast as a hash set, and documents are scanned once and never
+    shuffled. Of a larger one the windows are made in tasks and meet the documents' windows by a join (see joined_hits); docs
+    are staged with a number for each row then. Which way is taken changes no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, n, block_words)]
     added = [prefix + c for c in ("n_words", "n_hit", "items", "spans")]
     docs = docs.drop(*added)
+    schema = with_fields(docs.schema, "`{}` long, `{}` long, `{}` array<string>, `{}` array<struct<start:long,end:long>>".format(*added))
     text_at = docs.columns.index("text")
+    size = benchmark.select(F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    if size > block_words:
+        row = unused("__row", docs)
+        numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "bench-docs")
+        hits = joined_hits(numbered, benchmark, n, row)
+        both = numbered.join(hits, F.col(row) == F.col("__hit_row"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "at", "items")
+        width = len(docs.columns)
+
+        def read(batches):
+            for b in (part for whole in batches for part in slices(whole, text_at)):
+                w = words(b.column(text_at), True, NOT_ALNUM, hashes=False)
+                steps = np.zeros(len(w.start) + 1, np.int64)
+                for i, at in enumerate(b.column(width).to_pylist()):
+                    for x in at or ():
+                        steps[w.at[i] + x["at"]] += 1
+                        steps[w.at[i] + x["at"] + x["size"]] -= 1
+                yield _found(b.columns[:width], b.schema.names[:width], w, steps, [x or [] for x in b.column(width + 1).to_pylist()], added)
+
+        return both.mapInArrow(read, schema)
+
+    block = Block(n)
+    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text IS NOT NULL").collect():
+        block.add(row[0] or "", item_words(row[1]))
+    shared = spark.sparkContext.broadcast(block.close())
+
+    def scan(batches):
+        block = shared.value
+        for b in (part for whole in batches for part in slices(whole, text_at)):
+            w = words(b.column(text_at), True, NOT_ALNUM)
+            steps = np.zeros(len(w.start) + 1, np.int64)
+            items: list[set] = [set() for _ in range(b.num_rows)]
+            for text, i, size, found in hits_of(w, block):
+                steps[i] += 1
+                steps[i + size] -= 1
+                items[text].update(block.ids[k] for k in found)
+            yield _found(b.columns, b.schema.names, w, steps, [sorted(x) for x in items], added)
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _found(columns, names, w, steps: np.ndarray, items: list[list[str]], added: list[str]):
+    """A batch with its counts, items and spans; steps rise where a hit window begins and fall where it has ended."""
+    import pyarrow as pa
 
-    def held(batches):
-        """Lists of batches that are searched together: one each with a single block, else some HELD_BYTES."""
-        mine, size = [], 0
-        for b in batches:
-            mine.append(b)
-            size += b.nbytes
-            if len(shared) == 1 or size >= HELD_BYTES:
-                yield mine
-                mine, size = [], 0
-        if mine:
-            yield mine
-
-    def searched(batches):
-        for mine in held(batches):
-            split = [words(b.column(text_at), True, NOT_ALNUM) for b in mine]
-            steps = [np.zeros(len(w.start) + 1, np.int64) for w in split]
-            items: list[list[set]] = [[set() for _ in range(b.num_rows)] for b in mine]
-            for s in shared:
-                block = s.value
-                for j, w in enumerate(split):
-                    for text, i, size, found in hits_of(w, block):
-                        steps[j][i] += 1
-                        steps[j][i + size] -= 1
-                        items[j][text].update(block.ids[k] for k in found)
-                if len(shared) > 1:  # the worker reads a block again from its executor's disk when it is needed
-                    del block
-                    s.__dict__.pop("_value", None)
-            yield from zip(mine, split, steps, items, strict=True)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b, w, steps, items in searched(batches):
-            hit = np.cumsum(steps)[:-1] > 0
-            sums = np.r_[0, np.cumsum(hit)]
-            spans = []
-            for i in range(b.num_rows):
-                lo, hi = w.at[i], w.at[i + 1]
-                mine = []
-                if sums[hi] > sums[lo]:
-                    edge = np.diff(np.r_[0, hit[lo:hi].astype(np.int8), 0])
-                    begin, end = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo - 1
-                    mine = [{"start": int(w.start[x] - w.texts[i]), "end": int(w.end[y] - w.texts[i])} for x, y in zip(begin, end, strict=True)]
-                spans.append(mine)
-            out = [
-                pa.array(np.diff(w.at).astype(np.int64)),
-                pa.array((sums[w.at[1:]] - sums[w.at[:-1]]).astype(np.int64)),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *added])
-
-    return docs.mapInArrow(run, with_fields(docs.schema, "`{}` long, `{}` long, `{}` array<string>, `{}` array<struct<start:long,end:long>>".format(*added)))
+    hit = np.cumsum(steps)[:-1] > 0
+    sums = np.r_[0, np.cumsum(hit)]
+    spans = []
+    for i in range(len(w.at) - 1):
+        lo, hi = w.at[i], w.at[i + 1]
+        mine = []
+        if sums[hi] > sums[lo]:
+            edge = np.diff(np.r_[0, hit[lo:hi].astype(np.int8), 0])
+            begin, end = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo - 1
+            mine = [{"start": int(w.start[x] - w.texts[i]), "end": int(w.end[y] - w.texts[i])} for x, y in zip(begin, end, strict=True)]
+        spans.append(mine)
+    out = [
+        pa.array(np.diff(w.at).astype(np.int64)),
+        pa.array((sums[w.at[1:]] - sums[w.at[:-1]]).astype(np.int64)),
+        pa.array(items, pa.list_(pa.string())),
+        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    ]
+    return pa.RecordBatch.from_arrays([*columns, *out], [*names, *added])
 
 
 def own_prefix(docs: DataFrame) -> str:

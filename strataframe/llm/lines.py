@@ -42,7 +42,8 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether a and b are within `edits` insertions, deletions and substitutions.
 
     What both begin and end with is left out; on the rest runs a bit-parallel edit distance (Myers) on a
-    band of 64 diagonals that moves along (Hyyro), first down to the last row, then along it.
+    band of 64 diagonals that moves along (Hyyro), first down to the last row, then along it. Time grows with
+    the lines' length, and memory doesn't.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -59,14 +60,16 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
         return True
     if edits == 0:
         return False
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+    # a character's places within the band, as bits from where the band last stood when it was looked at
+    start = edits - 63
+    where: dict[str, tuple[int, int]] = {}
+    for i, c in enumerate(a[: edits + 1]):
+        where[c] = (where.get(c, (0, start))[0] | 1 << (i - start), start)
     up, down = (_BITS << (63 - edits)) & _BITS, 0
-    distance, row, start = edits, 1 << 62, edits - 63
+    distance, row = edits, 1 << 62
     for i, c in enumerate(b):
-        bits = where.get(c, 0)
-        match = (bits >> start if start >= 0 else bits << -start) & _BITS
+        bits, at = where.get(c, (0, start))
+        match = bits >> (start - at) if start - at < 64 else 0
         zero = ((((match & up) + up) ^ up) | match | down) & _BITS
         h_up = (down | ~(zero | up)) & _BITS
         h_down = zero & up
@@ -78,6 +81,10 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
         up = (h_down | ~((zero >> 1) | h_up)) & _BITS
         down = (zero >> 1) & h_up
         start += 1
+        if start + 63 < len(a):  # the character that the band moves onto
+            d = a[start + 63]
+            bits, at = where.get(d, (0, start))
+            where[d] = ((bits >> (start - at) if start - at < 64 else 0) | 1 << 63, start)
         if distance > 2 * edits + len(b) - i:
             return False
     return distance <= edits

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.llm import centroids, langid, mixing, rulestats, sharding, toxicity, turns
+from strataframe.llm import centroids, contamination, langid, lines, mixing, rulestats, sharding, toxicity, turns
 
 from .conftest import words
 
@@ -277,3 +277,43 @@ def test_a_language_fits_exactly_the_least_rows(spark):
         assert len({r[0] for r in seen.pop("rows")}) == 7
     finally:
         langid.fit = fit
+
+
+def test_a_large_benchmark_is_joined(spark, hard):
+    bench = spark.createDataFrame([("a", words(40, 1)), ("b", words(12, 1)), (None, "two words"), ("e", ""), ("n", None), *[(f"c{i}", words(10, 1)) for i in range(300)]], "item_id string, text string")
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["__n_words"], r["__n_hit"], r["__items"], [tuple(x) for x in r["__spans"]])
+    small = sorted(map(key, contamination.find_contamination(hard, bench).collect()))
+    large = sorted(map(key, contamination.find_contamination(hard, bench, block_words=3).collect()))
+    assert small == large and len(small) == hard.count() and sum(r[3] > 0 for r in small) >= 6
+    clash = hard.withColumn("__row", F.lit("r")).withColumn("at", F.lit("x")).withColumn("items", F.lit("y")).withColumn("__hit_row", F.lit("z"))
+    out = contamination.find_contamination(clash.select(*[c for c in clash.columns if c not in ("at", "items", "__hit_row")]), bench, block_words=3)
+    assert out.where("__row = 'r'").count() == hard.count()
+
+
+def test_near_takes_time_by_length():
+    import time
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(120)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "c"])
+        b = "".join(b)
+        for edits in (1, 2, 3):
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                row = _next_row(row, x, b, i)
+            assert lines.near(a, b, edits) == (row[-1] <= edits)
+    long = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    began = time.time()
+    assert lines.near("x" + long + "y", "y" + long + "z") and not lines.near("x" + long[:400_000] + "q" + long[400_001:] + "y", "y" + long + "zz")
+    assert time.time() - began < 20
+
+
+def _next_row(row, x, b, i):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
