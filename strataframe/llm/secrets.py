@@ -88,27 +88,36 @@ def empty_ledger(spark) -> DataFrame:
 
 
 class Ledger:
-    """A ledger kept as a Parquet table between scans: each scan appends what it saw for the first time.
+    """A ledger kept as a Parquet table between scans, a folder a rule version: each scan appends what it saw for the first time.
 
-    An append that fails leaves files that a later read may meet: a blob scanned twice is one blob, as
-    entries of one blob and rule version are equal and reads are distinct by them.
+    A scan reads the names of the blobs that its rule version has, and the spans of those that have some; other
+    versions' entries aren't touched. An append that fails leaves files that a later read may meet: a blob scanned
+    twice is one blob, as entries of one blob and rule version are equal and findings are distinct by them.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
-    def read(self) -> DataFrame:
+    def _entries(self) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
         empty = empty_ledger(self.spark)
-        empty.write.mode("append").parquet(self.path)
-        return self.spark.read.schema(empty.schema).parquet(self.path).dropDuplicates(["blob", "rule_version"])
+        try:
+            return self.spark.read.schema(empty.schema).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty
+
+    def read(self) -> DataFrame:
+        """Every entry, once."""
+        return self._entries().dropDuplicates(["blob", "rule_version"])
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
         """Findings of every version of every path, as scan_versions; unseen blobs are scanned and entered."""
-        known = staged(self.read(), "ledger-read")
-        done = known.where(F.col("rule_version") == rule_version).select("blob", "spans")
-        new = scan_unseen(versions, done, rules, rule_version)
-        new.write.mode("append").parquet(self.path)
-        return findings_of(versions, self.read().where(F.col("rule_version") == rule_version))
+        own = lambda: self._entries().where(F.col("rule_version") == rule_version).select("blob", "spans")
+        scan_unseen(versions, own().select("blob"), rules, rule_version).write.mode("append").partitionBy("rule_version").parquet(self.path)
+        return findings_of(versions, own())
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +153,8 @@ def scan_unseen(versions: DataFrame, done: DataFrame, rules: tuple[Rule, ...], r
 def findings_of(versions: DataFrame, done: DataFrame) -> DataFrame:
     """The spans of done(blob, spans) joined back to every version of every path."""
     name_blob, name_spans = unused("__blob", versions), unused("__spans", versions)
-    known = done.where(F.size("spans") > 0).select(F.col("blob").alias(name_blob), F.col("spans").alias(name_spans))
+    # few blobs have spans; a blob that was entered twice counts once
+    known = done.where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(name_blob), F.col("spans").alias(name_spans))
     keep = [F.col(f"`{c}`") for c in versions.columns if c.lower() not in ("text", "blob", "spans")]
     paths = versions.select(*keep, F.sha2(_whole_text(), 256).alias("blob"))
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
