@@ -88,6 +88,26 @@ def rotated_half_sizes(size: list[Column], degrees: Column) -> list[Column]:
     return [(size[0] * c + size[1] * s) / 2, (size[0] * s + size[1] * c) / 2, size[2] / 2]
 
 
+def local_to_world(local: list[Column], origin: list[float], axes: list[list[float]]) -> list[Column]:
+    """World position of a local one in a frame turned any way: axes are the local x, y and z in the world."""
+    return [F.lit(float(origin[k])) + sum((local[a] * float(axes[a][k]) for a in range(3)), F.lit(0.0)) for k in range(3)]
+
+
+def turned_half_sizes(size: list[Column], axes: list[list[float]]) -> list[Column]:
+    """Half the sizes of the upright box around a box of a turned frame."""
+    return [sum((size[a] * abs(float(axes[a][k])) for a in range(3)), F.lit(0.0)) / 2 for k in range(3)]
+
+
+def corners(centre: list[Column], size: list[Column], axes: list[list[float]]) -> Column:
+    """The eight corners of a box of a turned frame, as an array of struct x, y, z; the local x changes fastest."""
+    out = []
+    for i in range(8):
+        half = [size[a] * (0.5 if i >> a & 1 else -0.5) for a in range(3)]
+        at = [centre[k] + sum((half[a] * float(axes[a][k]) for a in range(3)), F.lit(0.0)) for k in range(3)]
+        out.append(F.struct(*[c.alias(n) for c, n in zip(at, "xyz", strict=True)]))
+    return F.array(*out)
+
+
 def symmetric_eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> list[Column]:
     """Eigenvalues of a symmetric 3 x 3 matrix, largest first, in closed form."""
     off = xy * xy + xz * xz + yz * yz

@@ -111,6 +111,28 @@ def point_features(points: DataFrame, scales: Sequence[float] = SCALES) -> DataF
     return out.withColumns({c: F.col(f"__{c}") for c in "xyz"}).select(*points.columns, *names)
 
 
+def eigen_frames(rows: DataFrame, columns: Sequence[str] = ("xx", "xy", "xz", "yy", "yz", "zz")) -> DataFrame:
+    """rows with `values` (array, largest first) and `vectors` (array of three unit vectors) of the symmetric matrix in six columns; null where one is missing or not finite. A vector's largest part is positive."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", values array<double>, vectors array<array<double>>"
+    names = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            six = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1) if b.num_rows else np.zeros((0, 6))
+            ok = np.isfinite(six).all(1)
+            m = np.where(ok[:, None], six, 0.0)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+            values, vectors = np.linalg.eigh(m) if len(m) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
+            turned = vectors.transpose(0, 2, 1)[:, ::-1]
+            most = np.take_along_axis(turned, np.abs(turned).argmax(2)[:, :, None], 2)
+            turned = turned * np.where(most < 0, -1.0, 1.0)
+            out = [[x if good else None for good, x in zip(ok.tolist(), part.tolist(), strict=True)] for part in (values[:, ::-1], turned)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.list_(pa.list_(pa.float64())))], [*names, "values", "vectors"])
+
+    return rows.mapInArrow(run, schema)
+
+
 class Forest:
     """Trees as one table of nodes: feature (or LEAF), threshold, left, right, with a row of class weights for each leaf."""
 

@@ -98,6 +98,31 @@ def balance(events: DataFrame, keys: list[str], at: str, change: str) -> DataFra
     return sums.withColumn("running", F.sum("change").over(w)).withColumn("balance", F.greatest("running", F.lit(0.0)))
 
 
+def balance_at(facts: DataFrame, knots: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """facts with `balance` at their time, from knots(keys, at, balance, rate): that of the last knot at or before it and its rate since; 0 before the first, never below 0.
+
+    A fact within 1e-9 of a knot has that knot's balance.
+    """
+    k = knots.select(*keys, (F.col("at") - 1e-9).alias("__since"), F.col("at").alias("__at"), "balance", "rate")
+    found = asof(facts, k, keys, at, "__since", ["__at", "balance", "rate"])
+    since = F.greatest(F.col(at) - F.col("__at"), F.lit(0.0))
+    return found.withColumn("balance", F.greatest(F.coalesce(F.col("balance") + F.col("rate") * since, F.lit(0.0)), F.lit(0.0))).select(*facts.columns, "balance")
+
+
+def labelled(spans: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, label): spans(keys, start, end) cut where edges(keys, since, label) change, and neighbours of one label that touch put together again.
+
+    Before a key's first edge the label is null. A span is cut at the edges inside it by a merge along time: spans'
+    starts and edges are one order, so no span is compared with an edge outside it.
+    """
+    cut = split_at(spans, edges.select(*keys, F.col("since").alias("at")), keys)
+    named = asof(cut.select(*keys, "start", "end"), edges, keys, "start", "since", ["label"])
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    new = F.when(F.lag("end").over(w).eqNullSafe(F.col("start")) & F.lag("label").over(w).eqNullSafe(F.col("label")), 0).otherwise(1)
+    runs = named.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
+    return runs.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label")).drop("__run")
+
+
 def rate_knots(spans: DataFrame, keys: list[str], rate: Column) -> DataFrame:
     """(keys, at, rate): the sum of the rates of the spans that cover each moment, where it changes."""
     events = spans.where("start < end").select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), rate.alias("d")), F.struct(F.col("end").alias("at"), (-rate).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")

@@ -103,8 +103,29 @@ def auto_map(fields: DataFrame, columns: DataFrame, mapped: DataFrame) -> DataFr
 
 
 def field_users(objects: DataFrame) -> DataFrame:
-    """(field, users): the objects(object, fields) that name each field, in order."""
-    return objects.select("object", F.explode("fields").alias("field")).groupBy("field").agg(F.array_sort(F.collect_set("object")).alias("users"))
+    """(field, object): which objects(object, fields) name each field, a row a use; a field that all objects name is no large row."""
+    return objects.select(F.explode("fields").alias("field"), "object").distinct()
+
+
+def merge_equivalent(rows: DataFrame, keys: list[str], same: list[str], amount: str) -> DataFrame:
+    """(keys, same, amount, merged): rows that are identical in every field count once; of what is left those that agree in keys and same are one, amounts added."""
+    return rows.distinct().groupBy(*keys, *same).agg(F.sum(amount).alias(amount), F.count(F.lit(1)).alias("merged"))
+
+
+def merge_projects(target: DataFrame, imported: DataFrame) -> DataFrame:
+    """(id, name, origin) of target(id, name) and imported(id, name): what is imported gets new ids beyond the target's, in order of its own, and a name that is taken is numbered from 2 on.
+
+    Names are compared as they stand; of the imported ones the first in order keeps the plain name if the target leaves
+    it. A number is by how many rows had the plain name before; a name that looks numbered already is a name like any.
+    """
+    top = target.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("top"))
+    placed = ranked(imported.select("id", "name"), ["id"]).crossJoin(F.broadcast(top))
+    used = target.groupBy(F.col("name").alias("__name")).agg(F.count(F.lit(1)).alias("__n"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("id"))
+    named = placed.withColumn("__nth", nth).join(used, F.col("name") == F.col("__name"), "left")
+    number = F.col("__nth") + F.when(F.col("__n").isNotNull(), 1).otherwise(0)
+    new = named.select((F.col("top") + F.col("place")).alias("id"), F.when(number > 1, F.concat("name", F.lit(" ("), number.cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"), F.lit("imported").alias("origin"))
+    return target.select("id", "name", F.lit("target").alias("origin")).unionByName(new)
 
 
 def first_claims(claims: DataFrame, section: str, code: str) -> DataFrame:

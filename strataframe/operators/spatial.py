@@ -189,3 +189,26 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFra
     r = rings.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
     p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
     return p.join(r, ["cx", "cy"]).where(in_ring(F.col("verts"), F.col("x"), F.col("y"))).select("point", "ring")
+
+
+def points_in_faces(points: DataFrame, faces: DataFrame, size: float) -> DataFrame:
+    """(point, face) where a point lies in face(face, rings array<array<struct<x,y>>>): in an odd number of its rings, so rings inside others are holes.
+
+    Faces are dealt to the plan cells of the box of all their rings.
+    """
+    from ..functions.geometry import in_ring
+
+    every = F.flatten("rings")
+    span = lambda v: F.sequence(cell(F.array_min(F.transform(every, lambda p: p[v])), size), cell(F.array_max(F.transform(every, lambda p: p[v])), size))
+    f = faces.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
+    odd = F.aggregate("rings", F.lit(False), lambda a, ring: a != in_ring(ring, F.col("x"), F.col("y")))
+    return p.join(f, ["cx", "cy"]).where(odd).select("point", "face")
+
+
+def position_means(points: DataFrame) -> DataFrame:
+    """(x, y, n, z): finite points of exactly equal place as one, with the mean of their heights; -0.0 is 0.0."""
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    return points.where(finite).groupBy((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("z"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containers, economic, graphs, ground, interval, mining, ordered, profiles, reports, reserves, routing, scalars, space, streams, terrain  # noqa: F401
+from . import containers, details, economic, graphs, ground, interval, mining, ordered, profiles, reports, reserves, routing, scalars, space, streams, terrain  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]

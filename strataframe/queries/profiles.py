@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import profile as P
+from ..operators import spatial as SP
 from ..operators.metrics import Metric
 from ..operators.slots import SlotStore
 from ..session import shared_folder
@@ -64,16 +65,20 @@ def constraint_problems(spark, d):
     return P.validate(table(spark, d, "lineitem"), {"discount over 0.09": F.col("l_discount") <= 0.09, "quantity of 1": F.col("l_quantity") != 1, "never": V.finite(F.col("l_tax"))})
 
 
-@query("SELECT p_size AS x, p_partkey % 10 AS y, round(avg(p_retailprice), 4) AS z FROM part GROUP BY ALL")
+@query("""SELECT p_size::DOUBLE AS x, (p_partkey % 10)::DOUBLE AS y, count(*) AS n, round(avg(p_retailprice), 4) AS z FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 GROUP BY ALL""")
 def equal_position_means(spark, d):
-    p = table(spark, d, "part")
-    return p.groupBy(F.col("p_size").alias("x"), (F.col("p_partkey") % 10).alias("y")).agg(F.round(F.avg("p_retailprice"), 4).alias("z"))
+    """A height in thirteen is missing, and one in seventeen is no number."""
+    k = F.col("p_partkey")
+    z = F.when(k % 13 == 0, None).when(k % 17 == 0, float("nan")).otherwise(F.col("p_retailprice"))
+    p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), (k % 10).cast("double").alias("y"), z.alias("z"))
+    return SP.position_means(p).select("x", "y", "n", F.round("z", 4).alias("z"))
 
 
-@query("SELECT count(*) AS rows, sum(n)::BIGINT AS merged FROM (SELECT l_suppkey, l_returnflag, l_linestatus, sum(l_quantity), count(*) AS n FROM lineitem GROUP BY ALL)")
+@query("""WITH r AS (SELECT DISTINCT l_suppkey, l_partkey % 20 AS material, l_returnflag, l_linestatus, l_quantity FROM lineitem)
+SELECT l_suppkey, l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity, count(*) AS merged FROM r GROUP BY ALL""")
 def equivalent_merge(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.sum("l_quantity"), F.count(F.lit(1)).alias("n"))
-    return g.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("merged"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 20).alias("material"), "l_returnflag", "l_linestatus", "l_quantity")
+    return P.merge_equivalent(rows, ["l_suppkey"], ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 @query("SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::BIGINT AS code FROM events GROUP BY event_type")
@@ -88,11 +93,13 @@ def section_claims(spark, d):
     return P.first_claims(s, "section", "code")
 
 
-@query("""SELECT c_custkey AS id, 'old' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""")
+@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment || c_custkey % 37 AS name FROM customer), t AS (SELECT * FROM c WHERE id % 2 = 0), i AS (SELECT * FROM c WHERE id % 2 = 1),
+n AS (SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY id) AS id, name, row_number() OVER (PARTITION BY name ORDER BY id) + CASE WHEN name IN (SELECT name FROM t) THEN 1 ELSE 0 END AS k FROM i)
+SELECT id, name, 'target' AS origin FROM t UNION ALL SELECT id, CASE WHEN k > 1 THEN name || ' (' || k || ')' ELSE name END, 'imported' FROM n""")
 def project_merge(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    old, new = c.where("id % 2 = 0"), c.where("id % 3 = 0")
-    return old.withColumn("origin", F.lit("old")).unionByName(new.join(old, "id", "left_anti").withColumn("origin", F.lit("new")))
+    """Customers with even keys are the project, those with odd ones come in."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.col("c_custkey") % 37).alias("name"))
+    return P.merge_projects(c.where("id % 2 = 0"), c.where("id % 2 = 1"))
 
 
 @query("""WITH k AS (SELECT l_suppkey % 4 AS slot, sum(l_quantity) AS t FROM lineitem WHERE l_suppkey % 4 < 2 GROUP BY slot) SELECT slot, t, 'kept' AS origin FROM k UNION ALL SELECT l_suppkey % 4, sum(l_quantity), 'new' FROM lineitem WHERE l_suppkey % 4 >= 2 GROUP BY l_suppkey % 4""")
