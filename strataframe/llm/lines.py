@@ -18,6 +18,8 @@ SHORT, BLOCK = 32, 512
 _PIECE = 1 << 19
 _LANES = 16
 _BITS = (1 << 64) - 1
+#: Code points up to which a line's match masks are made whole.
+_SHORT = 2048
 
 
 class _Powers:
@@ -60,16 +62,25 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
         return True
     if edits == 0:
         return False
-    # a character's places within the band, as bits from where the band last stood when it was looked at
     start = edits - 63
-    where: dict[str, tuple[int, int]] = {}
-    for i, c in enumerate(a[: edits + 1]):
-        where[c] = (where.get(c, (0, start))[0] | 1 << (i - start), start)
+    short = len(a) <= _SHORT
+    if short:  # masks of the whole line are small, and quicker
+        whole: dict[str, int] = {}
+        for i, c in enumerate(a):
+            whole[c] = whole.get(c, 0) | 1 << i
+    else:  # a character's places within the band, as bits from where the band stood when it was last looked at
+        where: dict[str, tuple[int, int]] = {}
+        for i, c in enumerate(a[: edits + 1]):
+            where[c] = (where.get(c, (0, start))[0] | 1 << (i - start), start)
     up, down = (_BITS << (63 - edits)) & _BITS, 0
     distance, row = edits, 1 << 62
     for i, c in enumerate(b):
-        bits, at = where.get(c, (0, start))
-        match = bits >> (start - at) if start - at < 64 else 0
+        if short:
+            bits = whole.get(c, 0)
+            match = (bits >> start if start >= 0 else bits << -start) & _BITS
+        else:
+            bits, at = where.get(c, (0, start))
+            match = bits >> (start - at) if start - at < 64 else 0
         zero = ((((match & up) + up) ^ up) | match | down) & _BITS
         h_up = (down | ~(zero | up)) & _BITS
         h_down = zero & up
@@ -81,7 +92,7 @@ def near(a: str, b: str, edits: int = EDITS) -> bool:
         up = (h_down | ~((zero >> 1) | h_up)) & _BITS
         down = (zero >> 1) & h_up
         start += 1
-        if start + 63 < len(a):  # the character that the band moves onto
+        if not short and start + 63 < len(a):  # the character that the band moves onto
             d = a[start + 63]
             bits, at = where.get(d, (0, start))
             where[d] = ((bits >> (start - at) if start - at < 64 else 0) | 1 << 63, start)

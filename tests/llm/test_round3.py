@@ -290,9 +290,11 @@ def test_a_large_benchmark_is_joined(spark, hard):
     assert out.where("__row = 'r'").count() == hard.count()
 
 
-def test_near_takes_time_by_length():
+@pytest.mark.parametrize("short", [2048, 0])
+def test_near_takes_time_by_length(monkeypatch, short):
     import time
 
+    monkeypatch.setattr(lines, "_SHORT", short)
     rng = random.Random(3)
     for _ in range(300):
         a = "".join(rng.choice("ab") for _ in range(rng.randrange(120)))
