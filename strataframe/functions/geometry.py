@@ -144,3 +144,31 @@ def slope_at(azimuth: Column, pairs: list[tuple[float, float]]) -> Column:
     b, low = ordered[-1]
     a, s = ordered[0]
     return out.otherwise(low + (s - low) * (F.pmod(at - b, F.lit(360.0)) / ((a - b) % 360.0)))
+
+
+#: Metres of an arc that a piece aims at, and the least and most pieces of an arc.
+ARC_LENGTH, ARC_LEAST, ARC_MOST = 0.15, 16, 4096
+
+
+def arc_points(start: Column, end: Column, bulge: Column) -> Column:
+    """The points of an arc from start to end (struct x, y, z) but the first, as an array: bulge is the tangent of a quarter of its sweep.
+
+    A bulge of 0, or a chord without length in plan, is the end alone. Heights go evenly.
+    """
+    dx, dy = end["x"] - start["x"], end["y"] - start["y"]
+    chord = F.hypot(dx, dy)
+    straight = (F.abs(bulge) <= 2.220446049250313e-16) | (chord <= 2.220446049250313e-16) | bulge.isNull()
+    safe, length = F.when(~straight, bulge), F.when(~straight, chord)
+    sweep, radius = F.atan(safe) * 4, length * (1 + safe * safe) / (F.abs(safe) * 4)
+    away = (1 - safe * safe) / (safe * 4)
+    cx, cy = (start["x"] + end["x"]) / 2 - dy * away, (start["y"] + end["y"]) / 2 + dx * away
+    n = F.greatest(F.lit(ARC_LEAST), F.least(F.lit(ARC_MOST), F.ceil(radius * F.abs(sweep) / ARC_LENGTH))).cast("int")
+    vx, vy = start["x"] - cx, start["y"] - cy
+
+    def at(k: Column) -> Column:
+        t = k / n
+        c, s = F.cos(sweep * t), F.sin(sweep * t)
+        return F.struct((cx + vx * c - vy * s).alias("x"), (cy + vx * s + vy * c).alias("y"), (start["z"] + (end["z"] - start["z"]) * t).alias("z"))
+
+    last = F.array(F.struct(end["x"].alias("x"), end["y"].alias("y"), end["z"].alias("z")))
+    return F.when(straight, last).otherwise(F.concat(F.transform(F.sequence(F.lit(1), n - 1), at), last))

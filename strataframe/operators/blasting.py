@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geometry import in_ring
+
 #: A hole shorter than this has no depth; a fill deck needs at least so much left.
 NO_DEPTH, LEAST_FILL = 1e-6, 0.1
 
@@ -112,3 +114,93 @@ def stage_at(fired: Column, done: list[Column], names: list[str], at: Column, to
     for t, name in reversed(list(zip(done, names, strict=True))):
         out = out.when(reached(t), F.lit(name))
     return out.otherwise(F.lit("not started"))
+
+
+def done_shares(blasts: DataFrame, work: DataFrame, at: float) -> DataFrame:
+    """(blast, activity, share) of blasts(blast, activity, quantity, done) at a time, from work(blast, activity, start, end, quantity).
+
+    done is when the activity is over, null if never: from then on, and from the start if that is 0, the share is 1. Else
+    it is what was worked by then, spans in part, of what is needed; 0 if nothing is.
+    """
+    span = F.col("end") - F.col("start")
+    part = F.when(span > 0, F.col("quantity") * (F.least(F.lit(at), F.col("end")) - F.col("start")) / F.when(span > 0, span)).otherwise(F.col("quantity"))
+    worked = work.where(F.col("start") < at).groupBy(F.col("blast").alias("__b"), F.col("activity").alias("__a")).agg(F.sum(part).alias("__w"))
+    j = blasts.join(worked, (F.col("blast") == F.col("__b")) & (F.col("activity") == F.col("__a")), "left")
+    over = F.coalesce((F.col("done") <= at) | (F.col("done") == 0), F.lit(False))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("__w", F.lit(0.0)) / F.when(F.col("quantity") > 0, F.col("quantity"))))
+    return j.select("blast", "activity", F.when(over, 1.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("share"))
+
+
+def hold_at(blasts: DataFrame, work: DataFrame, names: list[str], at: float, tolerance: float = 1e-9) -> DataFrame:
+    """(blast, hold) of what each of blasts(blast, fired, cleared, above, done: array by names, unworked) waits for at a time.
+
+    fired; awaiting window (all is done); never clears or above standing (the first step waits for the ground above, which `above`
+    says never clears); no machine (unworked names the step that no machine does); working <step> or queued <step>.
+    """
+    by = lambda t: F.coalesce(t <= at + tolerance, F.lit(False))
+    steps = F.array(*map(F.lit, names))
+    open_ = F.filter(F.zip_with(steps, "done", lambda n, t: F.struct(n.alias("n"), t.alias("t"))), lambda x: ~by(x["t"]))
+    running = work.where((F.col("start") <= at + tolerance) & (F.col("end") > at + tolerance)).select(F.col("blast").alias("__b"), F.col("activity").alias("__a")).distinct()
+    step = blasts.withColumn("__step", F.get(open_, F.lit(0))["n"])
+    j = step.join(running, (F.col("blast") == F.col("__b")) & (F.col("__step") == F.col("__a")), "left")
+    waits = (F.col("__step") == names[0]) & ~by(F.col("cleared"))
+    hold = (
+        F.when(by(F.col("fired")), "fired")
+        .when(F.col("__step").isNull(), "awaiting window")
+        .when(waits & (F.col("above") == "never"), "never clears")
+        .when(waits, "above standing")
+        .when(F.col("unworked") == F.col("__step"), "no machine")
+        .when(F.col("__b").isNotNull(), F.concat(F.lit("working "), "__step"))
+        .otherwise(F.concat(F.lit("queued "), "__step"))
+    )
+    return j.select("blast", hold.alias("hold"))
+
+
+def pattern_collars(boundaries: DataFrame, burden: float, spacing: float, degrees: float = 0.0, staggered: bool = False, most: int = 25_000) -> DataFrame:
+    """(boundary, row, column, x, y, z) of a drill grid inside each of boundaries(boundary, ring: array of struct x, y, z).
+
+    The grid is turned anticlockwise from x about the mean corner; spacing runs in a row, burden between rows, and every other row
+    of a staggered grid moves half a spacing. It starts half a cell inside the turned bounds (in their middle, if they
+    are narrower than a cell). Holes lie inside the ring by even-odd count or within 1e-8 of it, and stand on the
+    plane of the ring (its mean corner and Newell normal). Over `most` holes, a scan of over 20 times as many places, or a ring
+    without a usable plane is an error.
+
+    Rows and columns are exploded from the ring's own bounds, so places of many rings are worked on at once.
+    """
+    if not (burden > 0 and spacing > 0):
+        raise ValueError("burden and spacing must be greater than 0")
+    import math
+
+    s, c = math.sin(math.radians(degrees)), math.cos(math.radians(degrees))
+    mean = lambda a: F.aggregate("ring", F.lit(0.0), lambda t, p: t + p[a]) / F.size("ring")
+    b = boundaries.withColumns({f"m{a}": mean(a) for a in "xyz"})
+    local = F.transform("ring", lambda p: F.struct(((p["x"] - F.col("mx")) * c + (p["y"] - F.col("my")) * s).alias("x"), ((p["y"] - F.col("my")) * c - (p["x"] - F.col("mx")) * s).alias("y")))
+    b = b.withColumn("grid", local)
+    ahead = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    newell = lambda u, v, w: F.aggregate(F.zip_with("ring", ahead, lambda p, q: (p[u] - q[u]) * (p[v] + q[v])), F.lit(0.0), lambda t, x: t + x).alias(w)
+    edge = lambda f, a: f(F.transform("grid", lambda p: p[a]))
+    b = b.select("*", newell("y", "z", "nx"), newell("z", "x", "ny"), newell("x", "y", "nz"), *[edge(f, a).alias(n + a) for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    wide, high = F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy")
+    columns, rows = F.greatest(F.lit(1), F.ceil(wide / spacing)).cast("long"), F.greatest(F.lit(1), F.ceil(high / burden)).cast("long")
+    fault = F.when(columns * rows > 20 * most, "too many places to scan").when(F.abs(F.col("nz")) <= F.greatest(F.abs(wide * high), F.lit(1.0)) * 1e-12, "no usable plane")
+    first = lambda lo, hi, size, step: F.when(size < step, (F.col(lo) + F.col(hi)) / 2).otherwise(F.col(lo) + step / 2)
+    b = b.withColumns({"x0": first("lox", "hix", wide, spacing), "y0": first("loy", "hiy", high, burden), "columns": F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(columns), "rows": rows})
+    g = b.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    g = g.withColumn("gy", F.col("y0") + F.col("row") * burden).where("gy < hiy").withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)))
+    shift = F.when(F.col("row") % 2 == 1, spacing / 2).otherwise(0.0) if staggered else F.lit(0.0)
+    g = g.withColumn("gx", F.col("x0") + F.col("column") * spacing + shift).where("gx < hix")
+    following = F.concat(F.slice("grid", 2, F.size("grid") - 1), F.slice("grid", 1, 1))
+
+    def near(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        size = dx * dx + dy * dy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("gx") - p["x"]) * dx + (F.col("gy") - p["y"]) * dy) / F.when(size > 0, size)))
+        return F.coalesce(F.hypot(F.col("gx") - p["x"] - dx * t, F.col("gy") - p["y"] - dy * t) <= 1e-8, F.lit(False))
+
+    on_edge = F.exists(F.zip_with("grid", following, near), lambda x: x)
+    inside = g.where(in_ring(F.col("grid"), F.col("gx"), F.col("gy")) | on_edge)
+    x, y = F.col("mx") + F.col("gx") * c - F.col("gy") * s, F.col("my") + F.col("gx") * s + F.col("gy") * c
+    z = F.col("mz") - (F.col("nx") * (x - F.col("mx")) + F.col("ny") * (y - F.col("my"))) / F.col("nz")
+    out = inside.select("boundary", "row", "column", x.alias("x"), y.alias("y"), z.alias("z"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("boundary"))
+    return out.withColumn("boundary", F.when(n > most, F.raise_error(F.lit(f"a pattern of more than {most} holes")).cast(boundaries.schema["boundary"].dataType)).otherwise(F.col("boundary")))

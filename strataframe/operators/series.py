@@ -149,3 +149,25 @@ def midpoints(logs: DataFrame, trace: DataFrame, keys: list[str], value: str, st
     ok = logs.where(finite(value) & finite("from") & finite("to") & (F.col("to") > F.col("from")))
     placed = interpolate(ok.withColumn("__mid", (F.col("from") + F.col("to")) * 0.5), trace, keys, "__mid", station, position)
     return placed.where(F.col(position[0]).isNotNull()).drop("__mid")
+
+
+def trace_pieces(spans: DataFrame, trace: DataFrame, cuts: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
+    """(key, from, to, x0, y0, z0, x1, y1, z1): the straight pieces of a hole's trace within spans(key, from, to).
+
+    trace(key, depth, x, y, z) are stations; a span is clamped to them, and cut at every station and at every depth of
+    cuts(key, depth) inside it. Depths within tolerance of the last kept one are it; a piece without length is left out.
+    """
+    from .intervals import build_intervals
+
+    ends = trace.groupBy(F.col(key).alias("__k")).agg(F.min("depth").alias("__top"), F.max("depth").alias("__bottom"))
+    s = spans.join(ends, F.col(key) == F.col("__k")).select(key, F.greatest("from", "__top").alias("from"), F.least("to", "__bottom").alias("to")).where("to > from")
+    s = s.withColumn("__span", F.struct(F.col(key), F.col("from"), F.col("to"))).distinct()
+    # the cuts inside each span, by the key
+    marks = trace.select(F.col(key).alias("__k"), "depth").unionByName(cuts.select(F.col(key).alias("__k"), "depth")).distinct()
+    inside = s.join(marks, F.col(key) == F.col("__k")).where("depth > from AND depth < to").select("__span", "depth")
+    points = inside.unionByName(s.select("__span", F.col("from").alias("depth"))).unionByName(s.select("__span", F.col("to").alias("depth")))
+    pieces = build_intervals(points, "depth", tolerance, ["__span"]).select(F.col(f"__span.{key}").alias(key), F.col("start").alias("from"), F.col("end").alias("to"))
+    first = interpolate(pieces, trace, [key], "from", "depth", ["x", "y", "z"]).withColumnsRenamed({c: f"{c}0" for c in "xyz"})
+    both = interpolate(first, trace, [key], "to", "depth", ["x", "y", "z"]).withColumnsRenamed({c: f"{c}1" for c in "xyz"})
+    size = sum(((F.col(f"{c}1") - F.col(f"{c}0")) * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xyz"), F.lit(0.0))
+    return both.where(size > 1e-18)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import blasting as B
 from ..operators import clouds as CL
+from ..operators import depletion as D
 from ..operators import intervals as I
 from ..operators import spatial as S
 from ..operators import surfaces as SU
@@ -91,3 +93,59 @@ def volume_between(spark, d):
     lower = right_angled(table(spark, d, "supplier"), s, s * 7 % 60 + 0.25, s * 11 % 55 + 0.5, F.lit(2.0) + s % 6, F.lit(20.0))
     t = SU.triangle_overlaps(upper, lower, 5.0)
     return t.groupBy("lower").agg(F.round(F.sum(F.col("above") - F.col("below")), 5).alias("volume"), F.round(F.sum("above"), 5).alias("cut"), F.round(F.sum("below"), 5).alias("fill"))
+
+
+@query(f"""WITH {_SP}, b AS (SELECT o_orderkey % 400 AS block, sum(tonnes) AS gone, max(b) AS last FROM s GROUP BY 1), w AS (SELECT o_orderkey % 400 AS block, a, b, tonnes FROM s),
+q AS (SELECT block, 20000.0::DOUBLE + block * 100 AS t FROM b), g AS (SELECT q.block, t, sum(tonnes * least(1, greatest(0, (t - a) / (w.b - a)))) AS mined FROM q JOIN w USING (block) GROUP BY q.block, t)
+SELECT block, round(mined / (gone + block % 4 * 100000.0), 7) AS gone FROM g JOIN b USING (block)""")
+def depleted_blocks(spark, d):
+    """Every order works on one of 400 blocks, of which some keep a remainder; each is asked for at a time of its own."""
+    s = spans(spark, d)
+    work = s.select((F.col("o_orderkey") % 400).alias("block"), "start", "end", "tonnes")
+    left = F.col("block") % 4 * 100_000.0
+    balances = work.groupBy("block").agg(F.sum("tonnes").alias("gone")).select("block", (F.col("gone") + left).alias("started"), left.alias("remaining"))
+    asked = balances.select("block", (F.lit(20_000.0) + F.col("block") * 100).alias("time"))
+    none = spark.createDataFrame([], "block long, emptied double")
+    return D.fractions(asked, D.curves(work, balances), none).select("block", F.round("gone", 7).alias("gone"))
+
+
+@query("""WITH w AS (SELECT o_custkey % 150 AS blast, ['prep', 'drill', 'charge'][(o_orderkey % 3 + 1)::INT] AS activity, o_orderkey * 7 % 900 * 1.0::DOUBLE AS a, o_orderkey * 7 % 900 + (o_orderkey % 40)::DOUBLE AS b, o_totalprice AS q FROM orders),
+n AS (SELECT blast, activity, sum(q) * 1.1::DOUBLE AS quantity, CASE WHEN blast % 5 = 0 THEN 400.0::DOUBLE WHEN blast % 7 = 0 THEN 0.0 WHEN blast % 3 = 0 THEN 900.0 END AS done FROM w GROUP BY 1, 2),
+g AS (SELECT blast, activity, sum(CASE WHEN b > a THEN q * (least(500.0, b) - a) / (b - a) ELSE q END) AS worked FROM w WHERE a < 500 GROUP BY 1, 2)
+SELECT blast, activity, round(CASE WHEN done <= 500 THEN 1.0 ELSE least(1, coalesce(worked, 0) / quantity) END, 7) AS share FROM n LEFT JOIN g USING (blast, activity)""")
+def blast_progress(spark, d):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    start = (o * 7 % 900).cast("double")
+    work = table(spark, d, "orders").select((c % 150).alias("blast"), F.element_at(F.array(*map(F.lit, ["prep", "drill", "charge"])), (o % 3 + 1).cast("int")).alias("activity"), start.alias("start"), (start + o % 40).alias("end"), F.col("o_totalprice").alias("quantity"))
+    k = F.col("blast")
+    blasts = work.groupBy("blast", "activity").agg((F.sum("quantity") * 1.1).alias("quantity")).withColumn("done", F.when(k % 5 == 0, 400.0).when(k % 7 == 0, 0.0).when(k % 3 == 0, 900.0))
+    return B.done_shares(blasts, work, 500.0).select("blast", "activity", F.round("share", 7).alias("share"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS boundary, s_suppkey * 50.0::DOUBLE AS x, 20.0::DOUBLE + s_suppkey % 11 AS w, 13.0::DOUBLE + s_suppkey % 7 AS h FROM supplier),
+g AS (SELECT *, unnest(range(0, ceil(h / 4)::BIGINT)) AS row FROM b), p AS (SELECT *, unnest(range(0, ceil(w / 5)::BIGINT)) AS col FROM g),
+q AS (SELECT boundary, row, col, x + 2.5 + col * 5 + CASE WHEN row % 2 = 1 THEN 2.5 ELSE 0 END AS px, 100 + 2.0 + row * 4 AS py, x, w, h FROM p)
+SELECT boundary, row AS "row", col AS "column", round(px, 6)::DOUBLE AS x, round(py, 6)::DOUBLE AS y, round(10 + 0.1::DOUBLE * (px - x) + 0.05::DOUBLE * (py - 100), 6) AS z FROM q WHERE px < x + w AND py < 100 + h""")
+def drill_patterns(spark, d):
+    """A staggered grid in a supplier's rectangle, on a slope."""
+    k = F.col("s_suppkey")
+    x, w, h = k * 50.0, F.lit(20.0) + k % 11, F.lit(13.0) + k % 7
+    corner = lambda i, j: F.struct((x + w * i).alias("x"), (F.lit(100.0) + h * j).alias("y"), (F.lit(10.0) + 0.1 * w * i + 0.05 * h * j).alias("z"))
+    rings = table(spark, d, "supplier").select(k.alias("boundary"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    got = B.pattern_collars(rings, 4.0, 5.0, staggered=True)
+    return got.select("boundary", "row", "column", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query("""WITH a AS (SELECT p_partkey, 0.5::DOUBLE + p_size / 4.0 AS r, p_partkey % 3 AS kind FROM part), n AS (SELECT *, greatest(16, least(4096, ceil(pi() * r / 0.15))) AS n FROM a)
+SELECT p_partkey, CASE WHEN kind = 0 THEN 1 ELSE n END::BIGINT AS points, round(CASE WHEN kind = 0 THEN 2 * r ELSE n * 2 * r * sin(pi() / (2 * n)) END, 7) AS length, round(CASE kind WHEN 0 THEN 0 WHEN 1 THEN -r ELSE r END * CASE WHEN kind = 0 THEN 0 WHEN n % 2 = 0 THEN 1 ELSE cos(pi() / (2 * n)) END, 7) AS depth FROM n""")
+def arc_pieces(spark, d):
+    """Half circles either way, and chords: how many points, how long, and how far they swing out."""
+    k, r = F.col("p_partkey"), F.lit(0.5) + F.col("p_size") / 4.0
+    at = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    start = at(-r)
+    points = G.arc_points(start, at(r), F.when(k % 3 == 1, 1.0).when(k % 3 == 2, -1.0).otherwise(0.0))
+    a = table(spark, d, "part").select("p_partkey", points.alias("p"), start.alias("s"))
+    whole = F.concat(F.array("s"), F.col("p"))
+    length = F.aggregate(F.zip_with(F.slice(whole, 1, F.size("p")), F.col("p"), lambda u, v: F.hypot(v["x"] - u["x"], v["y"] - u["y"])), F.lit(0.0), lambda t, x: t + x)
+    swing = F.aggregate("p", F.lit(0.0), lambda t, p: F.when(F.abs(p["y"]) > F.abs(t), p["y"]).otherwise(t))
+    return a.select("p_partkey", F.size("p").cast("long").alias("points"), F.round(length, 7).alias("length"), F.round(swing, 7).alias("depth"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import geometry, maths, text, values
-from strataframe.operators import blasting, haulage, intervals, metrics, series, solids
+from strataframe.operators import blasting, depletion, haulage, intervals, metrics, series, solids
 from strataframe.sources import files, tables
 
 
@@ -201,3 +201,49 @@ def test_second_fill_and_no_explosive(spark):
     assert [r["problem"] for r in blasting.lay_decks(holes, decks.where("seq = 1")).collect()] == ["too short"]
     charged = blasting.charge_holes(holes, decks)
     assert charged.select(blasting.charge_mass(charged, F.lit(0.2))).first()[0] == pytest.approx((7 * 0.8 + 1.2) * math.pi * 0.01)
+
+
+def test_depletion_and_its_faults(spark):
+    work = spark.createDataFrame([(1, 0.0, 10.0, 50.0), (1, 5.0, 10.0, 20.0), (1, 30.0, 40.0, 30.0), (2, 0.0, 4.0, 10.0), (2, 3.0, 3.0, 0.0)], "block long, start double, end double, tonnes double")
+    balances = spark.createDataFrame([(1, 100.0, 0.0), (2, 40.0, 30.0), (3, 0.0, 0.0)], "block long, started double, remaining double")
+    asked = spark.createDataFrame([(1, t) for t in (-5.0, 5.0, 8.0, 20.0, 35.0, 99.0)] + [(2, 2.0), (2, 50.0), (3, 6.9), (3, 7.0), (9, 1.0)], "block long, time double")
+    instant = spark.createDataFrame([(3, 7.0)], "block long, emptied double")
+    got = {(r["block"], r["time"]): r["gone"] for r in depletion.fractions(asked, depletion.curves(work, balances), instant).collect()}
+    assert got == pytest.approx({(1, -5.0): 0, (1, 5.0): 0.25, (1, 8.0): 0.52, (1, 20.0): 0.7, (1, 35.0): 0.85, (1, 99.0): 1, (2, 2.0): 0.125, (2, 50.0): 0.25, (3, 6.9): 0, (3, 7.0): 1, (9, 1.0): 0})
+    for rows, text in (([(1, 0.0, 10.0, 99.0)], "gone 100"), ([(1, 2.0, 2.0, 100.0)], "invalid work"), ([(1, 0.0, 1.0, None)], "invalid work")):
+        with pytest.raises(Exception, match=text):
+            depletion.curves(spark.createDataFrame(rows, work.schema), balances.where("block = 1")).collect()
+
+
+def test_holds(spark):
+    names = ["prep", "drill", "charge"]
+    rows = [("fired", 5.0, 0.0, None, [1.0, 2.0, 3.0], None), ("window", 99.0, 0.0, None, [1.0, 2.0, 3.0], None), ("never", None, None, "never", [None] * 3, None), ("above", None, 50.0, "a", [None] * 3, None), ("none", None, 0.0, None, [1.0, None, None], "drill"), ("busy", None, 0.0, None, [1.0, None, None], None), ("queue", None, 0.0, None, [1.0, 4.0, 77.0], None)]
+    blasts = spark.createDataFrame(rows, "blast string, fired double, cleared double, above string, done array<double>, unworked string")
+    work = spark.createDataFrame([("busy", "drill", 9.0, 11.0), ("queue", "charge", 0.0, 10.0), ("busy", "drill", 8.0, 12.0)], "blast string, activity string, start double, end double")
+    got = {r["blast"]: r["hold"] for r in blasting.hold_at(blasts, work, names, 10.0).collect()}
+    assert got == {"fired": "fired", "window": "awaiting window", "never": "never clears", "above": "above standing", "none": "no machine", "busy": "working drill", "queue": "queued charge"}
+
+
+def test_patterns_turn_with_their_boundary(spark):
+    ring = [(0.0, 0.0, 0.0), (21.0, 0.0, 0.0), (21.0, 9.0, 0.0), (10.0, 9.0, 0.0), (10.0, 17.0, 0.0), (0.0, 17.0, 0.0)]
+    a = math.radians(30)
+    turned = [(x * math.cos(a) - y * math.sin(a), x * math.sin(a) + y * math.cos(a), z) for x, y, z in ring]
+    df = spark.createDataFrame([("a", ring), ("b", turned)], "boundary string, ring array<struct<x:double,y:double,z:double>>")
+    flat = {(r["row"], r["column"]) for r in blasting.pattern_collars(df.where("boundary = 'a'"), 4.0, 5.0).collect()}
+    assert flat == {(r["row"], r["column"]) for r in blasting.pattern_collars(df.where("boundary = 'b'"), 4.0, 5.0, 30.0).collect()}
+    # the L: two rows of four below, and two of two above
+    assert flat == {(j, i) for j in range(2) for i in range(4)} | {(j, i) for j in (2, 3) for i in range(2)}
+    for most, text in ((3, "more than 3 holes"), (0, "scan")):
+        with pytest.raises(Exception, match=text):
+            blasting.pattern_collars(df, 4.0, 5.0, most=most).collect()
+    upright = spark.createDataFrame([("u", [(0.0, 0.0, 0.0), (5.0, 0.0, 0.0), (5.0, 0.0, 5.0)])], df.schema)
+    with pytest.raises(Exception, match="usable plane"):
+        blasting.pattern_collars(upright, 4.0, 5.0).collect()
+
+
+def test_pieces_of_a_trace(spark):
+    trace = spark.createDataFrame([("h", 0.0, 0.0, 0.0, 0.0), ("h", 10.0, 0.0, 0.0, -10.0), ("h", 20.0, 10.0, 0.0, -10.0), ("g", 0.0, 1.0, 1.0, 1.0)], "k string, depth double, x double, y double, z double")
+    spans = spark.createDataFrame([("h", 5.0, 15.0), ("h", -3.0, 2.0), ("h", 30.0, 40.0), ("g", 0.0, 9.0), ("x", 0.0, 1.0)], "k string, from double, to double")
+    cuts = spark.createDataFrame([("h", 7.0), ("h", 7.0 + 1e-12), ("h", 99.0)], "k string, depth double")
+    got = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in series.trace_pieces(spans, trace, cuts, "k").select("k", "from", "to", "x0", "z0", "x1", "z1").collect())
+    assert got == [("h", 0.0, 2.0, 0.0, 0.0, 0.0, -2.0), ("h", 5.0, 7.0, 0.0, -5.0, 0.0, -7.0), ("h", 7.0, 10.0, 0.0, -7.0, 0.0, -10.0), ("h", 10.0, 15.0, 0.0, -10.0, 5.0, -10.0)]
