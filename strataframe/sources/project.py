@@ -115,6 +115,8 @@ def _spark_type(t):
     wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
     if pa.types.is_timestamp(t):
         return pa.timestamp("us", "UTC")
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _spark_type(f.type), f.nullable) for f in t])
     return wider.get(t, t)
 
 
@@ -354,11 +356,8 @@ def _with_values(spark: SparkSession, path: str, base: str, e: dict, location: s
     for i, a in enumerate(x for x in e.get("attributes", []) if x["location"] == location and x["data"].get("values")):
         kind, p = a["data"]["type"], f"__{i}_"
         arrays.append((p, a["data"]["values"]["filename"]))
-        if kind in ("Vector", "Color"):
-            parts = ("x", "y", "z") if kind == "Vector" else ("r", "g", "b", "a")
-            columns.append(F.struct(*[F.col(p + c).alias(c) for c in parts]).alias(a["name"]))
-        else:
-            columns.append(F.col(p + ATTRIBUTES[kind][1]).alias(a["name"]))
+        # vectors and colours are one column, a group that may be null as a whole
+        columns.append(F.col(p + ATTRIBUTES[kind][1]).alias(a["name"]))
         if kind == "Category" and a["data"].get("names"):
             names.append((a["name"], read_arrays(spark, path, [("", a["data"]["names"]["filename"])]).select(F.col("row").alias("__code"), F.col("name").alias("__name"))))
     return arrays, columns, names

@@ -113,6 +113,18 @@ def test_categories_tensors_and_grid_surfaces(spark, tmp_path):
     assert rows(P.read_grid_surface(spark, str(tmp_path / "c.zip"), "topo"), "x", "y", "z") == [(5, 0, 1), (7, 0, 2), (5, 3, 3), (7, 3, 4)]
 
 
+def test_groups_that_may_be_null(spark, tmp_path):
+    colour = pa.struct([pa.field(c, pa.uint8(), False) for c in "rgba"])
+    vector = pa.struct([pa.field(c, pa.float32(), False) for c in "xyz"])
+    tables = {"v.parquet": pa.table({c: pa.array([0.0, 1.0, 2.0]) for c in "xyz"}), "c.parquet": pa.table({"color": pa.array([{"r": 255, "g": 0, "b": 1, "a": 9}, None, {"r": 1, "g": 2, "b": 3, "a": 4}], colour)}), "d.parquet": pa.table({"vector": pa.array([None, {"x": 1, "y": 2, "z": 0.5}, None], vector)})}
+    array = lambda name: {"filename": name, "item_count": 3}
+    at = [{"name": n, "location": "Vertices", "data": {"type": k, "values": array(f)}} for n, k, f in (("paint", "Color", "c.parquet"), ("way", "Vector", "d.parquet"))]
+    index = {"elements": [{"name": "p", "geometry": {"type": "PointSet", "vertices": array("v.parquet")}, "attributes": at}]}
+    zipped(tmp_path / "g.zip", index, tables)
+    got = rows(P.read_points(spark, str(tmp_path / "g.zip"), "p"), "x", "paint", "way")
+    assert [(x, c and tuple(c), w and tuple(w)) for x, c, w in got] == [(0.0, (255, 0, 1, 9), None), (1.0, None, (1.0, 2.0, 0.5)), (2.0, (1, 2, 3, 4), None)]
+
+
 def test_what_is_refused(spark, tmp_path):
     path = str(tmp_path / "r")
     pts = spark.createDataFrame([(1.0, 2.0, None, 3.0)], "x double, y double, z double, v double")
