@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from .common import filter_bits, mix64, parted, small_batches, staged
 from .shared import find_shared
-from .tokens import SPACES, _hash, digests, text_buffer
+from .tokens import SPACES, _hash, digests, slices, text_buffer
 
 #: Lines within so many edits (code points) are near, if both have at least so many code points.
 EDITS, LEAST_CHARS = 2, 20
@@ -228,8 +228,9 @@ def _signed(docs: DataFrame, edits: int, least: int) -> DataFrame:
         return np.array(new, np.int64)
 
     def keys(column):
-        lines = Lines(column)
-        yield Signatures(lines, fresh(lines, mine), edits, least).key
+        for part in slices(column):
+            lines = Lines(part)
+            yield Signatures(lines, fresh(lines, mine), edits, least).key
 
     mine: set = set()
     shared = find_shared(docs, keys)
@@ -238,7 +239,7 @@ def _signed(docs: DataFrame, edits: int, least: int) -> DataFrame:
         import pyarrow as pa
 
         seen: set = set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             lines = Lines(b.column(0))
             s = Signatures(lines, fresh(lines, seen), edits, least)
             some = np.flatnonzero(shared(s.key))
@@ -258,7 +259,7 @@ def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
     def texts(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             lines = Lines(b.column(0))
             some = np.flatnonzero(keep(lines.hash))
             _, first = np.unique(lines.hash[some], return_index=True)
@@ -403,7 +404,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
     def list_lines(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             lines = Lines(b.column(2))
             take = pa.array(lines.text)
             yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(lines.number.astype(np.int32)), pa.array(lines.names(), pa.binary()), pa.array(lines.hash.view(np.int64))], ["doc_id", "text_key", "number", "name", "h"])

@@ -56,14 +56,18 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch, column: int, most: int = 1 << 21):
-    """The rows of an Arrow batch in slices of about `most` bytes of text in a column, a row at least: what a worker holds then doesn't grow with the batch."""
+def slices(batch, column: int | None = None, most: int = 1 << 21):
+    """The rows of an Arrow batch in slices of about `most` bytes of text in a column, a row at least: what a worker holds then doesn't grow with the batch.
+
+    Without a column, `batch` is the column of texts itself.
+    """
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = batch if column is None else batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     before = np.r_[0, np.cumsum(sizes)]
-    while at < batch.num_rows:
+    while at < len(texts):
         to = max(at + 1, int(np.searchsorted(before, before[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
