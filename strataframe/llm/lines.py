@@ -362,20 +362,20 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: in
     return late.unionByName(_searched(many, late, texts, edits, block)).distinct() if hot else late
 
 
-def _place(rows: DataFrame) -> Column:
-    """What orders the occurrences rows(doc_id, number, ...) by (doc_id, number), a null doc_id last.
+def _place(docs: DataFrame) -> Column:
+    """What orders the lines of docs by (doc_id, number), a null doc_id last.
 
-    Whole numbers are packed into one number, which a hash aggregate can take the minimum of: a long if the ids' range
-    times the most lines of a text fit one, else a decimal; a struct, as for any other type of doc_id, would have all
-    lines sorted by name first. The order is the same in each.
+    Whole numbers are packed into one number, which a hash aggregate can take the minimum of: a long if the ids span
+    less than 2**32, as numbers of lines have 31 bits, else a decimal; a struct, as for any other type of doc_id, would
+    have all lines sorted by name first. The order is the same in each.
     """
-    if rows.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("number"))
-    low, high, most = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max("number")).first()
-    low, width = low or 0, (most or 0) + 1
-    span = (high or 0) - low + 1
-    if (span + 1) * width < 1 << 63:
-        return F.coalesce(F.col("doc_id").cast("long") - F.lit(low).cast("long"), F.lit(span).cast("long")) * F.lit(width).cast("long") + F.col("number").cast("long")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    span = (high or 0) - (low or 0) + 1
+    if span < (1 << 32) - 1:
+        at = F.coalesce(F.col("doc_id").cast("long") - F.lit(low or 0).cast("long"), F.lit(span).cast("long"))
+        return F.shiftleft(at, 31) + F.col("number").cast("long")
     number = F.col("number").cast("decimal(10,0)")
     last = F.lit("1" + 20 * "0").cast("decimal(21,0)")  # over any 64-bit number
     return (F.coalesce(F.col("doc_id").cast("decimal(21,0)"), last) * F.lit(1 << 31).cast("decimal(10,0)") + number).cast("decimal(32,0)")
@@ -411,7 +411,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(list_lines, f"doc_id {id_type}, text_key long, number int, name binary, h long")
     rows = staged(rows, "lines")
-    place = _place(rows)
+    place = _place(docs)
     firsts = staged(rows.groupBy("name").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")), "line-firsts")
     late = late_lines(docs, firsts, edits, least, short, block).withColumn("late", F.lit(True))
     # a line that occurs once and isn't late is no reason to remove anything
