@@ -163,12 +163,17 @@ def arc_points(start: Column, end: Column, bulge: Column) -> Column:
     away = (1 - safe * safe) / (safe * 4)
     cx, cy = (start["x"] + end["x"]) / 2 - dy * away, (start["y"] + end["y"]) / 2 + dx * away
     n = F.greatest(F.lit(ARC_LEAST), F.least(F.lit(ARC_MOST), F.ceil(radius * F.abs(sweep) / ARC_LENGTH))).cast("int")
-    vx, vy = start["x"] - cx, start["y"] - cy
+    own = {"n": n, "sweep": sweep, "cx": cx, "cy": cy, "vx": start["x"] - cx, "vy": start["y"] - cy, "z": start["z"], "rise": end["z"] - start["z"]}
 
-    def at(k: Column) -> Column:
-        t = k / n
-        c, s = F.cos(sweep * t), F.sin(sweep * t)
-        return F.struct((cx + vx * c - vy * s).alias("x"), (cy + vx * s + vy * c).alias("y"), (start["z"] + (end["z"] - start["z"]) * t).alias("z"))
+    def inner(a: Column) -> Column:
+        def at(k: Column) -> Column:
+            t = k / a["n"]
+            c, s = F.cos(a["sweep"] * t), F.sin(a["sweep"] * t)
+            return F.struct((a["cx"] + a["vx"] * c - a["vy"] * s).alias("x"), (a["cy"] + a["vx"] * s + a["vy"] * c).alias("y"), (a["z"] + a["rise"] * t).alias("z"))
 
+        return F.transform(F.sequence(F.lit(1), a["n"] - 1), at)
+
+    # what holds for the whole arc is bound to a lambda's variable: an expression in `at` would be worked out again for every point
+    arc = F.transform(F.array(F.struct(*[c.alias(name) for name, c in own.items()])), inner)[0]
     last = F.array(F.struct(end["x"].alias("x"), end["y"].alias("y"), end["z"].alias("z")))
-    return F.when(straight, last).otherwise(F.concat(F.transform(F.sequence(F.lit(1), n - 1), at), last))
+    return F.when(straight, last).otherwise(F.concat(arc, last))

@@ -144,7 +144,9 @@ def arc_pieces(spark, d):
     at = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     start = at(-r)
     points = G.arc_points(start, at(r), F.when(k % 3 == 1, 1.0).when(k % 3 == 2, -1.0).otherwise(0.0))
-    a = table(spark, d, "part").select("p_partkey", points.alias("p"), start.alias("s"))
+    # parts are few bytes each and arcs hundreds of points: they are dealt to as many tasks as a shuffle has, not to one for each piece of the file
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    a = parts.select("p_partkey", points.alias("p"), start.alias("s"))
     whole = F.concat(F.array("s"), F.col("p"))
     length = F.aggregate(F.zip_with(F.slice(whole, 1, F.size("p")), F.col("p"), lambda u, v: F.hypot(v["x"] - u["x"], v["y"] - u["y"])), F.lit(0.0), lambda t, x: t + x)
     swing = F.aggregate("p", F.lit(0.0), lambda t, p: F.when(F.abs(p["y"]) > F.abs(t), p["y"]).otherwise(t))
