@@ -58,7 +58,9 @@ def column_volumes(lo: np.ndarray, hi: np.ndarray, triangles: np.ndarray) -> np.
     above, many = clipped(poly, n, poly[:, :, 2] - hi[:, None, 2])
     above = above.copy()
     above[:, :, 2] = hi[:, None, 2]
-    between, some = clipped(poly, n, hi[:, None, 2] - poly[:, :, 2])
+    # a face that lies level with the top is above, and not between as well
+    level = (np.where(np.arange(poly.shape[1]) < n[:, None], poly[:, :, 2], np.inf) >= hi[:, None, 2]).all(1)
+    between, some = clipped(poly, np.where(level, 0, n), hi[:, None, 2] - poly[:, :, 2])
     between, some = clipped(between, some, between[:, :, 2] - lo[:, None, 2])
     return columns_over(above, many, lo[:, 2]) + columns_over(between, some, lo[:, 2])
 
@@ -91,8 +93,9 @@ def piece_fractions(blocks: DataFrame, faces: DataFrame, cell: float, least: flo
 
     blocks(block, x0, y0, z0, x1, y1, z1) in the frame of their model, which may be turned any way by `rotation`
     about `origin`; faces(piece, ax, ay, az, bx, by, bz, cx, cy, cz), outward, in the world. Both sides are dealt
-    into plan cells of the model's frame and meet by cell; a pair counts in the first cell that both reach. Faces
-    that stand upright there or lie wholly below a block add nothing. Only pairs whose plans overlap reach the integral, by batch
+    into cubic cells of the model's frame and meet by cell; a pair counts in the first cell that both reach. Faces
+    that stand upright there or lie wholly below a block add nothing, nor do those of a piece wholly above it, whose
+    columns cancel: a face reaches from the least height of its piece to its own greatest. Only pairs whose plans overlap reach the integral, by batch
     in numpy; their signed volumes are summed, pre-aggregated. Blocks without volume have no fraction.
 
     A piece that is open or faces inward is an error (with `check`; see mesh_problems), and so is a fraction
@@ -104,20 +107,23 @@ def piece_fractions(blocks: DataFrame, faces: DataFrame, cell: float, least: flo
             raise ValueError("check mesh orientation and closure of " + ", ".join(f"{r['piece']} ({r['problem']})" for r in found))
 
     def dealt(df: DataFrame, lo: list[str], hi: list[str], prefix: str) -> DataFrame:
-        first = [F.floor(F.col(c) / cell).cast("long") for c in lo]
-        last = [F.floor(F.col(c) / cell).cast("long") for c in hi]
-        out = df.withColumn(f"{prefix}x", first[0]).withColumn(f"{prefix}y", first[1])
-        return out.withColumn("cx_", F.explode(F.sequence(first[0], last[0]))).withColumn("cy_", F.explode(F.sequence(first[1], last[1])))
+        for axis, a, b in zip("xyz", lo, hi, strict=True):
+            first, last = (F.floor(F.col(c) / cell).cast("long") for c in (a, b))
+            df = df.withColumn(f"{prefix}{axis}", first).withColumn(f"c{axis}_", F.explode(F.sequence(first, last)))
+        return df
 
     corner = lambda f, c: f(*[F.col(f"{p}{c}") for p in "abc"])
     f = faces.select("piece", *[F.col(c).cast("double").alias(c) for c in CORNERS])
     if rotation is not None:
         f = rotated(f, "abc", rotation, origin)
     plan = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("cx") - F.col("ax")) * (F.col("by") - F.col("ay"))
-    f = f.where(plan != 0).select("*", corner(F.least, "x").alias("fx0"), corner(F.greatest, "x").alias("fx1"), corner(F.least, "y").alias("fy0"), corner(F.greatest, "y").alias("fy1"), corner(F.greatest, "z").alias("fz1"))
+    # the least height of a piece, pre-aggregated, so that no task holds a mesh
+    low = f.groupBy(F.col("piece").alias("__piece")).agg(F.min(corner(F.least, "z")).alias("pz0"))
+    f = f.where(plan != 0).join(low, F.col("piece").eqNullSafe(F.col("__piece"))).drop("__piece")
+    f = f.select("*", corner(F.least, "x").alias("fx0"), corner(F.greatest, "x").alias("fx1"), corner(F.least, "y").alias("fy0"), corner(F.greatest, "y").alias("fy1"), corner(F.greatest, "z").alias("fz1"))
     boxes = blocks.where("x1 > x0 AND y1 > y0 AND z1 > z0")
-    j = dealt(boxes, ["x0", "y0"], ["x1", "y1"], "u").join(dealt(f, ["fx0", "fy0"], ["fx1", "fy1"], "v"), ["cx_", "cy_"])
-    j = j.where("cx_ = greatest(ux, vx) AND cy_ = greatest(uy, vy) AND fx0 < x1 AND x0 < fx1 AND fy0 < y1 AND y0 < fy1 AND fz1 > z0")
+    j = dealt(boxes, ["x0", "y0", "z0"], ["x1", "y1", "z1"], "u").join(dealt(f, ["fx0", "fy0", "pz0"], ["fx1", "fy1", "fz1"], "v"), ["cx_", "cy_", "cz_"])
+    j = j.where("cx_ = greatest(ux, vx) AND cy_ = greatest(uy, vy) AND cz_ = greatest(uz, vz) AND fx0 < x1 AND x0 < fx1 AND fy0 < y1 AND y0 < fy1 AND fz1 > z0 AND pz0 < z1")
     numbers = ["x0", "y0", "z0", "x1", "y1", "z1", *CORNERS]
     types = [blocks.schema["block"].dataType.simpleString(), faces.schema["piece"].dataType.simpleString()]
 

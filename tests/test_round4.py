@@ -24,3 +24,12 @@ def test_an_arc_is_worked_out_once_and_arcs_go_to_several_tasks(spark):
     p = df.first()["p"]
     assert len(p) == 63 and all((q["x"] ** 2 + q["y"] ** 2) ** 0.5 == pytest.approx(3.0) for q in p)
     assert QUERIES["arc_pieces"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_blocks_meet_pieces_of_their_height_only(spark):
+    pieces = spark.createDataFrame([(k, 0.5, 0.5, k * 100.0, 3.5, 3.5, k * 100.0 + 2) for k in range(5)], "piece long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    blocks = spark.range(1000).select(F.col("id").alias("block"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("id").cast("double").alias("z0"), F.lit(4.0).alias("x1"), F.lit(4.0).alias("y1"), (F.col("id") + 1.0).alias("z1"))
+    df = solids.piece_fractions(blocks, solids.box_faces(pieces), 4.0)
+    assert "cz_" in plan(df)
+    got = {(r["block"], r["piece"]): r["fraction"] for r in df.collect()}
+    assert got == pytest.approx({(100 * k + i, k): 9 / 16 for k in range(5) for i in range(2)})
