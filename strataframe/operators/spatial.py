@@ -194,16 +194,20 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFra
 def points_in_faces(points: DataFrame, faces: DataFrame, size: float) -> DataFrame:
     """(point, face) where a point lies in face(face, rings array<array<struct<x,y>>>): in an odd number of its rings, so rings inside others are holes.
 
-    Faces are dealt to the plan cells of the box of all their rings.
+    Faces are dealt to the plan cells of the box of all their rings, and tested against the places of points in that
+    box, each place once: points of one place are in the same faces, and get them by an equi-join.
     """
     from ..functions.geometry import in_ring
 
     every = F.flatten("rings")
-    span = lambda v: F.sequence(cell(F.array_min(F.transform(every, lambda p: p[v])), size), cell(F.array_max(F.transform(every, lambda p: p[v])), size))
-    f = faces.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
+    box = {f"{end}{v}": how(F.transform(every, lambda p: p[v])) for v in "xy" for end, how in (("lo", F.array_min), ("hi", F.array_max))}  # noqa: B023
+    f = faces.select("face", "rings").withColumns(box)
+    f = f.withColumn("cx", F.explode(F.sequence(cell(F.col("lox"), size), cell(F.col("hix"), size)))).withColumn("cy", F.explode(F.sequence(cell(F.col("loy"), size), cell(F.col("hiy"), size))))
+    p = points.select("point", "x", "y")
+    places = p.select("x", "y").distinct().withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
     odd = F.aggregate("rings", F.lit(False), lambda a, ring: a != in_ring(ring, F.col("x"), F.col("y")))
-    return p.join(f, ["cx", "cy"]).where(odd).select("point", "face")
+    near = places.join(f, ["cx", "cy"]).where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy")
+    return p.join(near.where(odd).select("x", "y", "face"), ["x", "y"]).select("point", "face")
 
 
 def position_means(points: DataFrame) -> DataFrame:

@@ -33,3 +33,14 @@ def test_blocks_meet_pieces_of_their_height_only(spark):
     assert "cz_" in plan(df)
     got = {(r["block"], r["piece"]): r["fraction"] for r in df.collect()}
     assert got == pytest.approx({(100 * k + i, k): 9 / 16 for k in range(5) for i in range(2)})
+
+
+def test_points_of_one_place_are_tested_once(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    faces = spark.createDataFrame([(7, [square, hole]), (8, [square])], "face int, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(i, *[(2.0, 2.0), (0.5, 0.5), (-0.0, 9.0)][i % 3]) for i in range(30)] + [(4, 0.5, 0.5)], "point int, x double, y double")
+    df = spatial.points_in_faces(points, faces, 3.0)
+    assert "lox" in plan(df) and plan(df).count("Join") == 2
+    want = [(i, 8) for i in range(30) if i % 3 < 2] + [(i, 7) for i in range(30) if i % 3 == 1] + [(4, 7), (4, 8)]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
