@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.maths import spherical_covariance  # noqa: F401
+from ..session import staged
 
 
 def cell(x: Column, size: float, origin: Column | float = 0.0) -> Column:
@@ -49,17 +50,50 @@ def plan_spacing(points: DataFrame, size: float) -> DataFrame:
     return g.agg(F.sqrt(F.count(F.lit(1)) * size * size / F.sum("n")).alias("spacing"))
 
 
+#: How often the cells of `nearest` are halved at most.
+HALVINGS = 12
+
+
 def nearest(targets: DataFrame, samples: DataFrame, radius: float, k: int, dims: str = "xyz") -> DataFrame:
-    """(target, sample, d2, place): the k nearest samples within radius, ties by sample id; bins of radius meet by an equi-join."""
+    """(target, sample, d2, place): the k nearest samples within radius, ties by sample id; bins meet by an equi-join.
+
+    Bins are cells of the radius, halved up to HALVINGS times. A target's are the smallest whose own cell has k samples:
+    the k nearest are then no further than the cell's diagonal, so it asks the cells within that reach, which are two
+    away at most; if no cell has k, it asks those within the radius. So a target meets samples by their number and not by
+    their density, and what is found is exact. Of samples of one place only the k of least id can be among the nearest.
+    """
     names = [f"c{c}" for c in dims]
-    t = _neighbours(targets.withColumns({f"c{c}": cell(F.col(c), radius) for c in dims}), names)
-    s = samples.withColumns({f"c{c}": cell(F.col(c), radius) for c in dims}).withColumnsRenamed({c: f"s{c}" for c in dims})
+    scale = lambda level: F.lit(float(radius)) / F.pow(F.lit(2.0), level)
+    cells = lambda df, points, level: df.withColumns({n: F.floor(F.col(p) / scale(level)).cast("long") for n, p in zip(names, points, strict=True)})
+    s = samples.withColumnsRenamed({c: f"s{c}" for c in dims})
+    # -0.0 and 0.0 are one place
+    s = s.withColumn("__same", F.row_number().over(Window.partitionBy(*[F.col(f"s{c}") + 0.0 for c in dims]).orderBy("sample"))).where(F.col("__same") <= k).drop("__same")
+    s = staged(s, "nearest-samples")
+    every = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level")
+    full = cells(s.select(*[f"s{c}" for c in dims], every), [f"s{c}" for c in dims], F.col("level")).groupBy("level", *names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    asked = cells(targets.select("target", *dims, every), dims, F.col("level")).join(full, ["level", *names], "left_semi")
+    finest = asked.groupBy(F.col("target").alias("__target"), *[F.col(c).alias(f"__{c}") for c in dims]).agg(F.max("level").alias("level"))
+    same = F.col("target").eqNullSafe(F.col("__target"))
+    for c in dims:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    t = targets.join(finest, same, "left").drop("__target", *[f"__{c}" for c in dims]).withColumn("level", F.coalesce("level", F.lit(0)))
+    t = staged(t.withColumn("reach", F.least(F.lit(float(radius)), scale(F.col("level")) * (len(dims) ** 0.5 * (1 + 1e-9)))), "nearest-targets")
+    # of the cells around, those that the reach gets to
+    near = _neighbours(cells(t, dims, F.col("level")), names, 2)
+    away = F.lit(0.0)
+    for c, n in zip(dims, names, strict=True):
+        low = F.col(n) * scale(F.col("level"))
+        gap = F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - low - scale(F.col("level")))
+        away = away + gap * gap
+    near = near.where(away <= F.col("reach") * F.col("reach") * (1 + 1e-9) + 1e-12 * radius * radius)
+    used = t.agg(F.collect_set("level").alias("levels"))
+    s = cells(s.crossJoin(F.broadcast(used)).withColumn("level", F.explode("levels")).drop("levels"), [f"s{c}" for c in dims], F.col("level"))
     d2 = F.lit(0.0)
     for c in dims:
         d2 = d2 + (F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}"))
-    hit = t.join(s, names).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    hit = near.join(s, ["level", *names]).withColumn("d2", d2).where(F.col("d2") <= F.least(F.lit(radius * radius), F.col("reach") * F.col("reach") * (1 + 1e-9)))
     w = Window.partitionBy("target").orderBy("d2", "sample")
-    return hit.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+    return hit.drop("level", "reach").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
 
 
 def covariance(h: np.ndarray, sill: float, nugget: float, reach: float) -> np.ndarray:

@@ -44,3 +44,21 @@ def test_points_of_one_place_are_tested_once(spark):
     assert "lox" in plan(df) and plan(df).count("Join") == 2
     want = [(i, 8) for i in range(30) if i % 3 < 2] + [(i, 7) for i in range(30) if i % 3 == 1] + [(4, 7), (4, 8)]
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_the_nearest_of_a_dense_cloud_are_found_in_small_cells(spark):
+    rng = random.Random(5)
+    rows = [(i, *[round(rng.gauss(0, 0.2), 2 if i % 2 else 6) for _ in "xyz"]) for i in range(600)]
+    rows += [(1000 + i, *rows[i % 3][1:]) for i in range(30)] + [(2000, 9.0, 9.0, 9.0)]
+    s = spark.createDataFrame(rows, "sample long, x double, y double, z double")
+    asked = rows[:40] + rows[-3:]
+    t = spark.createDataFrame(asked, "target long, x double, y double, z double")
+    df = spatial.nearest(t, s, 0.5, 6)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["target"], {})[r["place"]] = r["sample"]
+    for k, *p in asked:
+        d2 = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), i) for i, *q in rows)
+        assert list(dict(sorted(got[k].items())).values()) == [i for d, i in d2 if d <= 0.25][:6]
+    # cells of the radius would hold an eighth of the cloud each
+    assert df.select("cx").distinct().count() > 8
