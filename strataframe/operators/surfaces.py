@@ -130,11 +130,11 @@ def chain_segments(segments: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     mate = paired.select(F.col("level").alias("l"), F.col("at").alias("a"), F.col("pair").alias("p"), F.col("nth").alias("n"), F.col("seg").alias("mate"), F.col("i").alias("mi"))
     met = paired.join(mate, (F.col("level") == F.col("l")) & (F.col("at") == F.col("a")) & (F.col("pair") == F.col("p")) & (F.col("nth") != F.col("n")), "left")
     # element 2 * seg + i starts at end i; the one before it leaves by its mate's end, so it starts at that one's other end
-    links = met.select((F.col("seg") * 2 + F.col("i")).alias("elem"), (F.col("mate") * 2 + 1 - F.col("mi")).alias("prev"), "seg", "at", "other")
-    links = staged(links.withColumn("key", F.struct("at", "other", "elem")), "chain-links")
-    placed = staged(lists.ranked(links).join(links.select("elem", "seg", "key"), "elem"), "chain-places")
-    # every line is there in both directions: the one whose head has the least key stays
-    heads = placed.where("rank = 0").select(F.col("head").alias("__head"), F.col("key").alias("head_key"))
+    links = met.select((F.col("seg") * 2 + F.col("i")).alias("elem"), (F.col("mate") * 2 + 1 - F.col("mi")).alias("prev"), "at", "other")
+    links = staged(links.select("elem", "prev", F.struct("at", "other", "elem").alias("key")), "chain-links")
+    placed = staged(lists.ranked(links), "chain-places").withColumn("seg", F.shiftright("elem", 1))
+    # every line is there in both directions: the one whose head has the least key stays; only heads need their keys
+    heads = placed.where("rank = 0").select(F.col("head").alias("__head")).join(links.select("elem", F.col("key").alias("head_key")), F.col("__head") == F.col("elem")).drop("elem")
     both = placed.groupBy("head").agg(F.min("seg").alias("chain"), F.max("rank").alias("last")).join(heads, F.col("head") == F.col("__head"))
     best = both.groupBy("chain").agg(F.min(F.struct("head_key", "head", "last")).alias("b")).select("chain", F.col("b.head").alias("__of"), F.col("b.last").alias("last"))
     mine = placed.join(best, F.col("head") == F.col("__of")).join(s.select(F.col("seg").alias("__seg"), "level", "x1", "y1", "x2", "y2"), F.col("seg") == F.col("__seg"))

@@ -62,3 +62,11 @@ def test_the_nearest_of_a_dense_cloud_are_found_in_small_cells(spark):
         assert list(dict(sorted(got[k].items())).values()) == [i for d, i in d2 if d <= 0.25][:6]
     # cells of the radius would hold an eighth of the cloud each
     assert df.select("cx").distinct().count() > 8
+
+
+def test_keys_are_carried_for_cycles_only(spark):
+    rows = [(i, i - 1 if i else None, (5, 5, i)) for i in range(20)] + [(100 + i, 100 + (i + 6) % 7, (1, 1, (i * 3) % 7)) for i in range(7)]
+    links = spark.createDataFrame(rows, "elem long, prev long, key struct<a:int,b:int,c:int>")
+    assert "best" not in lists._jumped(links.where("elem < 100")).columns
+    got = {r["elem"]: (r["head"], r["rank"], r["closed"]) for r in lists.ranked(links).collect()}
+    assert got == {i: (0, i, False) for i in range(20)} | {100 + i: (100, i, True) for i in range(7)}
