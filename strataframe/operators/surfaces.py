@@ -212,7 +212,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     """(ray, face, t, x, y, z): the first triangle that each of rays(ray, ox, oy, oz, dx, dy, dz) meets, at o + t d with t from 0 to 1.
 
     triangles(face, ax..cz); ties go to the lesser face. A ray visits the plan cells under it, column by column, and
-    meets there the triangles whose boxes reach the cell; the first hit is a minimum over all cells, so it is exact. A ray
+    meets there the triangles whose boxes reach the cell and its own box, by batch in numpy; the first hit is a minimum over all cells, so it is exact. A ray
     along a triangle's plane doesn't hit it; one without direction, or with a missing number, hits nothing.
     """
     finite = F.lit(True)
@@ -230,16 +230,38 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     r = r.withColumn("gy", F.explode(F.sequence(cell(F.least(y0, y1), size), cell(F.greatest(y0, y1), size))))
     t = _dealt(triangles.select("face", *[F.col(c).cast("double").alias(c) for c in CORNERS]), *_box(), size, "v")
     j = r.join(t, ["gx", "gy"])
-    vec = lambda p, o: [F.col(p + c) - F.col(o + c) for c in "xyz"]
+    for axis in "xyz":  # boxes that are apart, by more than rounding, before any triangle is worked out
+        lo, hi, slack = _corner(F.least, axis), _corner(F.greatest, axis), F.lit(1e-9) * (1 + F.abs(F.col(f"o{axis}")) + F.abs(F.col(f"d{axis}")))
+        ends = [F.col(f"o{axis}"), F.col(f"o{axis}") + F.col(f"d{axis}")]
+        wide = slack + F.lit(1e-9) * (hi - lo)
+        j = j.where((F.least(*ends) <= hi + wide) & (lo - wide <= F.greatest(*ends)))
+    numbers = [p + c for p in "od" for c in "xyz"] + CORNERS
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((rays, "ray"), (triangles, "face"))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(i, BLOCK)
+                t, hit = met([b.column(c).to_numpy(zero_copy_only=False) for c in numbers])
+                keep = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (b.column(0), b.column(1), pa.array(t), *(b.column(p + c) for p in "od" for c in "xyz"))], ["ray", "face", "t", *numbers[:6]])
+
+    found = j.select("ray", "face", *[F.col(c).cast("double").alias(c) for c in numbers]).mapInArrow(run, f"ray {kinds[0]}, face {kinds[1]}, t double, " + ", ".join(f"{c} double" for c in numbers[:6]))
+    where = [(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"]
+    return found.groupBy("ray").agg(F.min(F.struct("t", "face", *where)).alias("h")).select("ray", "h.face", "h.t", "h.x", "h.y", "h.z")
+
+
+def met(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where along rays the planes of their triangles are met, and whether within both; columns are o, d, a, b, c by x, y, z."""
+    o, d, a, b, c = (columns[k : k + 3] for k in range(0, 15, 3))
+    less = lambda m, n: [x - y for x, y in zip(m, n, strict=True)]
     cross = lambda m, n: [m[1] * n[2] - m[2] * n[1], m[2] * n[0] - m[0] * n[2], m[0] * n[1] - m[1] * n[0]]
     dot = lambda m, n: m[0] * n[0] + m[1] * n[1] + m[2] * n[2]
-    d, e1, e2 = [F.col(f"d{c}").cast("double") for c in "xyz"], vec("b", "a"), vec("c", "a")
-    s = [F.col(f"o{c}") - F.col(f"a{c}") for c in "xyz"]
-    normal = cross(e1, e2)
+    e1, e2, s = less(b, a), less(c, a), less(o, a)
+    normal, m = cross(e1, e2), cross(s, d)
     det = -dot(d, normal)
-    sure = F.when(det != 0, det)
-    m = cross(s, d)
-    at, u, v = dot(s, normal) / sure, dot(e2, m) / sure, -dot(e1, m) / sure
-    j = j.withColumns({"t": at, "__u": u, "__v": v}).where("t >= 0 AND t <= 1 AND __u >= -1e-12 AND __v >= -1e-12 AND __u + __v <= 1 + 1e-12")
-    where = [(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"]
-    return j.groupBy("ray").agg(F.min(F.struct("t", "face", *where)).alias("h")).select("ray", "h.face", "h.t", "h.x", "h.y", "h.z")
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        t, u, v = dot(s, normal) / det, dot(e2, m) / det, -dot(e1, m) / det
+        return t, (det != 0) & (t >= 0) & (t <= 1) & (u >= -1e-12) & (v >= -1e-12) & (u + v <= 1 + 1e-12)

@@ -64,6 +64,14 @@ def test_the_nearest_of_a_dense_cloud_are_found_in_small_cells(spark):
     assert df.select("cx").distinct().count() > 8
 
 
+def test_rays_leave_triangles_beside_them_unread(spark):
+    tri = spark.createDataFrame([(i, *map(float, (i % 9, 0, 5, i % 9 + 1, 0, 5, i % 9, 1, 5))) for i in range(9)], "face int, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+    rays = spark.createDataFrame([(1, 4.2, 0.2, 9.0, 0.0, 0.0, -9.0), (2, 4.2, 0.2, 5.0, 0.0, 0.0, 1.0), (3, 4.9, 0.9, 9.0, 0.0, 0.0, -9.0)], "ray int, ox double, oy double, oz double, dx double, dy double, dz double")
+    df = surfaces.ray_hits(rays, tri, 100.0)
+    assert "MapInArrow" in plan(df)
+    assert sorted((r["ray"], r["face"], r["z"]) for r in df.collect()) == [(1, 4, 5.0), (2, 4, 5.0)]
+
+
 def test_keys_are_carried_for_cycles_only(spark):
     rows = [(i, i - 1 if i else None, (5, 5, i)) for i in range(20)] + [(100 + i, 100 + (i + 6) % 7, (1, 1, (i * 3) % 7)) for i in range(7)]
     links = spark.createDataFrame(rows, "elem long, prev long, key struct<a:int,b:int,c:int>")
