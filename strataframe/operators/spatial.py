@@ -202,17 +202,25 @@ def contour_segments(triangles: DataFrame, levels: list[float]) -> DataFrame:
 
 
 def column_heights(points: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
-    """(point, z): the highest surface over each point; triangles are dealt to the plan cells of their box."""
+    """(point, z): the highest surface over each point; triangles are dealt to the plan cells of their box.
+
+    Each place of points is looked up once, and points get the heights of their places by an equi-join, so that points
+    are neither sorted by cell nor held with triangles. Points are dealt by id to all tasks of a shuffle, however well they pack.
+    """
     a, b, c = (lambda v: F.col(f"a.{v}")), (lambda v: F.col(f"b.{v}")), (lambda v: F.col(f"c.{v}"))
     span = lambda v: F.sequence(cell(F.least(a(v), b(v), c(v)), size), cell(F.greatest(a(v), b(v), c(v)), size))
     t = triangles.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    p = points.withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
-    j = p.join(t, ["cx", "cy"])
+    points = points.select("point", "x", "y")
+    places = points.select("x", "y").distinct().withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
+    # by number, so that few bytes of packed rows aren't put together into few tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = places.repartition(tasks, "cx", "cy").join(t.repartition(tasks, "cx", "cy"), ["cx", "cy"])
     det = (b("y") - c("y")) * (a("x") - c("x")) + (c("x") - b("x")) * (a("y") - c("y"))
     u = ((b("y") - c("y")) * (F.col("x") - c("x")) + (c("x") - b("x")) * (F.col("y") - c("y"))) / F.when(det != 0, det)
     v = ((c("y") - a("y")) * (F.col("x") - c("x")) + (a("x") - c("x")) * (F.col("y") - c("y"))) / F.when(det != 0, det)
     inside = (u >= -1e-12) & (v >= -1e-12) & (u + v <= 1 + 1e-12)
-    return j.where(inside).groupBy("point").agg(F.max(u * a("z") + v * b("z") + (1 - u - v) * c("z")).alias("z"))
+    heights = j.where(inside).groupBy("x", "y").agg(F.max(u * a("z") + v * b("z") + (1 - u - v) * c("z")).alias("z"))
+    return points.join(heights, ["x", "y"]).select("point", "z").repartition(tasks, "point").groupBy("point").agg(F.max("z").alias("z"))
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:

@@ -78,3 +78,12 @@ def test_keys_are_carried_for_cycles_only(spark):
     assert "best" not in lists._jumped(links.where("elem < 100")).columns
     got = {r["elem"]: (r["head"], r["rank"], r["closed"]) for r in lists.ranked(links).collect()}
     assert got == {i: (0, i, False) for i in range(20)} | {100 + i: (100, i, True) for i in range(7)}
+
+
+def test_heights_are_looked_up_once_a_place(spark):
+    point = "struct<x:double,y:double,z:double>"
+    tri = spark.createDataFrame([((0.0, 0.0, z), (4.0, 0.0, z), (0.0, 4.0, z)) for z in (1.0, 3.0)], f"a {point}, b {point}, c {point}")
+    points = spark.createDataFrame([(i, 1.0 if i % 2 else 3.5, 1.0) for i in range(10)], "point long, x double, y double")
+    df = spatial.column_heights(points, tri, 2.0)
+    assert plan(df).count("Join") == 2 and "RepartitionByExpression" in plan(df)
+    assert sorted(map(tuple, df.collect())) == [(i, 3.0) for i in range(1, 10, 2)]
