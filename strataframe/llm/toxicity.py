@@ -263,12 +263,17 @@ def temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float)
     return float(grid[int(np.argmin([-(weight * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum() for q in p]))])
 
 
+def parted_rows(n: int) -> tuple[list[int], list[int]]:
+    """Which of n rows are fitted on, and which are held back."""
+    held = [i for i in range(n) if n >= 10 * CALIBRATE and i % CALIBRATE == 0]
+    return [i for i in range(n) if not held or i % CALIBRATE], held
+
+
 def fit(rows: list[tuple[np.ndarray, int, float, str | None]], least: float = 0.3) -> Net:
     """rows: (buckets of its words, label, labelled rows that it stands for, language or null), in a fixed order."""
     index = np.zeros(1 << BITS, np.int32)
     rows = [r for r in rows if len(r[0])]
-    held = [i for i in range(len(rows)) if len(rows) >= 10 * CALIBRATE and i % CALIBRATE == 0]
-    kept = [i for i in range(len(rows)) if not len(held) or i % CALIBRATE]
+    kept, held = parted_rows(len(rows))
     y = np.array([r[1] for r in rows], np.float32)
     # which rows have a bucket, by label; the first dimension of an embedding starts at its log odds
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -312,23 +317,64 @@ def _calibrate(net: Net, rows: list[tuple], least: float) -> None:
         return
     z, lang = net.logits(net.index[np.concatenate([r[0] for r in rows])], at)
     y, weight = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    _set_thresholds(net, z, lang, y, np.ones(len(z)), weight, least)
+
+
+def _set_thresholds(net: Net, z: np.ndarray, lang: np.ndarray, y: np.ndarray, count: np.ndarray, weight: np.ndarray, least: float) -> None:
+    """From logits, languages and labels, each of `count` rows that weigh `weight` together."""
+    n = net.langs.shape[1]
+    net.shift = np.zeros(n + 1)
     if len(set(y.tolist())) < 2:
-        net.shift[:] = z.mean() + (2.0 if not y.any() else -2.0)
+        net.shift[:] = np.average(z, weights=count) + (2.0 if not y.any() else -2.0)
         return
     net.shift[:] = threshold(z, y, weight)
     for k in range(n):
         mine = lang == k
-        if y[mine].sum() >= OWN_THRESHOLD and (1 - y[mine]).sum() >= OWN_THRESHOLD:
+        if (count * y)[mine].sum() >= OWN_THRESHOLD and (count * (1 - y))[mine].sum() >= OWN_THRESHOLD:
             net.shift[k] = threshold(z[mine], y[mine], weight[mine])
     net.temp = temperature(z - net.shift[lang], y, weight, least)
 
 
+def calibrate_on_all(net: Net, texts: DataFrame, fitted: list[float], sizes: dict[int, int], least: float) -> int:
+    """Thresholds and temperature from all labelled rows of texts(text, y, u) but those fitted on, by their u; how many they are.
+
+    Rows of one u count once. Logits are scored in tasks and counted by language, label and 256ths, so that a bounded
+    number of counts reaches the driver, whatever the rows. Each label weighs as in all labelled rows. Without rows of
+    both labels the net keeps the thresholds that it has.
+    """
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast(net)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, at = tokens(b.column(0))
+            z, lang = known.value.logits(known.value.index[ids], at)
+            some = np.diff(at) > 0  # a text without words has nothing to calibrate by
+            whole = np.floor(np.clip(z, -64, 64) * 256).astype(np.int64)
+            columns = [b.column(1), b.column(2), b.column(3), pa.array(whole), pa.array(lang.astype(np.int64))]
+            yield pa.record_batch([c.filter(pa.array(some)) for c in columns], ["y", "u", "h", "z", "lang"])
+
+    own = spark.createDataFrame([(u,) for u in fitted], "__u double")
+    rest = texts.join(F.broadcast(own), F.col("u") == F.col("__u"), "left_anti")
+    rows = rest.select("text", "y", "u", F.xxhash64("text").alias("h")).mapInArrow(run, "y int, u double, h long, z long, lang long")
+    one = rows.groupBy("u").agg(F.min("h").alias("h"), F.min_by(F.struct("y", "z", "lang"), "h").alias("r"))
+    got = one.groupBy("r.y", "r.z", "r.lang").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "z", "lang").collect()
+    y, z, lang, n = (np.array([r[c] for r in got], float) for c in ("y", "z", "lang", "n"))
+    if len(set(y.tolist())) == 2:
+        share = {k: max(1.0, sizes.get(k, 0) / n[y == k].sum()) for k in (0, 1)}
+        _set_thresholds(net, (z + 0.5) / 256, lang.astype(int), y, n, n * np.where(y > 0, share[1], share[0]), least)
+    return int(n.sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS, least: float = 0.3) -> Net:
     """Fit on docs(doc_id, text, and lang if there is one) and labels(doc_id, toxic).
 
     At most fit_rows rows a label are fitted on, those with the least hash of their doc_id, while their words
     come to fit_words at most; a text of more than FIT_LENGTH words is passed over. Rows of one id that disagree
-    are averaged. Only the chosen rows' word buckets reach the driver.
+    are averaged. Only the chosen rows' word buckets reach the driver. Thresholds and temperature come from all
+    labelled rows that weren't fitted on; see calibrate_on_all.
     """
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.avg(F.col("toxic").cast("double")).alias("y"))
@@ -338,6 +384,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_word
     sample = staged(parts[0].unionByName(parts[1]), "toxic-sample")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    every = texts.join(known, F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("text", "y", "u")
     # twice fit_rows rows at most, whatever the labels
     texts = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("text", "lang", "y", "u")
 
@@ -358,10 +405,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_word
             left[r["y"]] -= r["n"]
             chosen.append((r["u"], r["name"]))
     pick = spark.createDataFrame(chosen, "u double, name string")
-    got = facts.withColumn("name", F.md5("ids")).join(F.broadcast(pick), ["u", "name"]).groupBy("u", "name").agg(F.min(F.struct("y", "lang", "ids")).alias("r")).orderBy("u", "name").select("r.*").collect()
+    got = facts.withColumn("name", F.md5("ids")).join(F.broadcast(pick), ["u", "name"]).groupBy("u", "name").agg(F.min(F.struct("y", "lang", "ids")).alias("r")).orderBy("u", "name").select("u", "r.*").collect()
     share = {y: max(1.0, sizes.get(y, 0) / max(1, sum(r["y"] == y for r in got))) for y in (0, 1)}
     width = 1 + len(HEADS)
-    return fit([(np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, width), r["y"], share[r["y"]], r["lang"]) for r in got], least)
+    net = fit([(np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, width), r["y"], share[r["y"]], r["lang"]) for r in got], least)
+    worded = [r["u"] for r in got if r["ids"]]
+    calibrate_on_all(net, every, [worded[i] for i in parted_rows(len(worded))[0]], sizes, least)
+    return net
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, parts: int = 4, least: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
