@@ -19,6 +19,9 @@ LEVELS = (2, 8, 64)
 SHORT = 4
 #: Partners of one query that are searched together, and nodes of a block.
 GROUP = 256
+#: Lists of more than a block have further turns, of so many stars a list, while a turn leaves this percentage of their nodes
+#: outside the largest labels at most.
+STARS, LEFT = 8, 80
 
 
 def need(a, b, percent: int):
@@ -189,11 +192,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(lists: DataFrame, block: int) -> DataFrame:
-    """lists with each node in all tasks (token, i, j), i <= j, where its block `own` meets blocks of its list."""
-    size = staged(lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("blocks")), "jaccard-blocks")
-    rows = lists.join(size, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    """lists with each node in all tasks (token, i, j), i <= j, where its block `own` meets blocks of its list.
+
+    Nodes of the label that most of a list's have needn't meet each other: they have blocks of their own, after those of
+    the rest, and meet the rest only. A list is dealt by so many rows as it has nodes, times the blocks of the rest.
+    """
+    size = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    size = size.groupBy("token").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("c"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block))).cast("long")
+    size = size.select("token", F.col("main.label").alias("main"), blocks(F.col("c") - F.col("main.c")).alias("rests"), blocks(F.col("main.c")).alias("mains"))
+    rows = lists.join(staged(size, "jaccard-blocks"), "token").withColumn("is_main", F.col("label") == F.col("main"))
+    nth = F.xxhash64("node")
+    rows = rows.withColumn("own", F.when(F.col("is_main"), F.col("rests") + F.pmod(nth, F.col("mains"))).otherwise(F.pmod(nth, F.col("rests"))))
+    met = F.when(F.col("is_main"), F.col("rests")).otherwise(F.col("rests") + F.col("mains"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "main", "rests", "mains", "is_main")
+
+
+def _open_lists(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of lists(token, node, n, left, label, ...), those that hold several labels; and of these what may still link there,
+    with how many nodes a list then holds, and how many (rest) that aren't of the label that most of them have.
+
+    A meeting at the first shingle that two sets share needs left >= T on both sides. T is least with the smallest set of
+    the list, so what hasn't that much left meets nobody there. What goes is still a posting that two sets have in common.
+    """
+
+    def mixed(some: DataFrame) -> DataFrame:
+        sizes = some.groupBy("token", "label").agg(F.count(F.lit(1)).alias("__c"), F.min("n").alias("__n"))
+        sizes = sizes.groupBy("token").agg(F.sum("__c").alias("__s"), F.max("__c").alias("__most"), F.min("__n").alias("__least")).where("__s > __most")
+        return some.join(sizes.select("token", F.col("__s").alias("held"), (F.col("__s") - F.col("__most")).alias("rest"), "__least"), "token")
+
+    able = (100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("__least"))
+    lists = staged(mixed(lists), "jaccard-open")
+    own = [c for c in lists.columns if c not in ("held", "rest", "__least")]
+    some = mixed(lists.where(able).select(*own)).where(able)
+    return lists.select(*own), staged(mixed(some.select(*own)).drop("__least"), "jaccard-able")
 
 
 def _overlaps(rows: np.ndarray, tokens: np.ndarray, weight: np.ndarray, left: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,16 +278,18 @@ _IN_TASK = ("token", "i", "j", "own", "node", "n", "left", "label", "open")
 _PER_NODE = 8
 
 
-def _screen_blocks(lists: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+def _screen_blocks(lists: DataFrame, able: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
     """What is left to search of lists(token, node, n, left, label, mult): pairs(a, b), and the rows of crowded tasks, if any.
 
+    able has those rows of lists whose node may link there (see _open_lists): they are dealt; the others still count as shared.
+
     Two nodes of different labels count in the task of the first list in which they meet, if both have enough
     left there, and if their prefixes share enough: beyond its prefix a set has T0 - 1 shingles, T0 = ceil(percent
     * n / 100), so that a pair which needs T shares T - T0 + 1 within the prefixes, for the larger of its two T0.
     A task that holds more such pairs than a few a node names itself, for its sets to be searched, and no pair.
     """
     own = lists.groupBy("node").agg(F.collect_list(F.struct("token", "left", "mult")).alias("open"))
-    rows = _dealt(lists, block).join(staged(own, "jaccard-own"), "node").select(*_IN_TASK)
+    rows = _dealt(able, block).join(staged(own, "jaccard-own"), "node").select(*_IN_TASK)
 
     def screen(key, table):
         import pyarrow as pa
@@ -329,6 +364,9 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, sh
         two = two.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
         return two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(1).cast("long").alias("parts")).distinct()
 
+    def met(some: DataFrame, star: DataFrame) -> DataFrame:
+        return some.alias("x").join(star.alias("y"), F.col("token") == F.col("__token")).where((F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
+
     def starred(some: DataFrame, turn: int) -> DataFrame:
         """For each node one partner: the best of the stars of its lists, a list's star being its best node.
 
@@ -338,36 +376,53 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, sh
         own = F.col("skip") / F.col("n") if turn == 0 else F.lit(0.0)
         star = some.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "left", "label")).alias("s"))
         star = staged(star, "jaccard-stars").select(F.col("token").alias("__token"), "s.*")
-        met = some.alias("x").join(star.alias("y"), F.col("token") == F.col("__token")).where((F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
-        best = met.groupBy("x.node").agg(F.min(F.struct("y.own", "y.h", F.col("y.node").alias("a"), F.ceil(F.col("c") / F.lit(block)).cast("long").alias("parts"))).alias("s"))
+        best = met(some, star).groupBy("x.node").agg(F.min(F.struct("y.own", "y.h", F.col("y.node").alias("a"), F.ceil(F.col("c") / F.lit(block)).cast("long").alias("parts"))).alias("s"))
         return best.select("s.a", F.col("node").alias("b"), "s.parts")
 
+    def starred_again(some: DataFrame, turn: int) -> DataFrame:
+        """For each node up to STARS partners: the stars of its longest list, which are nodes drawn by hash, so that some are of its group's middle."""
+        h = F.xxhash64("node", F.lit(turn))
+        star = some.groupBy("token", F.pmod(h, F.lit(STARS)).alias("nth")).agg(F.min(F.struct(h.alias("h"), "node", "n", "left", "label")).alias("s"))
+        star = staged(star, "jaccard-stars").select(F.col("token").alias("__token"), "s.*")
+        first = some.groupBy("node").agg(F.max(F.struct("held", "token")).alias("s")).select(F.col("node").alias("__node"), F.col("s.token").alias("__first"))
+        some = some.join(first, (F.col("node") == F.col("__node")) & (F.col("token") == F.col("__first")), "left_semi")
+        return met(some, star).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.ceil(F.col("held") / F.lit(block)).cast("long").alias("parts"))
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        return staged(_verify(staged(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
+
     lists = lists.withColumn("label", F.col("node"))
     pairs = crossed(lists.where(F.col("c") <= short))
     lists = lists.where(F.col("c") > short)
-    links = None
-    for turn in range(star_rounds + 1):
+    links, some, turn, was = None, None, 0, None
+    while True:
         if turn < star_rounds:
             more = starred(lists, turn)
+        elif star_rounds:
+            # of lists of more than a block, each turn leaves a part of the rows outside the largest labels, or is the last
+            long_ = some.where(F.col("held") > block)
+            now = long_.agg(F.sum(F.col("rest") / F.col("held"))).first()[0] or 0.0
+            if not now or (was is not None and 100 * now > LEFT * was):
+                break
+            more, was = starred_again(long_, turn), now
         else:
-            more, crowded = _screen_blocks(lists, percent, block)
-            more = more.withColumn("parts", F.lit(1).cast("long"))
-            if crowded is not None:
-                new = staged(_search_blocks(crowded, sets, percent), "jaccard-links")
-                links = new if links is None else links.unionByName(new)
-        pairs = more if pairs is None else pairs.unionByName(more)
-        new = staged(_verify(staged(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
-        links = new if links is None else links.unionByName(new)
-        if turn == star_rounds:
             break
+        new = searched(more if pairs is None else pairs.unionByName(more))
+        links, pairs, turn = new if links is None else links.unionByName(new), None, turn + 1
         labels = staged(_labels(links), "jaccard-found")
         lists = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.max("c").alias("most")).where("s > most")
-        lists = staged(lists.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
-        if not lists.take(1):
-            break
-        pairs = None
-    return links
+        lists, some = _open_lists(lists, percent)
+        if not some.take(1):
+            return links
+    if not star_rounds:
+        lists, some = _open_lists(lists, percent)
+    more, crowded = _screen_blocks(lists, some, percent, block)
+    if crowded is not None:
+        new = staged(_search_blocks(crowded, sets, percent), "jaccard-links")
+        links = new if links is None else links.unionByName(new)
+    more = more.withColumn("parts", F.lit(1).cast("long"))
+    new = searched(more if pairs is None else pairs.unionByName(more))
+    return new if links is None else links.unionByName(new)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2, short: int = SHORT, block: int = GROUP) -> DataFrame:
@@ -384,8 +439,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds:
        n - T + 1. What links meets at a posting, and frequent passages come last, so their lists stay out of
        most prefixes. Of lists with the same nodes only the first in that order stays.
     2. All pairs of a short list are searched. Of the long lists each node is searched against one star, in
-       star_rounds turns: it makes one pair a node and turn, and one link at most. What links has one label.
-    3. Lists that still hold several labels are dealt into blocks, and each two blocks meet in a task: it
+       star_rounds turns, and of lists of more than a block in further turns while they get fewer: it makes one
+       pair a node and turn, and one link at most. What links has one label.
+    3. Lists that still hold several labels are dealt into blocks, and each two blocks meet in a task, but for two
+       of the label that most have, and without what can't link there for want of shingles left: it
        names the pairs whose prefixes allow a link, or, where those are many, is searched whole. Nothing is
        capped: a pair is left out only if it can't reach the similarity, or if both are connected.
     """

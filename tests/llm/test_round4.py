@@ -2,8 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from strataframe.llm import toxicity
+from strataframe.llm import jaccard, toxicity
+
+from . import brute
+from .conftest import words
 
 
 def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
@@ -18,3 +22,47 @@ def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
     y, z = np.array([r[1] for r in rows[45:]], float), (np.floor(z * 256) + 0.5) / 256
     want = toxicity.threshold(z, y, np.where(y > 0, 60 / y.sum(), 240 / (1 - y).sum()))
     assert np.allclose(net.shift, want)
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def edited(n, seed, most, base=150):
+    """n copies of a text, not itself among them, each with 1 to `most` words changed at places of its own."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        w = words(base, seed).split()
+        for p in rng.choice(base, int(rng.integers(1, most + 1)), replace=False):
+            w[int(p)] = f"e{k}p{p}"
+        out.append(" ".join(w))
+    return out
+
+
+def dealt_rows(monkeypatch):
+    counts, was = [], jaccard._dealt
+
+    def dealt(lists, block):
+        out = was(lists, block)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", dealt)
+    return counts
+
+
+def test_only_what_may_still_link_is_dealt_to_blocks(spark, monkeypatch):
+    counts = dealt_rows(monkeypatch)
+    docs = list(enumerate(edited(300, 6, 5) + [words(40, 7)]))
+    got = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), block=16)
+    assert rows(got) == brute.jaccard_components(docs)
+    assert sum(counts) <= 12 * len(docs)
+
+
+@pytest.mark.parametrize(("stars", "short", "block"), [(0, 1, 5), (1, 2, 7), (2, 4, 8), (1, 10_000, 3)])
+def test_sizes_that_differ_are_searched_in_every_way(spark, stars, short, block):
+    base = words(120, 9).split()
+    docs = list(enumerate([" ".join(t.split()[: 100 + 5 * (k % 11)]) for k, t in enumerate(edited(70, 8, 3))] + [" ".join(base[k : k + 60 + k]) for k in range(25)]))
+    got = rows(jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), star_rounds=stars, short=short, block=block))
+    assert got == brute.jaccard_components(docs)
