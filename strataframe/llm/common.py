@@ -173,14 +173,15 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def parted(docs: DataFrame, key: list[Column], keys: DataFrame, finish: Callable | None = None, ddl: str = "") -> tuple[DataFrame, DataFrame]:
+def parted(docs: DataFrame, key: list[Column], keys: DataFrame, finish: Callable | None = None, ddl: str = "", n_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
     """docs in two: rows whose key surely isn't among `keys` (columns in the order of `key`), and the others.
 
     The first part needs no join, so its texts stay where they lie; the second is about as large as `keys`.
-    With `finish`, the first part's batches go through it in the same pass, to columns `ddl`.
+    With `finish`, the first part's batches go through it in the same pass, to columns `ddl`. n_keys: how many keys there
+    are, if it is known.
     """
     hashed = keys.select(F.xxhash64(*[F.col(f"`{c}`") for c in keys.columns]).alias("key"))
-    keep = filter_bits(hashed, "key", keys.count())
+    keep = filter_bits(hashed, "key", keys.count() if n_keys is None else n_keys)
     name, schema = unused("__key", docs), docs.schema
     marked = docs.withColumn(name, F.xxhash64(*key))
 

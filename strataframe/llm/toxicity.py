@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import mix64, small_batches, staged, unit_hash
+from .common import mix64, parted, small_batches, staged, unit_hash, with_fields
 from .langid import fold
 from .tokens import _LOW, NOT_ALNUM, Words, words
 
@@ -335,15 +336,10 @@ def _set_thresholds(net: Net, z: np.ndarray, lang: np.ndarray, y: np.ndarray, co
     net.temp = temperature(z - net.shift[lang], y, weight, least)
 
 
-def calibrate_on_all(net: Net, texts: DataFrame, fitted: list[float], sizes: dict[int, int], least: float) -> int:
-    """Thresholds and temperature from all labelled rows of texts(text, y, u) but those fitted on, by their u; how many they are.
-
-    Rows of one u count once. Logits are scored in tasks and counted by language, label and 256ths, so that a bounded
-    number of counts reaches the driver, whatever the rows. Each label weighs as in all labelled rows. Without rows of
-    both labels the net keeps the thresholds that it has.
-    """
-    spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(net)
+def with_logits(net: Net, texts: DataFrame) -> DataFrame:
+    """texts without their `text`, with its hash h, its logit z in 256ths and its language; wordless texts are left out, as they have nothing to calibrate by."""
+    known = texts.sparkSession.sparkContext.broadcast(net)
+    own = [f for f in texts.schema.fields if f.name != "text"]
 
     def run(batches):
         import pyarrow as pa
@@ -351,14 +347,37 @@ def calibrate_on_all(net: Net, texts: DataFrame, fitted: list[float], sizes: dic
         for b in batches:
             ids, at = tokens(b.column(0))
             z, lang = known.value.logits(known.value.index[ids], at)
-            some = np.diff(at) > 0  # a text without words has nothing to calibrate by
+            some = np.diff(at) > 0
             whole = np.floor(np.clip(z, -64, 64) * 256).astype(np.int64)
-            columns = [b.column(1), b.column(2), b.column(3), pa.array(whole), pa.array(lang.astype(np.int64))]
-            yield pa.record_batch([c.filter(pa.array(some)) for c in columns], ["y", "u", "h", "z", "lang"])
+            columns = [*b.columns[1:], pa.array(whole), pa.array(lang.astype(np.int64))]
+            yield pa.record_batch([c.filter(pa.array(some)) for c in columns], [*b.schema.names[1:], "z", "lang"])
+
+    names = [F.col(f.name) for f in own]
+    return texts.select("text", *names, F.xxhash64("text").alias("h")).mapInArrow(run, with_fields(StructType(own), "h long, z long, lang long"))
+
+
+def labelled_logits(net: Net, texts: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
+    """with_logits of the rows of texts(doc_id, text) that known(__id, y, u) labels, with y and u.
 
-    own = spark.createDataFrame([(u,) for u in fitted], "__u double")
-    rest = texts.join(F.broadcast(own), F.col("u") == F.col("__u"), "left_anti")
-    rows = rest.select("text", "y", "u", F.xxhash64("text").alias("h")).mapInArrow(run, "y int, u double, h long, z long, lang long")
+    Texts are scored where they lie, and what meets the labels is a few numbers a row. Rows that surely have no label
+    aren't scored, by a bit filter of bounded size.
+    """
+    texts = texts.where("text IS NOT NULL")
+    if texts.schema["doc_id"].dataType == known.schema["__id"].dataType:
+        texts = parted(texts, [F.col("doc_id")], known.select("__id"), n_keys=n_known)[1]
+    return with_logits(net, texts).join(known, F.col("doc_id") == F.col("__id")).drop("doc_id", "__id")
+
+
+def calibrate_on_all(net: Net, texts: DataFrame, fitted: list[float], sizes: dict[int, int], least: float, known: DataFrame | None = None) -> int:
+    """Thresholds and temperature from all labelled rows of texts(text, y, u) but those fitted on, by their u; how many they are.
+
+    With known(__id, y, u), texts has doc_id instead of y and u. Rows of one u count once. Logits are scored in tasks and
+    counted by language, label and 256ths, so that a bounded number of counts reaches the driver, whatever the rows. Each
+    label weighs as in all labelled rows. Without rows of both labels the net keeps the thresholds that it has.
+    """
+    own = texts.sparkSession.createDataFrame([(u,) for u in fitted], "__u double")
+    rows = with_logits(net, texts) if known is None else labelled_logits(net, texts, known, sum(sizes.values()))
+    rows = rows.join(F.broadcast(own), F.col("u") == F.col("__u"), "left_anti")
     one = rows.groupBy("u").agg(F.min("h").alias("h"), F.min_by(F.struct("y", "z", "lang"), "h").alias("r"))
     got = one.groupBy("r.y", "r.z", "r.lang").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "z", "lang").collect()
     y, z, lang, n = (np.array([r[c] for r in got], float) for c in ("y", "z", "lang", "n"))
@@ -384,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_word
     sample = staged(parts[0].unionByName(parts[1]), "toxic-sample")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    every = texts.join(known, F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("text", "y", "u")
+    every = texts.select("doc_id", "text")
     # twice fit_rows rows at most, whatever the labels
     texts = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").select("text", "lang", "y", "u")
 
@@ -410,7 +429,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_word
     width = 1 + len(HEADS)
     net = fit([(np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, width), r["y"], share[r["y"]], r["lang"]) for r in got], least)
     worded = [r["u"] for r in got if r["ids"]]
-    calibrate_on_all(net, every, [worded[i] for i in parted_rows(len(worded))[0]], sizes, least)
+    calibrate_on_all(net, every, [worded[i] for i in parted_rows(len(worded))[0]], sizes, least, known)
     return net
 
 

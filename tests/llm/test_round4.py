@@ -24,6 +24,25 @@ def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
     assert np.allclose(net.shift, want)
 
 
+def test_labelled_texts_meet_their_labels_as_numbers(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["bad", "worse"] if k % 4 == 0 else ["fine", "good"], 1)) + " " + " ".join(rng.choice(["a", "b", "c", "bad"], 9)) for k in range(240)]
+    fits = [toxicity.tokens(pa.array([t]))[0] for t in texts[:40]]
+    nets = [toxicity.fit([(i, int(k % 4 == 0), 1.0, None) for k, i in enumerate(fits)]) for _ in range(2)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "bad"), (238, None)], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(k, int(k % 4 == 0), float(k)) for k in range(0, 240, 2)] + [(999, 1, 999.0)], "__id long, y int, u double")
+    joined = docs.join(known, docs["doc_id"] == known["__id"]).where("text IS NOT NULL").select("text", "y", "u")
+    sizes, fitted = {0: 60, 1: 60}, [float(k) for k in range(0, 30, 2)]
+    assert toxicity.calibrate_on_all(nets[0], joined, fitted, sizes, 0.3) == toxicity.calibrate_on_all(nets[1], docs, fitted, sizes, 0.3, known) == 105
+    assert np.array_equal(nets[0].shift, nets[1].shift) and nets[0].temp == nets[1].temp
+    scored = toxicity.labelled_logits(nets[0], docs, known, 121)
+    assert sorted(scored.columns) == ["h", "lang", "u", "y", "z"]
+    plan = scored._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert "text" not in plan.children().head().output().mkString(" ")
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
