@@ -122,8 +122,10 @@ class Lines:
         end = np.empty(len(cuts), np.int64)
         end[:-1] = cuts[1:] - 1
         end[last] = self.texts[1:]
-        letters = np.r_[0, np.cumsum(~SPACES[self.data])]
-        worded = letters[end] > letters[cuts]
+        # a stretch from the start of a line to that of the next line that isn't empty holds the line's bytes and line breaks only
+        worded, some = end > cuts, np.flatnonzero(end > cuts)
+        if len(some):
+            worded[some] = np.logical_or.reduceat(~SPACES[self.data], cuts[some])
         self.text, self.number, self.start, self.end = text[worded], number[worded], cuts[worded], end[worded]
         self.hash = _hash(self.data, self.start, self.end)
 
@@ -147,9 +149,10 @@ class Signatures:
     """
 
     def __init__(self, lines: Lines, chosen: np.ndarray, edits: int, least: int):
-        heads = np.r_[0, np.cumsum((lines.data & 0xC0) != 0x80)]
+        heads = np.zeros(len(lines.data) + 1, np.int64 if len(lines.data) >> 31 else np.int32)
+        np.cumsum(lines.data.view(np.int8) >= -64, out=heads[1:])  # the bytes that begin a code point
         points = np.frombuffer(lines.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        start, end = heads[lines.start[chosen]], heads[lines.end[chosen]]
+        start, end = heads[lines.start[chosen]].astype(np.int64), heads[lines.end[chosen]].astype(np.int64)
         ok = end - start >= least
         self.line, start, end = chosen[ok], start[ok], end[ok]
         self.length, self.start, self.points = end - start, start, points
@@ -424,18 +427,19 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, sh
 
     def cut(b, lists=None):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         kept, n_lines, n_removed = [], [], []
-        for text, gone in zip(b.column(1).to_pylist(), lists or [None] * b.num_rows, strict=True):
-            split = (text or "").encode().split(b"\n")
-            n_lines.append(sum(1 for x in split if x.split()))
+        for text, gone in zip(b.column(1).cast(pa.binary()).to_pylist(), lists or [None] * b.num_rows, strict=True):
+            split = (text or b"").split(b"\n")
+            n_lines.append(sum(not x.isspace() for x in split if x))
             n_removed.append(len(gone or ()))
-            if gone:
-                out = set(gone)
-                split = [x for i, x in enumerate(split) if i not in out]
-            kept.append(b"\n".join(split).decode() if gone else text or "")
+            if lists:
+                out = set(gone or ())
+                kept.append(b"\n".join([x for i, x in enumerate(split) if i not in out]) if gone else text or b"")
         near_ = b.column(3) if lists else pa.array(np.zeros(b.num_rows, np.int64))
-        return pa.record_batch([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), near_, pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "n_near", "kept"])
+        kept = pa.array(kept, pa.binary()).cast(pa.string()) if lists else pc.fill_null(b.column(1), "")
+        return pa.record_batch([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), near_, kept], ["doc_id", "n_lines", "n_removed", "n_near", "kept"])
 
     columns = f"doc_id {id_type}, n_lines long, n_removed long, n_near long, kept string"
     whole, touched = parted(docs, [F.col("doc_id"), F.xxhash64("text")], gone.select("__id", "__key"), cut, columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strataframe.llm import jaccard, toxicity
+from strataframe.llm import jaccard, lines, toxicity
 
 from . import brute
 from .conftest import words
@@ -85,3 +85,16 @@ def test_sizes_that_differ_are_searched_in_every_way(spark, stars, short, block)
     docs = list(enumerate([" ".join(t.split()[: 100 + 5 * (k % 11)]) for k, t in enumerate(edited(70, 8, 3))] + [" ".join(base[k : k + 60 + k]) for k in range(25)]))
     got = rows(jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), star_rounds=stars, short=short, block=block))
     assert got == brute.jaccard_components(docs)
+
+
+def test_lines_with_a_word_are_found_without_sums_over_bytes(spark, monkeypatch):
+    texts = ["", "\n\n", " \t\n\x0b\x0c\r\n", "a", "a\n", "\n\na\n \n\nb", None, "\u00a0\n\x1c\n\x85", "", "\u00fcn\n\n \u65e5\n ", "  x  "]
+    want = [(i, n) for i, t in enumerate(texts) for n, x in enumerate((t or "").encode().split(b"\n")) if x.split()]
+    sums = []
+    monkeypatch.setattr(lines.np, "cumsum", lambda x, *a, was=np.cumsum, **k: sums.append(len(x)) or was(x, *a, **k))
+    some = lines.Lines(pa.array(texts * 5))
+    assert list(zip(some.text.tolist(), some.number.tolist(), strict=True)) == [(i + len(texts) * k, n) for k in range(5) for i, n in want]
+    assert max(sums) <= len(some.per_text)
+    monkeypatch.undo()
+    got = rows(lines.line_dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")))
+    assert got == brute.line_dedup([*enumerate(texts)], near=lines.near)
