@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, filter_bits, mix64, parted, small_batches, staged, unused
+from .common import components, filter_bits, mix64, parted, small, small_batches, staged, unused
 from .shared import find_shared
-from .tokens import shingle_set, windows, words
+from .tokens import shingle_set, slices, windows, words
 
 #: Shingles in at least so many documents form the later classes of the global order.
 LEVELS = (2, 8, 64)
@@ -100,13 +100,14 @@ def _sets(column, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
 
 def _fresh(column, k: int, seen: set):
     """The sets of a column that this task didn't have yet (a bounded memory of names: a speed-up only)."""
-    tokens, at, names = _sets(column, k)
     if len(seen) > 100_000:
         seen.clear()
-    for i, name in enumerate(names):
-        if name is not None and name not in seen:
-            seen.add(name)
-            yield tokens[at[i] : at[i + 1]]
+    for some in slices(column):
+        tokens, at, names = _sets(some, k)
+        for i, name in enumerate(names):
+            if name is not None and name not in seen:
+                seen.add(name)
+                yield tokens[at[i] : at[i + 1]]
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -127,7 +128,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             tokens, at, names = _sets(b.column(1), k)
             level = shared(tokens)
             often = np.flatnonzero(level)
@@ -156,8 +157,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, count: int, k: int) -> DataFrame
 
         for b in batches:
             hit = keep(b.column(0).to_numpy(zero_copy_only=False))
-            if hit.any():
-                tokens, at, names = _sets(b.column(1).filter(pa.array(hit)), k)
+            for texts in slices(b.column(1).filter(pa.array(hit))):
+                tokens, at, names = _sets(texts, k)
                 some = [(name, tokens[x:y].tobytes()) for name, x, y in zip(names, at[:-1], at[1:], strict=True) if name is not None]
                 yield pa.record_batch([pa.array([x for x, _ in some], pa.binary()), pa.array([x for _, x in some], pa.binary())], ["node", "tokens"])
 
@@ -169,6 +170,15 @@ def _read(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
+def _in_parts(pairs: DataFrame, block: int) -> DataFrame:
+    """pairs(a, b, parts) with parts where it is null: so many that about `block` partners of a query are searched together.
+
+    Only queries with more partners are named, so that no query's pairs meet in one task to be counted.
+    """
+    many = pairs.where("parts IS NULL").groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("more")).where("more > 1")
+    return pairs.join(small(many), "a", "left").select("a", "b", F.coalesce("parts", "more", F.lit(1).cast("long")).alias("parts"))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b, parts) that link, as (u, v): a is the query; its partners are dealt into `parts` searches."""
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
@@ -362,7 +372,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, sh
         """All pairs of the given lists whose labels differ."""
         two = some.alias("x").join(some.alias("y"), F.col("x.token") == F.col("y.token"))
         two = two.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
-        return two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(1).cast("long").alias("parts")).distinct()
+        return two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("parts")).distinct()
 
     def met(some: DataFrame, star: DataFrame) -> DataFrame:
         return some.alias("x").join(star.alias("y"), F.col("token") == F.col("__token")).where((F.col("x.node") != F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & able("x", "y"))
@@ -389,7 +399,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, sh
         return met(some, star).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.ceil(F.col("held") / F.lit(block)).cast("long").alias("parts"))
 
     def searched(pairs: DataFrame) -> DataFrame:
-        return staged(_verify(staged(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
+        return staged(_verify(_in_parts(staged(pairs, "jaccard-pairs"), block), sets, percent), "jaccard-links")
 
     lists = lists.withColumn("label", F.col("node"))
     pairs = crossed(lists.where(F.col("c") <= short))
@@ -420,7 +430,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int, sh
     if crowded is not None:
         new = staged(_search_blocks(crowded, sets, percent), "jaccard-links")
         links = new if links is None else links.unionByName(new)
-    more = more.withColumn("parts", F.lit(1).cast("long"))
+    more = more.withColumn("parts", F.lit(None).cast("long"))
     new = searched(more if pairs is None else pairs.unionByName(more))
     return new if links is None else links.unionByName(new)
 

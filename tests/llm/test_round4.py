@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strataframe.llm import jaccard, lines, toxicity
 
@@ -98,3 +99,36 @@ def test_lines_with_a_word_are_found_without_sums_over_bytes(spark, monkeypatch)
     monkeypatch.undo()
     got = rows(lines.line_dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")))
     assert got == brute.line_dedup([*enumerate(texts)], near=lines.near)
+
+
+@pytest.mark.parametrize(("stars", "short", "block"), [(0, 10_000, 8), (0, 1, 8)])
+def test_a_query_of_many_partners_is_searched_in_parts(spark, monkeypatch, stars, short, block):
+    together, was = [], jaccard._verify
+
+    def verify(pairs, sets, percent):
+        groups = pairs.groupBy("a", "parts", F.pmod(F.xxhash64("b"), F.col("parts"))).count()
+        together.append(groups.agg(F.max("count")).first()[0] or 0)
+        return was(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_verify", verify)
+    monkeypatch.setattr(jaccard, "_PER_NODE", 10_000)
+    docs = list(enumerate(edited(90, 11, 3)))
+    got = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), star_rounds=stars, short=short, block=block)
+    assert rows(got) == brute.jaccard_components(docs)
+    assert together and 1 < max(together) <= 3 * block
+
+
+def test_shingles_are_made_of_slices_of_a_batch(monkeypatch):
+    sizes, was = [], jaccard.words
+
+    def counted(column, **how):
+        sizes.append(sum(len(x.as_py() or "") for x in column))
+        return was(column, **how)
+
+    monkeypatch.setattr(jaccard, "words", counted)
+    texts = [words(40_000, k) for k in range(12)] + [None, "", "one two"]
+    got = list(jaccard._fresh(pa.array(texts), 5, set()))
+    assert max(sizes) <= 1 << 21 < sum(sizes)
+    whole, at, names = jaccard._sets(pa.array(texts), 5)
+    want = [whole[a:b] for a, b, n in zip(at[:-1], at[1:], names, strict=True) if n is not None]
+    assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
