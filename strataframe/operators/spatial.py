@@ -51,14 +51,14 @@ def plan_spacing(points: DataFrame, size: float) -> DataFrame:
 
 
 #: How often the cells of `nearest` are halved at most.
-HALVINGS = 12
+HALVINGS = 24
 
 
 def nearest(targets: DataFrame, samples: DataFrame, radius: float, k: int, dims: str = "xyz") -> DataFrame:
     """(target, sample, d2, place): the k nearest samples within radius, ties by sample id; bins meet by an equi-join.
 
     Bins are cells of the radius, halved up to HALVINGS times. A target's are the smallest whose own cell has k samples:
-    the k nearest are then no further than the cell's diagonal, so it asks the cells within that reach, which are two
+    the k nearest are then no further than the k-th of these, so it asks the cells within that reach, which are two
     away at most; if no cell has k, it asks those within the radius. So a target meets samples by their number and not by
     their density, and what is found is exact. Of samples of one place only the k of least id can be among the nearest.
     """
@@ -76,24 +76,36 @@ def nearest(targets: DataFrame, samples: DataFrame, radius: float, k: int, dims:
     same = F.col("target").eqNullSafe(F.col("__target"))
     for c in dims:
         same = same & (F.col(c) == F.col(f"__{c}"))
-    t = targets.join(finest, same, "left").drop("__target", *[f"__{c}" for c in dims]).withColumn("level", F.coalesce("level", F.lit(0)))
-    t = staged(t.withColumn("reach", F.least(F.lit(float(radius)), scale(F.col("level")) * (len(dims) ** 0.5 * (1 + 1e-9)))), "nearest-targets")
+    once = lambda df, found: df.join(found, same, "left").drop("__target", *[f"__{c}" for c in dims])
+    t = staged(once(targets, finest).withColumn("level", F.coalesce("level", F.lit(0))), "nearest-targets")
+    used = t.agg(F.collect_set("level").alias("levels"))
+    s = cells(s.crossJoin(F.broadcast(used)).withColumn("level", F.explode("levels")).drop("levels"), [f"s{c}" for c in dims], F.col("level"))
+    d2 = F.lit(0.0)
+    for c in dims:
+        d2 = d2 + (F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}"))
+    # by number, so that few bytes of packed rows aren't put together into few tasks
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = lambda df: df.repartition(tasks, "level", *names).join(s.repartition(tasks, "level", *names), ["level", *names]).withColumn("d2", d2)
+    # the k-th of the own cell
+    w = Window.partitionBy("target", *dims).orderBy("d2")
+    far = meet(cells(t, dims, F.col("level"))).withColumn("__n", F.row_number().over(w)).where(F.col("__n") == k)
+    t = once(t, far.select(F.col("target").alias("__target"), *[F.col(c).alias(f"__{c}") for c in dims], F.col("d2").alias("far")))
+    # a square that is too small for a double is nought
+    t = t.withColumn("far", F.least(F.lit(radius * radius), "far")).withColumn("reach", F.sqrt("far") * (1 + 1e-9) + 1e-150)
     # of the cells around, those that the reach gets to
-    near = _neighbours(cells(t, dims, F.col("level")), names, 2)
+    near = t
+    for c, n in zip(dims, names, strict=True):
+        low, high = (F.floor((F.col(c) + side * F.col("reach")) / scale(F.col("level"))) for side in (-1, 1))
+        near = near.withColumn(n, F.explode(F.sequence(low, high)))
     away = F.lit(0.0)
     for c, n in zip(dims, names, strict=True):
         low = F.col(n) * scale(F.col("level"))
         gap = F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - low - scale(F.col("level")))
         away = away + gap * gap
     near = near.where(away <= F.col("reach") * F.col("reach") * (1 + 1e-9) + 1e-12 * radius * radius)
-    used = t.agg(F.collect_set("level").alias("levels"))
-    s = cells(s.crossJoin(F.broadcast(used)).withColumn("level", F.explode("levels")).drop("levels"), [f"s{c}" for c in dims], F.col("level"))
-    d2 = F.lit(0.0)
-    for c in dims:
-        d2 = d2 + (F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}"))
-    hit = near.join(s, ["level", *names]).withColumn("d2", d2).where(F.col("d2") <= F.least(F.lit(radius * radius), F.col("reach") * F.col("reach") * (1 + 1e-9)))
+    hit = meet(near).where("d2 <= far")
     w = Window.partitionBy("target").orderBy("d2", "sample")
-    return hit.drop("level", "reach").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
+    return hit.drop("level", "reach", "far").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
 
 
 def covariance(h: np.ndarray, sill: float, nugget: float, reach: float) -> np.ndarray:

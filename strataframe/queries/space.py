@@ -36,11 +36,11 @@ def plan_spacing(spark, d):
 
 
 @query(f"""WITH {_C}, p AS (SELECT a.vec_id AS target, b.vec_id AS sample, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
-  FROM c a JOIN c b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
+  FROM c a JOIN c b ON b.vec_id <> a.vec_id)
 SELECT target, sample, place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d2, sample) AS place FROM p WHERE d2 <= 0.25) WHERE place <= 8""")
 def topk_nearest(spark, d):
-    c = cloud(spark, d)
-    t = c.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "target")
+    c = cloud(spark, d).where("vec_id IS NOT NULL")
+    t = c.withColumnRenamed("vec_id", "target")
     s = c.withColumnRenamed("vec_id", "sample")
     near = S.nearest(t, s, 0.5, 9).where("sample != target")
     from pyspark.sql.window import Window

@@ -87,3 +87,29 @@ def test_heights_are_looked_up_once_a_place(spark):
     df = spatial.column_heights(points, tri, 2.0)
     assert plan(df).count("Join") == 2 and "RepartitionByExpression" in plan(df)
     assert sorted(map(tuple, df.collect())) == [(i, 3.0) for i in range(1, 10, 2)]
+
+
+def test_the_nearest_are_found_for_every_row(spark):
+    points = {r["vec_id"]: [float(v) for v in r["embedding"][:3]] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in QUERIES["topk_nearest"](spark, SF).collect():
+        got.setdefault(r["target"], {})[r["place"]] = r["sample"]
+    want = {}
+    for k, p in points.items():
+        d2 = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), i) for i, q in points.items() if i != k)
+        want[k] = {n: i for n, (d, i) in enumerate(d2[:8], 1) if d <= 0.25}
+    assert got == {k: v for k, v in want.items() if v} and len(got) > len(points) // 2
+
+
+def test_the_nearest_among_points_that_lie_close_are_found_in_small_cells(spark):
+    rng = random.Random(6)
+    rows = [(i, *[0.1 + 1e-5 * rng.random() for _ in "xyz"]) for i in range(400)]
+    s = spark.createDataFrame(rows, "sample long, x double, y double, z double")
+    df = spatial.nearest(s.withColumnRenamed("sample", "target"), s, 0.5, 6)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["target"], {})[r["place"]] = r["sample"]
+    for k, *p in rows:
+        d2 = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), i) for i, *q in rows)
+        assert list(dict(sorted(got[k].items())).values()) == [i for _, i in d2[:6]]
+    assert df.select("cx", "cy", "cz").distinct().count() > 8
